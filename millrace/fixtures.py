@@ -21,7 +21,7 @@ SELECT e.event_id AS req_id, e.ts AS ts, e.user_id AS user_id,
        CASE WHEN e.event_type = 'error' THEN 'HEAD'
             WHEN e.event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END AS method,
        p.page_id AS page_id, p.url AS url, {_MIME_CASE} AS mime,
-       CASE WHEN e.event_type = 'error' THEN 503 ELSE 200 END AS status,
+       CASE WHEN e.event_type = 'error' THEN 503 WHEN e.event_id % 9 = 0 THEN 302 WHEN e.event_id % 31 = 0 THEN 304 ELSE 200 END AS status,
        CAST(floor(e.value * 100) AS BIGINT) AS bytes
 FROM {{events}} e JOIN {{pages}} p ON p.page_id = e.event_id % {{page_count}}
 """
@@ -90,7 +90,7 @@ _HEADERS = [
     ("response", "X-Rating", "CASE WHEN req_id % 20 = 0 THEN 'http://other.example/rating' ELSE 'http://rating.example/service' END", "req_id % 10 = 0"),
     ("response", "X-Rating-violence", "CASE WHEN req_id % 3 = 0 THEN 'heavy' ELSE 'none' END", "req_id % 10 = 0"),
     ("response", "X-Rating-Age", "CAST(req_id % 18 AS STRING) || '-'", "req_id % 10 = 0"),
-    ("response", "Location", "CASE WHEN req_id % 2 = 0 THEN 'http://localhost/next' ELSE 'http://other.example/next' END", "status = 503 AND req_id % 3 = 0"),
+    ("response", "Location", "CASE WHEN req_id % 2 = 0 THEN 'http://localhost/next' ELSE 'http://other.example/next' END", "status = 302"),
 ]
 
 
@@ -116,6 +116,51 @@ def _headers(dialect: str) -> str:
 _HOSTS = f"SELECT DISTINCT {_H} AS host FROM {{pages}}"
 
 
+# Domain lists: every host falls into the lists by its name.
+_LISTS = f"""
+SELECT kind, sid, entry FROM (
+  SELECT 'blockdomains' AS kind, 'wc.10' || CAST(length(host) % 3 AS STRING) AS sid, host AS entry FROM {{hosts}}
+  WHERE length(host) % 5 = 0 OR host LIKE 'spam-farm%' OR host LIKE '%cheap-pills%'
+  UNION ALL
+  SELECT 'blockdomains', 'wc.109', host FROM {{hosts}} WHERE length(host) % 10 = 0
+  UNION ALL
+  SELECT 'allowdomains', 'wc.11' || CAST(length(host) % 2 AS STRING), host FROM {{hosts}} WHERE length(host) % 11 = 0
+  UNION ALL
+  SELECT 'blockurls', 'wc.12' || CAST(length(host) % 2 AS STRING), '//' || host || '/fr' FROM {{hosts}} WHERE length(host) % 2 = 0
+  UNION ALL
+  SELECT 'allowurls', 'wc.130', host || '/en/1' FROM {{hosts}} WHERE length(host) % 3 = 0)
+"""
+
+RULE_KINDS = [
+    "allow", "block", "blockdomains", "allowurls", "header", "htmlrewrite", "image",
+    "imagereduce", "javascript", "nocomments", "rating", "replace", "xmlrewrite", "antivirus",
+]
+_KIND_CASE = "CASE k % 14 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(RULE_KINDS)) + " END"
+
+# A catalogue of rules that grows with the part table.
+_RULES = f"""
+SELECT k, CASE WHEN k % 17 = 0 THEN NULL WHEN k % 50 = 1 THEN 'wc.' || CAST(k + 1 AS STRING)
+            WHEN k % 8 = 3 THEN 'lc.' || CAST(k AS STRING) ELSE 'wc.' || CAST(k AS STRING) END AS sid,
+       'wc.f' || CAST(size % 20 AS STRING) AS folder_sid, CAST((size % 20) * 7 % 20 AS INT) AS folder_oid,
+       CASE WHEN size % 20 IN (3, 11) THEN true ELSE false END AS folder_disable, k AS oid, {_KIND_CASE} AS kind,
+       CASE WHEN k % 6 = 0 THEN true ELSE false END AS disable, name AS title_en,
+       CASE WHEN k % 4 = 0 THEN NULL ELSE type END AS title_de, lower(brand) AS url,
+       CASE WHEN k % 3 = 0 THEN 'text/html' WHEN k % 3 = 1 THEN 'image/gif' END AS mime
+FROM (SELECT p_partkey AS k, p_size AS size, p_name AS name, p_type AS type, p_brand AS brand FROM {{part}})
+"""
+
+_RULES_INCOMING = """
+SELECT sid, folder_sid, kind, CASE WHEN k % 9 = 0 THEN url || '/new' ELSE url END AS url, mime,
+       CASE WHEN k % 10 = 0 THEN 'New ' || title_en ELSE title_en END AS title_en,
+       CASE WHEN k % 20 = 4 THEN 'Neu' ELSE title_de END AS title_de
+FROM {rules} WHERE k % 12 <> 0 AND sid IS NOT NULL AND k % 50 NOT IN (1, 2)
+UNION ALL
+SELECT 'wc.new' || CAST(k AS STRING), folder_sid, kind, url, mime, title_en, title_de FROM {rules} WHERE k % 40 = 0
+UNION ALL
+SELECT 'lc.new' || CAST(k AS STRING), folder_sid, kind, url, mime, title_en, title_de FROM {rules} WHERE k % 41 = 0
+"""
+
+
 class Tables:
     """Driver tables of one folder and the tables derived from them."""
 
@@ -166,11 +211,23 @@ class Tables:
     def hosts(self) -> DataFrame:
         return self.sql(_HOSTS, pages=self.pages.select("url"))
 
+    @cached_property
+    def lists(self) -> DataFrame:
+        return self.sql(_LISTS, hosts=self.hosts)
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return self.sql(_RULES, part=self.part)
+
+    @cached_property
+    def rules_incoming(self) -> DataFrame:
+        return self.sql(_RULES_INCOMING, rules=self.rules)
+
 
 def _duck(text: str) -> str:
     text = text.replace("{page_count}", "(SELECT count(*) FROM pages)")
     return text.replace("{idiv}", "//").replace("AS STRING", "AS VARCHAR").format(
-        events="events", pages="pages", requests="requests", documents="documents", part="part", hosts="hosts"
+        events="events", pages="pages", requests="requests", documents="documents", part="part", hosts="hosts", rules="rules"
     )
 
 
@@ -179,4 +236,7 @@ SQL_FIXTURES: dict[str, str] = {
     "url_cases": _duck(_url_cases("unnest(range(0, 1 + ", "))")),
     "headers": _duck(_headers("duckdb")),
     "hosts": _duck(_HOSTS),
+    "lists": _duck(_LISTS),
+    "rules": _duck(_RULES),
+    "rules_incoming": _duck(_RULES_INCOMING),
 }
