@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["url_plans", "verdict_plans"]
+MODULES = ["url_plans", "verdict_plans", "http_plans"]
 
 
 def load_all() -> None:
