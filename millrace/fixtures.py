@@ -100,17 +100,20 @@ def _headers(dialect: str) -> str:
             f"CASE WHEN {c} THEN struct({i} AS pos, '{s}' AS stage, '{n}' AS name, {v} AS value) END"
             for i, (s, n, v, c) in enumerate(_HEADERS)
         )
-        source = f"SELECT req_id, explode(array_compact(array({items}))) AS h FROM ({{base}})"
-        base = "SELECT *, date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss') || ' GMT' AS date FROM {requests}"
-    else:
-        items = ", ".join(
-            f"CASE WHEN {c} THEN {{{{'pos': {i}, 'stage': '{s}', 'name': '{n}', 'value': {v}}}}} END"
-            for i, (s, n, v, c) in enumerate(_HEADERS)
+        return (
+            f"SELECT req_id, ts, url, status, mime, filter(h, x -> x.stage = 'request') AS request, "
+            f"filter(h, x -> x.stage = 'response') AS response FROM (SELECT *, array_compact(array({items})) AS h FROM "
+            "(SELECT *, date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss') || ' GMT' AS date FROM {requests}))"
         )
-        source = f"SELECT req_id, h FROM (SELECT req_id, unnest([{items}]) AS h FROM ({{base}})) WHERE h IS NOT NULL"
-        base = "SELECT *, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' AS date FROM {requests}"
-    text = source.replace("{base}", base)
-    return f"SELECT req_id, h.pos AS pos, h.stage AS stage, h.name AS name, h.value AS value FROM ({text})"
+    items = ", ".join(
+        f"CASE WHEN {c} THEN {{{{'pos': {i}, 'stage': '{s}', 'name': '{n}', 'value': {v}}}}} END"
+        for i, (s, n, v, c) in enumerate(_HEADERS)
+    )
+    return (
+        "SELECT req_id, h.pos AS pos, h.stage AS stage, h.name AS name, h.value AS value FROM "
+        f"(SELECT req_id, unnest([{items}]) AS h FROM "
+        "(SELECT *, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' AS date FROM {requests})) WHERE h IS NOT NULL"
+    )
 
 
 _HOSTS = f"SELECT DISTINCT {_H} AS host FROM {{pages}}"
@@ -204,9 +207,15 @@ class Tables:
         return self.sql(text, pages=self.pages.select("page_id", "url"))
 
     @cached_property
-    def headers(self) -> DataFrame:
+    def messages(self) -> DataFrame:
+        """One row per request with its header lists: req_id, ts, url, status, mime, request, response."""
         return self.sql(_headers("spark"), requests=self.requests)
 
+    @cached_property
+    def headers(self) -> DataFrame:
+        """The long form of the messages: req_id, pos, stage, name, value."""
+        return self.messages.selectExpr("req_id", "inline(concat(request, response))")
+
     @cached_property
     def hosts(self) -> DataFrame:
         return self.sql(_HOSTS, pages=self.pages.select("url"))

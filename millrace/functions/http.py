@@ -176,8 +176,8 @@ def takes_gzip(header: Column) -> Column:
     return F.exists(accept_encodings(header), lambda e: e["encoding"].isin("gzip", "x-gzip"))
 
 
-def content_length(header: Column, transfer_encoding: Column) -> Column:
-    """Length as a number; null when absent, chunked or not a number."""
+def content_length(header: Column) -> Column:
+    """Length as a number; null when the header is absent (as for chunked bodies) or not a number."""
     return header.try_cast("bigint")
 
 

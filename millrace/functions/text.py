@@ -53,7 +53,7 @@ def resolve_entities(text: Column) -> Column:
 
 
 def remove_markup(text: Column) -> Column:
-    """Delete every ``<...>``; what becomes a tag by a deletion goes too, one level deep per pass."""
+    """Delete every ``<...>``; a deletion cannot form a new tag, so one pass is enough."""
     return F.regexp_replace(text, r"(?s)<.*?>", "")
 
 

@@ -9,6 +9,7 @@ from millrace.functions import net as N
 from millrace.functions import text as X
 from millrace.functions import urls as U
 from millrace.functions.rules import handler_takes_mime
+from millrace.operators import headers as A
 from millrace import policy as P
 from millrace.plans.registry import query
 from millrace.plans.url_plans import PATH
@@ -137,17 +138,12 @@ def accept_encoding_map(t):
 
 @query(
     "content_length_int",
-    sql="""WITH m AS (SELECT req_id, max(CASE WHEN pos = 8 THEN value END) AS one, max(CASE WHEN pos = 9 THEN value END) AS two,
-       bool_or(name = 'Transfer-Encoding') AS chunked FROM headers GROUP BY req_id)
+    sql="""WITH m AS (SELECT req_id, max(CASE WHEN pos = 8 THEN value END) AS one, max(CASE WHEN pos = 9 THEN value END) AS two FROM headers GROUP BY req_id)
     SELECT req_id, try_cast(coalesce(two, one) AS BIGINT) AS length FROM m""",
 )
 def content_length_int(t):
-    """Length of each message; the header sent last counts, chunked bodies have none unless it is given."""
-    message = t.headers.groupBy("req_id").agg(
-        F.max_by(F.when(F.col("name") == "Content-Length", F.col("value")), F.when(F.col("name") == "Content-Length", F.col("pos"))).alias("length"),
-        F.max(F.when(F.lower("name") == "transfer-encoding", F.lower("value"))).alias("encoding"),
-    )
-    return message.select("req_id", H.content_length(F.col("length"), F.col("encoding")).alias("length"))
+    """Length of each message; of several headers the last one counts."""
+    return t.messages.select("req_id", H.content_length(A.last_value(F.col("response"), "content-length")).alias("length"))
 
 
 @query(
