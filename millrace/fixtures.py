@@ -134,6 +134,52 @@ SELECT kind, sid, entry FROM (
   SELECT 'allowurls', 'wc.130', host || '/en/1' FROM {{hosts}} WHERE length(host) % 3 = 0)
 """
 
+# Tags that hit every security check, and harmless ones; each page holds two thirds of them.
+TAG_SAMPLES = [
+    '<a href="http://x/' + "%" * 12 + '">a</a>',
+    '<a href="http://a---b.example/">b</a>',
+    '<a href="http://ok.example/x?a=1&amp;b=2">c</a>',
+    '<applet hspace="12345x"></applet>',
+    '<body onload="x=window ( );">',
+    '<embed src="http://x/file.averylongextension?z">',
+    '<embed src="' + "e" * 1030 + '" name="n">',
+    '<fieldset style="position:absolute">f</fieldset>',
+    '<font size="+1000000">g</font>',
+    '<frame src="f.html" name="' + "n" * 1025 + '">',
+    '<hr align="' + "z" * 60 + '">',
+    '<iframe src="http://x---y/' + "%" * 11 + '"></iframe>',
+    '<img src=" JavaScript:alert(1)" alt="one">',
+    '<img src="a.gif" lowsrc="javascript:x" width="10px" height="5.5" alt="Two\nlines" >',
+    '<input type="" name=q>',
+    '<input type=text disabled/>',
+    '<link rel="icon" href="javascript:alert(2)">',
+    '<link rel=stylesheet href="javascript:alert(3)">',
+    '<meta http-equiv="Refresh" content="1; url=http://ok/;url=javascript:x">',
+    '<meta http-equiv=refresh content="5;url=http://fine.example/">',
+    '<meta name="X-Rating" content="http://rating.example/service">',
+    '<meta name="X-Rating-violence" content="mild">',
+    '<object type="a//b/c" classid="clsid:ec444cb6-3e7e-4865-b1c3-0de72ef39b3f"></object>',
+    '<object data="ms-its:mhtml:file://C:x.mht!http://evil/x.chm"></object>',
+    '<object codebase="HHCTRL.ocx#1"><param name="p" value="' + "w" * 60 + '"></object>',
+    '<object><object><object><object><object>deep</object></object></object></object></object>',
+    '<table width="-1"><tr><td width="100%%" height="9999">t</td><td width="abc" height="12345">u</td></tr></table>',
+    "<p " + " ".join(f"a{i}=1" for i in range(205)) + ">many</p>",
+    '<htmm><hrr/><xyzzy><xmlns:a><bllnk><conten>m</conten>',
+    '<!-- note --><!----><? pi ?><unclosed',
+    '<base href="http://base.example/dir/">',
+    '<b><i>nested <b>twice</b></i></b><script>if (a<b) x("</b>");</script>',
+    '<td title="\u00e9 &quot;q&quot;" nowrap>u</td>',
+]
+
+
+def _tag_samples() -> str:
+    parts = " || ".join(
+        "CASE WHEN (page_id + {}) % 3 <> 0 THEN '{}' ELSE '' END".format(i, s.replace("'", "''").replace("{", "{{").replace("}", "}}"))
+        for i, s in enumerate(TAG_SAMPLES)
+    )
+    return f"SELECT page_id, url, {parts} AS html FROM {{pages}}"
+
+
 RULE_KINDS = [
     "allow", "block", "blockdomains", "allowurls", "header", "htmlrewrite", "image",
     "imagereduce", "javascript", "nocomments", "rating", "replace", "xmlrewrite", "antivirus",
@@ -220,6 +266,10 @@ class Tables:
     def hosts(self) -> DataFrame:
         return self.sql(_HOSTS, pages=self.pages.select("url"))
 
+    @cached_property
+    def tag_samples(self) -> DataFrame:
+        return self.sql(_tag_samples(), pages=self.pages.select("page_id", "url"))
+
     @cached_property
     def lists(self) -> DataFrame:
         return self.sql(_LISTS, hosts=self.hosts)
@@ -245,6 +295,7 @@ SQL_FIXTURES: dict[str, str] = {
     "url_cases": _duck(_url_cases("unnest(range(0, 1 + ", "))")),
     "headers": _duck(_headers("duckdb")),
     "hosts": _duck(_HOSTS),
+    "tag_samples": _duck(_tag_samples()),
     "lists": _duck(_LISTS),
     "rules": _duck(_RULES),
     "rules_incoming": _duck(_RULES_INCOMING),

@@ -1,0 +1,42 @@
+"""The page pipeline: every cleaning stage in order, one exchange in all."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace import policy as P
+from millrace.functions import text as X
+from millrace.operators import html as M
+from millrace.operators import security as S
+from millrace.operators.replace import replace_text
+
+
+def clean(
+    pages: DataFrame,
+    tag_rules: Sequence[P.TagRule] = tuple(P.TAG_RULES),
+    text_rules: Sequence[P.TextRule] = tuple(P.TEXT_RULES),
+    comment_urls: Sequence[str] = ("/en/", "/de/"),
+    exempt: str | None = None,
+) -> DataFrame:
+    """page_id, html: characters, tokens, security, tag rules, element rules, text rules.
+
+    ``exempt`` names a boolean column; pages with true there come back as they are.
+    """
+    keep = [exempt] if exempt else []
+    rows = pages.select("page_id", "url", "html", *keep)
+    untouched = rows.where(F.col(exempt)).select("page_id", "html") if exempt else None
+    if exempt:
+        rows = rows.where(~F.col(exempt))
+    rows = rows.repartition("page_id")
+    fixed = X.fix_chars(F.col("html"), F.lit(None).cast("string"))
+    rows = rows.select("page_id", "url", M.tokens(fixed).alias("tokens"))
+    rows = rows.withColumn("tokens", M.drop_comments(F.col("tokens"), F.col("url"), comment_urls))
+    rows = rows.withColumn("tokens", M.add_img_titles(S.repaired(F.col("tokens"))))
+    rows = rows.withColumn("tokens", M.rewrite_start_tags(F.col("tokens"), F.col("url"), tag_rules))
+    cleaned = M.collect_pages(M.rewrite_blocks(rows, tag_rules))
+    cleaned = cleaned.join(pages.select("page_id", "url"), "page_id")
+    out = cleaned.select("page_id", replace_text(F.col("html"), F.col("url"), F.lit("text/html"), text_rules).alias("html"))
+    return out.unionByName(untouched) if exempt else out
