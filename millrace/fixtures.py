@@ -101,7 +101,7 @@ def _headers(dialect: str) -> str:
             for i, (s, n, v, c) in enumerate(_HEADERS)
         )
         return (
-            f"SELECT req_id, ts, url, status, mime, filter(h, x -> x.stage = 'request') AS request, "
+            f"SELECT req_id, ts, page_id, url, status, mime, filter(h, x -> x.stage = 'request') AS request, "
             f"filter(h, x -> x.stage = 'response') AS response FROM (SELECT *, array_compact(array({items})) AS h FROM "
             "(SELECT *, date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss') || ' GMT' AS date FROM {requests}))"
         )
@@ -210,6 +210,21 @@ SELECT 'lc.new' || CAST(k AS STRING), folder_sid, kind, url, mime, title_en, tit
 """
 
 
+_SEG = "regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1)"
+_DEGREE = "CASE ({0}) % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'mild' WHEN 2 THEN 'heavy' WHEN 3 THEN 'none' END"
+
+# Ratings of every site and every first path segment; some categories are missing, some values unsafe.
+_RATINGS = f"""
+SELECT url, generic, CASE n % 6 WHEN 0 THEN '10-' WHEN 1 THEN '6-18' WHEN 2 THEN '-12' WHEN 3 THEN '7' WHEN 4 THEN '' END AS age,
+       {_DEGREE.format('n')} AS language, {_DEGREE.format('n + 1')} AS sex, {_DEGREE.format('n + 2')} AS violence,
+       1700000000 + n * 60 AS modified
+FROM (SELECT DISTINCT {_S} || '://' || {_H} AS url, true AS generic, length({_H}) AS n FROM {{pages}}
+      UNION ALL
+      SELECT DISTINCT {_S} || '://' || {_H} || '/' || {_SEG}, false, length({_H}) + ascii({_SEG}) FROM {{pages}} WHERE {_SEG} <> '')
+WHERE n % 7 <> 0
+"""
+
+
 class Tables:
     """Driver tables of one folder and the tables derived from them."""
 
@@ -266,6 +281,10 @@ class Tables:
     def hosts(self) -> DataFrame:
         return self.sql(_HOSTS, pages=self.pages.select("url"))
 
+    @cached_property
+    def ratings(self) -> DataFrame:
+        return self.sql(_RATINGS, pages=self.pages.select("url"))
+
     @cached_property
     def tag_samples(self) -> DataFrame:
         return self.sql(_tag_samples(), pages=self.pages.select("page_id", "url"))
@@ -297,6 +316,7 @@ SQL_FIXTURES: dict[str, str] = {
     "hosts": _duck(_HOSTS),
     "tag_samples": _duck(_tag_samples()),
     "lists": _duck(_LISTS),
+    "ratings": _duck(_RATINGS),
     "rules": _duck(_RULES),
     "rules_incoming": _duck(_RULES_INCOMING),
 }

@@ -168,3 +168,9 @@ QUALITY_RULES = [
 DEFAULT_QUALITY, DEFAULT_MINIMAL_SIZE = 20, 5120
 
 SIGNATURES = [("Sig.Cookie", "ndtion"), ("Sig.Track", "stlyre"), ("Sig.Mail", "@example"), ("Sig.Long", "the the the")]
+
+# Rating limits per rule; a missing category is not checked.
+RATING_LIMITS = {
+    "wc.901": {"age": "8-14", "language": "mild", "sex": "none", "violence": "mild"},
+    "wc.902": {"violence": "none", "language": "heavy"},
+}
