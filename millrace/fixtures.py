@@ -225,6 +225,49 @@ WHERE n % 7 <> 0
 """
 
 
+_ZONE = "regexp_extract(host, '([^.]+[.][^.]+)$', 1)"
+_BARE = "regexp_replace(host, '^(www|m|blog)[.]', '')"
+
+# Records of the zones of all hosts; seq is the order in which they were added.
+_DNS_RECORDS = f"""
+SELECT zone, name, 'IN' AS rdclass, rdtype, CAST(ttl AS BIGINT) AS ttl, rdata, n * 10 + k AS seq FROM (
+  SELECT {_ZONE} AS zone, {_BARE} AS name, 'A' AS rdtype, 300 + length(host) * 10 AS ttl,
+         '10.9.' || CAST(length(host) AS STRING) || '.' || CAST(ascii(host) AS STRING) AS rdata, length(host) AS n, 0 AS k FROM {{hosts}}
+  UNION ALL
+  SELECT {_ZONE}, {_BARE}, 'A', 120 + length(host), '10.8.0.' || CAST(length(host) AS STRING), length(host), 1 FROM {{hosts}} WHERE length(host) % 3 = 0
+  UNION ALL
+  SELECT {_ZONE}, host, 'CNAME', 60 + length(host), {_BARE}, length(host), 2 FROM {{hosts}} WHERE host <> {_BARE}
+  UNION ALL
+  SELECT {_ZONE}, 'alias.' || host, 'CNAME', 900, host, length(host), 3 FROM {{hosts}}
+  UNION ALL
+  SELECT {_ZONE}, 'deep.alias.' || host, 'CNAME', 30, 'alias.' || host, length(host), 4 FROM {{hosts}} WHERE length(host) % 2 = 0
+  UNION ALL
+  SELECT {_ZONE}, 'loop.' || host, 'CNAME', 5, 'pool.' || host, length(host), 5 FROM {{hosts}} WHERE length(host) % 5 = 0
+  UNION ALL
+  SELECT {_ZONE}, 'pool.' || host, 'CNAME', 5, 'loop.' || host, length(host), 6 FROM {{hosts}} WHERE length(host) % 5 = 0
+  UNION ALL
+  SELECT {_ZONE}, 'gone.' || host, 'CNAME', 5, 'nowhere.' || host, length(host), 7 FROM {{hosts}} WHERE length(host) % 7 = 0
+  UNION ALL
+  SELECT {_ZONE}, {_ZONE}, 'SOA', 3600, 'ns1.' || {_ZONE} || ' admin ' || CAST(length(host) AS STRING), length(host), 8 FROM {{hosts}}
+  UNION ALL
+  SELECT {_ZONE}, {_ZONE}, 'NS', 3600 + length(host), 'ns' || CAST(length(host) % 2 AS STRING) || '.' || {_ZONE}, length(host), 9 FROM {{hosts}} WHERE {_ZONE} <> 'example.org')
+"""
+
+_LOOKUPS = f"""
+SELECT req_id, {_H} AS host, {{micros}} AS at_us, CASE WHEN status = 503 THEN 'error' ELSE 'found' END AS kind FROM {{requests}}
+"""
+
+_TRANSFERS = f"""
+SELECT req_id, {_H} AS endpoint, CASE WHEN length({_H}) % 2 = 0 THEN 'HTTP/1.0' ELSE 'HTTP/1.1' END AS version,
+       {{micros}} AS start_us, {{micros}} + bytes * 2000000 AS end_us FROM {{requests}}
+"""
+
+# A list of files and the checksums published for them; one in ten differs, is missing or is new.
+_FILES = "SELECT 'f' || CAST(doc_id AS STRING) || '.zap' AS filename, text AS content, CASE WHEN doc_id % 7 = 0 THEN '1.0' ELSE '0.10' END AS version FROM {documents} WHERE doc_id % 10 <> 5"
+_MANIFEST = """SELECT 'f' || CAST(doc_id AS STRING) || '.zap' AS filename, md5(CASE WHEN doc_id % 10 = 4 THEN text || '!' ELSE text END) AS md5sum, '0.12' AS version
+FROM {documents} WHERE doc_id % 10 <> 3"""
+
+
 class Tables:
     """Driver tables of one folder and the tables derived from them."""
 
@@ -285,6 +328,26 @@ class Tables:
     def ratings(self) -> DataFrame:
         return self.sql(_RATINGS, pages=self.pages.select("url"))
 
+    @cached_property
+    def dns_records(self) -> DataFrame:
+        return self.sql(_DNS_RECORDS, hosts=self.hosts)
+
+    @cached_property
+    def lookups(self) -> DataFrame:
+        return self.sql(_LOOKUPS.replace("{micros}", "unix_micros(cast(ts AS timestamp))"), requests=self.requests)
+
+    @cached_property
+    def transfers(self) -> DataFrame:
+        return self.sql(_TRANSFERS.replace("{micros}", "unix_micros(cast(ts AS timestamp))"), requests=self.requests)
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self.sql(_FILES, documents=self.documents)
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        return self.sql(_MANIFEST, documents=self.documents)
+
     @cached_property
     def tag_samples(self) -> DataFrame:
         return self.sql(_tag_samples(), pages=self.pages.select("page_id", "url"))
@@ -304,6 +367,7 @@ class Tables:
 
 def _duck(text: str) -> str:
     text = text.replace("{page_count}", "(SELECT count(*) FROM pages)")
+    text = text.replace("{micros}", "epoch_us(ts)")
     return text.replace("{idiv}", "//").replace("AS STRING", "AS VARCHAR").format(
         events="events", pages="pages", requests="requests", documents="documents", part="part", hosts="hosts", rules="rules"
     )
@@ -316,6 +380,11 @@ SQL_FIXTURES: dict[str, str] = {
     "hosts": _duck(_HOSTS),
     "tag_samples": _duck(_tag_samples()),
     "lists": _duck(_LISTS),
+    "dns_records": _duck(_DNS_RECORDS),
+    "lookups": _duck(_LOOKUPS),
+    "transfers": _duck(_TRANSFERS),
+    "local_files": _duck(_FILES),
+    "manifest": _duck(_MANIFEST),
     "ratings": _duck(_RATINGS),
     "rules": _duck(_RULES),
     "rules_incoming": _duck(_RULES_INCOMING),
