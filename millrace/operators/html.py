@@ -403,10 +403,10 @@ def links(pages: DataFrame) -> DataFrame:
     return attrs.select("page_id", "pos", "tag", F.col("name").alias("attr"), target.alias("target"))
 
 
-def feed_subset(html: Column) -> Column:
+def feed_subset(html: Column, url: Column | None = None, drop: Sequence[TagRule] = ()) -> Column:
     """Only the tags and attributes allowed in feeds; an unlisted element goes with all it holds.
 
-    The state is whether output is valid and the stack of open tags of the dropped element.
+    So does an element that matches one of the ``drop`` rules. The state is whether output is valid and the stack of open tags of the dropped element.
     """
     allowed = T.FEED_ALLOWED
 
@@ -423,6 +423,8 @@ def feed_subset(html: Column) -> Column:
     def step(state: Column, token: Column) -> Column:
         valid, stack, out = state["valid"], state["stack"], state["out"]
         listed = token["tag"].isin(list(allowed))
+        for rule in drop:
+            listed = listed & ~rule_matches(token["tag"], attributes(token["text"]), url, rule)
         top_is = F.coalesce(F.try_element_at(stack, F.lit(-1)) == token["tag"], F.lit(False))
         popped = F.when(top_is, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
         opens = token["kind"].isin("start", "startend")
