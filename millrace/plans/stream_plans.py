@@ -44,7 +44,17 @@ def stream_sessions(t):
     return closed.unionByName(J.open_sessions(rows))
 
 
-@query("stream_ttl_cache")
+TTL_SQL = """WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at_us, req_id) AS rn FROM lookups),
+  walk(req_id, host, rn, state, kept, expires) AS (
+    SELECT req_id, host, rn, 'miss', kind, at_us + CASE kind WHEN 'found' THEN 1800000000 ELSE 0 END FROM l WHERE rn = 1
+    UNION ALL SELECT l.req_id, l.host, l.rn, CASE WHEN kept = 'found' AND at_us < expires THEN 'hit' WHEN kept = 'found' THEN 'stale' ELSE 'miss' END,
+      CASE WHEN kept = 'found' AND at_us < expires THEN kept ELSE kind END,
+      CASE WHEN kept = 'found' AND at_us < expires THEN expires ELSE at_us + CASE kind WHEN 'found' THEN 1800000000 ELSE 0 END END
+    FROM walk w JOIN l ON l.host = w.host AND l.rn = w.rn + 1)
+  SELECT req_id, host, state FROM walk"""
+
+
+@query("stream_ttl_cache", sql=TTL_SQL)
 def stream_ttl_cache(t):
     return J.run_to_files(J.ttl_cache(staged(t, t.lookups, "lookups")), "cache")
 

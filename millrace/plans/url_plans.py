@@ -143,7 +143,19 @@ def url_fix_typos(t):
     return t.url_cases.select("url_id", U.fix_typos(F.col("url")).alias("url"))
 
 
-@query("url_quote")
+QUOTE_SQL = rf"""
+WITH a AS (SELECT url_id, url, regexp_extract(url, '^([A-Za-z]+):', 1) AS s, {sql_quote(QUERY, '&=,')} AS q FROM url_cases),
+b AS (SELECT url_id, unnest(string_split(q, '&')) AS part, generate_subscripts(string_split(q, '&'), 1) AS i, len(string_split(q, '&')) AS n FROM a WHERE q <> ''),
+c AS (SELECT *, url_decode(string_split(part, '=')[1]) AS k, CASE WHEN contains(part, '=') THEN url_decode(substr(part, instr(part, '=') + 1)) ELSE '' END AS v FROM b),
+d AS (SELECT url_id, string_agg({sql_quote('k', '/-:,')} || CASE WHEN v = '' THEN '' ELSE '=' || {sql_quote('v', '/-:,')} END || CASE WHEN i < n THEN '&' ELSE '' END, '' ORDER BY i) AS q FROM c GROUP BY url_id),
+e AS (SELECT a.url_id, a.url, a.s, coalesce(d.q, '') AS q, {sql_quote(FRAGMENT, '/')} AS f FROM a LEFT JOIN d USING (url_id))
+SELECT url_id, CASE WHEN s <> '' THEN lower(s) || ':' || CASE WHEN {NETLOC} <> '' THEN '//' || {sql_quote(NETLOC, ':')} ELSE '' END || {sql_quote(PATH, '/=,')}
+    || CASE WHEN q <> '' THEN '?' || q ELSE '' END || CASE WHEN f <> '' THEN '#' || f ELSE '' END
+  WHEN NOT contains(url, '?') THEN {sql_quote('url', '/=,')}
+  ELSE {sql_quote(r"regexp_extract(url, '^(.*)[?][^?]*$', 1)", '/=,')} || CASE WHEN regexp_matches(url, '[?]$') THEN '' ELSE '?' || regexp_extract(url, '[?]([^?]*)$', 1) END END AS quoted FROM e"""
+
+
+@query("url_quote", sql=QUOTE_SQL)
 def url_quote(t):
     return t.url_cases.select("url_id", U.url_quote(F.col("url")).alias("quoted"))
 
