@@ -6,6 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import spread
+
 MIME_BY_REMAINDER = ["text/html", "image/gif", "application/x-javascript", "application/rss+xml", "text/plain"]
 
 _MIME_CASE = (
@@ -278,7 +280,7 @@ class Tables:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     def sql(self, text: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(text, **tables)

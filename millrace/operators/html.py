@@ -264,90 +264,104 @@ def _rewrite_attrs(attrs: Column, rule: TagRule) -> Column:
     return F.flatten(F.transform(attrs, one))
 
 
-def rewrite_blocks(pages: DataFrame, rules: Sequence[TagRule], replace_matched: bool = False) -> DataFrame:
-    """page_id, pos, text after the element rules: complete, enclosed and matched parts.
+def element_ranges(few: Column) -> Column:
+    """array<struct<s,e>>: positions of start and end tag of every closed element among indexed tags.
 
-    ``pages`` holds page_id, url and either html or tokens. An element without end tag never fires; of
-    nested hits the outer one decides. ``pos`` counts in twos, so replacements fit between tokens.
+    An end tag closes the last open start of the same name; elements never closed give no range. The
+    fold only sees the tags that rules ask for.
     """
-    rules = [r for r in rules if r.part in BLOCK_PARTS]
-    if "tokens" in pages.columns:
-        rows = pages.select("page_id", "url", F.posexplode("tokens").alias("pos", "t")).select("page_id", "url", "pos", "t.*")
-    else:
-        rows = explode_tokens(pages, "url", partitioned=True)
-    attrs = attributes(F.col("text"))
-    hits = [
-        F.when(rule_matches(F.col("tag"), attrs, F.col("url"), rule), F.lit(i)) for i, rule in enumerate(rules)
-    ]
-    touched = F.lit(False)
-    for rule in rules:
-        touched = touched | rule_tag_matches(F.col("tag"), rule)
-    is_start = (F.col("kind") == "start") & touched
-    candidates = F.when(is_start, F.array_compact(F.array(*hits)))
-    rows = pair_tags(rows).withColumn("rules", candidates)
-    return _apply_blocks(rows, rules, replace_matched)
-
-
-def _apply_blocks(rows: DataFrame, rules: Sequence[TagRule], replace_matched: bool) -> DataFrame:
-    ordered = Window.partitionBy("page_id").orderBy("pos")
-    open_start = F.col("match").isNotNull() & (F.size(F.coalesce("rules", F.array().cast("array<int>"))) > 0)
-    rows = rows.withColumn("_open", open_start)
-    needs_content = [i for i, r in enumerate(rules) if r.content or r.part == "matched"]
-    if needs_content:
-        # text between the tags, gathered only for starts whose rules look at it
-        wants = F.col("_open") & F.exists("rules", lambda r: r.isin(needs_content))
-        ranges = rows.where(wants).select("page_id", F.col("pos").alias("s"), F.col("match").alias("e"))
-        inner = rows.select("page_id", "pos", "text").join(ranges, "page_id").where(
-            (F.col("pos") > F.col("s")) & (F.col("pos") < F.col("e"))
+    open_tag = "array<struct<tag:string,pos:int>>"
+
+    def step(state: Column, t: Column) -> Column:
+        stack, pairs = state["stack"], state["pairs"]
+        top = F.try_element_at(F.filter(stack, lambda e: e["tag"] == t["tag"]), F.lit(-1))["pos"]
+        pushed = F.struct(
+            F.array_append(stack, F.struct(t["tag"].alias("tag"), t["pos"].alias("pos"))).alias("stack"), pairs.alias("pairs")
         )
-        content = inner.groupBy("page_id", "s").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("content")
+        popped = F.struct(
+            F.filter(stack, lambda e: e["pos"] != top).alias("stack"),
+            F.array_append(pairs, F.struct(top.alias("s"), t["pos"].alias("e"))).alias("pairs"),
         )
-        rows = rows.join(content.withColumnRenamed("s", "pos"), ["page_id", "pos"], "left")
-        rows = rows.withColumn("content", F.coalesce("content", F.lit("")))
-    else:
-        rows = rows.withColumn("content", F.lit(""))
-
-    chain = None
-    for i, rule in enumerate(rules):
-        ok = F.array_contains("rules", i)
-        if rule.content:
-            ok = ok & F.col("content").rlike(rule.content)
-        chain = F.when(ok, i) if chain is None else chain.when(ok, i)
-    rows = rows.withColumn("_rule", F.when(F.col("_open"), chain))
-    fired = F.col("_rule").isNotNull()
-    ends = F.when(fired, F.col("match"))
-    open_to = F.max(ends).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    # elements nest or follow each other; a fired start below an open one is swallowed by it
-    rows = rows.withColumn("_covered", F.coalesce(F.col("pos") < open_to, F.lit(False)) & fired)
-    outer = F.when(fired & ~F.col("_covered"), F.struct("pos", F.col("match").alias("end"), F.col("_rule").alias("rule"), "content"))
-    last = F.last(outer, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_in", F.when(F.col("pos") <= last["end"], last))
-    at_start = F.col("_in.pos") == F.col("pos")
-    at_end = F.col("_in.end") == F.col("pos")
-    inside = F.col("_in").isNotNull()
-
-    def of_part(*parts: str) -> Column:
-        return F.coalesce(F.col("_in.rule").isin([i for i, r in enumerate(rules) if r.part in parts] or [-1]), F.lit(False))
-
-    replacement = F.lit("")
-    for i, rule in enumerate(rules):
-        text = F.lit(rule.replacement)
-        if rule.part == "matched":
-            new = rule.replacement.replace("\\", "\\\\").replace("$", "\\$") if replace_matched else ""
-            text = F.regexp_replace(F.col("_in.content"), f"(?s)^(.*?)(?:{rule.content})", "$1" + new) if rule.content else F.col("_in.content")
-        replacement = F.when(F.col("_in.rule") == i, text).otherwise(replacement)
-    keep = ~inside | (of_part("enclosed", "matched") & (at_start | at_end))
-    kept = F.when(keep, F.struct((F.col("pos") * 2).alias("pos"), F.col("text").alias("text")))
-    added = F.when(inside & at_start, F.struct((F.col("pos") * 2 + 1).alias("pos"), replacement.alias("text")))
-    out = rows.select("page_id", F.explode(F.array_compact(F.array(kept, added))).alias("o"))
-    return out.select("page_id", "o.pos", "o.text").where(F.col("text") != "")
-
-
-def collect_pages(token_rows: DataFrame) -> DataFrame:
-    """page_id and html from page_id, pos, text."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return token_rows.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("html"))
+        return F.when(t["kind"] == "start", pushed).when(top.isNotNull(), popped).otherwise(state)
+
+    start = F.struct(
+        F.array().cast(open_tag).alias("stack"), F.array().cast("array<struct<s:int,e:int>>").alias("pairs")
+    )
+    return F.aggregate(few, start, step, lambda s: s["pairs"])
+
+
+def _texts(token_array: Column) -> Column:
+    return F.array_join(F.transform(token_array, lambda x: x["text"]), "")
+
+
+def rewrite_blocks(token_array: Column, url: Column, rules: Sequence[TagRule], replace_matched: bool = False) -> Column:
+    """Page text after the element rules: complete, enclosed and matched parts.
+
+    An element without end tag never fires; of nested hits the outer one decides. All of it happens
+    inside the page row, so a page is never exploded and nothing is shuffled.
+    """
+    rules = [r for r in rules if r.part in BLOCK_PARTS]
+
+    def touched(tag: Column) -> Column:
+        hit = F.lit(False)
+        for rule in rules:
+            hit = hit | rule_tag_matches(tag, rule)
+        return hit
+
+    def content(toks: Column, r: Column) -> Column:
+        return _texts(F.slice(toks, r["s"] + 2, r["e"] - r["s"] - 1))
+
+    def deciding(toks: Column):
+        def rule_of(r: Column) -> Column:
+            tag = F.get(toks, r["s"])["tag"]
+
+            def chain(attrs: Column) -> Column:
+                out = None
+                for i, rule in enumerate(rules):
+                    ok = rule_matches(tag, attrs, url, rule)
+                    if rule.content:
+                        ok = ok & content(toks, r).rlike(rule.content)
+                    out = F.when(ok, i) if out is None else out.when(ok, i)
+                return F.when(out.isNotNull(), F.struct(r["s"].alias("s"), r["e"].alias("e"), out.alias("rule")))
+
+            return let(attributes(F.get(toks, r["s"])["text"]), chain)
+
+        return rule_of
+
+    def shown(toks: Column, r: Column) -> Column:
+        first, last = F.get(toks, r["s"])["text"], F.get(toks, r["e"])["text"]
+        out = F.lit("")
+        for i, rule in enumerate(rules):
+            text = F.lit(rule.replacement)
+            if rule.part == "matched":
+                new = rule.replacement.replace("\\", "\\\\").replace("$", "\\$") if replace_matched else ""
+                text = F.regexp_replace(content(toks, r), f"(?s)^(.*?)(?:{rule.content})", "$1" + new) if rule.content else content(toks, r)
+            if rule.part != "complete":
+                text = F.concat(first, text, last)
+            out = F.when(r["rule"] == i, text).otherwise(out)
+        return out
+
+    def assemble(toks: Column, tops: Column) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(tops, i - 1)["e"], F.lit(-1))
+            return F.concat(_texts(F.slice(toks, before + 2, r["s"] - before - 1)), shown(toks, r))
+
+        end = F.coalesce(F.try_element_at(tops, F.lit(-1))["e"], F.lit(-1))
+        tail = _texts(F.slice(toks, end + 2, F.size(toks)))
+        return F.concat(F.array_join(F.transform(tops, piece), ""), tail)
+
+    def outermost(fired: Column) -> Column:
+        return F.filter(fired, lambda f: ~F.exists(fired, lambda g: (g["s"] < f["s"]) & (f["s"] < g["e"])))
+
+    def rewrite(toks: Column) -> Column:
+        indexed = F.transform(
+            toks, lambda t, i: F.struct(i.alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag"))
+        )
+        few = F.filter(indexed, lambda t: t["kind"].isin("start", "end") & touched(t["tag"]))
+        fired = F.array_sort(F.array_compact(F.transform(element_ranges(few), deciding(toks))))
+        return let(let(fired, outermost), lambda tops: assemble(toks, tops))
+
+    return let(token_array, rewrite)
 
 
 def drop_comments(token_array: Column, url: Column, matchurls: Sequence[str]) -> Column:

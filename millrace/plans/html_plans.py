@@ -145,7 +145,7 @@ kept AS (SELECT t.page_id, t.pos * 2 AS pos, t.text FROM tokens t LEFT JOIN tops
 added AS (SELECT page_id, s * 2 + 1 AS pos, CASE tag WHEN 'nav' THEN 'menu' WHEN 'title' THEN regexp_replace(content, 'the|de', '') ELSE '' END AS text FROM tops)
 SELECT page_id, string_agg(text, '' ORDER BY pos) AS html FROM (SELECT * FROM kept UNION ALL SELECT * FROM added) GROUP BY page_id""")
 def html_rewrite_block(t):
-    return M.collect_pages(M.rewrite_blocks(t.pages.select("page_id", "url", "html"), P.TAG_RULES))
+    return t.pages.select("page_id", M.rewrite_blocks(M.tokens(F.col("html")), F.col("url"), P.TAG_RULES).alias("html"))
 
 
 @query("html_reassemble", sql=f"""WITH {token_ctes('tag_samples')}, {attr_ctes()},

@@ -1,4 +1,4 @@
-"""The page pipeline: every cleaning stage in order, one exchange in all."""
+"""The page pipeline: every cleaning stage in order, page by page, without an exchange."""
 
 from __future__ import annotations
 
@@ -25,18 +25,15 @@ def clean(
 
     ``exempt`` names a boolean column; pages with true there come back as they are.
     """
-    keep = [exempt] if exempt else []
-    rows = pages.select("page_id", "url", "html", *keep)
-    untouched = rows.where(F.col(exempt)).select("page_id", "html") if exempt else None
-    if exempt:
-        rows = rows.where(~F.col(exempt))
-    rows = rows.repartition("page_id")
+    url = F.col("url")
     fixed = X.fix_chars(F.col("html"), F.lit(None).cast("string"))
-    rows = rows.select("page_id", "url", M.tokens(fixed).alias("tokens"))
-    rows = rows.withColumn("tokens", M.drop_comments(F.col("tokens"), F.col("url"), comment_urls))
+    # one projection per stage keeps the expressions apart; none of them moves a row
+    rows = pages.withColumn("tokens", M.tokens(fixed))
+    rows = rows.withColumn("tokens", M.drop_comments(F.col("tokens"), url, comment_urls))
     rows = rows.withColumn("tokens", M.add_img_titles(S.repaired(F.col("tokens"))))
-    rows = rows.withColumn("tokens", M.rewrite_start_tags(F.col("tokens"), F.col("url"), tag_rules))
-    cleaned = M.collect_pages(M.rewrite_blocks(rows, tag_rules))
-    cleaned = cleaned.join(pages.select("page_id", "url"), "page_id")
-    out = cleaned.select("page_id", replace_text(F.col("html"), F.col("url"), F.lit("text/html"), text_rules).alias("html"))
-    return out.unionByName(untouched) if exempt else out
+    rows = rows.withColumn("tokens", M.rewrite_start_tags(F.col("tokens"), url, tag_rules))
+    rows = rows.withColumn("clean", M.rewrite_blocks(F.col("tokens"), url, tag_rules))
+    cleaned = replace_text(F.col("clean"), url, F.lit("text/html"), text_rules)
+    if exempt:
+        cleaned = F.when(F.col(exempt), F.col("html")).otherwise(cleaned)
+    return rows.select("page_id", cleaned.alias("html"))

@@ -48,6 +48,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input with fewer splits than cores, cut up for all cores; larger input is returned as it is.
+
+    Expensive expressions on a small file would else run in one task. Input of any size has more splits
+    than cores and gets no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage_text(df: DataFrame, name: str, column: str = "line", **options: str) -> str:
     """Write one string column as text files below the shared folder and return the path."""
     path = fresh_path(df.sparkSession, name)
