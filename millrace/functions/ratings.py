@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.let import let
+
 # The degrees of an ordinal category, the categories and the widest age range.
 DEGREES = ["none", "mild", "heavy"]
 ORDINAL = ["language", "sex", "violence"]
@@ -49,7 +51,7 @@ def exceeded(category: str, value: Column, limit: str) -> Column:
     """True when a present value goes beyond the limit; a missing one is skipped."""
     if category == "age":
         wanted = parse_range(F.lit(limit))
-        over = ~contains_range(parse_range(value), wanted)
+        over = let(parse_range(value), lambda page: ~contains_range(page, wanted))
     else:
         over = degree(value) > DEGREES.index(limit) + 1
     return F.coalesce(value.isNotNull() & over, F.lit(False))

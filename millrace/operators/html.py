@@ -1,8 +1,7 @@
 """Pages as token lists: tokenise, read attributes, pair tags, clean and put together again.
 
-A page stays one row as long as a step looks at single tags. Only pairing start and end tags explodes
-the tokens; the page rows are partitioned by page first, so the windows and the final collect share
-that one exchange.
+A page stays one row: every step, the rewriting of whole elements too, is an expression on its token
+list, so cleaning pages needs no exchange. Tokens are exploded only where a table of tokens is the result.
 """
 
 from __future__ import annotations
@@ -116,13 +115,17 @@ def render(token: Column) -> Column:
 
 
 def explode_tokens(pages: DataFrame, *keep: str, partitioned: bool = False) -> DataFrame:
-    """page_id, pos, kind, tag, text; ``partitioned`` puts a page's tokens into one partition for windows."""
-    rows = pages.select("page_id", *keep, tokens(F.col("html")).alias("tokens"))
+    """page_id, pos, kind, tag, text; ``partitioned`` puts a page's tokens into one partition for windows.
+
+    The token list is exploded as an expression: as a column of its own, Catalyst would infer a filter
+    on its size, push it to the scan and tokenise every page twice.
+    """
+    rows = pages.select("page_id", *keep, "html")
     if partitioned:
         # the compact page moves, not its tokens; windows and groups by page need no exchange after it
-        rows = pages.select("page_id", *keep, "html").repartition("page_id")
-        rows = rows.select("page_id", *keep, tokens(F.col("html")).alias("tokens"))
-    return rows.select("page_id", *keep, F.posexplode("tokens").alias("pos", "t")).select("page_id", *keep, "pos", "t.*")
+        rows = rows.repartition("page_id")
+    rows = rows.select("page_id", *keep, F.posexplode(tokens(F.col("html"))).alias("pos", "t"))
+    return rows.select("page_id", *keep, "pos", "t.*")
 
 
 def explode_attributes(token_rows: DataFrame, *keep: str) -> DataFrame:
@@ -410,8 +413,9 @@ def links(pages: DataFrame) -> DataFrame:
     """page_id, pos, tag, attr, target: resolved href and src links, redirects unwrapped."""
     rows = pages.select("page_id", "url", tokens(F.col("html")).alias("tokens"))
     rows = rows.select("page_id", page_base(F.col("tokens"), F.col("url")).alias("base"), "tokens")
-    rows = rows.select("page_id", "base", F.posexplode("tokens").alias("pos", "t"))
-    tags = rows.select("page_id", "base", "pos", "t.*")
+    # the outer form keeps Catalyst from inferring a filter that would tokenise twice
+    rows = rows.select("page_id", "base", F.posexplode_outer("tokens").alias("pos", "t"))
+    tags = rows.where(F.col("pos").isNotNull()).select("page_id", "base", "pos", "t.*")
     attrs = explode_attributes(tags, "base").where(F.col("name").isin("href", "src") & F.col("value").isNotNull() & (F.col("tag") != "base"))
     target = U.redirect_target(U.resolve(F.col("base"), F.col("value")))
     return attrs.select("page_id", "pos", "tag", F.col("name").alias("attr"), target.alias("target"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import ratings as R
 from millrace.functions import urls as U
+from millrace.functions.let import let
 from millrace.operators import headers as A
 from millrace.operators import html as M
 
@@ -29,9 +30,11 @@ def check(values: Mapping[str, Column], limits: Mapping[str, Mapping[str, str]])
     """array<struct<sid,allowed,reason>>, one entry per limit rule."""
     entries = []
     for sid, limit in limits.items():
-        reason = R.deny_reason(dict(values), dict(limit))
-        entries.append(F.struct(F.lit(sid).alias("sid"), reason.isNull().alias("allowed"), reason.alias("reason")))
-    return F.array(*entries)
+        entries.append(F.struct(F.lit(sid).alias("sid"), R.deny_reason(dict(values), dict(limit)).alias("reason")))
+    return F.transform(
+        F.array(*entries),
+        lambda e: F.struct(e["sid"].alias("sid"), e["reason"].isNull().alias("allowed"), e["reason"].alias("reason")),
+    )
 
 
 def columns(prefix: str = "") -> dict[str, Column]:
@@ -96,11 +99,15 @@ def decide(messages: DataFrame, ratings: DataFrame, pages: DataFrame, limits: Ma
     source = (
         F.when(F.col("rating").isNotNull(), "store").when(F.col("by_header"), "header").when(F.col("by_page"), "page").otherwise("none")
     )
-    values = {
+    chosen = {
         c: F.when(F.col("source") == "store", F.col("rating")[c]).when(F.col("source") == "header", F.col("h_" + c)).when(
             F.col("source") == "page", F.col("p_" + c))
         for c in R.CATEGORIES
     }
     rows = rows.withColumn("source", source)
-    reason = F.when(F.col("source") == "none", "no rating data").otherwise(R.deny_reason(values, dict(limits)))
-    return rows.select("req_id", "source", reason.isNull().alias("allowed"), reason.alias("reason"))
+    values = F.struct(*[v.alias(c) for c, v in chosen.items()])
+    denied = let(values, lambda v: R.deny_reason({c: v[c] for c in R.CATEGORIES}, dict(limits)))
+    reason = F.when(F.col("source") == "none", "no rating data").otherwise(denied)
+    return rows.select("req_id", "source", reason.alias("reason")).select(
+        "req_id", "source", F.col("reason").isNull().alias("allowed"), "reason"
+    )
