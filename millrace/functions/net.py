@@ -48,12 +48,17 @@ def long_to_ip(number: Column) -> Column:
 def net_range(entry: Column) -> Column:
     """struct(lo, hi) of ``a.b.c.d/bits`` or ``a.b.c.d/mask``, null for anything else."""
     bits = F.regexp_extract(entry, rf"^{_QUAD}/([0-9]{{1,2}})$", 1).try_cast("int")
-    cidr_mask = F.lit(4294967296) - F.expr("1L").cast("bigint") * F.pow(F.lit(2.0), 32 - bits).cast("bigint")
-    mask = F.coalesce(F.when(bits <= 32, cidr_mask), ip_to_long(F.regexp_extract(entry, rf"^{_QUAD}/({_QUAD})$", 1)))
-    base = ip_to_long(F.regexp_extract(entry, rf"^({_QUAD})/", 1))
     # bits below the mask span the range
-    lo = base.bitwiseAND(mask)
-    return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), (lo + (F.lit(4294967295) - mask)).alias("hi")))
+    spans = F.create_map(*[F.lit(x) for n in range(33) for x in (n, 2 ** (32 - n) - 1)])
+    mask = ip_to_long(F.regexp_extract(entry, rf"^{_QUAD}/({_QUAD})$", 1))
+    span = F.coalesce(F.try_element_at(spans, bits), F.lit(4294967295) - mask)
+    parts = F.struct(ip_to_long(F.regexp_extract(entry, rf"^({_QUAD})/", 1)).alias("base"), span.alias("span"))
+
+    def limits(p: Column) -> Column:
+        lo = p["base"].bitwiseAND(F.lit(4294967295) - p["span"])
+        return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), (lo + p["span"]).alias("hi")))
+
+    return let(parts, limits)
 
 
 def expand_ipv6(ip: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -83,14 +82,59 @@ def anchored_substrings(df: DataFrame, key: str, text: str, entries: DataFrame)
     return exploded.join(anchors, "gram").where(F.contains(F.col(text), F.col("entry"))).select(key, "rank", "sid")
 
 
-def literal_anchor(pattern: str, minimum: int = 4) -> str | None:
-    """A text every match of the pattern must contain, or None when that is not certain."""
-    if re.search(r"[|()\\]|\[\^?\]", pattern):
-        return None
-    plain = re.sub(r"\[[^\]]*\]|\{[^}]*\}", "\0", pattern)
-    plain = re.sub(r".[?*]|.\0(?=\{)|[\^$.+]", lambda m: "\0" if m.group()[-1] in "?*" or m.group() in "^$." else m.group().replace("+", "\0"), plain)
-    runs = [r for r in plain.split("\0") if len(r) >= minimum]
-    return max(runs, key=len) if runs else None
+def literal_anchor(pattern: Column, minimum: int = 4) -> Column:
+    """A text that every match of the pattern must contain, or null when that is not certain.
+
+    Patterns with groups, classes, alternatives, counts or escapes get none. Of the others the longest
+    run between optional characters, wildcards and line anchors is taken.
+    """
+    runs = F.split(pattern, r".[*?]|[.^$+]")
+    sized = F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r"))))
+    longest = F.get(sized, F.lit(0))["r"]
+    return F.when(~pattern.rlike(r"[|()\[\]{}\\]") & (F.length(longest) >= minimum), longest)
+
+
+def pattern_matches(df: DataFrame, key: str, text: str, patterns: DataFrame, limit: int = 200) -> DataFrame:
+    """All (key, rank, sid) whose pattern is found in the text; ``patterns`` holds (rank, sid, pattern).
+
+    A short list is folded into the expression, each pattern compiled once. Of a long one the patterns
+    with an anchor meet the texts in an equi-join on the anchor and are verified; only the others are
+    compared with every text.
+    """
+    rows = patterns.select("rank", "sid", "pattern").limit(limit + 1).collect()
+    if len(rows) <= limit:
+        hits = [F.when(F.col(text).rlike(r.pattern), F.struct(F.lit(r.rank).alias("rank"), F.lit(r.sid).alias("sid"))) for r in rows]
+        return df.select(key, F.inline(F.array_compact(F.array(*hits))))
+    anchored = patterns.withColumn("entry", literal_anchor(F.col("pattern")))
+    sure = anchored.where(F.col("entry").isNotNull())
+    near = anchored_substrings(df.select(key, text), key, text, sure).join(sure.select("rank", "sid", "pattern"), ["rank", "sid"])
+    # the text comes back for the candidates only
+    verified = near.join(df.select(key, text), key).where(F.expr(f"{text} rlike pattern")).select(key, "rank", "sid")
+    loose = anchored.where(F.col("entry").isNull()).select("rank", "sid", "pattern")
+    compared = df.select(key, text).join(loose, F.expr(f"{text} rlike pattern")).select(key, "rank", "sid")
+    return verified.unionByName(compared)
+
+
+def exempt_hosts(df: DataFrame, host: str, entries: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
+    """The rows whose host equals an entry, or ends in an entry that starts with a dot.
+
+    A short list is tested in place. With a long one the host and its dotted suffixes meet the entries
+    in an equi-join, for distinct hosts only.
+    """
+    rows = entries.select("entry").limit(limit + 1).collect()
+    if len(rows) <= limit:
+        table = F.array(*[F.lit(r.entry) for r in rows]).cast("array<string>")
+        suffix = lambda e: F.startswith(e, F.lit(".")) & F.endswith(F.col(host), e)
+        return df.where(F.exists(table, lambda e: (e == F.col(host)) | suffix(e)))
+    hosts = df.select(F.col(host).alias("_host")).distinct()
+    labels = F.split("_host", r"\.")
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.concat(F.lit("."), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")),
+    )
+    forms = hosts.select("_host", F.explode(F.array_append(suffixes, F.col("_host"))).alias("entry"))
+    found = forms.join(entries.select("entry").distinct(), "entry", "left_semi").select("_host").distinct()
+    return df.join(found, df[host] == found["_host"], "left_semi")
 
 
 def url_verdict(

@@ -133,14 +133,8 @@ def url_verdict(t):
 def nofilter_hosts(t):
     """Hosts equal to an entry, or below it when the entry starts with a dot."""
     entries = t.spark.createDataFrame([(e,) for e in P.EXEMPT_HOSTS], "entry string")
-    host = U.host(F.col("url"))
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat(F.lit("."), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")),
-    )
-    rows = t.requests.select("req_id", F.explode(F.array_append(suffixes, host)).alias("entry"))
-    return rows.join(entries, "entry", "left_semi").select("req_id").distinct()
+    rows = t.requests.select("req_id", U.host(F.col("url")).alias("host"))
+    return V.exempt_hosts(rows, "host", entries).select("req_id")
 
 
 HITS_SQL = f"""
