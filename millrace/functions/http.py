@@ -70,7 +70,7 @@ def status_line(line: Column) -> Column:
     status = F.when(code.rlike("^[1-5][0-9]{2}$"), code.try_cast("int")).otherwise(200)
     given = F.when(ok, F.regexp_extract(line, pattern, 3)).otherwise("OK")
     version = http_version(F.when(ok, F.regexp_extract(line, pattern, 1)).otherwise("HTTP/1.0"))
-    known = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    known = F.expr("map(" + ", ".join(f"{code}, '{reason}'" for code, reason in REASONS.items()) + ")")
     return F.struct(
         version["major"].alias("major"), version["minor"].alias("minor"), status.alias("status"),
         F.coalesce(F.try_element_at(known, status), F.when(given == "", "Bummer").otherwise(given)).alias("reason"),
@@ -144,7 +144,7 @@ def warning(text: Column) -> Column:
 
 def content_type(header: Column, url: Column) -> Column:
     """Declared type, else by the ending of the path, else octet-stream."""
-    known = F.create_map(*[F.lit(x) for pair in MIME_BY_EXTENSION.items() for x in pair])
+    known = F.expr("map(" + ", ".join(f"'{ext}', '{mime}'" for ext, mime in MIME_BY_EXTENSION.items()) + ")")
     ending = F.lower(F.regexp_extract(U.path(url), r"\.([A-Za-z0-9]+)$", 1))
     return F.coalesce(header, F.try_element_at(known, ending), F.lit("application/octet-stream"))
 

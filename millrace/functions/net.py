@@ -49,7 +49,7 @@ def net_range(entry: Column) -> Column:
     """struct(lo, hi) of ``a.b.c.d/bits`` or ``a.b.c.d/mask``, null for anything else."""
     bits = F.regexp_extract(entry, rf"^{_QUAD}/([0-9]{{1,2}})$", 1).try_cast("int")
     # bits below the mask span the range
-    spans = F.create_map(*[F.lit(x) for n in range(33) for x in (n, 2 ** (32 - n) - 1)])
+    spans = F.expr("map(" + ", ".join(f"{n}, {2 ** (32 - n) - 1}L" for n in range(33)) + ")")
     mask = ip_to_long(F.regexp_extract(entry, rf"^{_QUAD}/({_QUAD})$", 1))
     span = F.coalesce(F.try_element_at(spans, bits), F.lit(4294967295) - mask)
     parts = F.struct(ip_to_long(F.regexp_extract(entry, rf"^({_QUAD})/", 1)).alias("base"), span.alias("span"))

@@ -13,6 +13,8 @@ from millrace.functions.let import let
 BINARY_CHARS = "\x00\x84\x91\x92\x93\x94"
 ASCII_CHARS = " \"`'\"\""
 
+# One literal map of all named entities; built as text, so it is one expression and not five hundred.
+NAMED_ENTITIES = "map(" + ", ".join(f"'{n}', '\\u{c:04x}'" for n, c in sorted(name2codepoint.items())) + ")"
 ENTITY = r"&(?:#[xX]?)?[0-9A-Za-z]+;"
 
 
@@ -24,7 +26,7 @@ def fix_chars(text: Column, charset: Column) -> Column:
 
 def resolve_entities(text: Column) -> Column:
     """Named, decimal and hex entities become characters, unknown ones vanish."""
-    named = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
+    named = F.expr(NAMED_ENTITIES)
 
     def char(code: Column) -> Column:
         # code points beyond the basic plane and surrogates have no single character

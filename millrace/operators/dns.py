@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import net as N
 from millrace.operators import timeline
+from millrace.session import ensure_checkpoint_dir
 
 # Life of a found answer in seconds, hops followed along aliases, types with one value.
 ANSWER_TTL = 1800
@@ -91,20 +92,27 @@ def chase_aliases(records: DataFrame) -> DataFrame:
     """name, target, hops, ttl, rdata of every alias: where it ends, at most MAX_HOPS - 1 aliases away.
 
     Each round joins the table of jumps with itself, so the jump length doubles: four joins reach
-    sixteen hops. Chains that are longer, run in a circle or end nowhere have null rdata.
+    sixteen hops. The table is checkpointed after a round, or every round would run all rounds before it
+    twice. Chains that are longer, run in a circle or end nowhere have null rdata.
     """
+    ensure_checkpoint_dir(records.sparkSession)
     jumps = records.where(F.col("rdtype") == "CNAME").groupBy("name").agg(
         F.min(F.struct("seq", "rdata"))["rdata"].alias("target"), F.min("ttl").alias("ttl")
     )
-    jumps = jumps.withColumn("hops", F.lit(1))
-    reach = 1
+    jumps = jumps.withColumn("hops", F.lit(1)).checkpoint()
+    reach, longest = 1, 0
     while reach < MAX_HOPS:
         nxt = jumps.select(F.col("name").alias("target"), F.col("target").alias("_t"), F.col("ttl").alias("_ttl"), F.col("hops").alias("_h"))
         jumps = jumps.join(nxt, "target", "left").select(
             "name", F.coalesce("_t", "target").alias("target"), F.least("ttl", "_ttl").alias("ttl"),
             (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
-        )
+        ).checkpoint()
         reach *= 2
+        # one number: when no chain has grown, all have ended
+        grown = jumps.agg(F.max("hops").alias("h")).first().h
+        if grown == longest:
+            break
+        longest = grown
     answers = records.where(F.col("rdtype") == "A").groupBy(F.col("name").alias("target")).agg(
         F.min("rdata").alias("rdata"), F.min("ttl").alias("_ttl")
     )

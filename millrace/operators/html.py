@@ -471,7 +471,7 @@ def feed_subset(html: Column, url: Column | None = None, drop: Sequence[TagRule]
 def corrected_tag(tag: Column) -> Column:
     """Known tags and names of other namespaces stay; else the first known tag one edit away; else the sound start."""
     dictionary = sorted(set(T.HTML_TAGS + T.MATH_TAGS + T.OLD_TAGS))
-    near = F.filter(F.array(*[F.lit(x) for x in dictionary]), lambda d: F.levenshtein(d, tag, 1) == 1)
+    near = F.filter(F.expr("array('" + "', '".join(dictionary) + "')"), lambda d: F.levenshtein(d, tag, 1) == 1)
     known = tag.isin(dictionary + T.KNOWN_INVALID_TAGS) | tag.rlike("^[-a-z_.]+:")
     sound = F.regexp_extract(tag, r"^([a-z][-a-z0-9.:_]*)", 1)
     return F.when(known, tag).otherwise(F.coalesce(F.get(near, F.lit(0)), F.when(sound != "", sound), tag))

@@ -4,7 +4,7 @@ from millrace.functions import urls as U
 
 
 def test_rating_prefixes(evaluate):
-    site = "http://imadoofus.com"
+    site = "http://example.com"
     cases = {
         "": [], "a": [], "a/b": [],
         site: [site + "/", site], site + "//": [site + "/", site],
