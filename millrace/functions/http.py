@@ -33,7 +33,6 @@ MIME_BY_EXTENSION = {
 METHODS = ["GET", "HEAD", "CONNECT", "POST"]
 SCHEMES = ["http", "https"]
 CONNECT_PORTS = [443, 563]
-MULTI_ONCE = ["content-length", "age", "date", "host"]
 
 
 def http_version(text: Column) -> Column:

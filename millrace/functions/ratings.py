@@ -13,8 +13,6 @@ ORDINAL = ["language", "sex", "violence"]
 CATEGORIES = ["age", *ORDINAL]
 SERVICE = "http://rating.example/service"
 
-RANGE = "struct<lo:int,hi:int>"
-
 
 def parse_range(text: Column) -> Column:
     """``""``, ``n``, ``n-``, ``-m`` and ``n-m`` as struct(lo, hi) with null for an open end; else null."""

@@ -25,7 +25,6 @@ TOKEN = (
 RAW_ELEMENT = r"(?is)^(<(?:script|style)\b[^>]*>)(.*)(</(?:script|style)\s*>)$"
 TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
 ATTRIBUTE = r"""([^\s=<>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-TOKEN_TYPE = "struct<kind:string,tag:string,text:string>"
 
 
 def _token(text: Column, raw: bool = False) -> Column:

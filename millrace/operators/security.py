@@ -23,8 +23,6 @@ SIZE_CAPS = [
 ]
 URL_ATTRS = [("a", "href"), ("iframe", "src"), ("img", "src"), ("img", "lowsrc")]
 
-FINDING = "struct<attr:string,check:string>"
-
 
 def stripped_length(value: Column) -> Column:
     """Length attribute without blanks and with a doubled percent sign repaired."""

@@ -153,6 +153,6 @@ def write_clean_pages(t):
 @query("scan_binary")
 def scan_binary(t):
     """Files with their size and leading bytes."""
-    path = stage_text(t.documents.select(F.col("text").alias("line")).repartition(8), "binary")
+    path = stage_text(t.documents.select(F.col("text").alias("line")), "binary", maxRecordsPerFile="1000")
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return files.select("length", F.hex(F.substring("content", 1, 16)).alias("head"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import with_row_number
+
+# Rules per file: a larger folder is written as several files, so no folder ends up in one task.
+FOLDER_ROWS = 10_000
+
 # The rule elements a folder may hold.
 KINDS = [
     "allow", "allowdomains", "allowurls", "antivirus", "block", "blockdomains", "blockurls", "header", "htmlrewrite",
@@ -15,7 +20,8 @@ KINDS = [
 def parse_folders(files: DataFrame) -> DataFrame:
     """One row per rule from rows of (file, xml): folder attributes, order, kind, typed attributes, nested texts.
 
-    Rules of all kinds are found in one pass, so their position is the order across kinds.
+    Rules of all kinds are found in one pass, so their position is the order across kinds. The parts of a
+    large folder count on from each other.
     """
     kinds = "|".join(KINDS)
     element = rf"(?s)<({kinds})\b(?:[^>\"]|\"[^\"]*\")*?(?:/>|>.*?</\1\s*>)"
@@ -27,7 +33,8 @@ def parse_folders(files: DataFrame) -> DataFrame:
     rows = files.where(F.length(F.trim("xml")) > 0).select(
         "file", folder("sid").alias("folder_sid"), folder("oid").try_cast("int").alias("folder_oid"),
         F.coalesce(folder("disable") == "1", F.lit(False)).alias("folder_disable"),
-        F.posexplode(F.regexp_extract_all("xml", F.lit(element), F.lit(0))).alias("oid", "rule"),
+        F.coalesce(F.regexp_extract("file", r"/part=([0-9]+)/", 1).try_cast("int"), F.lit(0)).alias("part"),
+        F.posexplode(F.regexp_extract_all("xml", F.lit(element), F.lit(0))).alias("pos", "rule"),
     )
 
     def attr(name: str) -> Column:
@@ -39,7 +46,7 @@ def parse_folders(files: DataFrame) -> DataFrame:
     titles = F.map_from_arrays(F.array_distinct(texts("/*/title/@lang")), F.slice(texts("/*/title/text()"), F.lit(1), F.size(F.array_distinct(texts("/*/title/@lang")))))
     has_titles = F.size(texts("/*/title/@lang")) == F.size(texts("/*/title/text()"))
     return rows.select(
-        "file", "folder_sid", "folder_oid", "folder_disable", "oid",
+        "file", "folder_sid", "folder_oid", "folder_disable", (F.col("part") * FOLDER_ROWS + F.col("pos")).alias("oid"),
         F.regexp_extract("rule", r"^<([a-z]+)", 1).alias("kind"), attr("sid").alias("sid"),
         F.coalesce(attr("disable") == "1", F.lit(False)).alias("disable"),
         attr("url").alias("url"), attr("tag").alias("tag"), attr("selector").alias("selector"), attr("search").alias("search"),
@@ -58,9 +65,11 @@ def read_folders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_folders(rules: DataFrame) -> DataFrame:
-    """Folders without an order number get one behind the numbered ones, by name of the file."""
-    folders = rules.groupBy("file", "folder_oid").agg(F.count("*").alias("n")).orderBy(F.col("folder_oid").asc_nulls_last(), "file")
-    return folders.select("file", "folder_oid", "n")
+    """folder_sid, folder_oid: folders in order of their number, then of their id, counted from zero."""
+    folders = rules.groupBy("folder_sid").agg(F.min("folder_oid").alias("was"))
+    folders = folders.withColumn("was", F.coalesce("was", F.lit(2147483647)))
+    numbered = with_row_number(folders, ["was", "folder_sid"])
+    return numbered.select("folder_sid", (F.col("rn") - 1).alias("folder_oid"))
 
 
 def escape(text: Column) -> Column:
@@ -81,22 +90,23 @@ def rule_element(kind: Column, attrs: dict[str, Column], titles: dict[str, Colum
 
 
 def write_folders(rules: DataFrame, path: str) -> None:
-    """Write folder files: head, rules in order, end; rules stream through the sort, none is gathered."""
-    body = rules.select(
-        "folder_sid", F.lit(1).alias("part"), F.col("oid").cast("bigint").alias("oid"),
+    """Write folder files: head, rules in order, end; rules stream through a sort, none is gathered."""
+    ranked = with_row_number(rules, ["oid"], ["folder_sid"]).withColumn("part", F.floor((F.col("rn") - 1) / FOLDER_ROWS))
+    folder = ["folder_sid", "part", "folder_oid", "folder_disable"]
+    body = ranked.select(
+        "folder_sid", "part", F.lit(1).alias("place"), F.col("rn").cast("bigint").alias("rn"),
         rule_element(
             F.col("kind"), {"sid": F.col("sid"), "disable": F.when(F.col("disable"), "1"), "url": F.col("url")},
             {"en": F.col("title_en"), "de": F.col("title_de")},
         ).alias("line"),
     )
-    folders = rules.groupBy("folder_sid", "folder_oid", "folder_disable").agg(F.lit(1).alias("_one"))
     head = F.concat(
         F.lit('<?xml version="1.0" encoding="iso-8859-1"?><folder sid="'), escape(F.col("folder_sid")), F.lit('" oid="'),
         F.col("folder_oid").cast("string"), F.when(F.col("folder_disable"), '" disable="1">').otherwise('">'),
     )
-    ends = folders.select("folder_sid", F.inline(F.array(
-        F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("oid"), head.alias("line")),
-        F.struct(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("oid"), F.lit("</folder>").alias("line")),
+    ends = ranked.select(*folder).distinct().select("folder_sid", "part", F.inline(F.array(
+        F.struct(F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("rn"), head.alias("line")),
+        F.struct(F.lit(2).alias("place"), F.lit(0).cast("bigint").alias("rn"), F.lit("</folder>").alias("line")),
     )))
-    rows = body.unionByName(ends).repartition("folder_sid").sortWithinPartitions("folder_sid", "part", "oid")
-    rows.select("folder_sid", "line").write.partitionBy("folder_sid").option("encoding", "iso-8859-1").text(path)
+    rows = body.unionByName(ends).repartition("folder_sid", "part").sortWithinPartitions("folder_sid", "part", "place", "rn")
+    rows.select("folder_sid", "part", "line").write.partitionBy("folder_sid", "part").option("encoding", "iso-8859-1").text(path)

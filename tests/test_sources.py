@@ -85,3 +85,23 @@ def test_sniffing(spark):
 def test_signature_levels():
     rows = parse_signatures("0\tstring\tAB\n>2\tbyte\t>1\tx/one\n>>3\tleshort&0xff\t0x10\tx/two\n0\tregex\tfoo\tbad\n0\tstring\t!no\tbad\n")
     assert [(r.level, r.test, r.mime) for r in rows] == [(0, "=", ""), (1, ">", "x/one"), (2, "=", "x/two")]
+
+
+def test_large_folders_are_split(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "FOLDER_ROWS", 7)
+    rules = tables.rules
+    X.write_folders(rules, str(tmp_path / "out"))
+    back = X.read_folders(spark, str(tmp_path / "out"))
+    assert back.select("file").distinct().count() > rules.select("folder_sid").distinct().count()
+    order = back.orderBy("folder_sid", "oid").select("folder_sid", "kind", "sid").collect()
+    assert order == rules.orderBy("folder_sid", "oid").select("folder_sid", "kind", "sid").collect()
+
+
+def test_folder_numbers_and_titles(spark):
+    from millrace.operators.rules import localised
+
+    rows = spark.createDataFrame([("b", 5), ("a", None), ("c", 2)], "folder_sid string, folder_oid int")
+    assert {r.folder_sid: r.folder_oid for r in X.number_folders(rows).collect()} == {"c": 0, "b": 1, "a": 2}
+    texts = spark.sql("SELECT map('en', 'E', 'de', 'D') AS m UNION ALL SELECT map('fr', 'F') UNION ALL SELECT cast(map() AS map<string,string>)")
+    got = texts.select(localised(F.col("m"), "de").alias("t")).collect()
+    assert [r.t for r in got] == ["D", "F", ""]
