@@ -118,7 +118,7 @@ def date_asctime(ts: Column) -> Column:
     )
 
 
-_QUOTED = r'"((?:[^"\\]|\\.)*)"?'
+_QUOTED = r'"((?:[^"\\]+|\\.)*)"?'
 
 
 def warning(text: Column) -> Column:

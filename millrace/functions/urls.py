@@ -324,8 +324,28 @@ SAFE_PATTERNS = {
 UNQUOTED = r"^[a-zA-Z0-9\-;/=,~*+()@!_:.&#%?\[\]]*$"
 
 
+# The same tests without repeated groups, whose matching would need a stack frame per character.
+_PLAIN = r"a-z0-9\-_.!~*'(),%"
+_BAD_ESCAPE = r"(?i)%(?![2-9a-f][0-9a-f])"
+
+
 def is_safe(text: Column, part: str) -> Column:
-    return text.rlike(SAFE_PATTERNS[part])
+    """Whether a URL or one of its parts (host, path, query, fragment) holds safe characters only."""
+    escapes_ok = ~text.rlike(_BAD_ESCAPE)
+    if part == "host":
+        return text.rlike(SAFE_PATTERNS["host"])
+    if part == "fragment":
+        return text.rlike(rf"(?i)^[{_PLAIN}+]*$") & escapes_ok
+    if part == "path":
+        return text.rlike(rf"(?i)^(/[{_PLAIN}/]*)?$") & ~F.contains(text, F.lit("//")) & escapes_ok
+    if part == "query":
+        fields = F.forall(F.split(text, "&"), lambda f: f.rlike(rf"(?i)^[{_PLAIN}+]+(=[{_PLAIN}+/]+)?$"))
+        return (text == "") | (fields & escapes_ok)
+    known = text.rlike(r"(?i)^(https?|ftp)://[^/?#]")
+    return (
+        known & is_safe(netloc(text), "host") & is_safe(path(text), "path")
+        & ~text.rlike(r"^[^#]*\?") & is_safe(fragment(text), "fragment")
+    )
 
 
 def needs_quoting(url: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The page pipeline: every cleaning stage in order, page by page, without an exchange."""
+"""Cleaning of whole pages: every stage in order, page by page, without an exchange."""
 
 from __future__ import annotations
 

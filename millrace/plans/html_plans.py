@@ -315,6 +315,6 @@ def text_replace(t):
 
 @query("clean_pages")
 def clean_pages(t):
-    from millrace.plans.pipeline import clean
+    from millrace.operators.cleaning import clean
 
     return clean(t.pages.select("page_id", "url", "html"))

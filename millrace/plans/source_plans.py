@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import urls as U
-from millrace.plans.pipeline import clean
+from millrace.operators.cleaning import clean
 from millrace.plans.registry import query
 from millrace.session import fresh_path, stage_text
 from millrace.sources import rules_xml as X

@@ -24,7 +24,7 @@ def parse_folders(files: DataFrame) -> DataFrame:
     large folder count on from each other.
     """
     kinds = "|".join(KINDS)
-    element = rf"(?s)<({kinds})\b(?:[^>\"]|\"[^\"]*\")*?(?:/>|>.*?</\1\s*>)"
+    element = rf"(?s)<({kinds})\b(?:[^>\"/]+|/(?!>)|\"[^\"]*\")*?(?:/>|>.*?</\1\s*>)"
     head = F.regexp_extract("xml", r"(?s)<folder\b[^>]*>", 0)
 
     def folder(name: str) -> Column:

@@ -4,7 +4,7 @@ from millrace import policy as P
 from millrace.operators import feeds as E
 from millrace.operators import html as M
 from millrace.operators import security as S
-from millrace.plans.pipeline import clean
+from millrace.operators.cleaning import clean
 
 
 def texts(tokens):

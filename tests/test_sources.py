@@ -22,7 +22,8 @@ FOLDER = """<?xml version="1.0" encoding="iso-8859-1"?>
   <attr name="style">display:\\s*none</attr>
   <replacement part="complete"/>
 </htmlrewrite>
-<nocomments sid="t.4"/>
+<nocomments sid="t.4" />
+<nocomments sid="t.5"><title lang="en">a / b</title></nocomments>
 </folder>
 """
 
@@ -31,7 +32,7 @@ def test_rule_folders(spark, tmp_path):
     (tmp_path / "a.zap").write_text(FOLDER, encoding="iso-8859-1")
     (tmp_path / "empty.zap").write_text("")
     rows = X.read_folders(spark, str(tmp_path)).orderBy("oid").collect()
-    assert [(r.kind, r.sid, r.oid, r.disable) for r in rows] == [("block", "t.2", 0, False), ("htmlrewrite", "t.3", 1, True), ("nocomments", "t.4", 2, False)]
+    assert [(r.kind, r.sid, r.oid, r.disable) for r in rows] == [("block", "t.2", 0, False), ("htmlrewrite", "t.3", 1, True), ("nocomments", "t.4", 2, False), ("nocomments", "t.5", 3, False)]
     assert rows[0].titles == {"de": "Werbung", "en": "Ads <all>"} and rows[0].folder_oid == 3
     assert rows[1].nomatchurls == ["good\\.example", "fine\\.example"] and rows[1].part == "complete" and rows[1].tag == "div"
 

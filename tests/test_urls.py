@@ -55,3 +55,17 @@ def test_long_urls(evaluate):
 def test_ports(evaluate):
     got = evaluate(["h", "h:1", "h:0", "h:65535", "h:65536", "h:x"], lambda c: U.split_port(c, F.lit(80))["port"])
     assert got == [80, 1, 80, 65535, 80, 80]
+
+
+def test_safety_of_long_urls(evaluate):
+    long = "http://example.com/" + "a" * 100_000
+    assert evaluate([long, long + "%2", long + "?q", long + "#" + "b" * 100_000], lambda c: U.is_safe(c, "url")) == [True, False, False, True]
+    assert evaluate(["a=" + "b" * 100_000, "a&b=/c", "a==b", ""], lambda c: U.is_safe(c, "query")) == [True, True, False, True]
+
+
+def test_long_pages_are_tokenised(evaluate):
+    from millrace.operators import html as M
+
+    html = "<script>" + "x<y;" * 50_000 + "</script><p title='" + "t" * 100_000 + "'>" + "word " * 50_000
+    got = evaluate([html], lambda c: F.transform(M.tokens(c), lambda t: t["kind"]))[0]
+    assert got == ["start", "data", "end", "start", "data"]
