@@ -420,51 +420,86 @@ def links(pages: DataFrame) -> DataFrame:
     return attrs.select("page_id", "pos", "tag", F.col("name").alias("attr"), target.alias("target"))
 
 
+def _feed_allowed() -> Column:
+    """Literal map from each tag allowed in feeds to its allowed attributes."""
+    pairs = (f"'{tag}', array({', '.join(repr(n) for n in names)})" if names else f"'{tag}', cast(array() as array<string>)" for tag, names in T.FEED_ALLOWED.items())
+    return F.expr(f"map({', '.join(pairs)})")
+
+
 def feed_subset(html: Column, url: Column | None = None, drop: Sequence[TagRule] = ()) -> Column:
     """Only the tags and attributes allowed in feeds; an unlisted element goes with all it holds.
 
-    So does an element that matches one of the ``drop`` rules. The state is whether output is valid and the stack of open tags of the dropped element.
+    So does an element that matches one of the ``drop`` rules. A fold over the tags finds the ranges that
+    go; its state is the stack of open tags of the element being dropped.
     """
-    allowed = T.FEED_ALLOWED
-
-    def shown(token: Column) -> Column:
-        attrs = attributes(token["text"])
-        chain = F.lit("")
-        for tag, names in allowed.items():
-            kept = F.filter(attrs, lambda a: a["name"].isin(names)) if names else F.array().cast("array<struct<name:string,value:string>>")
-            kept = F.transform(kept, lambda a: F.struct(a["name"].alias("name"), F.coalesce(a["value"], F.lit("")).alias("value")))
-            chain = F.when(token["tag"] == tag, render_attributes(kept) if names else F.lit("")).otherwise(chain)
-        end = F.when(token["kind"] == "startend", "/>").otherwise(">")
-        return F.concat(F.lit("<"), token["tag"], chain, end)
+    span = "array<struct<s:int,e:int>>"
 
-    def step(state: Column, token: Column) -> Column:
-        valid, stack, out = state["valid"], state["stack"], state["out"]
-        listed = token["tag"].isin(list(allowed))
+    def listed(t: Column) -> Column:
+        ok = t["tag"].isin(list(T.FEED_ALLOWED))
         for rule in drop:
-            listed = listed & ~rule_matches(token["tag"], attributes(token["text"]), url, rule)
-        top_is = F.coalesce(F.try_element_at(stack, F.lit(-1)) == token["tag"], F.lit(False))
-        popped = F.when(top_is, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
-        opens = token["kind"].isin("start", "startend")
-        nothing = F.array().cast("array<string>")
+            ok = ok & ~rule_matches(t["tag"], attributes(t["text"]), url, rule)
+        return ok
+
+    def state(stack: Column, begin: Column, spans: Column) -> Column:
+        return F.struct(stack.alias("stack"), begin.alias("begin"), spans.alias("spans"))
+
+    def step(s: Column, t: Column) -> Column:
+        stack = s["stack"]
+        valid = F.size(stack) == 0
+        top_is = F.coalesce(F.try_element_at(stack, F.lit(-1)) == t["tag"], F.lit(False))
+        popped = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        done = F.array_append(s["spans"], F.struct(s["begin"].alias("s"), t["pos"].alias("e")))
+        closed = state(popped, s["begin"], F.when(F.size(popped) == 0, done).otherwise(s["spans"]))
+        return (
+            F.when(valid & (t["kind"] == "start") & ~listed(t), state(F.array(t["tag"]), t["pos"], s["spans"]))
+            .when(~valid & (t["kind"] != "end"), state(F.array_append(stack, t["tag"]), s["begin"], s["spans"]))
+            .when(~valid & top_is, closed)
+            .otherwise(s)
+        )
 
-        def new(v: Column, s: Column, o: Column) -> Column:
-            return F.struct(v.alias("valid"), s.alias("stack"), o.alias("out"))
+    def shown(t: Column) -> Column:
+        def render_listed(names: Column) -> Column:
+            kept = F.filter(attributes(t["text"]), lambda a: F.array_contains(names, a["name"]))
+            kept = F.transform(kept, lambda a: F.struct(a["name"].alias("name"), F.coalesce(a["value"], F.lit("")).alias("value")))
+            end = F.when(t["kind"] == "startend", "/>").otherwise(">")
+            return F.when(names.isNotNull(), F.concat(F.lit("<"), t["tag"], render_attributes(kept), end)).otherwise("")
 
-        # while output is valid the stack is not looked at, so it only has to hold the dropped element
+        opened = let(F.try_element_at(_feed_allowed(), t["tag"]), render_listed)
         return (
-            F.when(opens & valid & listed, new(valid, nothing, F.array_append(out, shown(token))))
-            .when(opens & valid & (token["kind"] == "start"), new(F.lit(False), F.array(token["tag"]), out))
-            .when(opens & ~valid, new(valid, F.array_append(stack, token["tag"]), out))
-            .when((token["kind"] == "end") & valid, new(valid, nothing, F.array_append(out, F.concat(F.lit("</"), token["tag"], F.lit(">")))))
-            .when((token["kind"] == "end") & ~valid, new(F.size(popped) == 0, popped, out))
-            .when((token["kind"] == "data") & valid, new(valid, stack, F.array_append(out, token["text"])))
-            .otherwise(state)
+            F.when(t["kind"].isin("start", "startend"), opened)
+            .when(t["kind"] == "end", F.concat(F.lit("</"), t["tag"], F.lit(">")))
+            .when(t["kind"] == "data", t["text"])
+            .otherwise("")
         )
 
-    start = F.struct(
-        F.lit(True).alias("valid"), F.array().cast("array<string>").alias("stack"), F.array().cast("array<string>").alias("out")
-    )
-    return F.aggregate(tokens(html), start, step, lambda s: F.array_join(s["out"], ""))
+    def cut(toks: Column, first: Column, count: Column) -> Column:
+        return F.array_join(F.transform(F.slice(toks, first, count), shown), "")
+
+    def assemble(toks: Column, spans: Column) -> Column:
+        def before(r: Column, i: Column) -> Column:
+            last = F.coalesce(F.get(spans, i - 1)["e"], F.lit(-1))
+            return cut(toks, last + 2, r["s"] - last - 1)
+
+        end = F.coalesce(F.try_element_at(spans, F.lit(-1))["e"], F.lit(-1))
+        return F.concat(F.array_join(F.transform(spans, before), ""), cut(toks, end + 2, F.size(toks)))
+
+    def clean(toks: Column) -> Column:
+        indexed = F.transform(
+            toks, lambda t, i: F.struct(i.alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag"), t["text"].alias("text"))
+        )
+        tags = F.filter(indexed, lambda t: t["tag"] != "")
+        start = state(F.array().cast("array<string>"), F.lit(-1), F.array().cast(span))
+        # an element that is still open at the end takes the rest of the text with it
+        folded = F.aggregate(
+            tags, start, step,
+            lambda s: F.when(
+                F.size(s["stack"]) > 0,
+                F.array_append(s["spans"], F.struct(s["begin"].alias("s"), F.size(toks).alias("e"))),
+            ).otherwise(s["spans"]),
+        )
+        return let(folded, lambda spans: assemble(toks, spans))
+
+    return let(tokens(html), clean)
 
 
 def corrected_tag(tag: Column) -> Column:

@@ -289,7 +289,26 @@ def html_meta(t):
     return M.meta_tags(both)
 
 
-@query("html_safe_subset")
+FEED_TAGS = "(" + ", ".join(f"'{t}'" for t in T.FEED_ALLOWED) + ")"
+FEED_ATTRS = "(" + ", ".join(f"('{t}', '{n}')" for t, names in T.FEED_ALLOWED.items() for n in names) + ")"
+SUBSET_SQL = rf"""WITH both_pages AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000000, url, html FROM tag_samples),
+{token_ctes('both_pages')}, {attr_ctes()},
+tok AS MATERIALIZED (SELECT page_id, pos, kind, tag, text FROM tokens),
+q AS MATERIALIZED (SELECT page_id, pos, string_agg(' ' || name || '="' || {CHAR_REFS.format("replace(replace(coalesce(value, ''), '&', '&amp;'), chr(34), '&quot;')")} || '"', '' ORDER BY apos) AS a
+  FROM attrs WHERE (tag, name) IN {FEED_ATTRS} GROUP BY ALL),
+walk(page_id, pos, stack, out) AS (SELECT DISTINCT page_id, -1, []::VARCHAR[], '' FROM tok UNION ALL
+  SELECT t.page_id, t.pos,
+    CASE WHEN t.kind = 'start' AND len(stack) = 0 AND t.tag NOT IN {FEED_TAGS} THEN [t.tag]
+         WHEN t.kind IN ('start', 'startend') AND len(stack) > 0 THEN list_append(stack, t.tag)
+         WHEN t.kind = 'end' AND len(stack) > 0 AND stack[-1] = t.tag THEN stack[:-2] ELSE stack END,
+    CASE WHEN len(stack) > 0 THEN '' WHEN t.kind IN ('start', 'startend') AND t.tag NOT IN {FEED_TAGS} THEN ''
+         WHEN t.kind = 'start' THEN '<' || t.tag || coalesce(q.a, '') || '>' WHEN t.kind = 'startend' THEN '<' || t.tag || coalesce(q.a, '') || '/>'
+         WHEN t.kind = 'end' THEN '</' || t.tag || '>' WHEN t.kind = 'data' THEN t.text ELSE '' END
+  FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.pos = w.pos + 1 LEFT JOIN q ON q.page_id = t.page_id AND q.pos = t.pos)
+SELECT page_id, string_agg(out, '' ORDER BY pos) AS html FROM walk GROUP BY page_id"""
+
+
+@query("html_safe_subset", sql=SUBSET_SQL)
 def html_safe_subset(t):
     both = t.pages.select("page_id", "html").unionByName(t.tag_samples.select(F.col("page_id") + 1000000000, "html").toDF("page_id", "html"))
     return both.select("page_id", M.feed_subset(F.col("html")).alias("html"))
