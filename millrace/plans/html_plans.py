@@ -107,13 +107,16 @@ def tag_rule_match(t):
 CHAR_REFS = "array_to_string(list_transform(regexp_extract_all({0}, '(?s).'), lambda c: CASE WHEN unicode(c) > 127 THEN '&#' || unicode(c)::VARCHAR || ';' ELSE c END), '')"
 
 
-@query("html_rewrite_tag", sql=rf"""WITH {token_ctes()},
-  r AS (SELECT page_id, pos, CASE
+REWRITE_CASE = rf"""CASE
     WHEN kind = 'start' AND tag = 'a' THEN '<a href="' || {CHAR_REFS.format("CASE WHEN regexp_matches(regexp_extract(text, 'href=.(.*).>', 1), '/t[a-z]+') THEN '/go/' || regexp_extract(regexp_extract(text, 'href=.(.*).>', 1), '/(t[a-z]+)', 1) ELSE regexp_extract(text, 'href=.(.*).>', 1) END")} || '">'
     WHEN tag = 'h1' THEN CASE kind WHEN 'end' THEN '</h2>' ELSE '<h2>' END
     WHEN kind = 'start' AND tag = 'html' AND regexp_matches(text, 'lang=.(en|fr)') THEN regexp_replace(text, 'lang=', 'xml:lang=')
     WHEN kind = 'start' AND tag = 'meta' THEN '<meta charset="iso-8859-1">'
-    WHEN tag IN ('b', 'br') AND regexp_matches(url, '/(fr|en)/') THEN '<i>' ELSE text END AS text FROM tokens)
+    WHEN tag IN ('b', 'br') AND regexp_matches(url, '/(fr|en)/') THEN '<i>' ELSE text END"""
+
+
+@query("html_rewrite_tag", sql=f"""WITH {token_ctes()},
+  r AS (SELECT page_id, pos, {REWRITE_CASE} AS text FROM tokens)
   SELECT page_id, string_agg(text, '' ORDER BY pos) AS html FROM r GROUP BY page_id""")
 def html_rewrite_tag(t):
     changed = M.rewrite_start_tags(M.tokens(F.col("html")), F.col("url"), P.TAG_RULES)
@@ -133,7 +136,7 @@ def tag_depth(t):
     return M.pair_tags(tagged.drop("text")).select("page_id", "pos", "kind", "tag", "depth", "match")
 
 
-@query("html_rewrite_block", sql=rf"""WITH {token_ctes()}, {PAIR_CTES},
+BLOCK_CTES = PAIR_CTES + r""",
 body AS (SELECT p.page_id, p.pos, coalesce(string_agg(x.text, '' ORDER BY x.pos), '') AS content FROM paired p LEFT JOIN tokens x ON x.page_id = p.page_id AND x.pos > p.pos AND x.pos < p.match
   WHERE p.match IS NOT NULL AND p.tag IN ('style', 'title') GROUP BY ALL),
 fired AS (SELECT p.page_id, p.pos AS s, p.match AS e, p.tag, b.content FROM paired p LEFT JOIN body b USING (page_id, pos) WHERE p.match IS NOT NULL AND
@@ -143,7 +146,10 @@ tops AS (SELECT * FROM fired f WHERE NOT EXISTS (SELECT 1 FROM fired g WHERE g.p
 kept AS (SELECT t.page_id, t.pos * 2 AS pos, t.text FROM tokens t LEFT JOIN tops f ON f.page_id = t.page_id AND t.pos BETWEEN f.s AND f.e
   WHERE f.page_id IS NULL OR (f.tag IN ('nav', 'title') AND t.pos IN (f.s, f.e))),
 added AS (SELECT page_id, s * 2 + 1 AS pos, CASE tag WHEN 'nav' THEN 'menu' WHEN 'title' THEN regexp_replace(content, 'the|de', '') ELSE '' END AS text FROM tops)
-SELECT page_id, string_agg(text, '' ORDER BY pos) AS html FROM (SELECT * FROM kept UNION ALL SELECT * FROM added) GROUP BY page_id""")
+, blocks AS (SELECT page_id, string_agg(text, '' ORDER BY pos) AS html FROM (SELECT * FROM kept UNION ALL SELECT * FROM added) GROUP BY page_id)"""
+
+
+@query("html_rewrite_block", sql=f"WITH {token_ctes()}, {BLOCK_CTES} SELECT page_id, html FROM blocks")
 def html_rewrite_block(t):
     return t.pages.select("page_id", M.rewrite_blocks(M.tokens(F.col("html")), F.col("url"), P.TAG_RULES).alias("html"))
 
@@ -332,7 +338,16 @@ def text_replace(t):
     return t.documents.select("doc_id", replace_text(F.col("text"), url, mime, P.TEXT_RULES).alias("text"))
 
 
-@query("clean_pages")
+# The stages of the cleaning in order; the pages hold no tag with a security finding.
+CLEAN_SQL = rf"""WITH {token_ctes(prefix='o_')},
+tokens AS (SELECT page_id, url, pos, kind, tag, {REWRITE_CASE} AS text FROM o_tokens
+  WHERE kind <> 'comment' OR (NOT regexp_matches(url, '/(en|de)/') AND text <> '<!---->')), {BLOCK_CTES},
+numbered AS (SELECT b.page_id, p.url, regexp_replace(b.html, '([0-9]+)', '<\1>', 'g') AS html FROM blocks b JOIN pages p USING (page_id)),
+upper_the AS (SELECT page_id, url, CASE WHEN contains(url, '/en/') THEN regexp_replace(html, '(?i)\bthe\b', 'THE', 'g') ELSE html END AS html FROM numbered),
+cleaned AS (SELECT page_id, CASE WHEN contains(url, '/de/') THEN html ELSE regexp_replace(html, '[*#%$&]+', '', 'g') END AS html FROM upper_the)"""
+
+
+@query("clean_pages", sql=CLEAN_SQL + " SELECT page_id, html FROM cleaned")
 def clean_pages(t):
     from millrace.operators.cleaning import clean
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import urls as U
 from millrace.operators.cleaning import clean
+from millrace.plans.html_plans import CLEAN_SQL
 from millrace.plans.registry import query
 from millrace.session import fresh_path, stage_text
 from millrace.sources import rules_xml as X
@@ -143,7 +144,7 @@ def write_rules(t):
     return _read_back(t, "rules").select("folder_sid", "folder_oid", "folder_disable", "oid", "kind", "sid", "disable", "url")
 
 
-@query("write_clean_pages")
+@query("write_clean_pages", sql=CLEAN_SQL + " SELECT page_id, CAST(len(html) AS INTEGER) AS n_chars, md5(html) AS md5sum FROM cleaned")
 def write_clean_pages(t):
     path = fresh_path(t.spark, "clean")
     clean(t.pages.select("page_id", "url", "html")).write.option("compression", "zstd").parquet(path)
