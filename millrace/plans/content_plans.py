@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace import policy as P
 from millrace.operators import content as C
 from millrace.operators import feeds as E
+from millrace.plans.html_plans import subset_ctes
 from millrace.plans.registry import query
 from millrace.signatures import COMMON, parse_signatures
 
@@ -87,7 +88,16 @@ def feeds(t):
     return rows.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, rss).otherwise(rdf).alias("xml"))
 
 
-@query("xml_feed_rewrite")
+FEED_SQL = f"""WITH feed_html AS (SELECT p.page_id, p.url, regexp_extract(p.html, '(?s)(<h1>.*?</h1>)', 1)
+    || '<foo>gone</foo><p class=''x''>kept <a href=''/x'' onclick=''y''>link</a></p>' || substr(s.html, 1, 300) AS html FROM pages p JOIN tag_samples s USING (page_id)),
+{subset_ctes('feed_html')},
+feed_items AS (SELECT page_id, '<item><title>a &amp; b</title><description><![CDATA[' || s.html || ']]></description><link>' || replace(p.url, '&', '&amp;') || '</link></item>' AS item
+  FROM subset s JOIN pages p USING (page_id))
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<?xml version="1.0" encoding="UTF-8"?><rss><channel>' || item || '</channel></rss>'
+  ELSE '<?xml version="1.0"?><rdf:RDF>' || item || '</rdf:RDF>' END AS xml FROM feed_items"""
+
+
+@query("xml_feed_rewrite", sql=FEED_SQL)
 def xml_feed_rewrite(t):
     rules = [*E.FEED_RULES, E.FeedRule("wc.99", "/rdf:RDF/textinput", "remove")]
     return feeds(t).select("page_id", E.rewrite_feed(F.col("xml"), F.col("url"), rules, P.TAG_RULES[1:2]).alias("xml"))

@@ -297,8 +297,9 @@ def html_meta(t):
 
 FEED_TAGS = "(" + ", ".join(f"'{t}'" for t in T.FEED_ALLOWED) + ")"
 FEED_ATTRS = "(" + ", ".join(f"('{t}', '{n}')" for t, names in T.FEED_ALLOWED.items() for n in names) + ")"
-SUBSET_SQL = rf"""WITH both_pages AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000000, url, html FROM tag_samples),
-{token_ctes('both_pages')}, {attr_ctes()},
+def subset_ctes(source: str) -> str:
+    """CTE ``subset(page_id, html)``: the feed subset of the HTML of a table."""
+    return rf"""{token_ctes(source)}, {attr_ctes()},
 tok AS MATERIALIZED (SELECT page_id, pos, kind, tag, text FROM tokens),
 q AS MATERIALIZED (SELECT page_id, pos, string_agg(' ' || name || '="' || {CHAR_REFS.format("replace(replace(coalesce(value, ''), '&', '&amp;'), chr(34), '&quot;')")} || '"', '' ORDER BY apos) AS a
   FROM attrs WHERE (tag, name) IN {FEED_ATTRS} GROUP BY ALL),
@@ -310,8 +311,12 @@ walk(page_id, pos, stack, out) AS (SELECT DISTINCT page_id, -1, []::VARCHAR[], '
     CASE WHEN len(stack) > 0 THEN '' WHEN t.kind IN ('start', 'startend') AND t.tag NOT IN {FEED_TAGS} THEN ''
          WHEN t.kind = 'start' THEN '<' || t.tag || coalesce(q.a, '') || '>' WHEN t.kind = 'startend' THEN '<' || t.tag || coalesce(q.a, '') || '/>'
          WHEN t.kind = 'end' THEN '</' || t.tag || '>' WHEN t.kind = 'data' THEN t.text ELSE '' END
-  FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.pos = w.pos + 1 LEFT JOIN q ON q.page_id = t.page_id AND q.pos = t.pos)
-SELECT page_id, string_agg(out, '' ORDER BY pos) AS html FROM walk GROUP BY page_id"""
+  FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.pos = w.pos + 1 LEFT JOIN q ON q.page_id = t.page_id AND q.pos = t.pos),
+subset AS (SELECT page_id, string_agg(out, '' ORDER BY pos) AS html FROM walk GROUP BY page_id)"""
+
+
+SUBSET_SQL = f"""WITH both_pages AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000000, url, html FROM tag_samples),
+{subset_ctes('both_pages')} SELECT page_id, html FROM subset"""
 
 
 @query("html_safe_subset", sql=SUBSET_SQL)

@@ -151,9 +151,10 @@ def write_clean_pages(t):
     return t.spark.read.parquet(path).select("page_id", F.length("html").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("md5sum"))
 
 
-@query("scan_binary")
+@query("scan_binary", sql="SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def scan_binary(t):
-    """Files with their size and leading bytes."""
-    path = stage_text(t.documents.select(F.col("text").alias("line")), "binary", maxRecordsPerFile="1000")
+    """Raw files of each language with their sizes; the contents are not read for it."""
+    path = fresh_path(t.spark, "binary")
+    t.documents.select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(path)
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return files.select("length", F.hex(F.substring("content", 1, 16)).alias("head"))
+    return files.groupBy("lang").agg(F.sum("length").alias("bytes"))
