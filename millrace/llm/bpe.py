@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_batches
 
-#: Fragments and pieces kept in a worker; the table starts anew when it is full.
+#: Words kept in a worker; the table starts anew when it is full.
 REMEMBERED = 300_000
 #: White space as Unicode has it.
 SPACE = "[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -103,15 +103,18 @@ class Codec:
             symbols[-1] += self.end
         return [self.vocab[t] for t in self.merged(symbols)]
 
-    def piece(self, piece: str) -> bytes:
-        """Ids of one piece as little-endian unsigned 32-bit integers."""
-        if (ids := self.known.get(piece)) is None:
-            cut = self.fragments("".join(map(self.letters.__getitem__, piece.encode())))
-            ids = np.array([i for k, f in enumerate(cut) for i in self.fragment_ids(f, k == len(cut) - 1)], "<u4").tobytes()
+    def piece(self, piece: str) -> list[int]:
+        cut = self.fragments("".join(map(self.letters.__getitem__, piece.encode())))
+        return [i for k, f in enumerate(cut) for i in self.fragment_ids(f, k == len(cut) - 1)]
+
+    def word(self, word: str) -> bytes:
+        """Ids of a run without white space (no piece reaches across it) as little-endian unsigned 32-bit integers."""
+        if (ids := self.known.get(word)) is None:
+            ids = np.array([i for p in self.pieces.findall(word) for i in self.piece(p)], "<u4").tobytes()
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = ids
+            if len(word) <= 64:
+                self.known[word] = ids
         return ids
 
     def normal(self, text: str) -> str:
@@ -125,7 +128,7 @@ class Codec:
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.pieces.findall(self.normal(text))))
+        return b"".join(map(self.word, self.normal(text).split(" ")))
 
     def decode(self, ids: bytes) -> str:
         """Tokens with a space between them: the vocabulary names no decoder."""

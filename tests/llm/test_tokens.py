@@ -38,7 +38,7 @@ def test_certain_cuts_keep_ids():
     word = "".join(own.letters[b] for b in "qxzjqñßüqj".encode())
     assert len(own.fragments(word)) > 1 and "".join(own.fragments(word)) == word
     whole = [own.vocab[t] for t in own.merged([*word[:-1], word[-1] + own.end])]
-    assert np.frombuffer(own.piece("qxzjqñßüqj"), "<u4").tolist() == whole
+    assert own.piece("qxzjqñßüqj") == whole
 
 
 def test_bpe_query_on_documents(spark):
