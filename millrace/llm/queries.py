@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, simhash, token_counts, topk
+from millrace.llm import bpe, quality, simhash, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 4)
     return got.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def kept_out(parts: int):
+    """Rows that no model learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == 0, F.lit(False))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), ~kept_out(5))
+    got = quality.scores(docs, net, F.col("doc_id"), F.col("text")).withColumnRenamed("key", "doc_id")
+    return got.select("doc_id", kept_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
