@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, quality, simhash, token_counts, topk
+from millrace.llm import bpe, line_dedup, quality, simhash, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.fit(docs, table(spark, sf_dir, "labels"), ~kept_out(5))
     got = quality.scores(docs, net, F.col("doc_id"), F.col("text")).withColumnRenamed("key", "doc_id")
     return got.select("doc_id", kept_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return got.select("doc_id", "lines_in", "lines_out", "text")
