@@ -25,10 +25,30 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_batches
 
-#: Words kept in a worker; the table starts anew when it is full.
+#: Entries of each generation of a worker's memory.
 REMEMBERED = 300_000
+#: Control characters that Python takes for white space and Unicode does not.
+NOT_SPACE = regex.compile("[\x1c-\x1f]")
 #: White space as Unicode has it.
-SPACE = "[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+SPACE = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+
+
+class Memory:
+    """Results by key in two generations: what is asked for again outlives what is not."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
 def byte_letters() -> list[str]:
@@ -52,13 +72,14 @@ class Codec:
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.rank = {tuple(pair): k for k, pair in enumerate(model["merges"])}
-        self.letters = byte_letters()
+        self.size = max(self.vocab.values()) + 1
+        self.rank = {self.vocab[a] * self.size + self.vocab[b]: k for k, (a, b) in enumerate(model["merges"])}
+        self.result = [self.vocab[a + b] for a, b in model["merges"]]
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"])
-        self.spaces = regex.compile(SPACE)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inside = self.pairs_inside()
-        self.known: dict[str, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
     def pairs_inside(self) -> set[str]:
         """Pairs of neighbouring bytes that some token holds."""
@@ -70,56 +91,82 @@ class Codec:
 
     def fragments(self, letters: str) -> list[str]:
         """Cut where no token can reach across."""
-        cuts = [0, *(i for i in range(1, len(letters)) if letters[i - 1 : i + 1] not in self.inside), len(letters)]
-        return [letters[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def merged(self, symbols: list[str]) -> list[str]:
+        inside, out, first = self.inside, [], 0
+        for i in range(1, len(letters)):
+            if letters[i - 1 : i + 1] not in inside:
+                out.append(letters[first:i])
+                first = i
+        out.append(letters[first:])
+        return out
+
+    def merged(self, ids: list[int]) -> list[int]:
         """Join the pair of lowest rank, leftmost first, until none is left."""
-        n = len(symbols)
-        if n < 2:
-            return symbols
-        rank, after, before = self.rank, list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
+        if len(ids) > 64:
+            return self.merged_long(ids)
+        rank, none, size = self.rank.get, len(self.rank), self.size
+        ranks = [rank(a * size + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i] = self.result[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] * size + ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] * size + ids[i + 1], none)
+        return ids
+
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, in n log n steps."""
+        n, rank, size = len(ids), self.rank.get, self.size
+        after, before, parts = list(range(1, n + 1)), list(range(-1, n - 1)), list(ids)
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] * size + ids[i + 1])) is not None]
         heapq.heapify(heap)
-        parts: list[str | None] = list(symbols)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            least, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = self.result[least], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if (r := rank.get((parts[i], parts[after[i]]))) is not None:
+                if (r := rank(parts[i] * size + parts[after[i]])) is not None:
                     heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
-            if (k := before[i]) >= 0 and (r := rank.get((parts[k], parts[i]))) is not None:
+            if (k := before[i]) >= 0 and (r := rank(parts[k] * size + parts[i])) is not None:
                 heapq.heappush(heap, (r, k, parts[k], parts[i]))
-        return [p for p in parts if p is not None]
+        return [p for p in parts if p >= 0]
 
     def fragment_ids(self, fragment: str, last: bool) -> list[int]:
-        symbols = list(fragment)
+        vocab = self.vocab
+        ids = [vocab[c] for c in fragment]
         if last:
-            symbols[-1] += self.end
-        return [self.vocab[t] for t in self.merged(symbols)]
-
-    def piece(self, piece: str) -> list[int]:
-        cut = self.fragments("".join(map(self.letters.__getitem__, piece.encode())))
-        return [i for k, f in enumerate(cut) for i in self.fragment_ids(f, k == len(cut) - 1)]
+            ids[-1] = vocab[fragment[-1] + self.end]
+        return self.merged(ids)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece as little-endian unsigned 32-bit integers."""
+        if (ids := self.parts.get(piece)) is None:
+            *heads, tail = self.fragments(piece.encode().decode("latin-1").translate(self.letters))
+            found = [i for f in heads for i in self.fragment_ids(f, False)]
+            ids = np.array(found + self.fragment_ids(tail, True), "<u4").tobytes()
+            if len(piece) <= 64:
+                self.parts.put(piece, ids)
+        return ids
 
     def word(self, word: str) -> bytes:
-        """Ids of a run without white space (no piece reaches across it) as little-endian unsigned 32-bit integers."""
-        if (ids := self.known.get(word)) is None:
-            ids = np.array([i for p in self.pieces.findall(word) for i in self.piece(p)], "<u4").tobytes()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+        """Ids of a run without white space: no piece reaches across it."""
+        if (ids := self.words.get(word)) is None:
+            ids = b"".join(map(self.piece, self.pieces.findall(word)))
             if len(word) <= 64:
-                self.known[word] = ids
+                self.words.put(word, ids)
         return ids
 
-    def normal(self, text: str) -> str:
-        text = self.spaces.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # letter by letter: a final sigma has no form of its own
+    def split(self, text: str) -> list[str]:
+        """Runs without white space of the composed, lower-cased text."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: a final sigma has no form of its own
+        text = text.lower()
+        return text.split() if NOT_SPACE.search(text) is None else SPACE.split(text)
 
     def encode(self, text: str) -> bytes:
         if self.specials is not None and any(s in text for s in self.special):
@@ -128,7 +175,8 @@ class Codec:
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.normal(text).split(" ")))
+        young, word = self.words.young.get, self.word
+        return b"".join([young(w) or word(w) for w in self.split(text)])
 
     def decode(self, ids: bytes) -> str:
         """Tokens with a space between them: the vocabulary names no decoder."""

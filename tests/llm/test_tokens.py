@@ -37,8 +37,10 @@ def test_certain_cuts_keep_ids():
     own = bpe.codec(public_tokenizers.path("word_bpe_49k.json"))
     word = "".join(own.letters[b] for b in "qxzjqñßüqj".encode())
     assert len(own.fragments(word)) > 1 and "".join(own.fragments(word)) == word
-    whole = [own.vocab[t] for t in own.merged([*word[:-1], word[-1] + own.end])]
-    assert own.piece("qxzjqñßüqj") == whole
+    whole = own.merged([*(own.vocab[c] for c in word[:-1]), own.vocab[word[-1] + own.end]])
+    assert np.frombuffer(own.piece("qxzjqñßüqj"), "<u4").tolist() == whole
+    ids = [own.vocab[c] for c in "thestationing"] * 4
+    assert own.merged_long(list(ids)) == own.merged(list(ids))
 
 
 def test_bpe_query_on_documents(spark):
