@@ -52,7 +52,7 @@ def segment_keys(line: Column, length: Column, edits: int) -> list[Column]:
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys under which lines up to ``edits`` characters shorter may be found; null where a substring would leave the line."""
+    """Key and ``less`` of lines that are ``less`` (up to ``edits``) characters shorter; null where a substring would leave the line."""
     out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
@@ -60,7 +60,8 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 at = start + shift
                 fits = (at >= 0) & (at + size <= length)
-                out.append(F.when(fits, F.xxhash64(F.lit(i), (length - less).cast("int"), F.substring(line, at + 1, size))))
+                key = F.xxhash64(F.lit(i), (length - less).cast("int"), F.substring(line, at + 1, size))
+                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(less > 0).alias("shorter")))
     return out
 
 
@@ -68,8 +69,8 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
     """a, b: hashes of lines that share a segment."""
     rows = lines.select("h1", "line", F.length("line").alias("n"))
     index = rows.select("h1", F.explode(F.array(*segment_keys(F.col("line"), F.col("n"), edits))).alias("key"))
-    probes = rows.select(F.col("h1").alias("other"), F.explode(F.array_distinct(F.array(*probe_keys(F.col("line"), F.col("n"), edits)))).alias("key"))
-    pairs = index.join(probes.where("key IS NOT NULL"), "key").where("h1 <> other")
+    probes = rows.select(F.col("h1").alias("other"), F.inline(F.array(*probe_keys(F.col("line"), F.col("n"), edits))))
+    pairs = index.join(probes.where("key IS NOT NULL"), "key").where("h1 <> other AND (shorter OR h1 < other)")
     return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
 
 
