@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, token_counts, topk
+from millrace.llm import bpe, chat, decontaminate, line_dedup, personal, quality, simhash, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(hostile).alias("text"))
     return chat.digests(chat.windows(said.unionByName(own)))
+
+
+@query("op9_personal")
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = personal.find(docs, F.col("doc_id"), F.col("text"), personal.fit(docs, "doc_id", "text"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return got.select(F.col("key").alias("doc_id"), *[count(k) for k in personal.KINDS], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
