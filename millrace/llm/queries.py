@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, line_dedup, personal, quality, simhash, token_counts, topk
+from millrace.llm import bpe, chat, decontaminate, line_dedup, lm, personal, quality, simhash, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,12 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return got.select(F.col("key").alias("doc_id"), *[count(k) for k in personal.KINDS], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+@query("op5_lm")
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    got = lm.scores(docs, F.col("doc_id"), F.col("text"), ~kept_out(10), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.withColumnRenamed("key", "doc_id").withColumn("held_out", kept_out(10))
