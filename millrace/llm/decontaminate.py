@@ -21,19 +21,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_batches
+from millrace.llm.growing import Growing
 
 WINDOW, PLAIN, SHARE, SLOTS = 5, 2, 0.8, 1 << 21
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Units that a number may carry.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal s sec secs min mins h hr hrs hour hours day days week weeks month months year years "
     "meter meters metre metres mile miles gram grams liter liters litre litres second seconds minute minutes percent dollar dollars euro euros cent cents "
     "kb mb gb tb hz khz mhz ghz w kw v j kj cal kcal c f k % $ € £".split()
 )
+#: Signs around words; those in INNER may belong to a number or be a unit.
+OUTER, INNER = ".,;:!?\"'()[]{}<>*#&|/\\_~`^=@…«»“”‘’¿¡", "$€£%+-"
 WORD, NUMBER, NAME, UNIT = range(4)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,27 +53,27 @@ class Templates:
 
     def __init__(self):
         self.number = regex.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
+        self.edges = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
         self.clear()
 
     def clear(self):
         self.known: dict[str, int] = {}
         self.values: list[str] = []
-        self.told: list[tuple[int, bool, bool, bool, bool]] = []
-        self.arrays = None
+        self.told = Growing(np.uint64, bool, bool, bool, bool, bool)  # hash, number, name, unit, ends a sentence, holds anything
 
     def look_up(self, word: str) -> int:
-        import xxhash
-
-        core = regex.sub(r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}%$€£]+$", "", word)
-        is_number = self.number.fullmatch(core) is not None
-        if not is_number and core not in UNITS:
-            core = regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", core)
+        core, is_number = word, False
+        if not word.isalpha():
+            core = word.strip(OUTER)
+            is_number = self.number.fullmatch(core) is not None
+            if not is_number and core not in UNITS:
+                core = core.strip(INNER)
+                if core and not (core[0].isalnum() and core[-1].isalnum()):
+                    core = self.edges.sub("", core)
         name = len(core) > 1 and core[0].isupper() and core[1:] != core[1:].upper()
         value = core.lower()
         self.values.append(value)
-        self.told.append((xxhash.xxh64_intdigest(value.encode()), is_number, name, value in UNITS, word == "\x01" or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")))
-        self.known[word] = len(self.values) - 1
-        self.arrays = None
+        self.known[word] = self.told.add(xxhash.xxh64_intdigest(value.encode()), is_number, name, value in UNITS, word == "\x01" or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":"), value != "")
         return len(self.values) - 1
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +82,7 @@ class Templates:
             self.clear()
         known, words = self.known, text.replace("\n", " \x01 ").split()
         at = np.array([known[w] if w in known else self.look_up(w) for w in words], np.int64)
-        if self.arrays is None:
-            columns = list(zip(*self.told, strict=True)) or [()] * 5
-            self.arrays = [np.array(columns[0], np.uint64), *(np.array(c, bool) for c in columns[1:]), np.array([v != "" for v in self.values], bool)]
-        hashes, number, name, unit, ends, full = (a[at] for a in self.arrays)
+        hashes, number, name, unit, ends, full = (a[at] for a in self.told.read())
         begins = np.append(True, ends[:-1])[: len(at)]
         at, hashes, number, name, unit, begins = (x[full] for x in (at, hashes, number, name, unit, self.carry(begins, full)))
         kind = np.where(number, NUMBER, np.where(unit & np.append(False, number[:-1])[: len(at)], UNIT, np.where(name & ~begins, NAME, WORD)))
