@@ -47,6 +47,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def luhn_card(token: str) -> bool:
+    """A whole card number in one token."""
+    digits = re.sub("[^0-9]", "", token)
+    return 16 <= len(digits) <= 19 and luhn(digits)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """From each ``@`` back over the local part: the leftmost match without trying every start."""
     found, last, at = [], 0, text.find("@")
@@ -98,7 +104,7 @@ def features(token: str) -> np.ndarray:
     """Shape of a token without the punctuation around it."""
     core = token.strip(".,;:!?\"'<>[]{}")
     digits = re.sub("[^0-9]", "", core)
-    out = [1.0, float(16 <= len(digits) <= 19 and luhn(digits)), *(float(c.fullmatch(core) is not None) for c in COMPILED)]
+    out = [1.0, float(luhn_card(core)), *(float(c.fullmatch(core) is not None) for c in COMPILED)]
     bucket = sum(len(digits) >= n for n in COUNTS)
     return np.array(out + [float(bucket == k + 1) for k in range(len(COUNTS))])
 
@@ -229,7 +235,8 @@ def added(text: str, places: list[tuple[int, int]], chances: np.ndarray, base: l
     while k < len(places):
         end = k + 1
         if label[k] >= 3:  # cards and phones may take several tokens
-            while end < len(places) and label[end] == label[k] and text[places[end - 1][1] : places[end][0]].isspace() and places[end][0] - places[end - 1][1] < 5:
+            whole = lambda i: luhn_card(text[places[i][0] : places[i][1]]) or text[places[i][0]] == "+"
+            while end < len(places) and label[end] == label[k] and not whole(end) and not luhn_card(text[places[end - 1][0] : places[end - 1][1]]) and text[places[end - 1][1] : places[end][0]].isspace() and places[end][0] - places[end - 1][1] < 5:
                 end += 1
         if label[k]:
             a, b = places[k][0], places[end - 1][1]
