@@ -30,3 +30,15 @@ def map_batches(df: DataFrame, columns: list[Column], make: Callable[[], Callabl
             )
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def filter_batches(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """Rows of ``df`` for which the function that ``make`` returns, given the list of a column's values, says True."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            yield batch.filter(pa.array(step(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

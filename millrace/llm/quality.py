@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import filter_batches, map_batches
 
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
 CHUNK, OVERLAP = 512, 64
 SAMPLE, SAMPLE_CHUNKS = 2_000, 6
-EPOCHS, BATCH, RATE = 12, 64, 0.004
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 150, 64, 0.004
 #: Chunks convolved at a time: the responses stay in the cache.
 BLOCK = 8
 
@@ -82,7 +82,7 @@ def train(texts: list[list[bytes]], labels: list[int], share: float, seed: int =
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)).astype(np.float32)
     params = [net.filters, net.first, net.last]
     moments, squares, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(docs)) if len(docs) >= BATCH else LEAST_STEPS)):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
@@ -157,3 +157,13 @@ def scores(documents: DataFrame, net: Network | float, key: Column, text: Column
         return lambda keys, texts: (keys, [rate(t) for t in texts])
 
     return map_batches(documents, [key.alias("key"), F.coalesce(text, F.lit("")).cast("binary").alias("text")], make, f"key {kind}, score double")
+
+
+def accepted(documents: DataFrame, net: Network | float, text: str, least: float) -> DataFrame:
+    """The rows, with all of their columns, whose text scores ``least`` or more. No shuffle."""
+
+    def make():
+        rate = net.score if isinstance(net, Network) else lambda t: float(net)
+        return lambda texts: [rate((t or "").encode()) >= least for t in texts]
+
+    return filter_batches(documents, text, make)

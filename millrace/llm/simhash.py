@@ -37,6 +37,10 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Fingerprints in a tile, queries at a time, 64-bit words in a block of lanes, shingles hashed at a time.
 BUCKET, QUERIES, LANES, STEP = 1_500, 256, 16, 1 << 16
 
+#: Words of a wide fingerprint, its radius (a share of equal shingles of 0.8 differs in 39 of 256 bits in the mean) and the width of its keys.
+WORDS, WIDE_RADIUS, BAND = 4, 50, 12
+ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
+
 
 def fingerprint(text: bytes, size: int) -> int:
     words = text.lower().split()
@@ -55,6 +59,28 @@ def fingerprint(text: bytes, size: int) -> int:
     return int.from_bytes(np.packbits(count * 2 > n).tobytes(), "big")
 
 
+def wide_fingerprint(text: bytes, size: int) -> bytes:
+    """``WORDS`` fingerprints of other hashes of the same shingles (mixed from the first), as one value."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WORDS)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, ends = np.append(0, ends[:-1]), ends - 1
+    width = min(size, len(words))
+    count, digest = np.zeros(64 * WORDS, np.int64), xxhash.xxh64_intdigest
+    n = len(words) - width + 1
+    for at in range(0, n, STEP):
+        a, b = starts[at : min(at + STEP, n)].tolist(), ends[at + width - 1 : min(at + STEP, n) + width - 1].tolist()
+        h = np.array([digest(joined[x:y], SEED) for x, y in zip(a, b, strict=True)], np.uint64)
+        for k in range(WORDS):
+            g = (h ^ (h >> np.uint64(29))) * ODD[k]
+            g = (g ^ (g >> np.uint64(32))) * ODD[-1 - k]
+            g ^= g >> np.uint64(31)
+            count[64 * k : 64 * k + 64] += np.unpackbits(g.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(count * 2 > n).tobytes()
+
+
 def fingerprints(df: DataFrame, key: Column, text: Column, size: int) -> DataFrame:
     """key, fp (the 64 bits as a long). No shuffle."""
     kind = df.select(key.alias("key")).schema["key"].dataType.simpleString()
@@ -66,53 +92,64 @@ def fingerprints(df: DataFrame, key: Column, text: Column, size: int) -> DataFra
     return map_batches(df, [key.alias("key"), F.coalesce(text, F.lit("")).cast("binary").alias("text")], make, f"key {kind}, fp long")
 
 
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """One row of bits for each value of one or more 64-bit words."""
+    return np.unpackbits(values.reshape(len(values), -1).astype(">u8").view(np.uint8).reshape(len(values), -1), axis=1)
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """Bit planes: row i holds bit i of every value, 64 lanes in a word."""
-    lanes = -(-len(values) // 64) * 64
-    bits = np.zeros((lanes, 64), np.uint8)
-    bits[: len(values)] = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    own = bits_of(values)
+    bits = np.zeros((-(-len(values) // 64) * 64, own.shape[1]), np.uint8)
+    bits[: len(values)] = own
     return np.ascontiguousarray(np.packbits(bits, axis=0, bitorder="little").T).view(np.uint64)
 
 
 def within(queries: np.ndarray, lanes: np.ndarray, n: int, radius: int = RADIUS) -> np.ndarray:
     """Which of the n values in the planes ``lanes`` are within the radius of each query.
 
-    Three carry-save counter words a lane count to seven; a fourth keeps what went beyond.
+    As many carry-save counter words as the radius has bits count the differences of each lane; one more keeps
+    what went beyond them.
     """
-    masks = np.where(np.unpackbits(queries.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(bool), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    masks = np.where(bits_of(queries).astype(bool), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     out = np.zeros((len(queries), lanes.shape[1]), np.uint64)
     for at in range(0, lanes.shape[1], LANES):
         block = lanes[:, at : at + LANES]
-        one, two, four, over = (np.zeros((len(queries), block.shape[1]), np.uint64) for _ in range(4))
-        near = np.full_like(one, 0xFFFFFFFFFFFFFFFF)
-        for bit in range(64):
-            carry = masks[:, bit, None] ^ block[bit]
-            one, carry = one ^ carry, one & carry
-            two, carry = two ^ carry, two & carry
-            over |= four & carry
-            four ^= carry
-            if bit % 8 == 7:
-                near = ~over & ~beyond(one, two, four, radius)
+        over = np.zeros((len(queries), block.shape[1]), np.uint64)
+        count = [np.zeros_like(over) for _ in range(radius.bit_length())]
+        near = ~over
+        for plane in range(len(lanes)):
+            carry = masks[:, plane, None] ^ block[plane]
+            for digit in count:
+                digit ^= carry
+                carry &= ~digit  # a digit that was one and met a one is zero now
+            over |= carry
+            if plane % 8 == 7 and plane >= radius:
+                near = ~(over | above(count, radius))
                 if not near.any():
                     break  # every lane of the block is beyond the radius
         out[:, at : at + LANES] = near
     return np.unpackbits(out.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
 
 
-def beyond(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is above the radius (at most 6)."""
-    found = np.zeros_like(one)
-    for count in range(radius + 1, 8):
-        found |= (one if count & 1 else ~one) & (two if count & 2 else ~two) & (four if count & 4 else ~four)
+def above(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is above the radius, compared digit by digit from the highest."""
+    equal, found = ~np.zeros_like(count[0]), np.zeros_like(count[0])
+    for k in reversed(range(len(count))):
+        if radius >> k & 1:
+            equal = equal & count[k]
+        else:
+            found |= equal & count[k]
+            equal = equal & ~count[k]
     return found
 
 
-def links(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[np.ndarray, np.ndarray]]:
     """(members, first member) of every component with more than one value; the values differ."""
     left, found = values, []
     while len(left) > 1:
         head = left[:QUERIES]
-        near = within(head, planes(left), len(left))
+        near = within(head, planes(left), len(left), radius)
         near[np.arange(len(head)), np.arange(len(head))] = False
         linked = np.flatnonzero(near.any(1))
         if not len(linked):
@@ -122,14 +159,14 @@ def links(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         alone[: len(head)] = near.any(1)
         root = head[linked[0]]
         alone[linked[0]] = False
-        left, frontier, members = left[alone], np.array([root], np.uint64), []
+        left, frontier, members = left[alone], root[None], []
         while len(frontier) and len(left):
-            hit = within(frontier[:QUERIES], planes(left), len(left)).any(0)
+            hit = within(frontier[:QUERIES], planes(left), len(left), radius).any(0)
             frontier, new, left = frontier[QUERIES:], left[hit], left[~hit]
             members.append(new)
             frontier = np.concatenate([frontier, new])
         own = np.concatenate(members)
-        found.append((own, np.full(len(own), root, np.uint64)))
+        found.append((own, np.repeat(root[None], len(own), 0)))
     return found
 
 
@@ -140,7 +177,7 @@ def bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         two = [v for v in arrays if len(v) == 2]
         if two:  # most buckets: one distance each, 64 of them in a word
             a, b = np.array(two).T
-            near = within(np.zeros(1, np.uint64), planes(a ^ b), len(a))[0]
+            near = within(np.zeros(1, np.uint64), planes(a ^ b), len(a))[0]  # distances to nothing of what differs
             pairs.append((a[near], b[near]))
         for v in arrays:
             if len(v) > 2:
@@ -176,3 +213,75 @@ def near_duplicates(df: DataFrame, key: Column, text: Column, size: int) -> Data
     lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = joined.join(lowest, "root").select("fp", "component")
     return rows.join(named, "fp").select("key", "fp", "component")
+
+
+def small_links(values: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, first value of its component) over many small buckets side by side."""
+    near = within(values, planes(values), len(values), radius) & (bucket[:, None] == bucket[None])
+    label, old = np.arange(len(values)), None
+    while old is None or (label != old).any():
+        old, label = label, np.where(near, label[None], len(values)).min(1)
+    use = label != np.arange(len(values))
+    return values[use], values[label[use]]
+
+
+def wide_bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        pairs, waiting, bucket = [], [], []
+
+        def flush(waiting: list, bucket: list, pairs: list) -> None:
+            if waiting:
+                pairs.append(small_links(np.concatenate(waiting), np.concatenate(bucket), WIDE_RADIUS))
+                waiting.clear()
+                bucket.clear()
+
+        for k, own in enumerate(batch["fps"]):
+            values = np.frombuffer(b"".join(own), ">u8").astype(np.uint64).reshape(-1, WORDS)
+            if len(values) > QUERIES:
+                pairs += links(values, WIDE_RADIUS)
+                continue
+            waiting.append(values)
+            bucket.append(np.full(len(values), k))
+            if sum(map(len, waiting)) >= 2 * QUERIES:
+                flush(waiting, bucket, pairs)
+        flush(waiting, bucket, pairs)
+        a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros((0, WORDS), np.uint64) for i in (0, 1))
+        yield pd.DataFrame({n: [r.tobytes() for r in v.astype(">u8")] for n, v in (("a", a), ("b", b))})
+
+
+def wide_links(fps: DataFrame) -> DataFrame:
+    """a, b: hashes of distinct wide fingerprints that share a key and are within the radius."""
+    band = lambda k: F.conv(F.substring(F.hex("fp"), 16 * (k // 5) + 3 * (k % 5) + 1, 3), 16, 10).cast("int")  # noqa: E731  three hex digits: BAND bits
+    keyed = fps.select("fp", F.posexplode(F.array(*[band(k) for k in range(5 * WORDS)])).alias("table", "key"))
+    hot = keyed.groupBy("table", "key").count().where(F.col("count") > BUCKET)
+    dealt = keyed.join(hot, ["table", "key"], "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / BUCKET).cast("int"))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int")
+    others = F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: j != F.col("own")))
+    tiled = dealt.withColumn("own", own).select("table", "key", "own", "fp", F.explode(others).alias("other"))
+    sides = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    buckets = tiled.select("table", "key", *sides, "fp").groupBy("table", "key", "low", "high").agg(F.collect_list("fp").alias("fps"))
+    found = buckets.where(F.size("fps") > 1).select("fps").mapInPandas(wide_bucket_links, "a binary, b binary")
+    return found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+
+
+def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> DataFrame:
+    """key, rank (hash of the text), component (key and rank of its first row): groups of texts that share about 0.8 of their shingles.
+
+    Fingerprints of ``WORDS`` * 64 bits; texts meet where one of twenty keys of ``BAND`` bits is equal (for a
+    similarity of 0.8 at least one is with a chance of 0.95, above 0.85 of 0.99) and are linked within
+    ``WIDE_RADIUS`` bits. Unrelated texts differ in about half of the bits.
+    """
+    kind = df.select(key.alias("key")).schema["key"].dataType.simpleString()
+
+    def make():
+        return lambda keys, ranks, texts: (keys, ranks, [wide_fingerprint(t, size) for t in texts])
+
+    body = F.coalesce(text, F.lit(""))
+    columns = [key.alias("key"), F.xxhash64(key, body).alias("rank"), body.cast("binary").alias("text")]
+    rows = cut(map_batches(df, columns, make, f"key {kind}, rank long, fp binary"), "fingerprints")
+    single = rows.groupBy("fp").agg(F.min(F.struct("key", "rank")).alias("first"))
+    roots = components(wide_links(single.select("fp")))
+    joined = single.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
+    named = joined.join(lowest, "root").select("fp", "component")
+    return rows.join(named, "fp").select("key", "rank", "component")
