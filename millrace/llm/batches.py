@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows handed over at a time.
+ROWS = 1_000
+
 
 def map_batches(df: DataFrame, columns: list[Column], make: Callable[[], Callable], schema: str) -> DataFrame:
     """Run a function over Arrow batches of the given columns.
@@ -23,7 +26,7 @@ def map_batches(df: DataFrame, columns: list[Column], make: Callable[[], Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             values = step(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, out, strict=True)], schema=out

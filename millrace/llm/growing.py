@@ -16,7 +16,7 @@ class Growing:
 
     def add(self, *row) -> int:
         self.waiting.append(row)
-        return len(self) - 1
+        return self.size + len(self.waiting) - 1
 
     def read(self) -> list[np.ndarray]:
         if self.waiting:
@@ -27,3 +27,21 @@ class Growing:
                 self.arrays[i][self.size : end] = np.array(values, self.arrays[i].dtype)
             self.size, self.waiting = end, []
         return [a[: self.size] for a in self.arrays]
+
+
+class GrowingRow:
+    """One column that grows by many values at a time."""
+
+    def __init__(self, kind: type):
+        self.array, self.size, self.waiting = np.zeros(4096, kind), 0, []
+        self.extend = self.waiting.extend
+
+    def read(self) -> np.ndarray:
+        if self.waiting:
+            end = self.size + len(self.waiting)
+            if end > len(self.array):
+                self.array = np.concatenate([self.array, np.zeros(max(end, len(self.array)), self.array.dtype)])
+            self.array[self.size : end] = self.waiting
+            self.size = end
+            self.waiting.clear()
+        return self.array[: self.size]
