@@ -34,26 +34,35 @@ def substring_hits(url: Column, entries: Sequence[tuple[str, str]]) -> Column:
 
 
 def bounded_rows(entries: DataFrame, limit: int = FOLD_LIMIT) -> list[tuple[str, str]] | None:
-    """The (sid, entry) rows in rank order when there are at most ``limit``, else None."""
-    rows = entries.select("rank", "sid", "entry").limit(limit + 1).collect()
+    """The (sid, entry) rows in rank order when there are at most ``limit``, else None; empty entries match nothing and are left out."""
+    rows = entries.where(F.length("entry") > 0).select("rank", "sid", "entry").limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     return [(r.sid, r.entry) for r in sorted(rows, key=lambda r: r.rank)]
 
 
-def first_substring(df: DataFrame, key: str, text: str, entries: DataFrame, out: str, limit: int = FOLD_LIMIT) -> DataFrame:
+def first_substring(df: DataFrame, text: str, entries: DataFrame, out: str, limit: int = FOLD_LIMIT) -> DataFrame:
     """Add ``out``: sid of the first entry (lowest rank) contained in ``text``; null when none.
 
     A short list becomes an array literal, tested without any shuffle. A long one is anchored: each
-    entry is looked up by the rarest of its grams, so text and entries meet in an equi-join, and the
-    candidates are verified. Both ways give the same rows.
+    entry is looked up by the rarest of its grams, so distinct texts and entries meet in an equi-join, and
+    the candidates are verified. Both ways give the same rows.
     """
     rows = bounded_rows(entries, limit)
     if rows is not None:
         return df.withColumn(out, substring_hits(F.col(text), rows)["sid"] if rows else F.lit(None).cast("string"))
-    hits = anchored_substrings(df.select(key, text), key, text, entries)
-    best = hits.groupBy(key).agg(F.min_by("sid", "rank").alias(out))
-    return df.join(best, key, "left")
+    best = anchored_substrings(df, text, entries).groupBy(text).agg(F.min_by("sid", "rank").alias(out))
+    return df.join(best, text, "left").select(*df.columns, out)
+
+
+def substring_pairs(df: DataFrame, text: str, entries: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
+    """text, sid of every entry contained in a distinct text, the same two ways."""
+    rows = bounded_rows(entries, limit)
+    if rows is None:
+        return anchored_substrings(df, text, entries).select(text, "sid")
+    table = F.array(*[F.struct(F.lit(s).alias("sid"), F.lit(e).alias("entry")) for s, e in rows]) if rows else F.expr("cast(array() as array<struct<sid:string,entry:string>>)")
+    texts = df.select(text).distinct()
+    return texts.select(text, F.inline(F.filter(table, lambda r: F.contains(F.col(text), r["entry"])))).select(text, "sid")
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -63,14 +72,15 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.when(last >= 1, cut).otherwise(F.array().cast("array<string>")))
 
 
-def anchored_substrings(df: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
-    """All (key, rank, sid) with the entry contained in the text, through an equi-join on anchor grams."""
-    sized = entries.select("rank", "sid", "entry", F.least(F.length("entry"), F.lit(GRAM)).alias("size"))
+def anchored_substrings(df: DataFrame, text: str, entries: DataFrame) -> DataFrame:
+    """text, rank, sid with the entry contained in the text, for distinct texts, through an equi-join on anchor grams."""
+    texts = df.select(text).where(F.length(text) > 0).distinct()
+    sized = entries.where(F.length("entry") > 0).select("rank", "sid", "entry", F.least(F.length("entry"), F.lit(GRAM)).alias("size"))
     candidates = sized.select("rank", "sid", "entry", "size", F.explode(_grams(F.col("entry"), F.col("size"))).alias("gram"))
-    used = [r.size for r in sized.select("size").distinct().limit(GRAM).collect()]
+    used = [r.size for r in sized.select("size").distinct().collect()]  # 1 to GRAM
     lengths = F.array(*[F.lit(int(n)) for n in sorted(used)])
     grams = F.flatten(F.transform(lengths, lambda n: _grams(F.col(text), n)))
-    exploded = df.select(key, text, F.explode(grams).alias("gram"))
+    exploded = texts.select(text, F.explode(grams).alias("gram"))
     wanted = candidates.select("gram").distinct()
     # how often each candidate gram occurs; the partial count runs before the shuffle
     frequency = exploded.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").count()
@@ -79,7 +89,7 @@ def anchored_substrings(df: DataFrame, key: str, text: str, entries: DataFrame)
         .groupBy("rank", "sid", "entry")
         .agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
     )
-    return exploded.join(anchors, "gram").where(F.contains(F.col(text), F.col("entry"))).select(key, "rank", "sid")
+    return exploded.join(anchors, "gram").where(F.contains(F.col(text), F.col("entry"))).select(text, "rank", "sid")
 
 
 def literal_anchor(pattern: Column, minimum: int = 4) -> Column:
@@ -107,9 +117,8 @@ def pattern_matches(df: DataFrame, key: str, text: str, patterns: DataFrame, lim
         return df.select(key, F.inline(F.array_compact(F.array(*hits))))
     anchored = patterns.withColumn("entry", literal_anchor(F.col("pattern")))
     sure = anchored.where(F.col("entry").isNotNull())
-    near = anchored_substrings(df.select(key, text), key, text, sure).join(sure.select("rank", "sid", "pattern"), ["rank", "sid"])
-    # the text comes back for the candidates only
-    verified = near.join(df.select(key, text), key).where(F.expr(f"{text} rlike pattern")).select(key, "rank", "sid")
+    near = anchored_substrings(df, text, sure).join(sure.select("rank", "sid", "pattern"), ["rank", "sid"])
+    verified = near.where(F.expr(f"{text} rlike pattern")).join(df.select(key, text), text).select(key, "rank", "sid")
     loose = anchored.where(F.col("entry").isNull()).select("rank", "sid", "pattern")
     compared = df.select(key, text).join(loose, F.expr(f"{text} rlike pattern")).select(key, "rank", "sid")
     return verified.unionByName(compared)
@@ -141,35 +150,36 @@ def url_verdict(
     df: DataFrame,
     allow_domains: DataFrame,
     block_domains: DataFrame,
-    allow_urls: Sequence[tuple[str, str]],
-    block_urls: Sequence[tuple[str, str]],
+    allow_urls: DataFrame,
+    block_urls: DataFrame,
     allow_patterns: Sequence[PatternRule],
     block_patterns: Sequence[PatternRule],
     port: int = 8080,
 ) -> DataFrame:
     """Add verdict, list_class, sid and document to rows with ``url`` and ``mime``.
 
-    Only the two domain lists join; substrings and patterns are tested in place, cheapest first.
+    Domain lists hold (sid, entry), URL lists (rank, sid, entry). Domains join, and so do long URL lists;
+    short ones and patterns are tested in place, cheapest first.
     """
     url = F.col("url")
-    rows = df.withColumn("host", U.host(url))
+    rows = first_substring(first_substring(df, "url", allow_urls, "_allow_url"), "url", block_urls, "_block_url")
+    rows = rows.withColumn("host", U.host(url))
     rows = domain_hits(domain_hits(rows, allow_domains, "_allow"), block_domains, "_block")
 
-    def decision(verdict: str, domain: str, listed, patterns) -> list[tuple[Column, Column]]:
+    def decision(verdict: str, domain: str, listed: str, patterns) -> list[tuple[Column, Column]]:
         def value(kind: str, sid: Column, replacement: Column | None = None) -> Column:
             return F.struct(
                 F.lit(verdict).alias("verdict"), F.lit(kind).alias("list_class"), sid.alias("sid"),
                 (replacement if replacement is not None else F.lit(None).cast("string")).alias("replacement"),
             )
 
-        sub = substring_hits(url, listed)
         by_pattern = let(
             first_pattern(url, patterns),
             lambda p: F.when(p.isNotNull(), value("pattern", p["sid"], p["replacement"])),
         )
         return [
             F.when(F.col(domain).isNotNull(), value("domain", F.col(domain))),
-            let(sub, lambda s: F.when(s.isNotNull(), value("url", s["sid"]))),
+            F.when(F.col(listed).isNotNull(), value("url", F.col(listed))),
             by_pattern,
         ]
 
@@ -177,7 +187,7 @@ def url_verdict(
         F.lit("pass").alias("verdict"), F.lit("").alias("list_class"),
         F.lit(None).cast("string").alias("sid"), F.lit(None).cast("string").alias("replacement"),
     )
-    steps = decision("allow", "_allow", allow_urls, allow_patterns) + decision("block", "_block", block_urls, block_patterns)
+    steps = decision("allow", "_allow", "_allow_url", allow_patterns) + decision("block", "_block", "_block_url", block_patterns)
     rows = rows.withColumn("_d", F.coalesce(*steps, nothing)).withColumn("media", U.media_class(url, F.coalesce("mime", F.lit("text/html"))))
     local = F.lit(f"http://localhost:{port}")
     stand_in = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace import policy as P
 from millrace.functions import rules as R
 from millrace.functions import urls as U
+from millrace.operators import headers as A
 from millrace.operators import verdict as V
 from millrace.plans.registry import query
 from millrace.plans.url_plans import HOST, MEDIA_SQL
@@ -39,7 +40,7 @@ def block_domains(t):
     sql="""SELECT req_id, min(l.sid) AS sid FROM requests r JOIN lists l ON l.kind = 'blockurls' AND contains(r.url, l.entry) GROUP BY req_id""",
 )
 def block_urls(t):
-    hits = V.first_substring(t.requests.select("req_id", "url"), "req_id", "url", ranked(t, "blockurls"), "sid")
+    hits = V.first_substring(t.requests.select("req_id", "url"), "url", ranked(t, "blockurls"), "sid")
     return hits.where(F.col("sid").isNotNull()).select("req_id", "sid")
 
 
@@ -76,21 +77,17 @@ def block_replacement(t):
     return hits.where(F.col("p").isNotNull()).select("req_id", "p.sid", "p.replacement")
 
 
-def _any_url(rules) -> str:
-    return "(" + " OR ".join(f"contains(url, '{e}')" for _, e in rules) + ")"
-
-
-def _first_url(rules) -> str:
-    return "CASE " + " ".join(f"WHEN contains(url, '{e}') THEN '{s}'" for s, e in rules) + " END"
-
-
 ALLOW_PATTERN_SQL = "CASE " + " ".join(f"WHEN regexp_matches(url, '{r.pattern}') THEN '{r.sid}'" for r in P.ALLOW_PATTERNS) + " END"
 VERDICT_BODY = f"""
+url_entries AS (SELECT kind, sid, entry FROM lists WHERE kind IN ('allowurls', 'blockurls')
+  UNION ALL SELECT 'allowurls', sid, entry FROM {values(P.ALLOW_URLS)} a(sid, entry) UNION ALL SELECT 'blockurls', sid, entry FROM {values(P.BLOCK_URLS)} b(sid, entry)),
+url_hits AS (SELECT url, kind, sid FROM (SELECT DISTINCT url FROM requests) JOIN url_entries ON entry <> '' AND contains(url, entry)),
+first_urls AS (SELECT url AS u, min(sid) FILTER (kind = 'allowurls') AS au, min(sid) FILTER (kind = 'blockurls') AS bu FROM url_hits GROUP BY url),
 v0 AS (SELECT r.*, {HOST} AS host, {MEDIA_SQL} AS media FROM requests r),
 v1 AS (SELECT v0.*, (SELECT min(sid) FROM lists l WHERE l.kind = 'allowdomains' AND l.entry = host) AS ad,
-   {_first_url(P.ALLOW_URLS)} AS au, {ALLOW_PATTERN_SQL} AS ap,
+   au, {ALLOW_PATTERN_SQL} AS ap,
    (SELECT min(sid) FROM lists l WHERE l.kind = 'blockdomains' AND l.entry = host) AS bd,
-   {_first_url(P.BLOCK_URLS)} AS bu, {FIRST_PATTERN_SQL} AS bp, {REPLACEMENT_SQL} AS rep FROM v0),
+   bu, {FIRST_PATTERN_SQL} AS bp, {REPLACEMENT_SQL} AS rep FROM v0 LEFT JOIN first_urls ON u = v0.url),
 verdicts AS (SELECT req_id, url, host, media, ts, bytes, status,
    CASE WHEN coalesce(ad, au, ap) IS NOT NULL THEN 'allow' WHEN coalesce(bd, bu, bp) IS NOT NULL THEN 'block' ELSE 'pass' END AS verdict,
    CASE WHEN ad IS NOT NULL THEN 'domain' WHEN au IS NOT NULL THEN 'url' WHEN ap IS NOT NULL THEN 'pattern'
@@ -100,11 +97,18 @@ verdicts AS (SELECT req_id, url, host, media, ts, bytes, status,
 """
 
 
+def url_list(t, kind, own):
+    """Listed URL entries together with literal ones, ranked by sid and entry."""
+    literal = F.inline(F.array(*[F.struct(F.lit(s).alias("sid"), F.lit(e).alias("entry")) for s, e in own]))
+    both = listed(t, kind).unionByName(t.spark.range(1).select(literal))
+    return both.select(F.struct("sid", "entry").alias("rank"), "sid", "entry")
+
+
 def verdicts(t, requests=None):
     return V.url_verdict(
         t.requests if requests is None else requests,
         listed(t, "allowdomains"), listed(t, "blockdomains"),
-        P.ALLOW_URLS, P.BLOCK_URLS, P.ALLOW_PATTERNS, P.BLOCK_PATTERNS,
+        url_list(t, "allowurls", P.ALLOW_URLS), url_list(t, "blockurls", P.BLOCK_URLS), P.ALLOW_PATTERNS, P.BLOCK_PATTERNS,
     )
 
 
@@ -139,25 +143,18 @@ def nofilter_hosts(t):
 
 HITS_SQL = f"""
 hits AS (SELECT req_id, 'domain' AS list_class, sid FROM v0 JOIN lists l ON l.kind = 'blockdomains' AND l.entry = host
-  UNION ALL SELECT req_id, 'url', sid FROM requests JOIN {values(P.BLOCK_URLS)} u(sid, entry) ON contains(url, entry)
+  UNION ALL SELECT req_id, 'url', sid FROM requests JOIN url_hits USING (url) WHERE kind = 'blockurls'
   UNION ALL SELECT req_id, 'pattern', sid FROM requests JOIN {values([(r.sid, r.pattern) for r in P.BLOCK_PATTERNS])} p(sid, pattern) ON regexp_matches(url, pattern))
 """
 
 
 def block_hits(t):
     """Every block list hit of every request: req_id, list_class, sid."""
-    url = F.col("url")
-    sids = listed(t, "blockdomains").groupBy(F.col("entry").alias("host")).agg(F.collect_list("sid").alias("domain_sids"))
-    rows = t.requests.select("req_id", "url", U.host(url).alias("host")).join(sids, "host", "left")
-
-    def tagged(name, array):
-        return F.transform(array, lambda s: F.struct(F.lit(name).alias("list_class"), s.alias("sid")))
-
-    by_url = F.array_compact(F.array(*[F.when(F.contains(url, F.lit(e)), F.lit(s)) for s, e in P.BLOCK_URLS]))
-    by_pattern = F.transform(R.pattern_hits(url, P.BLOCK_PATTERNS), lambda h: h["sid"])
-    none = F.expr("cast(array() as array<string>)")
-    every = F.concat(tagged("domain", F.coalesce("domain_sids", none)), tagged("url", by_url), tagged("pattern", by_pattern))
-    return rows.select("req_id", F.inline(every))
+    rows = t.requests.select("req_id", "url", U.host(F.col("url")).alias("host"))
+    domains = rows.join(listed(t, "blockdomains").withColumnRenamed("entry", "host"), "host").select("req_id", F.lit("domain").alias("list_class"), "sid")
+    urls = rows.join(V.substring_pairs(rows, "url", url_list(t, "blockurls", P.BLOCK_URLS)), "url").select("req_id", F.lit("url").alias("list_class"), "sid")
+    patterns = rows.select("req_id", F.lit("pattern").alias("list_class"), F.explode(F.transform(R.pattern_hits(F.col("url"), P.BLOCK_PATTERNS), lambda h: h["sid"])).alias("sid"))
+    return domains.unionByName(urls).unionByName(patterns)
 
 
 @query(
@@ -254,11 +251,10 @@ def request_admission(t):
       AND NOT regexp_matches(r.url, '^https?://(localhost|127[.]0[.]0[.]1)(:|/|$)')""",
 )
 def redirect_to_local(t):
-    local = t.spark.createDataFrame([("localhost",), ("127.0.0.1",)], "host string")
-    location = t.headers.where(F.col("name") == "Location").select("req_id", U.host(F.col("value")).alias("host"))
-    suspicious = location.join(F.broadcast(local), "host", "left_semi").select("req_id")
-    source = t.requests.where(F.col("status").isin(301, 302)).select("req_id", U.host(F.col("url")).alias("host"))
-    return suspicious.join(source, "req_id").join(F.broadcast(local), "host", "left_anti").select("req_id")
+    """A message holds its URL, status and headers: one filter."""
+    local = lambda url: F.coalesce(U.host(url).isin("localhost", "127.0.0.1"), F.lit(False))
+    target = F.exists(A.named(F.col("response"), "location"), lambda h: local(h["value"]))
+    return t.messages.where(F.col("status").isin(301, 302) & target & ~local(F.col("url"))).select("req_id")
 
 
 @query(

@@ -18,11 +18,21 @@ def entries(spark, rows):
 def test_anchored_substrings_equal_plain(tables, spark):
     listed = entries(spark, ["utm_source", "/fr/8", "a", "example.org/en", "://m.", "nothing-like-it", "com", "page=2&ref=x"])
     rows = tables.requests.select("req_id", "url")
-    plain = V.first_substring(rows, "req_id", "url", listed, "sid").select("req_id", "sid")
-    anchored = V.first_substring(rows, "req_id", "url", listed, "sid", limit=2).select("req_id", "sid")
+    plain = V.first_substring(rows, "url", listed, "sid").select("req_id", "sid")
+    anchored = V.first_substring(rows, "url", listed, "sid", limit=2).select("req_id", "sid")
     assert plain.exceptAll(anchored).count() == 0 and anchored.exceptAll(plain).count() == 0
 
 
+def test_repeated_keys_nulls_and_empty_entries(spark):
+    rows = spark.createDataFrame([(1, "aaaa"), (1, "bbbb"), (None, "xaaaa"), (2, None), (3, "")], "req_id int, url string")
+    listed = entries(spark, ["", "aaaa", "b", "cc", "ddd", "eeeee", "ffffff", "ggggggg", "hhhhhhhh", "iiiiiiiii"])
+    for limit in (2, 100):
+        got = V.first_substring(rows, "url", listed, "sid", limit=limit).collect()
+        assert sorted((str(r.req_id), str(r.url), r.sid) for r in got) == [("1", "aaaa", "s1"), ("1", "bbbb", "s2"), ("2", "None", None), ("3", "", None), ("None", "xaaaa", "s1")]
+        pairs = V.substring_pairs(rows, "url", listed, limit).collect()
+        assert sorted((r.url, r.sid) for r in pairs) == [("aaaa", "s1"), ("bbbb", "s2"), ("xaaaa", "s1")]
+
+
 def test_anchored_patterns_equal_plain(tables, spark):
     texts = ["utm_source=f.*d", "https?://blog", "example.net$", "/(en|de)/", "^http://m", "spam-far[m]", "xample.o+rg", "nothing.*here"]
     listed = entries(spark, texts).withColumnRenamed("entry", "pattern")
@@ -104,12 +114,13 @@ def test_alias_chains(spark):
     assert got["n19"].hops == 1
 
 
-def test_networks_with_many_masks(spark, monkeypatch):
-    rows = spark.createDataFrame([("10.0.0.5",), ("10.0.1.9",), ("11.0.0.1",), ("host",)], "ip string")
-    nets = spark.createDataFrame([("10.0.0.0/24",), ("11.0.0.1",), ("10.0.1.8/30",)], "entry string")
-    first = sorted(r.ip for r in D.in_networks(rows, "ip", nets).collect())
-    monkeypatch.setattr(D, "MASK_LIMIT", 1)
-    assert first == sorted(r.ip for r in D.in_networks(rows, "ip", nets).collect()) == ["10.0.0.5", "10.0.1.9", "11.0.0.1"]
+def test_networks_with_many_masks(spark):
+    rows = spark.createDataFrame([("10.0.0.5",), ("10.0.1.9",), ("11.0.0.1",), ("host",), ("10.7.5.3",), ("10.7.9.3",)], "ip string")
+    nets = [("10.0.0.0/24",), ("11.0.0.1",), ("10.0.1.8/30",), ("10.0.5.0/255.0.255.0",)]
+    many = nets + [(f"192.168.0.0/255.{i}.{j}.0",) for i in range(8) for j in range(16)]
+    for entries in (nets, many):
+        got = D.in_networks(rows, "ip", spark.createDataFrame(entries, "entry string")).collect()
+        assert sorted(r.ip for r in got) == ["10.0.0.5", "10.0.1.9", "10.7.5.3", "11.0.0.1"]
 
 
 def test_generated_ids_are_fresh(tables):
@@ -125,3 +136,41 @@ def test_merge_applied(spark):
     new = spark.createDataFrame([("wc.1", "block", "b", None, "T2", None), ("wc.2", "allow", "c", None, "N", None), ("lc.9", "x", "x", None, "x", None)], schema)
     got = {r.sid: (r.url, r.title_en, r.title_de) for r in apply_merge(current, new).collect()}
     assert got == {"wc.1": ("b", "T2", "D"), "wc.2": ("c", "N", None), "lc.9": ("l", "L", None)}
+
+
+def test_row_numbers_with_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (1, 5), (1, 3), (2, None), (None, 7)], "g int, o int")
+    got = sorted((str(r.g), str(r.o), r.rn) for r in with_row_number(rows, ["o"], ["g"]).collect())
+    assert got == [("1", "3", 2), ("1", "5", 3), ("1", "None", 1), ("2", "None", 1), ("None", "7", 1)]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    import pytest
+
+    from millrace.session import shared_dir
+
+    class Named:
+        def __init__(self, master):
+            self.master, self.conf, self.sparkContext, self.applicationId = master, self, self, "app"
+
+        def get(self, *args):
+            return None
+
+        def set(self, *args):
+            pass
+
+        def getConf(self):
+            return self
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Named("spark://host:7077"))
+    assert shared_dir(Named("local[4]"))
+
+
+def test_entities_and_long_header_names(spark, evaluate):
+    from millrace.functions.text import resolve_entities
+    from millrace.operators.ratings import from_headers
+
+    assert evaluate(["&#128512;&#x1F600;&#65;", "&#1114112;&#xD800;"], resolve_entities) == ["😀😀A", ""]
+    headers = F.array(F.struct(F.lit("X-Rating-" + "n" * 130).alias("name"), F.lit("v").alias("value")))
+    assert spark.range(1).select(from_headers(headers)[0]["name"]).first()[0] == "n" * 130
