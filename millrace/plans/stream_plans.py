@@ -12,18 +12,20 @@ from millrace.session import fresh_path
 from millrace.streaming import jobs as J
 
 
-def staged(t, rows, name, files_per_trigger=None):
-    """The rows as a file stream."""
+def staged(t, rows, name, files_per_trigger=None, last=None):
+    """The rows as a file stream, with rows that come after all others."""
     path = fresh_path(t.spark, name)
     rows.write.parquet(path)
+    if last is not None:
+        last.write.mode("append").parquet(path)
     return J.file_stream(t.spark, path, rows.schema, files_per_trigger)
 
 
 @query("stream_verdict")
 def stream_verdict(t):
-    """Requests judged as they come: list domains are a static side, everything else is tested in place."""
+    """Requests judged as they come, every batch against the lists as tables."""
     stream = staged(t, t.requests, "requests")
-    return J.run_to_files(V.verdicts(t, stream).select("req_id", "verdict", "list_class", "sid", "document"), "verdicts")
+    return J.run_batches(stream, "verdicts", lambda batch: V.verdicts(t, batch).select("req_id", "verdict", "list_class", "sid", "document"))
 
 
 SQL["stream_verdict"] = SQL["url_verdict"]
@@ -40,8 +42,7 @@ def stream_throughput(t):
   SELECT endpoint, min(t_us) AS start_us, max(t_us) + 300000000 AS end_us, count(*) AS requests FROM s GROUP BY endpoint, n""")
 def stream_sessions(t):
     rows = t.requests.select("ts", "url")
-    closed = J.run_to_files(J.sessions(staged(t, rows, "visits")), "sessions")
-    return closed.unionByName(J.open_sessions(rows))
+    return J.run_to_files(J.sessions(staged(t, rows, "visits", last=J.closing_row(rows, "ts"))), "sessions")
 
 
 TTL_SQL = """WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at_us, req_id) AS rn FROM lookups),
@@ -59,10 +60,11 @@ def stream_ttl_cache(t):
     return J.run_to_files(J.ttl_cache(staged(t, t.lookups, "lookups")), "cache")
 
 
-@query("stream_coalesce", sql="SELECT host FROM (SELECT DISTINCT host FROM lookups)")
+@query("stream_coalesce", sql="""SELECT host, req_id FROM (SELECT *, at_us - lag(at_us) OVER (PARTITION BY host ORDER BY at_us, req_id) AS gap FROM lookups)
+  WHERE gap IS NULL OR gap >= 600000000""")
 def stream_coalesce(t):
-    """All lookups come in one batch, so of each host one is left."""
-    return J.run_to_files(J.coalesce_lookups(staged(t, t.lookups, "pending")), "coalesced").select("host")
+    rows = t.lookups
+    return J.run_to_files(J.coalesce_lookups(staged(t, rows, "pending", last=J.closing_row(rows, "at_us", micros=True))), "coalesced")
 
 
 @query("stream_overlap_scan", sql=f"SELECT doc_id AS stream_id, name FROM documents JOIN {V.values(P.SIGNATURES)} s(name, sig) ON contains(text, sig)")

@@ -15,6 +15,7 @@ from millrace.session import fresh_path
 
 # Seconds of a throughput window, idle seconds that end a session, chunk and overlap sizes.
 WINDOW_SECONDS, IDLE_SECONDS = 5, 300
+PENDING_SECONDS = 600
 CHUNK_CHARS, OVERLAP_CHARS = 4096, 1024
 
 
@@ -28,6 +29,20 @@ def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_batches(stream: DataFrame, name: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a job on every batch of a stream, write its rows and return them."""
+    spark = stream.sparkSession
+    out, checkpoint = fresh_path(spark, name), fresh_path(spark, name + "-checkpoint")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        # one folder per batch: a repeated batch replaces its own rows only
+        job(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Run an aggregating stream in update mode; of each key the row of the last batch is returned."""
     spark = stream.sparkSession
@@ -75,11 +90,10 @@ def sessions(requests: DataFrame, delay: str = "1 minute") -> DataFrame:
     return rows.select("endpoint", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "requests")
 
 
-def open_sessions(requests: DataFrame, delay_us: int = 60_000_000) -> DataFrame:
-    """The sessions a stream has not closed yet: those that end behind its watermark."""
-    last = requests.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("m")).first().m
-    # watermarks are kept in whole milliseconds
-    return sessions(requests).where(F.col("end_us") > ((last - delay_us) // 1000) * 1000)
+def closing_row(rows: DataFrame, at: str, micros: bool = False) -> DataFrame:
+    """One row a day after all others: it moves the watermark beyond every open session and stays open itself."""
+    value = (F.max(at) + 86_400_000_000 if micros else F.max(at) + F.expr("INTERVAL 1 DAY")).alias(at)
+    return rows.agg(value).select(*[F.col(at) if c == at else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
 
 
 def ttl_states(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -105,22 +119,30 @@ def ttl_cache(lookups: DataFrame) -> DataFrame:
     )
 
 
-def coalesce_lookups(lookups: DataFrame, window: str = "10 minutes") -> DataFrame:
-    """One lookup per host while another one for it is under way."""
-    timed = lookups.withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", window)
-    return timed.dropDuplicatesWithinWatermark(["host"]).select("host", "req_id")
+def coalesce_lookups(lookups: DataFrame, pending: int = PENDING_SECONDS) -> DataFrame:
+    """host, req_id of the first lookup of every run of lookups for a host that come while one is under way.
+
+    By event time: the result does not depend on how rows fall into batches. A run ends when no lookup comes for
+    ``pending`` seconds.
+    """
+    timed = lookups.withColumn("ts", F.timestamp_micros("at_us"))
+    if timed.isStreaming:
+        timed = timed.withWatermark("ts", "1 minute")
+    runs = timed.groupBy(F.session_window("ts", f"{pending} seconds").alias("w"), "host").agg(F.min(F.struct("at_us", "req_id")).alias("first"))
+    return runs.select("host", "first.req_id")
 
 
-def chunk_hits(chunks: DataFrame, signatures: Sequence[tuple[str, str]]) -> DataFrame:
+def chunk_hits(chunks: DataFrame, signatures: Sequence[tuple[str, str]], apart: str = "1 hour") -> DataFrame:
     """stream_id, name of signatures found in bodies that come in chunks, also across a chunk border.
 
     Hits inside a chunk need no state. For borders each chunk is joined with its follower on stream and
     number, so even one endless stream is spread over all tasks; only the ends of the chunks travel. No
-    signature may be longer than the overlap or than a chunk.
+    signature may be longer than the overlap or than a chunk. In a stream neighbours may be ``apart`` in time,
+    which bounds the state; a table has no such bound.
     """
     if any(len(s) > OVERLAP_CHARS for _, s in signatures):
         raise ValueError("signature longer than the overlap")
-    rows = chunks.withWatermark("ts", "1 hour") if chunks.isStreaming else chunks
+    rows = chunks.withWatermark("ts", apart) if chunks.isStreaming else chunks
 
     def names(tests: list[Column]) -> Column:
         return F.array_compact(F.array(*[F.when(test, F.lit(n)) for (n, _), test in zip(signatures, tests)]))
@@ -131,7 +153,8 @@ def chunk_hits(chunks: DataFrame, signatures: Sequence[tuple[str, str]]) -> Data
         F.col("stream_id").alias("t_stream"), (F.col("seq") + 1).alias("t_seq"), F.col("ts").alias("t_ts"), F.right("text", F.lit(longest)).alias("tail")
     )
     heads = rows.select("stream_id", "seq", "ts", F.left("text", F.lit(longest)).alias("head"))
-    near = F.expr("stream_id = t_stream AND seq = t_seq AND t_ts BETWEEN ts - INTERVAL 1 HOUR AND ts + INTERVAL 1 HOUR")
+    bound = f" AND t_ts BETWEEN ts - INTERVAL {apart} AND ts + INTERVAL {apart}" if chunks.isStreaming else ""
+    near = F.expr("stream_id = t_stream AND seq = t_seq" + bound)
     borders = heads.join(tails, near)
     crossing = [F.contains(F.concat(F.right("tail", F.lit(len(s) - 1)), F.left("head", F.lit(len(s) - 1))), F.lit(s)) for _, s in signatures]
     return inside.unionByName(borders.select("stream_id", F.explode(names(crossing)).alias("name")))

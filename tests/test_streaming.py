@@ -25,10 +25,19 @@ def test_throughput_over_several_batches(tables, spark):
 
 def test_sessions_over_several_batches(tables, spark):
     rows = tables.requests.select("req_id", "ts", "url")
-    stream = in_files(spark, rows, "s", ["req_id < 300", "req_id BETWEEN 300 AND 700", "req_id > 700"])
-    closed = J.run_to_files(J.sessions(stream.select("ts", "url")), "s")
-    assert closed.count() > 0
-    assert same(closed.unionByName(J.open_sessions(rows)), J.sessions(rows))
+    both = rows.unionByName(J.closing_row(rows, "ts"))
+    parts = ["req_id < 300", "req_id BETWEEN 300 AND 700", "req_id > 700", "req_id IS NULL"]
+    got = J.run_to_files(J.sessions(in_files(spark, both, "s", parts).select("ts", "url")), "s")
+    assert got.count() > 0 and same(got, J.sessions(rows))
+
+
+def test_lookups_under_way_whatever_the_batches(spark):
+    day = 86_400_000_000
+    rows = spark.createDataFrame([(k, "h", k * day, "found") for k in range(6)] + [(10 + k, "g", k * 300_000_000, "found") for k in range(6)], "req_id long, host string, at_us long, kind string")
+    both = rows.unionByName(J.closing_row(rows, "at_us", micros=True))
+    for parts in (["true"], ["at_us < 100000000000", "at_us >= 100000000000"]):
+        got = J.run_to_files(J.coalesce_lookups(in_files(spark, both, "l", parts)), "l").collect()
+        assert sorted(r.req_id for r in got) == [0, 1, 2, 3, 4, 5, 10]
 
 
 def test_cache_keeps_its_state_between_batches(tables, spark):
