@@ -29,10 +29,11 @@ def resolve_entities(text: Column) -> Column:
     named = F.expr(NAMED_ENTITIES)
 
     def char(code: Column) -> Column:
-        # code points beyond the basic plane and surrogates have no single character
-        ok = (code > 0) & (code < 65536) & ~code.between(0xD800, 0xDFFF)
-        hex4 = F.lpad(F.hex(code), 4, "0")
-        return F.when(ok, F.decode(F.unhex(hex4), "UTF-16BE")).otherwise("")
+        ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        # beyond the basic plane a character is two units of UTF-16
+        pair = (F.lit(0xD800) + F.shiftright(code - 0x10000, 10)) * 0x10000 + F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
+        digits = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.hex(pair))
+        return F.when(ok, F.decode(F.unhex(digits), "UTF-16BE")).otherwise("")
 
     def resolved(entity: Column) -> Column:
         hexed = F.regexp_extract(entity, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)

@@ -17,28 +17,22 @@ MAX_HOPS = 15
 SINGLETONS = ["SOA", "NXT", "DNAME", "NSEC"]
 # Open connections per endpoint, by protocol version.
 CONNECTIONS = {"HTTP/1.1": 40, "HTTP/1.0": 60}
-MASK_LIMIT = 64
 
 
 def in_networks(rows: DataFrame, ip: str, entries: DataFrame) -> DataFrame:
     """Rows whose address is a listed host or lies in a listed network.
 
-    An address masked by a network's mask equals the network, so every mask in use makes an equi-join
-    key. Only distinct addresses are tested. With more masks than MASK_LIMIT, ranges are compared.
+    An address without the bits that a network leaves open equals the network, so every mask in use makes an
+    equi-join key (33 with plain masks; any others are those the list names). Only distinct addresses are tested.
     """
     addresses = rows.select(F.col(ip).alias("_ip")).distinct().withColumn("_n", N.ip_to_long(F.col("_ip")))
     ranges = entries.select(F.trim("entry").alias("entry")).select("entry", N.net_range(F.col("entry")).alias("r"))
-    nets = ranges.where(F.col("r").isNotNull()).select("r.lo", "r.hi").distinct()
+    nets = ranges.where(F.col("r").isNotNull()).select(F.col("r.lo").alias("_net"), (F.col("r.hi") - F.col("r.lo")).alias("_size")).distinct()
     hosts = ranges.where(N.is_valid_ip(F.col("entry"))).select(F.col("entry").alias("_ip"))
-    sizes = [r.size for r in nets.select((F.col("hi") - F.col("lo")).alias("size")).distinct().limit(MASK_LIMIT + 1).collect()]
-    if len(sizes) > MASK_LIMIT:
-        by_net = addresses.join(nets, (F.col("_n") >= F.col("lo")) & (F.col("_n") <= F.col("hi")), "left_semi")
-    else:
-        masks = F.array(*[F.lit(s).cast("bigint") for s in sizes])
-        keyed = nets.select(F.col("lo").alias("_net"), (F.col("hi") - F.col("lo")).alias("_size"))
-        probes = addresses.where(F.col("_n").isNotNull()).select("_ip", "_n", F.explode(masks).alias("_size"))
-        probes = probes.withColumn("_net", F.col("_n").bitwiseAND(F.lit(4294967295) - F.col("_size")))
-        by_net = probes.join(keyed, ["_net", "_size"], "left_semi")
+    masks = F.array(*[F.lit(r["_size"]) for r in nets.select("_size").distinct().collect()]).cast("array<bigint>")
+    probes = addresses.where(F.col("_n").isNotNull()).select("_ip", "_n", F.explode(masks).alias("_size"))
+    probes = probes.withColumn("_net", F.col("_n").bitwiseAND(F.lit(4294967295) - F.col("_size")))
+    by_net = probes.join(nets, ["_net", "_size"], "left_semi")
     found = by_net.select("_ip").union(addresses.join(hosts, "_ip", "left_semi").select("_ip")).distinct()
     return rows.join(found, rows[ip] == found["_ip"], "left_semi")
 

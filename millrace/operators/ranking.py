@@ -7,20 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, BUCKETS = 4096, 64
+# Rows of a bucket at most in the mean, buckets at least and at most, sampled rows for each boundary.
+ROWS, FEW, MANY, EACH = 500_000, 64, 4096, 32
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rn", total: str | None = None) -> DataFrame:
     """Add ``out``, the 1-based position in ``order`` inside each group, and ``total``, the group size.
 
     ``order`` must be a total order. Rows are cut into ordered buckets by boundaries taken from a bounded
-    random sample; a hot group is spread over all its buckets. The number is the position in the bucket
+    random sample, more for more rows; a hot group is spread over all its buckets. The number is the position in the bucket
     plus the sizes of the buckets before it, so only bucket counts are brought together.
     """
     key = F.struct(*order)
-    sample = df.select(key.alias("k")).orderBy(F.rand(7)).limit(SAMPLE).collect()
-    cuts = sorted({tuple(r.k) for r in sample})
-    step = max(1, len(cuts) // BUCKETS)
+    buckets = min(MANY, max(FEW, df.count() // ROWS))
+    sample = df.select(key.alias("k")).orderBy(F.rand(7)).limit(buckets * EACH).collect()
+    cuts = sorted({tuple(r.k) for r in sample}, key=lambda k: tuple((v is not None, v) for v in k))  # nulls first, as in Spark
+    step = max(1, len(cuts) // buckets)
     bounds = cuts[step::step]
     bucket = F.lit(0)
     if bounds:

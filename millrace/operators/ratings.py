@@ -66,7 +66,7 @@ def long_form(ratings: DataFrame) -> DataFrame:
 def from_headers(headers: Column) -> Column:
     """array<struct<name,value>> of the X-Rating-* headers, names in lower case without the prefix."""
     own = F.filter(headers, lambda h: F.startswith(F.lower(h["name"]), F.lit("x-rating-")))
-    return F.transform(own, lambda h: F.struct(F.substring(F.lower(h["name"]), 10, 100).alias("name"), h["value"].alias("value")))
+    return F.transform(own, lambda h: F.struct(F.substr(F.lower(h["name"]), F.lit(10)).alias("name"), h["value"].alias("value")))
 
 
 def from_meta(pages: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def feeds(t):
     """One feed per page: RSS or RDF by page, the description holds escaped HTML of the page and of tag samples."""
     page = t.pages.select("page_id", "url", F.regexp_extract("html", r"(?s)(<h1>.*?</h1>)", 1).alias("h1"))
     rows = page.join(t.tag_samples.select("page_id", F.col("html").alias("sample")), "page_id")
-    html = F.concat("h1", F.lit("<foo>gone</foo><p class='x'>kept <a href='/x' onclick='y'>link</a></p>"), F.substring("sample", 1, 300))
+    html = F.concat("h1", F.lit("<foo>gone</foo><p class='x'>kept <a href='/x' onclick='y'>link</a></p>"), F.col("sample"))
     escaped = F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     item = F.concat(F.lit("<item><title>a & b</title><description>"), escaped, F.lit("</description><link>"), "url", F.lit("</link></item>"))
     rss = F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><rss><channel>'), item, F.lit("</channel></rss>"))
@@ -89,7 +89,7 @@ def feeds(t):
 
 
 FEED_SQL = f"""WITH feed_html AS (SELECT p.page_id, p.url, regexp_extract(p.html, '(?s)(<h1>.*?</h1>)', 1)
-    || '<foo>gone</foo><p class=''x''>kept <a href=''/x'' onclick=''y''>link</a></p>' || substr(s.html, 1, 300) AS html FROM pages p JOIN tag_samples s USING (page_id)),
+    || '<foo>gone</foo><p class=''x''>kept <a href=''/x'' onclick=''y''>link</a></p>' || s.html AS html FROM pages p JOIN tag_samples s USING (page_id)),
 {subset_ctes('feed_html')},
 feed_items AS (SELECT page_id, '<item><title>a &amp; b</title><description><![CDATA[' || s.html || ']]></description><link>' || replace(p.url, '&', '&amp;') || '</link></item>' AS item
   FROM subset s JOIN pages p USING (page_id))

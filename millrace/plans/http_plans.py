@@ -99,10 +99,10 @@ def http_date_parse(t):
       CASE WHEN pos = 16 THEN NULL WHEN contains(value, '"') THEN string_split(value, ' ')[2] ELSE '' END AS agent,
       CASE WHEN pos = 16 THEN NULL WHEN contains(value, '"') THEN string_split(value, '"')[2] ELSE substr(value, 5) END AS text,
       CASE WHEN pos <> 16 AND contains(value, '"') THEN CAST(epoch(strptime(string_split(value, '"')[4], '%a, %d %b %Y %H:%M:%S GMT')) AS BIGINT) END AS date
-      FROM headers WHERE name = 'Warning'""",
+      FROM headers WHERE lower(name) = 'warning'""",
 )
 def http_warning_parse(t):
-    rows = t.headers.where(F.col("name") == "Warning").select("req_id", "pos", H.warning(F.col("value")).alias("w"))
+    rows = t.headers.where(F.lower("name") == "warning").select("req_id", "pos", H.warning(F.col("value")).alias("w"))
     return rows.select("req_id", "pos", "w.code", "w.agent", "w.text", F.unix_seconds("w.date").alias("date"))
 
 
@@ -118,19 +118,19 @@ def content_type_guess(t):
 
 @query(
     "content_charset",
-    sql="""SELECT req_id, CASE WHEN contains(value, 'charset') THEN 'utf-8' END AS charset FROM headers WHERE name = 'Content-Type'""",
+    sql="""SELECT req_id, CASE WHEN contains(value, 'charset') THEN 'utf-8' END AS charset FROM headers WHERE lower(name) = 'content-type'""",
 )
 def content_charset(t):
-    return t.headers.where(F.col("name") == "Content-Type").select("req_id", H.charset(F.col("value")).alias("charset"))
+    return t.headers.where(F.lower("name") == "content-type").select("req_id", H.charset(F.col("value")).alias("charset"))
 
 
 @query(
     "accept_encoding_map",
     sql="""SELECT req_id, lower(trim(string_split(e, ';')[1])) AS encoding, CASE WHEN contains(e, ';') THEN trim(string_split(e, ';')[2]) END AS preference,
-    contains(lower(value), 'gzip') AS gzip FROM (SELECT req_id, value, unnest(string_split(value, ',')) AS e FROM headers WHERE name = 'Accept-Encoding')""",
+    contains(lower(value), 'gzip') AS gzip FROM (SELECT req_id, value, unnest(string_split(value, ',')) AS e FROM headers WHERE lower(name) = 'accept-encoding')""",
 )
 def accept_encoding_map(t):
-    rows = t.headers.where(F.col("name") == "Accept-Encoding")
+    rows = t.headers.where(F.lower("name") == "accept-encoding")
     return rows.select("req_id", H.takes_gzip(F.col("value")).alias("gzip"), F.inline(H.accept_encodings(F.col("value")))).select(
         "req_id", "encoding", "preference", "gzip"
     )

@@ -29,11 +29,17 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster in spark.checkpoint.dir; a local one only when unset."""
+    """The folder named by the cluster in spark.checkpoint.dir; with a local master one of its own when unset.
+
+    On a cluster a machine-local folder would hold a part of the rows on every executor, so there it must be set.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "millrace-" + spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", named)
     return named

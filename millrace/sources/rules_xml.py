@@ -21,7 +21,7 @@ def parse_folders(files: DataFrame) -> DataFrame:
     """One row per rule from rows of (file, xml): folder attributes, order, kind, typed attributes, nested texts.
 
     Rules of all kinds are found in one pass, so their position is the order across kinds. The parts of a
-    large folder count on from each other.
+    large folder name their offset, so they count on from each other.
     """
     kinds = "|".join(KINDS)
     element = rf"(?s)<({kinds})\b(?:[^>\"/]+|/(?!>)|\"[^\"]*\")*?(?:/>|>.*?</\1\s*>)"
@@ -33,7 +33,7 @@ def parse_folders(files: DataFrame) -> DataFrame:
     rows = files.where(F.length(F.trim("xml")) > 0).select(
         "file", folder("sid").alias("folder_sid"), folder("oid").try_cast("int").alias("folder_oid"),
         F.coalesce(folder("disable") == "1", F.lit(False)).alias("folder_disable"),
-        F.coalesce(F.regexp_extract("file", r"/part=([0-9]+)/", 1).try_cast("int"), F.lit(0)).alias("part"),
+        F.coalesce(folder("offset").try_cast("bigint"), F.lit(0)).alias("offset"),
         F.posexplode(F.regexp_extract_all("xml", F.lit(element), F.lit(0))).alias("pos", "rule"),
     )
 
@@ -46,11 +46,11 @@ def parse_folders(files: DataFrame) -> DataFrame:
     titles = F.map_from_arrays(F.array_distinct(texts("/*/title/@lang")), F.slice(texts("/*/title/text()"), F.lit(1), F.size(F.array_distinct(texts("/*/title/@lang")))))
     has_titles = F.size(texts("/*/title/@lang")) == F.size(texts("/*/title/text()"))
     return rows.select(
-        "file", "folder_sid", "folder_oid", "folder_disable", (F.col("part") * FOLDER_ROWS + F.col("pos")).alias("oid"),
+        "file", "folder_sid", "folder_oid", "folder_disable", (F.col("offset") + F.col("pos")).alias("oid"),
         F.regexp_extract("rule", r"^<([a-z]+)", 1).alias("kind"), attr("sid").alias("sid"),
         F.coalesce(attr("disable") == "1", F.lit(False)).alias("disable"),
         attr("url").alias("url"), attr("tag").alias("tag"), attr("selector").alias("selector"), attr("search").alias("search"),
-        attr("filename").alias("filename"), attr("header").alias("name"),
+        attr("filename").alias("filename"), attr("name").alias("name"),
         F.when(has_titles, titles).alias("titles"), texts("/*/matchurl/text()").alias("matchurls"),
         texts("/*/nomatchurl/text()").alias("nomatchurls"), texts("/*/mime/text()").alias("mimes"),
         texts("/*/attr/text()").alias("attr_patterns"), F.nullif(F.xpath_string("rule", F.lit("/*/replacement/@part")), F.lit("")).alias("part"),
@@ -89,9 +89,13 @@ def rule_element(kind: Column, attrs: dict[str, Column], titles: dict[str, Colum
     )
 
 
-def write_folders(rules: DataFrame, path: str) -> None:
-    """Write folder files: head, rules in order, end; rules stream through a sort, none is gathered."""
-    ranked = with_row_number(rules, ["oid"], ["folder_sid"]).withColumn("part", F.floor((F.col("rn") - 1) / FOLDER_ROWS))
+def write_folders(rules: DataFrame, path: str, rows: int = FOLDER_ROWS) -> None:
+    """Write folder files: head, rules in order, end; rules stream through a sort, none is gathered.
+
+    A folder of more than ``rows`` rules becomes several files, each with its offset in the head; with a
+    sufficient ``rows`` every folder is one file.
+    """
+    ranked = with_row_number(rules, ["oid"], ["folder_sid"]).withColumn("part", F.floor((F.col("rn") - 1) / rows))
     folder = ["folder_sid", "part", "folder_oid", "folder_disable"]
     body = ranked.select(
         "folder_sid", "part", F.lit(1).alias("place"), F.col("rn").cast("bigint").alias("rn"),
@@ -102,7 +106,8 @@ def write_folders(rules: DataFrame, path: str) -> None:
     )
     head = F.concat(
         F.lit('<?xml version="1.0" encoding="iso-8859-1"?><folder sid="'), escape(F.col("folder_sid")), F.lit('" oid="'),
-        F.col("folder_oid").cast("string"), F.when(F.col("folder_disable"), '" disable="1">').otherwise('">'),
+        F.col("folder_oid").cast("string"), F.when(F.col("part") > 0, F.concat(F.lit('" offset="'), (F.col("part") * rows).cast("string"))).otherwise(""),
+        F.when(F.col("folder_disable"), '" disable="1">').otherwise('">'),
     )
     ends = ranked.select(*folder).distinct().select("folder_sid", "part", F.inline(F.array(
         F.struct(F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("rn"), head.alias("line")),

@@ -9,21 +9,21 @@ from millrace.sources import text_files as S
 
 FOLDER = """<?xml version="1.0" encoding="iso-8859-1"?>
 <!DOCTYPE folder SYSTEM "filter.dtd">
-<folder sid="t.1" oid="3" configversion="0.10">
-<title lang="en">Folder ä</title>
-<block sid="t.2" url="http://ads\\.(x|y)/">
-  <title lang="de">Werbung</title>
-  <title lang="en">Ads &lt;all&gt;</title>
+<folder sid="own.7" oid="12">
+<title lang="en">Größe</title>
+<block sid="own.8" url="http://tracker[0-9]+\\.invalid/">
+  <title lang="fr">Pisteurs</title>
+  <title lang="en">Trackers &lt;and more&gt;</title>
 </block>
-<htmlrewrite sid="t.3" disable="1"
- tag="div">
-  <nomatchurl>good\\.example</nomatchurl>
-  <nomatchurl>fine\\.example</nomatchurl>
-  <attr name="style">display:\\s*none</attr>
-  <replacement part="complete"/>
+<htmlrewrite sid="own.9" disable="1"
+ tag="marquee">
+  <nomatchurl>museum\\.invalid</nomatchurl>
+  <nomatchurl>archive\\.invalid</nomatchurl>
+  <attr name="scrollamount">[0-9]+</attr>
+  <replacement part="tag"/>
 </htmlrewrite>
-<nocomments sid="t.4" />
-<nocomments sid="t.5"><title lang="en">a / b</title></nocomments>
+<nocomments sid="own.10" />
+<header sid="own.11" name="X-Own"><title lang="en">c / d</title></header>
 </folder>
 """
 
@@ -32,9 +32,9 @@ def test_rule_folders(spark, tmp_path):
     (tmp_path / "a.zap").write_text(FOLDER, encoding="iso-8859-1")
     (tmp_path / "empty.zap").write_text("")
     rows = X.read_folders(spark, str(tmp_path)).orderBy("oid").collect()
-    assert [(r.kind, r.sid, r.oid, r.disable) for r in rows] == [("block", "t.2", 0, False), ("htmlrewrite", "t.3", 1, True), ("nocomments", "t.4", 2, False), ("nocomments", "t.5", 3, False)]
-    assert rows[0].titles == {"de": "Werbung", "en": "Ads <all>"} and rows[0].folder_oid == 3
-    assert rows[1].nomatchurls == ["good\\.example", "fine\\.example"] and rows[1].part == "complete" and rows[1].tag == "div"
+    assert [(r.kind, r.sid, r.oid, r.disable) for r in rows] == [("block", "own.8", 0, False), ("htmlrewrite", "own.9", 1, True), ("nocomments", "own.10", 2, False), ("header", "own.11", 3, False)]
+    assert rows[0].titles == {"fr": "Pisteurs", "en": "Trackers <and more>"} and rows[0].folder_oid == 12 and rows[3].name == "X-Own"
+    assert rows[1].nomatchurls == ["museum\\.invalid", "archive\\.invalid"] and rows[1].part == "tag" and rows[1].tag == "marquee"
 
 
 def test_lists(spark, tmp_path):
@@ -59,12 +59,12 @@ def test_wildcards(spark, tmp_path):
 
 def test_rating_stanzas(spark, tmp_path):
     (tmp_path / "rating.txt").write_text(
-        "url http://one.example/\nlanguage 1\ngeneric true\nviolence 1\nmodified 1077986258\nsex 0\nage 10-\n\n"
-        "Age 8-\nURL http://two.example/\nsex 2\ngeneric false\n")
+        "generic true\nage 4-\nmodified 1234567\nsex 1\nurl http://one.example/\nviolence 0\nlanguage 2\n\n"
+        "Sex 0\nAGE 17-\ngeneric false\nURL http://two.example/\n")
     rows = {r.url: r for r in S.read_ratings(spark, str(tmp_path)).collect()}
     one, two = rows["http://one.example/"], rows["http://two.example/"]
-    assert (one.age, one.language, one.violence, one.sex, one.generic, one.modified) == ("10-", "mild", "mild", "none", True, 1077986258)
-    assert (two.age, two.sex, two.language, two.generic) == ("8-", "heavy", None, False)
+    assert (one.age, one.language, one.violence, one.sex, one.generic, one.modified) == ("4-", "heavy", "none", "mild", True, 1234567)
+    assert (two.age, two.sex, two.language, two.generic) == ("17-", "none", None, False)
 
 
 def test_hosts_and_topics(spark, tmp_path):
@@ -88,10 +88,9 @@ def test_signature_levels():
     assert [(r.level, r.test, r.mime) for r in rows] == [(0, "=", ""), (1, ">", "x/one"), (2, "=", "x/two")]
 
 
-def test_large_folders_are_split(spark, tables, tmp_path, monkeypatch):
-    monkeypatch.setattr(X, "FOLDER_ROWS", 7)
+def test_large_folders_are_split(spark, tables, tmp_path):
     rules = tables.rules
-    X.write_folders(rules, str(tmp_path / "out"))
+    X.write_folders(rules, str(tmp_path / "out"), rows=7)
     back = X.read_folders(spark, str(tmp_path / "out"))
     assert back.select("file").distinct().count() > rules.select("folder_sid").distinct().count()
     order = back.orderBy("folder_sid", "oid").select("folder_sid", "kind", "sid").collect()
