@@ -122,19 +122,26 @@ _HOSTS = f"SELECT DISTINCT {_H} AS host FROM {{pages}}"
 
 
 # Domain lists: every host falls into the lists by its name.
-_LISTS = f"""
-SELECT kind, sid, entry FROM (
-  SELECT 'blockdomains' AS kind, 'wc.10' || CAST(length(host) % 3 AS STRING) AS sid, host AS entry FROM {{hosts}}
-  WHERE length(host) % 5 = 0 OR host LIKE 'spam-farm%' OR host LIKE '%cheap-pills%'
-  UNION ALL
-  SELECT 'blockdomains', 'wc.109', host FROM {{hosts}} WHERE length(host) % 10 = 0
-  UNION ALL
-  SELECT 'allowdomains', 'wc.11' || CAST(length(host) % 2 AS STRING), host FROM {{hosts}} WHERE length(host) % 11 = 0
-  UNION ALL
-  SELECT 'blockurls', 'wc.12' || CAST(length(host) % 2 AS STRING), '//' || host || '/fr' FROM {{hosts}} WHERE length(host) % 2 = 0
-  UNION ALL
-  SELECT 'allowurls', 'wc.130', host || '/en/1' FROM {{hosts}} WHERE length(host) % 3 = 0)
-"""
+_LIST_ENTRIES = [
+    ("'blockdomains'", "'wc.10' || CAST(length(host) % 3 AS STRING)", "host", "length(host) % 5 = 0 OR host LIKE 'spam-farm%' OR host LIKE '%cheap-pills%'"),
+    ("'blockdomains'", "'wc.109'", "host", "length(host) % 10 = 0"),
+    ("'allowdomains'", "'wc.11' || CAST(length(host) % 2 AS STRING)", "host", "length(host) % 11 = 0"),
+    ("'blockurls'", "'wc.12' || CAST(length(host) % 2 AS STRING)", "'//' || host || '/fr'", "length(host) % 2 = 0"),
+    ("'allowurls'", "'wc.130'", "host || '/en/1'", "length(host) % 3 = 0"),
+]
+
+
+def _per_host(names: list[str], cases: list[tuple[str, ...]], dialect: str) -> str:
+    """The cases (values and a condition, last) of every host as rows: one scan in Spark, plain selects for the check."""
+    if dialect == "spark":
+        made = [f"CASE WHEN {c[-1]} THEN struct({', '.join(f'{v} AS {n}' for v, n in zip(c, names))}) END" for c in cases]
+        return f"SELECT inline(array_compact(array({', '.join(made)}))) FROM {{hosts}}"
+    return " UNION ALL ".join(f"SELECT {', '.join(f'{v} AS {n}' for v, n in zip(c, names))} FROM {{hosts}} WHERE {c[-1]}" for c in cases)
+
+
+def _lists(dialect: str) -> str:
+    return _per_host(["kind", "sid", "entry"], _LIST_ENTRIES, dialect)
+
 
 # Tags that hit every security check, and harmless ones; each page holds two thirds of them.
 TAG_SAMPLES = [
@@ -231,29 +238,26 @@ _ZONE = "regexp_extract(host, '([^.]+[.][^.]+)$', 1)"
 _BARE = "regexp_replace(host, '^(www|m|blog)[.]', '')"
 
 # Records of the zones of all hosts; seq is the order in which they were added.
-_DNS_RECORDS = f"""
-SELECT zone, name, 'IN' AS rdclass, rdtype, CAST(ttl AS BIGINT) AS ttl, rdata, n * 10 + k AS seq FROM (
-  SELECT {_ZONE} AS zone, {_BARE} AS name, 'A' AS rdtype, 300 + length(host) * 10 AS ttl,
-         '10.9.' || CAST(length(host) AS STRING) || '.' || CAST(ascii(host) AS STRING) AS rdata, length(host) AS n, 0 AS k FROM {{hosts}}
-  UNION ALL
-  SELECT {_ZONE}, {_BARE}, 'A', 120 + length(host), '10.8.0.' || CAST(length(host) AS STRING), length(host), 1 FROM {{hosts}} WHERE length(host) % 3 = 0
-  UNION ALL
-  SELECT {_ZONE}, host, 'CNAME', 60 + length(host), {_BARE}, length(host), 2 FROM {{hosts}} WHERE host <> {_BARE}
-  UNION ALL
-  SELECT {_ZONE}, 'alias.' || host, 'CNAME', 900, host, length(host), 3 FROM {{hosts}}
-  UNION ALL
-  SELECT {_ZONE}, 'deep.alias.' || host, 'CNAME', 30, 'alias.' || host, length(host), 4 FROM {{hosts}} WHERE length(host) % 2 = 0
-  UNION ALL
-  SELECT {_ZONE}, 'loop.' || host, 'CNAME', 5, 'pool.' || host, length(host), 5 FROM {{hosts}} WHERE length(host) % 5 = 0
-  UNION ALL
-  SELECT {_ZONE}, 'pool.' || host, 'CNAME', 5, 'loop.' || host, length(host), 6 FROM {{hosts}} WHERE length(host) % 5 = 0
-  UNION ALL
-  SELECT {_ZONE}, 'gone.' || host, 'CNAME', 5, 'nowhere.' || host, length(host), 7 FROM {{hosts}} WHERE length(host) % 7 = 0
-  UNION ALL
-  SELECT {_ZONE}, {_ZONE}, 'SOA', 3600, 'ns1.' || {_ZONE} || ' admin ' || CAST(length(host) AS STRING), length(host), 8 FROM {{hosts}}
-  UNION ALL
-  SELECT {_ZONE}, {_ZONE}, 'NS', 3600 + length(host), 'ns' || CAST(length(host) % 2 AS STRING) || '.' || {_ZONE}, length(host), 9 FROM {{hosts}} WHERE {_ZONE} <> 'example.org')
-"""
+_N = "length(host)"
+_RECORDS = [
+    (_BARE, "'A'", f"300 + {_N} * 10", f"'10.9.' || CAST({_N} AS STRING) || '.' || CAST(ascii(host) AS STRING)", "true"),
+    (_BARE, "'A'", f"120 + {_N}", f"'10.8.0.' || CAST({_N} AS STRING)", f"{_N} % 3 = 0"),
+    ("host", "'CNAME'", f"60 + {_N}", _BARE, f"host <> {_BARE}"),
+    ("'alias.' || host", "'CNAME'", "900", "host", "true"),
+    ("'deep.alias.' || host", "'CNAME'", "30", "'alias.' || host", f"{_N} % 2 = 0"),
+    ("'loop.' || host", "'CNAME'", "5", "'pool.' || host", f"{_N} % 5 = 0"),
+    ("'pool.' || host", "'CNAME'", "5", "'loop.' || host", f"{_N} % 5 = 0"),
+    ("'gone.' || host", "'CNAME'", "5", "'nowhere.' || host", f"{_N} % 7 = 0"),
+    (_ZONE, "'SOA'", "3600", f"'ns1.' || {_ZONE} || ' admin ' || CAST({_N} AS STRING)", "true"),
+    (_ZONE, "'NS'", f"3600 + {_N}", f"'ns' || CAST({_N} % 2 AS STRING) || '.' || {_ZONE}", f"{_ZONE} <> 'example.org'"),
+]
+
+
+def _dns_records(dialect: str) -> str:
+    names = ["zone", "name", "rdclass", "rdtype", "ttl", "rdata", "seq"]
+    cases = [(_ZONE, name, "'IN'", kind, f"CAST({ttl} AS BIGINT)", rdata, f"{_N} * 10 + {k}", c) for k, (name, kind, ttl, rdata, c) in enumerate(_RECORDS)]
+    return _per_host(names, cases, dialect)
+
 
 _LOOKUPS = f"""
 SELECT req_id, {_H} AS host, {{micros}} AS at_us, CASE WHEN status = 503 THEN 'error' ELSE 'found' END AS kind FROM {{requests}}
@@ -332,7 +336,7 @@ class Tables:
 
     @cached_property
     def dns_records(self) -> DataFrame:
-        return self.sql(_DNS_RECORDS, hosts=self.hosts)
+        return self.sql(_dns_records("spark"), hosts=self.hosts)
 
     @cached_property
     def lookups(self) -> DataFrame:
@@ -356,7 +360,7 @@ class Tables:
 
     @cached_property
     def lists(self) -> DataFrame:
-        return self.sql(_LISTS, hosts=self.hosts)
+        return self.sql(_lists("spark"), hosts=self.hosts)
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -381,8 +385,8 @@ SQL_FIXTURES: dict[str, str] = {
     "headers": _duck(_headers("duckdb")),
     "hosts": _duck(_HOSTS),
     "tag_samples": _duck(_tag_samples()),
-    "lists": _duck(_LISTS),
-    "dns_records": _duck(_DNS_RECORDS),
+    "lists": _duck(_lists("duck")),
+    "dns_records": _duck(_dns_records("duck")),
     "lookups": _duck(_LOOKUPS),
     "transfers": _duck(_TRANSFERS),
     "local_files": _duck(_FILES),
