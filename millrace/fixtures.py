@@ -143,7 +143,7 @@ def _lists(dialect: str) -> str:
     return _per_host(["kind", "sid", "entry"], _LIST_ENTRIES, dialect)
 
 
-# Tags that hit every security check, and harmless ones; each page holds two thirds of them.
+# Tags that hit every security check, and harmless ones; each page ends with most of them.
 TAG_SAMPLES = [
     '<a href="http://x/' + "%" * 12 + '">a</a>',
     '<a href="http://a---b.example/">b</a>',
@@ -183,10 +183,10 @@ TAG_SAMPLES = [
 
 def _tag_samples() -> str:
     parts = " || ".join(
-        "CASE WHEN (page_id + {}) % 3 <> 0 THEN '{}' ELSE '' END".format(i, s.replace("'", "''").replace("{", "{{").replace("}", "}}"))
+        "CASE WHEN (page_id * 7 + length(html) + {}) % 5 <> 0 THEN '{}' ELSE '' END".format(i, s.replace("'", "''").replace("{", "{{").replace("}", "}}"))
         for i, s in enumerate(TAG_SAMPLES)
     )
-    return f"SELECT page_id, url, {parts} AS html FROM {{pages}}"
+    return f"SELECT page_id, url, html || {parts} AS html FROM {{pages}}"
 
 
 RULE_KINDS = [
@@ -309,12 +309,12 @@ class Tables:
     def requests(self) -> DataFrame:
         # a count over parquet is answered from the footers
         text = _REQUESTS.replace("{idiv}", "div").replace("{page_count}", str(self.pages.count()))
-        return self.sql(text, events=self.events, pages=self.pages.select("page_id", "url"))
+        return self.sql(text, events=self.events, pages=self.pages.select("page_id", "url", "html"))
 
     @cached_property
     def url_cases(self) -> DataFrame:
         text = _url_cases("explode(sequence(0, ", "))")
-        return self.sql(text, pages=self.pages.select("page_id", "url"))
+        return self.sql(text, pages=self.pages.select("page_id", "url", "html"))
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -356,7 +356,7 @@ class Tables:
 
     @cached_property
     def tag_samples(self) -> DataFrame:
-        return self.sql(_tag_samples(), pages=self.pages.select("page_id", "url"))
+        return self.sql(_tag_samples(), pages=self.pages.select("page_id", "url", "html"))
 
     @cached_property
     def lists(self) -> DataFrame:

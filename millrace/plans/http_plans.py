@@ -187,6 +187,8 @@ def script_strip_comments(t):
 
 
 SCRIPT_CASES = [("text/javascript", None), ("text/vbscript", None), (None, "JavaScript1.2"), (None, None), ("", "perl"), ("javascript/x", "JavaScript1.5")]
+# script tags of the cases, set behind each page's own text
+SCRIPT_TAGS = "".join("<script" + (f' type="{t}"' if t is not None else "") + (f' language="{n}"' if n is not None else "") + "></script>" for t, n in SCRIPT_CASES)
 
 
 @query(
@@ -194,13 +196,15 @@ SCRIPT_CASES = [("text/javascript", None), ("text/vbscript", None), (None, "Java
     sql=f"""SELECT page_id, CAST(i AS INTEGER) AS pos, coalesce(t, '') = 'text/javascript' OR coalesce(t, '') LIKE 'javascript%' OR lower(coalesce(l, '')) LIKE 'javascript%'
       OR (coalesce(t, '') = '' AND coalesce(l, '') = '') AS is_javascript,
       CAST(coalesce(nullif(regexp_extract(lower(coalesce(l, '')), 'javascript([0-9][.][0-9])', 1), ''), '0.0') AS DOUBLE) AS version
-      FROM pages, {values([(i, a, b) for i, (a, b) in enumerate(SCRIPT_CASES)])} c(i, t, l)""",
+      FROM (SELECT page_id, i - 1 AS i, regexp_extract(a, 'type="([^"]*)"', 1) AS t, regexp_extract(a, 'language="([^"]*)"', 1) AS l FROM
+        (SELECT page_id, unnest(x) AS a, unnest(range(1, len(x) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html || '{SCRIPT_TAGS}', '(?i)<script\\b([^>]*)>', 1) AS x FROM pages)))""",
 )
 def script_language(t):
-    """Each page's script tags with every spelling of the attributes."""
-    cases = F.array(*[F.struct(F.lit(a).cast("string").alias("t"), F.lit(b).cast("string").alias("l")) for a, b in SCRIPT_CASES])
-    rows = t.pages.select("page_id", F.posexplode(cases).alias("pos", "c"))
-    return rows.select("page_id", "pos", X.script_language(F.col("c.t"), F.col("c.l")).alias("s")).select("page_id", "pos", "s.*")
+    """Each page's own script tags and every spelling of the attributes."""
+    tags = F.regexp_extract_all(F.concat("html", F.lit(SCRIPT_TAGS)), F.lit(r"(?i)<script\b([^>]*)>"), F.lit(1))
+    rows = t.pages.select("page_id", F.posexplode(tags).alias("pos", "a"))
+    value = lambda name: F.regexp_extract("a", f'{name}="([^"]*)"', 1)
+    return rows.select("page_id", "pos", X.script_language(value("type"), value("language")).alias("s")).select("page_id", "pos", "s.*")
 
 
 # Address spellings made from the client address; {a} .. {d} are its octets.
