@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.batches import map_batches
 
 #: Entries of each generation of a worker's memory.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Control characters that Python takes for white space and Unicode does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 #: White space as Unicode has it.
