@@ -10,10 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
+# Rows of a bucket in the mean, were all of one key; buckets at least.
+ROWS, FEW = 500_000, 64
 
 
-def last_before(df: DataFrame, key: str, at: str, tie: str, value: Column, out: str, width: int = HOUR_US) -> DataFrame:
+def bucket_width(df: DataFrame, at: Column) -> int:
+    """Width that cuts the whole time line into buckets by the number of rows, an hour at most: a hot hour is cut as well."""
+    n, first, last = df.agg(F.count("*"), F.min(at), F.max(at)).first()
+    return min(HOUR_US, max(1, ((last or 0) - (first or 0)) // max(FEW, n // ROWS)))
+
+
+def last_before(df: DataFrame, key: str, at: str, tie: str, value: Column, out: str, width: int | None = None) -> DataFrame:
     """Add ``out``: struct(at, tie, value) of the row before this one in the time line of its key."""
+    width = width or bucket_width(df, F.col(at))
     mark = F.struct(F.col(at), F.col(tie), value.alias("value"))
     rows = df.withColumn("_bucket", F.floor(F.col(at) / width)).withColumn("_mark", mark)
     inside = Window.partitionBy(key, "_bucket").orderBy(at, tie)
@@ -25,8 +34,9 @@ def last_before(df: DataFrame, key: str, at: str, tie: str, value: Column, out:
     return joined.withColumn(out, F.coalesce("_inside", "_carry")).drop("_bucket", "_mark", "_inside", "_carry")
 
 
-def peak_overlap(spans: DataFrame, key: list[str], start: str, end: str, width: int = HOUR_US) -> DataFrame:
+def peak_overlap(spans: DataFrame, key: list[str], start: str, end: str, width: int | None = None) -> DataFrame:
     """key, peak: the largest number of spans of a key open at once; a span is closed at its end."""
+    width = width or bucket_width(spans, F.col(start))
     steps = F.array(
         F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d"))
     )
