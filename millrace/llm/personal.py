@@ -35,7 +35,7 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 DIGITS = re.compile(r"[0-9]([\x20-]?[0-9])+")
 CALL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 MARKED = re.compile("[0-9@]")
 
 

@@ -41,6 +41,7 @@ def test_base_spans():
         assert [(personal.KINDS[k], a, b) for k, a, b in personal.base_spans(text)[0]] == plain(text), text
     long = "1" * 200_000 + "a" * 200_000 + "@" + "1." * 100_000 + "+1" * 50_000
     assert personal.base_spans(long)[0] is not None
+    assert personal.tokens("b" * 500_000 + " x9 " + "c" * 500_000 + "7") == [(500_001, 500_003), (500_004, 1_000_005)]
 
 
 def test_marginals_against_enumeration():
