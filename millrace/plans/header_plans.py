@@ -8,6 +8,7 @@ from millrace import policy as P
 from millrace.functions.rules import handler_takes_mime
 from millrace.operators import headers as A
 from millrace.plans.http_plans import _handler_sql
+from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 
 
@@ -109,6 +110,6 @@ def header_rules(t):
     host = A.last_value(F.col("request"), "host")
 
     def stage(name):
-        return A.apply_rules(F.col(name), name, F.col("url"), host, P.HEADER_RULES)
+        return A.apply_rules(F.col(name), name, F.col("url"), host, rule_set(t).header_rules)
 
     return rows(t.messages, stage("request"), stage("response"))

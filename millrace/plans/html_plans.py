@@ -8,6 +8,7 @@ from millrace import policy as P
 from millrace import tags as T
 from millrace.operators import html as M
 from millrace.operators import security as S
+from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 
 TOKEN_SQL = M.TOKEN.replace("'", "''")
@@ -100,7 +101,7 @@ def tag_rule_match(t):
     """Start tags with every rule whose tag, attributes and URL scope fit."""
     starts = M.explode_tokens(t.pages.select("page_id", "url", "html"), "url").where(F.col("kind").isin("start", "startend"))
     rows = starts.select("page_id", "url", "pos", "tag", M.attributes(F.col("text")).alias("attrs"))
-    hits = [F.when(M.rule_matches(F.col("tag"), F.col("attrs"), F.col("url"), r), F.lit(r.sid)) for r in P.TAG_RULES]
+    hits = [F.when(M.rule_matches(F.col("tag"), F.col("attrs"), F.col("url"), r), F.lit(r.sid)) for r in rule_set(t).tag_rules]
     return rows.select("page_id", "pos", F.explode(F.array_compact(F.array(*hits))).alias("sid"))
 
 
@@ -119,7 +120,7 @@ REWRITE_CASE = rf"""CASE
   r AS (SELECT page_id, pos, {REWRITE_CASE} AS text FROM tokens)
   SELECT page_id, string_agg(text, '' ORDER BY pos) AS html FROM r GROUP BY page_id""")
 def html_rewrite_tag(t):
-    changed = M.rewrite_start_tags(M.tokens(F.col("html")), F.col("url"), P.TAG_RULES)
+    changed = M.rewrite_start_tags(M.tokens(F.col("html")), F.col("url"), rule_set(t).tag_rules)
     return t.pages.select("page_id", F.array_join(F.transform(changed, lambda x: x["text"]), "").alias("html"))
 
 
@@ -151,7 +152,7 @@ added AS (SELECT page_id, s * 2 + 1 AS pos, CASE tag WHEN 'nav' THEN 'menu' WHEN
 
 @query("html_rewrite_block", sql=f"WITH {token_ctes()}, {BLOCK_CTES} SELECT page_id, html FROM blocks")
 def html_rewrite_block(t):
-    return t.pages.select("page_id", M.rewrite_blocks(M.tokens(F.col("html")), F.col("url"), P.TAG_RULES).alias("html"))
+    return t.pages.select("page_id", M.rewrite_blocks(M.tokens(F.col("html")), F.col("url"), rule_set(t).tag_rules).alias("html"))
 
 
 @query("html_reassemble", sql=f"""WITH {token_ctes('tag_samples')}, {attr_ctes()},
@@ -340,7 +341,7 @@ def text_replace(t):
 
     url = F.expr("'http://site.example' || CASE doc_id % 3 WHEN 0 THEN '/en/' WHEN 1 THEN '/de/' ELSE '/fr/' END")
     mime = F.expr("CASE WHEN doc_id % 5 = 0 THEN 'text/css' ELSE 'text/plain' END")
-    return t.documents.select("doc_id", replace_text(F.col("text"), url, mime, P.TEXT_RULES).alias("text"))
+    return t.documents.select("doc_id", replace_text(F.col("text"), url, mime, rule_set(t).text_rules).alias("text"))
 
 
 # The stages of the cleaning in order; the pages hold no tag with a security finding.

@@ -9,6 +9,7 @@ from millrace.functions import rules as R
 from millrace.functions import urls as U
 from millrace.operators import headers as A
 from millrace.operators import verdict as V
+from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 from millrace.plans.url_plans import HOST, MEDIA_SQL
 
@@ -50,7 +51,7 @@ def block_urls(t):
     {values([(i, r.sid, r.pattern) for i, r in enumerate(P.BLOCK_PATTERNS)])} v(rank, sid, pattern) ON regexp_matches(url, pattern)""",
 )
 def block_patterns(t):
-    return t.requests.select("req_id", F.inline(R.pattern_hits(F.col("url"), P.BLOCK_PATTERNS)))
+    return t.requests.select("req_id", F.inline(R.pattern_hits(F.col("url"), rule_set(t).block_patterns)))
 
 
 def _expand_sql(rule) -> str:
@@ -73,7 +74,7 @@ REPLACEMENT_SQL = (
     sql=f"SELECT req_id, {FIRST_PATTERN_SQL} AS sid, {REPLACEMENT_SQL} AS replacement FROM requests WHERE {FIRST_PATTERN_SQL} IS NOT NULL",
 )
 def block_replacement(t):
-    hits = t.requests.select("req_id", R.first_pattern(F.col("url"), P.BLOCK_PATTERNS).alias("p"))
+    hits = t.requests.select("req_id", R.first_pattern(F.col("url"), rule_set(t).block_patterns).alias("p"))
     return hits.where(F.col("p").isNotNull()).select("req_id", "p.sid", "p.replacement")
 
 
@@ -108,7 +109,7 @@ def verdicts(t, requests=None):
     return V.url_verdict(
         t.requests if requests is None else requests,
         listed(t, "allowdomains"), listed(t, "blockdomains"),
-        url_list(t, "allowurls", P.ALLOW_URLS), url_list(t, "blockurls", P.BLOCK_URLS), P.ALLOW_PATTERNS, P.BLOCK_PATTERNS,
+        url_list(t, "allowurls", P.ALLOW_URLS), url_list(t, "blockurls", P.BLOCK_URLS), rule_set(t).allow_patterns, rule_set(t).block_patterns,
     )
 
 
@@ -153,7 +154,7 @@ def block_hits(t):
     rows = t.requests.select("req_id", "url", U.host(F.col("url")).alias("host"))
     domains = rows.join(listed(t, "blockdomains").withColumnRenamed("entry", "host"), "host").select("req_id", F.lit("domain").alias("list_class"), "sid")
     urls = rows.join(V.substring_pairs(rows, "url", url_list(t, "blockurls", P.BLOCK_URLS)), "url").select("req_id", F.lit("url").alias("list_class"), "sid")
-    patterns = rows.select("req_id", F.lit("pattern").alias("list_class"), F.explode(F.transform(R.pattern_hits(F.col("url"), P.BLOCK_PATTERNS), lambda h: h["sid"])).alias("sid"))
+    patterns = rows.select("req_id", F.lit("pattern").alias("list_class"), F.explode(F.transform(R.pattern_hits(F.col("url"), rule_set(t).block_patterns), lambda h: h["sid"])).alias("sid"))
     return domains.unionByName(urls).unionByName(patterns)
 
 
@@ -210,7 +211,7 @@ def list_difference(t):
 @query("first_rule_match", sql=f"SELECT req_id, {FIRST_PATTERN_SQL} AS sid FROM requests WHERE {FIRST_PATTERN_SQL} IS NOT NULL")
 def first_rule_match(t):
     """First rule in order: the least of the packed (rank, sid) hits, without a shuffle."""
-    first = F.array_min(R.pattern_hits(F.col("url"), P.BLOCK_PATTERNS))["sid"]
+    first = F.array_min(R.pattern_hits(F.col("url"), rule_set(t).block_patterns))["sid"]
     return t.requests.select("req_id", first.alias("sid")).where(F.col("sid").isNotNull())
 
 

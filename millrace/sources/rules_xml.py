@@ -43,6 +43,12 @@ def parse_folders(files: DataFrame) -> DataFrame:
     def texts(path: str) -> Column:
         return F.xpath("rule", F.lit(path))
 
+    elements = F.regexp_extract_all("rule", F.lit(r"(?s)<attr\b[^>]*?/>|<attr\b[^>]*>.*?</attr\s*>"), F.lit(0))
+
+    def named_attr(e: Column) -> Column:
+        name = F.nullif(F.regexp_extract(e, r'^<attr\b[^>]*?\bname="([^"]*)"', 1), F.lit(""))
+        return F.struct(F.coalesce(name, F.lit("href")).alias("name"), unescape(F.regexp_extract(e, r"(?s)>(.*)</attr\s*>$", 1)).alias("pattern"))
+
     titles = F.map_from_arrays(F.array_distinct(texts("/*/title/@lang")), F.slice(texts("/*/title/text()"), F.lit(1), F.size(F.array_distinct(texts("/*/title/@lang")))))
     has_titles = F.size(texts("/*/title/@lang")) == F.size(texts("/*/title/text()"))
     return rows.select(
@@ -53,7 +59,9 @@ def parse_folders(files: DataFrame) -> DataFrame:
         attr("filename").alias("filename"), attr("name").alias("name"),
         F.when(has_titles, titles).alias("titles"), texts("/*/matchurl/text()").alias("matchurls"),
         texts("/*/nomatchurl/text()").alias("nomatchurls"), texts("/*/mime/text()").alias("mimes"),
-        texts("/*/attr/text()").alias("attr_patterns"), F.nullif(F.xpath_string("rule", F.lit("/*/replacement/@part")), F.lit("")).alias("part"),
+        F.transform(elements, named_attr).alias("attrs"), F.nullif(F.xpath_string("rule", F.lit("/*/matchcontent")), F.lit("")).alias("content"),
+        attr("action").alias("action"), attr("filterstage").alias("filterstage"), attr("width").try_cast("int").alias("width"),
+        attr("height").try_cast("int").alias("height"), attr("formats").alias("formats"), F.nullif(F.xpath_string("rule", F.lit("/*/replacement/@part")), F.lit("")).alias("part"),
         F.xpath_string("rule", F.lit("/*/replacement")).alias("replacement"),
     )
 
@@ -72,6 +80,13 @@ def number_folders(rules: DataFrame) -> DataFrame:
     return numbered.select("folder_sid", (F.col("rn") - 1).alias("folder_oid"))
 
 
+def unescape(text: Column) -> Column:
+    out = text
+    for char, name in (("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos"), ("\n", "#10"), ("&", "amp")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
 def escape(text: Column) -> Column:
     out = text
     for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):

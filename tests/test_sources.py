@@ -105,3 +105,23 @@ def test_folder_numbers_and_titles(spark):
     texts = spark.sql("SELECT map('en', 'E', 'de', 'D') AS m UNION ALL SELECT map('fr', 'F') UNION ALL SELECT cast(map() AS map<string,string>)")
     got = texts.select(localised(F.col("m"), "de").alias("t")).collect()
     assert [r.t for r in got] == ["D", "F", ""]
+
+
+def test_rules_of_every_kind_come_back(spark, tables, tmp_path):
+    import pytest
+
+    from millrace import policy as P
+    from millrace.plans.loaded import rule_set
+    from millrace.sources.compiled import RuleSet, compile_rules, write_rule_set
+
+    odd = P.TagRule("o.1", "p", "attr", (("title", ""), ("class", "a<b>&'\"")), "x\ny", "m & n", ("u<v",), ("w",))
+    own = RuleSet(
+        tuple(P.ALLOW_PATTERNS), tuple(P.BLOCK_PATTERNS), tuple(P.HEADER_RULES), tuple(P.TEXT_RULES), (*P.TAG_RULES, odd), tuple(P.IMAGE_RULES)
+    )
+    write_rule_set(spark, own, str(tmp_path / "set"))
+    rows = X.read_folders(spark, str(tmp_path / "set"))
+    assert compile_rules(rows) == own
+    with pytest.raises(ValueError):
+        compile_rules(rows, limit=3)
+    assert compile_rules(rows.withColumn("disable", F.lit(True))) == RuleSet()
+    assert rule_set(tables).tag_rules == tuple(P.TAG_RULES)
