@@ -1,9 +1,11 @@
 """Near-duplicate lines by a segment-partition edit join (operator 8). DataFrame functions only.
 
-A line is dropped if an equal line, or a chain of lines each within ``edits`` edits (insertion, deletion or
+A line is dropped if an equal line, or a chain of lines each within some edits (insertion, deletion or
 substitution of a character) of the next, leads to an earlier line; "earlier" is by document id, then place.
 Blank lines always stay. Lines under ``fuzzy_from`` characters are compared for equality only: a few edits turn
-such a line into any other.
+such a line into any other. How many edits: the ``radius`` of the shorter line, one edit for each ``share`` of its
+characters (at most one for each five of its words beyond four, which step 4 needs), and ``edits`` at least; of
+lines of one length the larger radius holds.
 
 1. Equal lines: thin rows (two hashes of the line, its place) are grouped, all places but the first go.
    What remains are texts in which every line occurs once in the whole table.
@@ -13,7 +15,11 @@ such a line into any other.
 3. Candidates' texts are fetched (others are sifted out by slots of their hash, of which there are at most
    ``SLOTS``), equal ends are trimmed and the rest is compared by bit-parallel edit distance in the diagonal band
    that ``edits`` allows.
-4. Linked lines form components; all but the first line of each go.
+4. Pairs beyond ``edits``: of W words, K edits spoil at most 2K and leave at most K + 1 runs, so with W of 5K + 4 or
+   more a run of four words stays whole. Its two hashed triples of words have the same least one in both lines:
+   lines meet under the least of each two triples next to one another. Lengths may differ by the radius; the texts
+   are compared by Levenshtein distance up to it.
+5. Linked lines form components; all but the first line of each go.
 
 Defined results: null text is empty, and an empty text stays one blank line. Rows that repeat id and text are
 one document and are cut alike. Ids may be null and come first. All columns of the input are kept.
@@ -28,6 +34,8 @@ from millrace.llm.components import components
 from millrace.llm.shared import cut
 
 EDITS, FUZZY_FROM, SLOTS = 1, 24, 1 << 18
+#: Characters of a line for each edit.
+SHARE = 40
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -128,19 +136,57 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
     return F.get(F.transform(F.array(inner), banded), F.lit(0))
 
 
+def radius(line: Column, edits: int, share: int) -> Column:
+    """Edits within which a line is near."""
+    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.greatest(F.lit(edits), F.least(F.floor(F.length(line) / share), F.floor((words - 4) / 5)).cast("int"))
+
+
+def run_keys(line: Column) -> Column:
+    """The least of each two neighbouring hashes of three words; null under four words."""
+    def least(triples: Column) -> Column:
+        return F.array_distinct(F.zip_with(F.slice(triples, 1, F.size(triples) - 1), F.slice(triples, 2, F.size(triples) - 1), lambda p, q: F.least(p, q)))
+
+    def keys(words: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))
+        return F.when(F.size(words) > 3, F.get(F.transform(F.array(triples), least), F.lit(0)))
+
+    return F.get(F.transform(F.array(F.split(line, " ")), keys), F.lit(0))
+
+
+def run_candidates(lines: DataFrame, edits: int, share: int) -> DataFrame:
+    """a, b, reach: hashes of lines that share a run of words, and the edits allowed (more than ``edits``)."""
+    long = lines.where(F.length("line") >= share * (edits + 1))
+    rows = long.select("h1", F.length("line").alias("n"), radius(F.col("line"), edits, share).alias("r"), F.explode(run_keys(F.col("line"))).alias("key"))
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "n", "r"))) for side in "xy")
+    reach = F.when(F.col("n_x") == F.col("n_y"), F.greatest("r_x", "r_y")).otherwise(F.col("r_x"))
+    apart = F.col("n_y") - F.col("n_x")
+    first = (apart > 0) | ((apart == 0) & (F.col("h1_x") < F.col("h1_y")))
+    pairs = left.join(right, "key").where(first & (apart <= reach) & (reach > edits))
+    return pairs.select(F.col("h1_x").alias("a"), F.col("h1_y").alias("b"), reach.alias("reach")).distinct()
+
+
 def slots(ids: DataFrame, name: str) -> DataFrame:
     """The hash slots in use: at most SLOTS rows, whatever the input."""
     return ids.select(F.pmod(F.col(name), F.lit(SLOTS)).cast("int").alias("slot")).distinct()
 
 
-def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """a, b: hashes of lines within ``edits`` edits."""
-    pairs = cut(candidates(lines, edits), "line-pairs")
+def with_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with a_line and b_line."""
     ends = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
     sifted = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(ends, "h1")), "slot", "left_semi")
-    texts = cut(sifted.join(ends, "h1", "left_semi").select("h1", F.split("line", "").alias("chars")).dropDuplicates(["h1"]), "line-texts")
-    left, right = (texts.select(F.col("h1").alias(n), F.col("chars").alias(f"{n}_chars")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b").where(edit_distance(F.col("a_chars"), F.col("b_chars"), edits) <= edits).select("a", "b")
+    texts = cut(sifted.join(ends, "h1", "left_semi").select("h1", "line").dropDuplicates(["h1"]), "line-texts")
+    left, right = (texts.select(F.col("h1").alias(n), F.col("line").alias(f"{n}_line")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def near_lines(lines: DataFrame, edits: int, share: int) -> DataFrame:
+    """a, b: hashes of lines within ``edits`` edits or their radius."""
+    pairs = cut(candidates(lines, edits), "line-pairs")
+    close = with_texts(lines, pairs).where(edit_distance(F.split("a_line", ""), F.split("b_line", ""), edits) <= edits)
+    pairs = cut(run_candidates(lines, edits, share), "run-pairs")
+    far = with_texts(lines, pairs).where(F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), F.col("reach")) >= 0)
+    return close.select("a", "b").union(far.select("a", "b"))
 
 
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -160,7 +206,7 @@ def later(places: DataFrame, keys: list[str]) -> DataFrame:
     return gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"))  # at most the lines of one document
 
 
-def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, share: int = SHARE) -> DataFrame:
     """The rows of ``df`` with ``text`` freed of later duplicates; lines_in and lines_out tell what happened."""
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), F.col(key).alias("id"), body.alias("body"))
@@ -170,7 +216,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_fr
     counted = docs.withColumn("lines_in", F.size(F.split("body", "\n")))
     once = cut(without(counted, later(thin, ["h1", "h2"])), "texts")
     lines = places(once).where(F.length("line") >= fuzzy_from).select("rid", "id", "pos", "line", F.xxhash64("line").alias("h1"))
-    linked = components(near_lines(lines, edits)).select(F.col("node").alias("h1"), "root")
+    linked = components(near_lines(lines, edits, share)).select(F.col("node").alias("h1"), "root")
     sifted = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(linked, "h1")), "slot", "left_semi")
     drops = cut(later(sifted.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
     # most texts have none: only those in a slot of a text that has some are joined

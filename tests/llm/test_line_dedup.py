@@ -107,3 +107,40 @@ def test_query_on_documents(spark):
         gone = [x for x in want[r.doc_id].split("\n") if x not in r.text.split("\n")]
         assert gone and all(any(x != y and abs(len(x) - len(y)) < 2 and distance(x, y) <= 1 for y in seen) for x in gone)
     assert all(r.lines_in == len(dict(docs)[r.doc_id].split("\n")) for r in rows)
+
+
+def edited(rng, line, edits):
+    x = list(line)
+    for _ in range(edits):
+        at = rng.randint(0, len(x))
+        x[at : at + rng.randint(0, 1)] = rng.choice(["", "z", " ", "é", "😀"])
+    return "".join(x)
+
+
+def test_edits_follow_the_length(spark):
+    rng = random.Random(4)
+    lines = []
+    for n in (85, 160, 260, 420):
+        for _ in range(3):
+            line = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n // 5))[:n].strip()
+            lines += [line] + [edited(rng, line, k) for k in (1, 2, n // 40 - 1, n // 40, n // 40 + 1, n // 30, n // 20)]
+    rng.shuffle(lines)
+
+    def radius(x):
+        return max(1, min(len(x) // 40, (x.count(" ") - 3) // 5))
+
+    root = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            r = max(radius(x), radius(y)) if len(x) == len(y) else radius(min(x, y, key=len))
+            if abs(len(x) - len(y)) <= r and distance(x, y) <= r:
+                a, b = sorted([root[i], root[j]])
+                root = [a if v == b else v for v in root]
+    want = sorted(x for i, x in enumerate(lines) if root[i] == i)
+    got = sorted(x for _, t in run(spark, list(enumerate(lines))) for x in [t] if x)
+    assert got == want and len(want) < len(lines) - 30
+
+
+def test_two_typos_in_a_long_line(spark):
+    line = "the quick brown fox jumps over the lazy dog and then runs far away into the deep green forest where nobody has ever seen it come back again before dawn today"
+    assert len(line) < 160 and run(spark, [(1, line), (2, line.replace("quick", "quikc"))]) == [(1, line), (2, "")]
