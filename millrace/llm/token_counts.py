@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_batches
 
-#: Blank runs above this length are encoded in steps: the pattern looks ahead at every place of such a run.
+#: Blank runs from this length on are given to the encoder as the piece they are: the pattern looks ahead at every place of such a run.
 LONG_BLANK = 2_000
+#: Only what the pattern counts as blank: Python's \\s holds four control characters more.
+LONG_BLANKS = regex.compile(rf"\p{{White_Space}}{{{LONG_BLANK},}}")
 
 
 @lru_cache(maxsize=4)
@@ -44,6 +46,19 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encoded(encoder, record: str) -> list[int]:
+    """Ids of the whole record. The pattern takes all of a run of blanks but its last one as a piece (all of it at the record's end)."""
+    if len(record) < LONG_BLANK:
+        return encoder.encode_ordinary(record)
+    ids, at = [], 0
+    for run in LONG_BLANKS.finditer(record):
+        end = run.end() - (run.end() < len(record))
+        ids += encoder.encode_ordinary(record[at : run.start()])
+        ids += encoder._encode_single_piece(record[run.start() : end])
+        at = end
+    return ids + encoder.encode_ordinary(record[at:])
+
+
 def token_spans(ids: np.ndarray, lengths: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and last character (inclusive) of each token."""
     ends = np.cumsum(lengths[ids])
@@ -78,15 +93,8 @@ def token_counts(df: DataFrame, path: str, pattern: str, key: Column, fields: li
 
     def make():
         encoder, lengths = encoding(path, pattern)
-        blanks = regex.compile(rf"(\s{{{LONG_BLANK},}})")
-
         def ids_of(record: str) -> np.ndarray:
-            ids: list[int] = []
-            for part in blanks.split(record) if len(record) >= LONG_BLANK else [record]:
-                size = LONG_BLANK if part.isspace() else max(len(part), 1)
-                for i in range(0, len(part), size):
-                    ids += encoder.encode_ordinary(part[i : i + size])
-            return np.array(ids, np.int64)
+            return np.array(encoded(encoder, record), np.int64)
 
         def step(keys: list, texts: list, *heads: list) -> tuple:
             rows, sizes, section, start, end, counts = [], [], [], [], [], []

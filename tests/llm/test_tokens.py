@@ -101,3 +101,16 @@ def test_token_counts_spans_cover_the_record(spark):
     rows = token_counts.token_counts(df, path, public_tokenizers.PATTERN, F.col("doc_id"), [], F.col("text")).orderBy("section").collect()
     assert [r.start for r in rows] == [0, 3, 50_004] and [r.end for r in rows] == [3, 50_004, 150_005]
     assert token_counts.token_counts(df.limit(0), path, public_tokenizers.PATTERN, F.col("doc_id"), [], F.col("text")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1_999, 2_000, 2_001, 20_000])
+def test_long_blanks_are_encoded_as_in_the_whole(spark, n):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder, _ = token_counts.encoding(path, public_tokenizers.PATTERN)
+    runs = [" " * n, "\t" * n, "\n" * n, "\u3000" * n, " \n" * (n // 2), "\x1c" * n, " " * (n - 1) + "\n"]
+    texts = [a + run + b for run in runs for a, b in (("word", "hello there"), ("", "1"), ("a!", ""), ("word", run[:3] + "\x1c" + run + "!x"))]
+    for text in texts:
+        assert token_counts.encoded(encoder, text) == encoder.encode_ordinary(text)
+    df = spark.createDataFrame([(0, "word" + " " * n + "hello there")], "doc_id long, text string")
+    got = token_counts.token_counts(df, path, public_tokenizers.PATTERN, F.col("doc_id"), [], F.col("text")).first().n_tokens
+    assert got == len(encoder.encode_ordinary("word" + " " * n + "hello there"))
