@@ -3,46 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of a bucket at most in the mean, buckets at least and at most, sampled rows for each boundary.
-ROWS, FEW, MANY, EACH = 500_000, 64, 4096, 32
+from millrace.session import fresh_path
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rn", total: str | None = None) -> DataFrame:
     """Add ``out``, the 1-based position in ``order`` inside each group, and ``total``, the group size.
 
-    ``order`` must be a total order. Rows are cut into ordered buckets by boundaries taken from a bounded
-    random sample, more for more rows; a hot group is spread over all its buckets. The number is the position in the bucket
-    plus the sizes of the buckets before it, so only bucket counts are brought together.
+    ``order`` must be a total order. One range exchange on group and order deals the rows into sorted partitions of
+    about equal size, as many as the session shuffles into, so a hot group is spread over several. The partitions are
+    written to the shared folder with the place of each row, because the bounds of a range exchange come from a sample
+    that another run would draw anew. Counts by partition and group give what stands before each of them: the number
+    is that sum and the place inside. Only counts are brought together.
     """
-    key = F.struct(*order)
-    buckets = min(MANY, max(FEW, df.count() // ROWS))
-    sample = df.select(key.alias("k")).orderBy(F.rand(7)).limit(buckets * EACH).collect()
-    cuts = sorted({tuple(r.k) for r in sample}, key=lambda k: tuple((v is not None, v) for v in k))  # nulls first, as in Spark
-    step = max(1, len(cuts) // buckets)
-    bounds = cuts[step::step]
-    bucket = F.lit(0)
-    if bounds:
-        fields = df.select(*order).schema.fields
-        literals = F.array(*[
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields)]) for b in bounds
-        ])
-        bucket = F.size(F.filter(literals, lambda b: b <= key))
-    rows = df.withColumn("_bucket", bucket)
-    parts = [*group, "_bucket"]
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*parts).agg(F.count("*").alias("_n"))
+    by = [*group, *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    path = fresh_path(df.sparkSession, "ranged")
+    placed.write.parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+    parts = [*group, "_part"]
+    sizes = rows.groupBy(*parts).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if total:
         sizes = sizes.withColumn(total, F.sum("_n").over(Window.partitionBy(*group)))
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-    keys = [numbered[c].eqNullSafe(sizes[c]) for c in parts]
-    condition = keys[0]
-    for k in keys[1:]:
-        condition = condition & k
-    joined = numbered.join(sizes, condition)
-    extra = [sizes[total]] if total else []
-    return joined.select(*[numbered[c] for c in df.columns], (numbered["_rn"] + sizes["_before"]).alias(out), *extra)
+    named = {c: f"_of_{c}" for c in parts}
+    joined = rows.join(sizes.withColumnsRenamed(named), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]))
+    return joined.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(out), *([total] if total else []))

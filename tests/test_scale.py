@@ -75,6 +75,20 @@ def test_row_numbers_of_a_hot_group(spark):
         assert {r.n for r in group} == {len(group)}
 
 
+def test_row_numbers_over_many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("o"), F.lit("x").alias("extra"))
+        ranked = with_row_number(rows, ["o"], total="n")
+        got = ranked.orderBy("o").collect()
+        assert [r.rn for r in got] == list(range(1, 5001)) and {r.n for r in got} == {5000}
+        hot = with_row_number(rows.withColumn("g", F.when(F.col("o") % 3 == 0, F.col("o") % 5).otherwise(99)), ["o"], ["g"]).where("g = 99").orderBy("o").collect()
+        assert [r.rn for r in hot] == list(range(1, len(hot) + 1))
+        assert with_row_number(rows.limit(0), ["o"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def random_lookups(n=2000):
     rng = random.Random(5)
     return [(i, "hot" if rng.random() < 0.4 else f"h{rng.randrange(9)}", rng.randrange(20 * L.HOUR_US), rng.choice(["found", "found", "error"])) for i in range(n)]
