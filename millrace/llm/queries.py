@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, line_dedup, lm, personal, quality, simhash, token_counts, topk
+from millrace.llm import bpe, chat, decontaminate, line_dedup, lm, personal, quality, resample, simhash, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,3 +151,51 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = lm.scores(docs, F.col("doc_id"), F.col("text"), ~kept_out(10), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return got.withColumnRenamed("key", "doc_id").withColumn("held_out", kept_out(10))
+
+
+# fixed values: the checksum's remainders of the sixteen half bytes
+NIBBLES = """0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108"""
+
+
+@query(
+    "op13_resample",
+    rf"""
+    WITH said AS (
+      SELECT row_number() OVER () AS row, true AS here, doc_id, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT row_number() OVER (), false, NULL, coalesce(text, '') FROM benchmark),
+    worded AS (
+      SELECT row, here, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM said),
+    runs AS (
+      SELECT row, here, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM worded),
+    counts AS (SELECT row, here, f, count(*) AS n FROM runs GROUP BY ALL),
+    features AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM counts),
+    sums AS (
+      SELECT f, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(1, len(x) + 1), lambda i: instr('0123456789ABCDEF', x[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1)),
+        lambda c, b: xor([{NIBBLES}][CAST((xor(c, b) & 15) + 1 AS INTEGER)], c >> 4))) % {resample.BUCKETS} AS bucket
+      FROM features),
+    found AS (SELECT row, here, bucket, n FROM counts JOIN sums USING (f)),
+    filled AS (
+      SELECT b AS bucket, coalesce(sum(n) FILTER (here), 0) AS s, coalesce(sum(n) FILTER (NOT here), 0) AS t
+      FROM range({resample.BUCKETS}) r(b) LEFT JOIN found ON bucket = b GROUP BY b),
+    gains AS (
+      SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {resample.BUCKETS})::DOUBLE
+        / ((s + 1)::DOUBLE * (sum(t) OVER () + {resample.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM filled),
+    weights AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) WHERE here GROUP BY row),
+    scored AS (
+      SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || left(sha256('{resample.SEED}:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM worded d LEFT JOIN weights USING (row) WHERE d.here),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY words >= {resample.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (words >= {resample.LEAST_WORDS}) OVER () AS able FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN words >= {resample.LEAST_WORDS} AND place <= {resample.PERCENT} * able // 100 THEN place END AS rank
+    FROM ranked
+    """,
+)
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), F.col("doc_id"), F.col("text"), F.col("text"))
+    return got.withColumnRenamed("key", "doc_id")
