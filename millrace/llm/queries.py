@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, line_dedup, lm, personal, quality, resample, simhash, token_counts, topk
+from millrace.llm import bpe, chat, decontaminate, line_dedup, lm, personal, quality, resample, simhash, token_counts, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -199,3 +199,8 @@ NIBBLES = """0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), F.col("doc_id"), F.col("text"), F.col("text"))
     return got.withColumnRenamed("key", "doc_id")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding")).withColumnRenamed("key", "vec_id")
