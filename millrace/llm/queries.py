@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, line_dedup, lm, personal, quality, resample, simhash, token_counts, topk, whitening
+from millrace.llm import bpe, chat, decontaminate, licenses, line_dedup, lm, personal, quality, resample, simhash, token_counts, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,3 +204,15 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_whitening")
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding")).withColumnRenamed("key", "vec_id")
+
+
+@query("op12_licenses")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first"])
+    return got.select(
+        F.col("key").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), told(base).alias("base_labels"), told(F.col("spans")).alias("labels"), "score",
+    )
