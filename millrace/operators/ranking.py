@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 from millrace.session import fresh_path
 
 
-def with_row_number(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rn", total: str | None = None) -> DataFrame:
-    """Add ``out``, the 1-based position in ``order`` inside each group, and ``total``, the group size.
+def placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows in the order of ``by``, dealt by a range exchange: ``_part`` is the number of the partition, ``_at`` the place inside.
 
-    ``order`` must be a total order. One range exchange on group and order deals the rows into sorted partitions of
-    about equal size, as many as the session shuffles into, so a hot group is spread over several. The partitions are
-    written to the shared folder with the place of each row, because the bounds of a range exchange come from a sample
-    that another run would draw anew. Counts by partition and group give what stands before each of them: the number
-    is that sum and the place inside. Only counts are brought together.
+    Partitions have about equal sizes and follow one another, as many as the session shuffles into. They are written to
+    the shared folder, because the bounds of a range exchange come from a sample that another run would draw anew.
     """
-    by = [*group, *order]
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     path = fresh_path(df.sparkSession, "ranged")
-    placed.write.parquet(path)
-    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def with_row_number(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rn", total: str | None = None) -> DataFrame:
+    """Add ``out``, the 1-based position in ``order`` inside each group, and ``total``, the group size.
+
+    ``order`` must be a total order. One range exchange on group and order deals the rows into sorted partitions, so a
+    hot group is spread over several. Counts by partition and group give what stands before each of them: the number is
+    that sum and the place inside. Only counts are brought together.
+    """
+    rows = placed(df, [*group, *order])
     parts = [*group, "_part"]
     sizes = rows.groupBy(*parts).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

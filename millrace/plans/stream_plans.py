@@ -57,7 +57,7 @@ TTL_SQL = """WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY host
 
 @query("stream_ttl_cache", sql=TTL_SQL)
 def stream_ttl_cache(t):
-    return J.run_to_files(J.ttl_cache(staged(t, t.lookups, "lookups")), "cache")
+    return J.run_ttl_cache(staged(t, t.lookups, "lookups"), "cache")
 
 
 @query("stream_coalesce", sql="""SELECT host, req_id FROM (SELECT *, at_us - lag(at_us) OVER (PARTITION BY host ORDER BY at_us, req_id) AS gap FROM lookups)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions import urls as U
-from millrace.operators.dns import ANSWER_TTL
+from millrace.operators.ttl import ttl_states
 from millrace.session import fresh_path
 
 # Seconds of a throughput window, idle seconds that end a session, chunk and overlap sizes.
@@ -96,27 +94,30 @@ def closing_row(rows: DataFrame, at: str, micros: bool = False) -> DataFrame:
     return rows.agg(value).select(*[F.col(at) if c == at else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
 
 
-def ttl_states(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Cache of one host: a found answer is kept ANSWER_TTL, an error not at all; a stale one is served while refreshing."""
-    kind, expires = state.get if state.exists else ("none", 0)
-    rows = pd.concat(list(batches)).sort_values(["at_us", "req_id"])
-    out = []
-    for req_id, at, answer in zip(rows.req_id, rows.at_us, rows.kind):
-        if kind == "found" and at < expires:
-            out.append("hit")
-            continue
-        out.append("stale" if kind == "found" else "miss")
-        kind = answer
-        expires = at + (ANSWER_TTL * 1_000_000 if answer == "found" else 0)
-    state.update((kind, int(expires)))
-    yield pd.DataFrame({"req_id": rows.req_id, "host": key[0], "state": out})
-
-
-def ttl_cache(lookups: DataFrame) -> DataFrame:
-    """req_id, host, state (hit, stale, miss) of a stream of lookups; the state of a host is two values."""
-    return lookups.groupBy("host").applyInPandasWithState(
-        ttl_states, "req_id bigint, host string, state string", "kind string, expires bigint", "append", GroupStateTimeout.NoTimeout
-    )
+def run_ttl_cache(stream: DataFrame, name: str, forget: int | None = None) -> DataFrame:
+    """req_id, host, state (hit, stale, miss) of a stream of lookups.
+
+    The cache is a table of host and expiry: each batch reads the version that the batch before has written, judges its
+    lookups as a table and writes the next version, so the state of a host is two values and a repeated batch gives the
+    same rows. Expired answers are served while they are refreshed; with ``forget`` (seconds) those that expired longer
+    than that before the latest lookup are dropped, which bounds the state.
+    """
+    spark = stream.sparkSession
+    out, held, checkpoint = (fresh_path(spark, name + part) for part in ("", "-held", "-checkpoint"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.parquet(f"{held}/batch={batch_id - 1}") if batch_id else None
+        states, after = ttl_states(batch, known)
+        states.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if forget is not None:
+            latest = batch.agg(F.max("at_us")).first()[0]
+            if latest is not None:
+                after = after.where(F.col("expires") > latest - forget * 1_000_000)
+        after.write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 def coalesce_lookups(lookups: DataFrame, pending: int = PENDING_SECONDS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import dns as D
@@ -89,13 +90,19 @@ def test_row_numbers_over_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+HOUR_US = 3_600_000_000
+
+
 def random_lookups(n=2000):
     rng = random.Random(5)
-    return [(i, "hot" if rng.random() < 0.4 else f"h{rng.randrange(9)}", rng.randrange(20 * L.HOUR_US), rng.choice(["found", "found", "error"])) for i in range(n)]
+    return [(i, "hot" if rng.random() < 0.4 else f"h{rng.randrange(9)}", rng.randrange(20 * HOUR_US), rng.choice(["found", "found", "error"])) for i in range(n)]
 
 
-def test_cache_state_equals_brute_force(spark):
-    data = random_lookups()
+@pytest.mark.parametrize("longest", [100, 500_000])
+def test_cache_state_equals_brute_force(spark, monkeypatch, longest):
+    monkeypatch.setattr(L, "ROWS", longest)
+    # half of the rows come within a second of a year
+    data = random_lookups() + [(5000 + i, "burst", 365 * 24 * HOUR_US + i * 500, "found" if i % 5 else "error") for i in range(2000)]
     got = {r.req_id: r.state for r in D.cache_state(spark.createDataFrame(data, "req_id bigint, host string, at_us bigint, kind string")).collect()}
     last = {}
     for req, host, at, kind in sorted(data, key=lambda r: (r[2], r[0])):
@@ -105,12 +112,14 @@ def test_cache_state_equals_brute_force(spark):
         last[host] = (at, kind)
 
 
-def test_peak_overlap_equals_brute_force(spark):
+@pytest.mark.parametrize("longest", [100, 500_000])
+def test_peak_overlap_equals_brute_force(spark, monkeypatch, longest):
+    monkeypatch.setattr(L, "ROWS", longest)
     rng = random.Random(6)
     spans = []
     for i in range(800):
-        start = rng.randrange(10 * L.HOUR_US)
-        spans.append(("hot" if i % 2 else f"e{i % 5}", start, start + rng.randrange(3 * L.HOUR_US)))
+        start = rng.randrange(10 * HOUR_US)
+        spans.append(("hot" if i % 2 else f"e{i % 5}", start, start + rng.randrange(3 * HOUR_US)))
     got = {r.k: r.peak for r in L.peak_overlap(spark.createDataFrame(spans, "k string, s bigint, e bigint"), ["k"], "s", "e").collect()}
     for key in {s[0] for s in spans}:
         own = [s for s in spans if s[0] == key]
@@ -159,8 +168,6 @@ def test_row_numbers_with_nulls(spark):
 
 
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
-    import pytest
-
     from millrace.session import shared_dir
 
     class Named:
