@@ -178,6 +178,11 @@ TAG_SAMPLES = [
     '<base href="http://base.example/dir/">',
     '<b><i>nested <b>twice</b></i></b><script>if (a<b) x("</b>");</script>',
     '<td title="\u00e9 &quot;q&quot;" nowrap>u</td>',
+    '<a title="x>y" href="/quoted">v</a>',
+    "<p class='one > two' id=three>w</p>",
+    '<img alt="<b>" src = "/i.png"/>',
+    '<em title="open>x</em>',
+    '<a href="/cut',
 ]
 
 

@@ -18,11 +18,16 @@ from millrace.functions.let import let
 from millrace.functions.rules import applies_to_url, expand
 from millrace.policy import TagRule
 
-# Script and style elements are one match, so nothing inside them is taken for a tag.
+# What a tag holds up to its ``>``: a quoted value after ``=`` may hold any sign; a quote that is never closed is one sign
+# of its own. All of it is possessive, so nothing is read twice.
+INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
+# Script and style elements are one match, so nothing inside them is taken for a tag. What is never closed (a comment, a
+# script, a tag) reaches to the end of the page, as browsers read it; each page is so read once from left to right.
 TOKEN = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>|[^<]+|<"
+    rf"(?is)<script\b{INSIDE}>.*?(?:</script\s*+>|\z)|<style\b{INSIDE}>.*?(?:</style\s*+>|\z)|<!--.*?(?:-->|\z)"
+    rf"|<[a-z/!?]{INSIDE}(?:>|\z)|[^<]++|<"
 )
-RAW_ELEMENT = r"(?is)^(<(?:script|style)\b[^>]*>)(.*)(</(?:script|style)\s*>)$"
+RAW_ELEMENT = rf"(?is)^(<(?:script|style)\b{INSIDE}>)(.*?)(</(?:script|style)\s*>)?$"
 TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
 ATTRIBUTE = r"""([^\s=<>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
@@ -33,12 +38,13 @@ def _token(text: Column, raw: bool = False) -> Column:
         kind = F.lit("data")
     else:
         kind = (
-            F.when(F.startswith(text, F.lit("<!--")) & F.endswith(text, F.lit("-->")), "comment")
+            F.when(~F.endswith(text, F.lit(">")), "data")
+            .when(F.startswith(text, F.lit("<!--")) & F.endswith(text, F.lit("-->")), "comment")
             .when(text.rlike("(?i)^<!doctype"), "doctype")
             .when(text.rlike(r"^<\?"), "pi")
-            .when(text.rlike("^</[A-Za-z][^>]*>$"), "end")
-            .when(text.rlike("^<[A-Za-z][^>]*/>$"), "startend")
-            .when(text.rlike("^<[A-Za-z][^>]*>$"), "start")
+            .when(text.rlike("(?s)^</[A-Za-z].*>$"), "end")
+            .when(text.rlike("(?s)^<[A-Za-z].*/>$"), "startend")
+            .when(text.rlike("(?s)^<[A-Za-z].*>$"), "start")
             .otherwise("data")
         )
     tag = F.lit("") if raw else let(kind, lambda k: F.when(k.isin("start", "end", "startend"), name).otherwise(""))
@@ -54,7 +60,7 @@ def tokens(html: Column) -> Column:
             _token(F.regexp_extract(text, RAW_ELEMENT, 1)), _token(body, raw=True), _token(F.regexp_extract(text, RAW_ELEMENT, 3))
         )
         whole = F.filter(element, lambda e: e["text"] != "")
-        return F.when(text.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$"), whole).otherwise(F.array(_token(text)))
+        return F.when(text.rlike(rf"(?is)^<(script|style)\b{INSIDE}>"), whole).otherwise(F.array(_token(text)))
 
     cleaned = F.translate(html, "\x00", " ")
     return F.flatten(F.transform(F.regexp_extract_all(cleaned, F.lit(TOKEN), F.lit(0)), pieces))

@@ -11,22 +11,29 @@ from millrace.operators import security as S
 from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 
-TOKEN_SQL = M.TOKEN.replace("'", "''")
+# The SQL reads tags by a grammar of its own: names and blanks, then values, quoted ones whole.
+VALUE_SQL = r"""=\s*(?:"[^"]*"|''[^'']*'')"""
+TAG_SQL = rf"""(?:{VALUE_SQL}|[^>])*?"""
+TOKEN_SQL = (
+    rf"(?is)<script\b{TAG_SQL}>.*?(?:</script\s*>|\z)|<style\b{TAG_SQL}>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+    rf"|<[a-z/!?]{TAG_SQL}(?:>|\z)|[^<]+|<"
+)
 
 
 def token_ctes(source: str = "pages", prefix: str = "") -> str:
     """CTE ``tokens(page_id, url, pos, kind, tag, text)`` over the HTML of a table."""
-    script = r"(?is)^<(script|style)\b.*</(script|style)\s*>$"
+    opening, closing = rf"(?is)^(<(?:script|style)\b{TAG_SQL}>)", r"(?is)(</(?:script|style)\s*>)$"
     return rf"""
 {prefix}raw AS (SELECT page_id, url, html, regexp_extract_all(replace(html, chr(0), ' '), '{TOKEN_SQL}', 0) AS l FROM {source}),
 {prefix}cut AS (SELECT page_id, url, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM {prefix}raw),
-{prefix}parts AS (SELECT page_id, url, i, 0 AS j, CASE WHEN regexp_matches(t, '{script}') THEN regexp_extract(t, '(?is)^(<[^>]*>)', 1) ELSE t END AS t, false AS raw FROM {prefix}cut
-  UNION ALL SELECT page_id, url, i, 1, regexp_extract(t, '(?is)^<[^>]*>(.*)</(?:script|style)\s*>$', 1), true FROM {prefix}cut WHERE regexp_matches(t, '{script}')
-  UNION ALL SELECT page_id, url, i, 2, regexp_extract(t, '(?is)(</(?:script|style)\s*>)$', 1), false FROM {prefix}cut WHERE regexp_matches(t, '{script}')),
+{prefix}ends AS (SELECT *, regexp_extract(t, '{opening}', 1) AS o, CASE WHEN o <> '' THEN regexp_extract(t, '{closing}', 1) ELSE '' END AS c FROM {prefix}cut),
+{prefix}parts AS (SELECT page_id, url, i, 0 AS j, CASE WHEN o <> '' THEN o ELSE t END AS t, false AS raw FROM {prefix}ends
+  UNION ALL SELECT page_id, url, i, 1, substr(t, length(o) + 1, length(t) - length(o) - length(c)), true FROM {prefix}ends WHERE o <> ''
+  UNION ALL SELECT page_id, url, i, 2, c, false FROM {prefix}ends WHERE o <> ''),
 {prefix}kinds AS (SELECT page_id, url, t AS text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS INTEGER) AS pos,
-  CASE WHEN raw THEN 'data' WHEN t LIKE '<!--%-->' THEN 'comment' WHEN lower(t) LIKE '<!doctype%' THEN 'doctype' WHEN t LIKE '<?%' THEN 'pi'
-    WHEN regexp_matches(t, '^</[A-Za-z][^>]*>$') THEN 'end' WHEN regexp_matches(t, '^<[A-Za-z][^>]*/>$') THEN 'startend'
-    WHEN regexp_matches(t, '^<[A-Za-z][^>]*>$') THEN 'start' ELSE 'data' END AS kind FROM {prefix}parts WHERE t <> ''),
+  CASE WHEN raw OR right(t, 1) <> '>' THEN 'data' WHEN t LIKE '<!--%' THEN CASE WHEN t LIKE '%-->' THEN 'comment' ELSE 'data' END
+    WHEN lower(t) LIKE '<!doctype%' THEN 'doctype' WHEN t LIKE '<?%' THEN 'pi' WHEN regexp_matches(t, '^</[A-Za-z]') THEN 'end'
+    WHEN regexp_matches(t, '^<[A-Za-z]') THEN CASE WHEN t LIKE '%/>' THEN 'startend' ELSE 'start' END ELSE 'data' END AS kind FROM {prefix}parts WHERE t <> ''),
 {prefix}tokens AS (SELECT page_id, url, pos, kind, CASE WHEN kind IN ('start', 'end', 'startend') THEN lower(regexp_extract(text, '^</?([A-Za-z][^\s/>]*)', 1)) ELSE '' END AS tag, text FROM {prefix}kinds)"""
 
 
