@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions.let import let
+from millrace.functions.rules import applies_to_url
 from millrace.operators import html as M
 from millrace.policy import TagRule
 
-XML_TOKEN = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|<[^>]*>|[^<]+|<"
+XML_TOKEN = rf"(?s)<!\[CDATA\[.*?(?:\]\]>|\z)|<!--.*?(?:-->|\z)|<\?.*?(?:\?>|\z)|<[A-Za-z_/!]{M.INSIDE}(?:>|\z)|[^<]++|<"
+#: Tags of one inner fold. A fold copies its state at each step, so the ranges of a long feed are kept out of it.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,7 @@ class FeedRule:
     selector: str
     action: str = "rsshtml"
     matchurls: tuple[str, ...] = ()
+    nomatchurls: tuple[str, ...] = ()
 
     def steps(self) -> tuple[bool, list[tuple[str, list[tuple[str, str]]]]]:
         """Whether the path starts at the root, and its steps with attribute conditions."""
@@ -63,60 +67,82 @@ def _is(name: str, value: str):
     return lambda a: (a["name"] == name) & (a["value"] == value)
 
 
-def rewrite_feed(xml: Column, url: Column, rules: Sequence[FeedRule], drop: Sequence[TagRule] = ()) -> Column:
-    """The feed with the rules applied; ``drop`` are HTML rules whose elements vanish from embedded HTML."""
-    from millrace.functions.rules import applies_to_url
+def selected_ranges(tags: Column, size: Column, url: Column, rules: Sequence[FeedRule]) -> Column:
+    """array<struct<s,e,action>>: where the elements lie that a rule selects, outermost only, in order.
 
-    fixed = F.regexp_replace(xml, r"&(?!#?[A-Za-z0-9]+;)", "&amp;")
-    toks = F.regexp_extract_all(fixed, F.lit(XML_TOKEN), F.lit(0))
-    name = r"^</?([^\s/>]+)"
-    element = "struct<tag:string,text:string>"
-    piece = "struct<text:string,clean:boolean>"
-
-    def state(stack: Column, mode: Column, depth: Column, out: Column) -> Column:
-        return F.struct(stack.alias("stack"), mode.alias("mode"), depth.alias("depth"), out.alias("out"))
-
-    def add(out: Column, text: Column, clean: Column) -> Column:
-        return F.array_append(out, F.struct(text.alias("text"), clean.alias("clean")))
-
-    def step(s: Column, tok: Column) -> Column:
-        tag = F.regexp_extract(tok, name, 1)
-        is_end = tok.rlike("^</")
-        is_open = tok.rlike("^<[A-Za-z]")
-        closed = tok.rlike("/>$")
-        pushed = F.array_append(s["stack"], F.struct(tag.alias("tag"), tok.alias("text")))
-        mode = F.lit("")
+    A fold over the tags (pos, tag, text, opens): its state is the path to the open element and the ranges found. It
+    runs chunk by chunk; only between chunks the ranges are added to those before. An element that never closes reaches
+    to the end.
+    """
+    element, span = "struct<tag:string,text:string>", "struct<s:int,e:int,action:string>"
+    none = F.array().cast(f"array<{span}>")
+
+    def state(stack: Column, depth: Column, begin: Column, action: Column, spans: Column) -> Column:
+        return F.struct(stack.alias("stack"), depth.alias("depth"), begin.alias("begin"), action.alias("action"), spans.alias("spans"))
+
+    def found(s: Column, e: Column) -> Column:
+        return F.struct(s["begin"].alias("s"), e.cast("int").alias("e"), s["action"].alias("action"))
+
+    def step(s: Column, t: Column) -> Column:
+        pushed = F.array_append(s["stack"], F.struct(t["tag"].alias("tag"), t["text"].alias("text")))
+        action = F.lit("")
         for rule in reversed(rules):
-            hit = _selected(pushed, rule) & applies_to_url(url, rule.matchurls, ())
-            mode = F.when(hit, rule.action).otherwise(mode)
-        free = s["mode"] == ""
-        new_mode = F.when(free & ~closed, mode).otherwise(s["mode"])
-        new_depth = F.when(free, F.size(pushed)).otherwise(s["depth"])
-        # the start tag of a removed element stays behind only while nothing is removed
-        opened_out = F.when((new_mode == "remove"), s["out"]).otherwise(add(s["out"], tok, F.lit(False)))
-        popped = F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))
-        leaves = F.size(s["stack"]) == s["depth"]
-        end_out = F.when(s["mode"] == "remove", s["out"]).otherwise(add(s["out"], tok, F.lit(False)))
-        data_out = F.when(s["mode"] == "remove", s["out"]).otherwise(
-            add(s["out"], tok, (s["mode"] == "rsshtml") & ~tok.rlike(r"^<(!--|\?)")))
-        return (
-            F.when(is_open & ~closed, state(pushed, new_mode, new_depth, opened_out))
-            .when(is_open, state(s["stack"], s["mode"], s["depth"], F.when(s["mode"] == "remove", s["out"]).otherwise(add(s["out"], tok, F.lit(False)))))
-            .when(is_end, state(popped, F.when(leaves, "").otherwise(s["mode"]), s["depth"], end_out))
-            .otherwise(state(s["stack"], s["mode"], s["depth"], data_out))
+            action = F.when(_selected(pushed, rule) & applies_to_url(url, rule.matchurls, rule.nomatchurls), rule.action).otherwise(action)
+        free = s["action"] == ""
+        # where no action follows, depth and begin say nothing
+        opened = state(
+            pushed, F.when(free, F.size(pushed)).otherwise(s["depth"]), F.when(free, t["pos"]).otherwise(s["begin"]),
+            F.when(free, action).otherwise(s["action"]), s["spans"],
         )
+        popped = F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))
+        leaves = ~free & (F.size(s["stack"]) == s["depth"])
+        left = state(popped, F.lit(0), F.lit(0), F.lit(""), F.array_append(s["spans"], found(s, t["pos"])))
+        closed = F.when(leaves, left).otherwise(state(popped, s["depth"], s["begin"], s["action"], s["spans"]))
+        return F.when(t["opens"], opened).otherwise(closed)
+
+    def chunk_step(s: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, state(s["stack"], s["depth"], s["begin"], s["action"], none), step)
+        return let(inner, lambda r: state(r["stack"], r["depth"], r["begin"], r["action"], F.concat(s["spans"], r["spans"])))
 
-    start = state(
-        F.array().cast(f"array<{element}>"), F.lit(""), F.lit(0), F.array().cast(f"array<{piece}>")
-    )
+    start = state(F.array().cast(f"array<{element}>"), F.lit(0), F.lit(0), F.lit(""), none)
+    rest = lambda s: F.when(s["action"] != "", F.array(found(s, size - 1))).otherwise(none)
+    chunks = let(tags, lambda all_tags: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_tags), F.lit(1)) - 1) / CHUNK).cast("int")),
+        lambda i: F.slice(all_tags, i * CHUNK + 1, F.lit(CHUNK)),
+    ))
+    return F.aggregate(chunks, start, chunk_step, lambda s: F.concat(s["spans"], rest(s)))
+
+
+def rewrite_feed(xml: Column, url: Column, rules: Sequence[FeedRule], drop: Sequence[TagRule] = ()) -> Column:
+    """The feed with the rules applied; ``drop`` are HTML rules whose elements vanish from embedded HTML.
+
+    The ranges of the selected elements are found first, then the texts between them, those of cleaned elements and
+    nothing of removed ones are put together once.
+    """
+    fixed = F.regexp_replace(xml, r"&(?!#?[A-Za-z0-9]+;)", "&amp;")
+    toks = F.regexp_extract_all(fixed, F.lit(XML_TOKEN), F.lit(0))
 
     def cleaned(text: Column) -> Column:
-        plain = F.when(text.rlike(r"^<!\[CDATA\["), F.regexp_extract(text, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)).otherwise(X.resolve_entities(text))
+        plain = F.when(text.rlike(r"^<!\[CDATA\["), F.regexp_extract(text, r"(?s)^<!\[CDATA\[(.*?)(?:\]\]>)?$", 1)).otherwise(X.resolve_entities(text))
         subset = M.feed_subset(plain, url, drop)
         wrap = lambda h: F.when(F.contains(h, F.lit("]]>")), F.replace(F.replace(h, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))).otherwise(
             F.concat(F.lit("<![CDATA["), h, F.lit("]]>")))
         return let(subset, wrap)
 
-    pieces = F.aggregate(toks, start, step, lambda s: s["out"])
-    texts = F.transform(pieces, lambda p: F.when(p["clean"], cleaned(p["text"])).otherwise(p["text"]))
-    return F.regexp_replace(F.array_join(texts, ""), r'^(<\?xml[^>]*encoding=)"[^"]*"', '$1"UTF-8"')
+    def put_together(toks: Column, ranges: Column) -> Column:
+        is_data = lambda x: ~x.rlike(r"^<([A-Za-z_/?]|!--|![A-Za-z])")
+        action = M.covered(ranges, F.size(toks), lambda r: F.when(r["action"] == "remove", 2).otherwise(1))
+        shown = lambda x, a: F.when(a == 2, "").when((a == 1) & is_data(x), cleaned(x)).otherwise(x)
+        return F.array_join(F.zip_with(toks, action, shown), "")
+
+    def rewrite(toks: Column) -> Column:
+        def tag(x: Column, i: Column) -> Column:
+            return F.struct(
+                i.alias("pos"), F.regexp_extract(x, r"^</?([^\s/>]+)", 1).alias("tag"), x.alias("text"), x.rlike("^<[A-Za-z_]").alias("opens"),
+                (x.rlike("^</") | (x.rlike("(?s)^<[A-Za-z_].*>$") & ~F.endswith(x, F.lit("/>")))).alias("is_tag"),
+            )
+
+        tags = F.filter(F.transform(toks, tag), lambda t: t["is_tag"])
+        return let(selected_ranges(tags, F.size(toks), url, rules), lambda ranges: put_together(toks, ranges))
+
+    return F.regexp_replace(let(toks, rewrite), r'^(<\?xml[^>]*encoding=)"[^"]*"', '$1"UTF-8"')

@@ -298,6 +298,20 @@ def element_ranges(few: Column) -> Column:
     return F.aggregate(few, start, step, lambda s: s["pairs"])
 
 
+def covered(ranges: Column, size: Column, code) -> Column:
+    """array<int> with one entry for each token: ``code(range)`` inside the ranges (s, e; in order, apart), else 0.
+
+    Runs are laid end to end, so the cost is that of the tokens; a slice of a long array would copy all of it.
+    """
+
+    def run(r: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(ranges, i - 1)["e"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0), r["s"] - before - 1), F.array_repeat(code(r), r["e"] - r["s"] + 1))
+
+    end = F.coalesce(F.try_element_at(ranges, F.lit(-1))["e"], F.lit(-1))
+    return F.concat(F.flatten(F.transform(ranges, run)), F.array_repeat(F.lit(0), size - end - 1))
+
+
 def _texts(token_array: Column) -> Column:
     return F.array_join(F.transform(token_array, lambda x: x["text"]), "")
 
@@ -478,16 +492,9 @@ def feed_subset(html: Column, url: Column | None = None, drop: Sequence[TagRule]
             .otherwise("")
         )
 
-    def cut(toks: Column, first: Column, count: Column) -> Column:
-        return F.array_join(F.transform(F.slice(toks, first, count), shown), "")
-
     def assemble(toks: Column, spans: Column) -> Column:
-        def before(r: Column, i: Column) -> Column:
-            last = F.coalesce(F.get(spans, i - 1)["e"], F.lit(-1))
-            return cut(toks, last + 2, r["s"] - last - 1)
-
-        end = F.coalesce(F.try_element_at(spans, F.lit(-1))["e"], F.lit(-1))
-        return F.concat(F.array_join(F.transform(spans, before), ""), cut(toks, end + 2, F.size(toks)))
+        gone = covered(spans, F.size(toks), lambda r: F.lit(1))
+        return F.array_join(F.zip_with(toks, gone, lambda t, g: F.when(g == 0, shown(t)).otherwise("")), "")
 
     def clean(toks: Column) -> Column:
         indexed = F.transform(
@@ -500,7 +507,7 @@ def feed_subset(html: Column, url: Column | None = None, drop: Sequence[TagRule]
             tags, start, step,
             lambda s: F.when(
                 F.size(s["stack"]) > 0,
-                F.array_append(s["spans"], F.struct(s["begin"].alias("s"), F.size(toks).alias("e"))),
+                F.array_append(s["spans"], F.struct(s["begin"].alias("s"), (F.size(toks) - 1).alias("e"))),
             ).otherwise(s["spans"]),
         )
         return let(folded, lambda spans: assemble(toks, spans))

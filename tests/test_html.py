@@ -155,3 +155,31 @@ def test_feed_remove_and_attribute_selector(evaluate):
     rules = [E.FeedRule("r", "/a/b[k=1]", "remove")]
     got = evaluate(['<a><b k="1">x<c/></b><b k="2">y</b></a>'], lambda c: E.rewrite_feed(c, F.lit(""), rules))
     assert got == ['<a><b k="2">y</b></a>']
+
+
+def test_feed_paths(evaluate):
+    def run(xml, *rules):
+        return evaluate([xml], lambda c: E.rewrite_feed(c, F.lit("http://h/"), rules))[0]
+
+    remove = E.FeedRule("r", "a/b", "remove")
+    assert run("<r><a><b>x<b>y</b></b>z</a><b>k</b></r>", remove) == "<r><a>z</a><b>k</b></r>"
+    assert run("<r><a><b>x", remove) == "<r><a>"
+    assert run('<r><a t="x>y"><b/><c>1</c></a></r>', remove) == '<r><a t="x>y"><b/><c>1</c></a></r>'
+    assert run("<a><b>1</b></a>", E.FeedRule("r", "a/b", "remove", nomatchurls=("h/",))) == "<a><b>1</b></a>"
+    both = [E.FeedRule("r", "/f/e"), E.FeedRule("s", "/f/g", "remove")]
+    assert run("<f><e>&lt;u>x&lt;/u>y<i>z</i><!-- c --></e><g>w</g></f>", *both) == "<f><e><![CDATA[y]]><i><![CDATA[z]]></i><!-- c --></e></f>"
+
+
+def test_long_feeds_in_linear_time(evaluate):
+    import time
+
+    def seconds(items):
+        feed = "<rss><channel>" + "<item><title>t</title><description>&lt;b>x&lt;/b></description><x>1</x></item>" * items + "</channel></rss>"
+        start = time.perf_counter()
+        got = evaluate([feed], lambda c: E.rewrite_feed(c, F.lit(""), E.FEED_RULES))[0]
+        assert got.count("<![CDATA[<b>x</b>]]>") == items
+        return time.perf_counter() - start
+
+    seconds(10)
+    few, many = seconds(2_000), seconds(20_000)  # the longer one has 220,000 tokens
+    assert many < 15 * max(few, 1)
