@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import fresh_path
+from millrace.session import written
 
 
 def placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -19,9 +19,7 @@ def placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    path = fresh_path(df.sparkSession, "ranged")
-    numbered.write.parquet(path)
-    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+    return written(numbered, "ranged")
 
 
 def with_row_number(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rn", total: str | None = None) -> DataFrame:

@@ -16,25 +16,18 @@ from pyspark.sql import functions as F
 
 from millrace.operators.dns import ANSWER_TTL
 from millrace.operators.timeline import beside
-from millrace.session import fresh_path
+from millrace.session import written
 
 LIFE = ANSWER_TTL * 1_000_000
 ORDER = ["at_us", "req_id", "kind", "_id"]
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again, so that later steps start from there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def refreshes(rows: DataFrame) -> DataFrame:
     """_id of the found lookups that refresh, of rows (_id, req_id, host, at_us, kind) of an empty cache."""
     found = rows.where(F.col("kind") == "found")
     before = beside(found, "host", ORDER, {"_prev": F.col("at_us")})
     first = F.col("_prev").isNull() | (F.col("_prev") <= F.col("at_us") - LIFE)
-    found = kept(before.withColumn("_first", first).drop("_prev"), "found")
+    found = written(before.withColumn("_first", first).drop("_prev"), "found")
     heads = found.where("_first").select("_id")
     if found.where("NOT _first").isEmpty():
         return heads
@@ -46,19 +39,19 @@ def refreshes(rows: DataFrame) -> DataFrame:
     ahead = beside(line.withColumn("_row", F.when(F.col("_probe"), 0).otherwise(1)), "host", ["at_us", "_row", "req_id", "kind", "_id"], {"_next": mark}, after=True)
     # what begins a run is marked by itself, so jumps end before it
     jumps = ahead.where("_probe AND NOT _next.new").select("_id", F.col("_next.to").alias("to"), "_first")
-    levels = [kept(jumps, "jumps")]
+    levels = [written(jumps, "jumps")]
     while True:
         jumps = levels[-1]
         ends = jumps.select(F.col("to").alias("_id")).distinct().withColumn("_end", F.lit(True))
         starts = jumps.join(ends, "_id", "left").where("_first OR _end").select("_id", "to", "_first")
         on = jumps.select(F.col("_id").alias("to"), F.col("to").alias("_far"))
-        longer = kept(starts.join(on, "to").select("_id", F.col("_far").alias("to"), "_first"), "jumps")
+        longer = written(starts.join(on, "to").select("_id", F.col("_far").alias("to"), "_first"), "jumps")
         if longer.isEmpty():
             break
         levels.append(longer)
     marked = levels[0].where("_first").select("_id")
     for jumps in reversed(levels):
-        marked = kept(marked.union(jumps.join(marked, "_id", "left_semi").select("to")), "marked")
+        marked = written(marked.union(jumps.join(marked, "_id", "left_semi").select("to")), "marked")
     return heads.union(marked).distinct()
 
 
@@ -68,11 +61,11 @@ def ttl_states(lookups: DataFrame, known: DataFrame | None = None) -> tuple[Data
     The first table has req_id, host, state (hit, stale, miss), the second host, expires of the hosts whose last answer
     was found. ``known`` is such a table of what the cache holds before; lookups until its expiry are hits.
     """
-    rows = kept(lookups.select("req_id", "host", "at_us", "kind").withColumn("_id", F.monotonically_increasing_id()), "lookups")
+    rows = written(lookups.select("req_id", "host", "at_us", "kind").withColumn("_id", F.monotonically_increasing_id()), "lookups")
     if known is None:
         rows = rows.withColumn("_held", F.lit(None).cast("long"))
     else:
-        rows = kept(rows.join(known.select(F.col("host").alias("_host"), F.col("expires").alias("_held")), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host"), "lookups")
+        rows = written(rows.join(known.select(F.col("host").alias("_host"), F.col("expires").alias("_held")), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host"), "lookups")
     early = F.coalesce(F.col("at_us") < F.col("_held"), F.lit(False))
     open_rows = rows.where(~early)
     path = refreshes(open_rows.drop("_held")).withColumn("_new", F.lit(True))
@@ -87,7 +80,7 @@ def ttl_states(lookups: DataFrame, known: DataFrame | None = None) -> tuple[Data
         .when(F.col("_last").isNull() & F.col("_held").isNotNull(), "stale")
         .otherwise("miss")
     )
-    told = kept(placed.withColumn("state", state).withColumn("_expires", F.when(F.col("_new"), F.col("at_us") + LIFE).when(F.col("state") == "hit", expiry)), "states")
+    told = written(placed.withColumn("state", state).withColumn("_expires", F.when(F.col("_new"), F.col("at_us") + LIFE).when(F.col("state") == "hit", expiry)), "states")
     after = told.groupBy("host").agg(F.max(F.struct(*ORDER, F.col("_expires").alias("expires")))["expires"].alias("expires"))
     if known is not None:
         rest = known.select("host", "expires").join(after.select(F.col("host").alias("_host")), F.col("host").eqNullSafe(F.col("_host")), "left_anti")

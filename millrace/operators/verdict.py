@@ -11,6 +11,7 @@ from millrace.functions import urls as U
 from millrace.functions.let import let
 from millrace.functions.rules import first_pattern
 from millrace.policy import PatternRule
+from millrace.session import written
 
 # Up to this many entries a substring list is folded into the expression; beyond it the anchor join runs.
 FOLD_LIMIT = 2000
@@ -45,14 +46,20 @@ def first_substring(df: DataFrame, text: str, entries: DataFrame, out: str, limi
     """Add ``out``: sid of the first entry (lowest rank) contained in ``text``; null when none.
 
     A short list becomes an array literal, tested without any shuffle. A long one is anchored: each
-    entry is looked up by the rarest of its grams, so distinct texts and entries meet in an equi-join, and
-    the candidates are verified. Both ways give the same rows.
+    entry is looked up by the rarest of its grams in an equi-join of hashes, and the candidates are
+    verified. Both ways give the same rows.
     """
     rows = bounded_rows(entries, limit)
     if rows is not None:
         return df.withColumn(out, substring_hits(F.col(text), rows)["sid"] if rows else F.lit(None).cast("string"))
     best = anchored_substrings(df, text, entries).groupBy(text).agg(F.min_by("sid", "rank").alias(out))
-    return df.join(best, text, "left").select(*df.columns, out)
+    best = written(best.select(*_id(F.col(text)), F.col(text).alias("_text"), out), "hits")
+    known = df.select("*", *_id(F.col(text)))
+    may_hit = filter_of(best, "_a")(F.col("_a"))
+    # rows without a hit stay where they are
+    hit = known.where(may_hit).join(best, (known["_a"] == best["_a"]) & (known["_b"] == best["_b"]) & (F.col(text) == F.col("_text")), "left")
+    rest = known.where(~may_hit).select(*df.columns, F.lit(None).cast("string").alias(out))
+    return hit.select(*df.columns, out).unionByName(rest)
 
 
 def substring_pairs(df: DataFrame, text: str, entries: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
@@ -65,31 +72,74 @@ def substring_pairs(df: DataFrame, text: str, entries: DataFrame, limit: int = F
     return texts.select(text, F.inline(F.filter(table, lambda r: F.contains(F.col(text), r["entry"])))).select(text, "sid")
 
 
+def filter_of(hashes: DataFrame, name: str, least: int = 1 << 14, most: int = 1 << 23):
+    """A Bloom filter of a column of hashes: a function that says of a hash column whether it may be among them.
+
+    About sixteen bits for each hash, a megabyte at most; with more hashes it lets more through, nothing is lost. The
+    bits are made in Spark and stand in the plan as the value of a subquery, so rows are tested where they are read.
+    """
+    wanted = hashes.select(F.col(name).alias("h")).distinct()
+    size = least
+    held = wanted.count()
+    while size < min(most, held * 16):
+        size *= 2
+    places = lambda h: [F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size))]
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))
+    marks = wanted.select(F.explode(F.array(*places(F.col("h")))).alias("p"))
+    words = marks.groupBy(F.floor(F.col("p") / 64).alias("id")).agg(F.bit_or(bit(F.col("p"))).alias("bits"))
+    every = hashes.sparkSession.range(size // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    table = every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"])).scalar()
+
+    def may_hold(h: Column) -> Column:
+        inside = [F.get(table, F.floor(p / 64).cast("int")).bitwiseAND(bit(p)) != 0 for p in places(h)]
+        return inside[0] & inside[1]
+
+    return may_hold
+
+
 def _grams(text: Column, size: Column) -> Column:
-    """Distinct substrings of the given length."""
+    """Hashes of the distinct substrings of the given length."""
     last = F.length(text) - size + 1
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: text.substr(i, size))
-    return F.array_distinct(F.when(last >= 1, cut).otherwise(F.array().cast("array<string>")))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(text.substr(i, size)))
+    return F.array_distinct(F.when(last >= 1, cut).otherwise(F.array().cast("array<bigint>")))
+
+
+def _id(text: Column) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b")]
 
 
 def anchored_substrings(df: DataFrame, text: str, entries: DataFrame) -> DataFrame:
-    """text, rank, sid with the entry contained in the text, for distinct texts, through an equi-join on anchor grams."""
-    texts = df.select(text).where(F.length(text) > 0).distinct()
+    """text, rank, sid with the entry contained in the text, for distinct texts, through an equi-join on anchor grams.
+
+    Only hashes travel: grams that a Bloom filter of the list's grams rules out are dropped where the texts are read; of
+    each entry the gram that is rarest in the texts is its anchor; texts that share an anchor with an entry are fetched
+    by their hashes (others are ruled out by a filter again) and verified.
+    """
+    texts = df.select(text).where(F.length(text) > 0)
     sized = entries.where(F.length("entry") > 0).select("rank", "sid", "entry", F.least(F.length("entry"), F.lit(GRAM)).alias("size"))
     candidates = sized.select("rank", "sid", "entry", "size", F.explode(_grams(F.col("entry"), F.col("size"))).alias("gram"))
     used = [r.size for r in sized.select("size").distinct().collect()]  # 1 to GRAM
+    if not used:
+        return df.sparkSession.createDataFrame([], df.select(text).schema).crossJoin(sized.select("rank", "sid").limit(0))
     lengths = F.array(*[F.lit(int(n)) for n in sorted(used)])
     grams = F.flatten(F.transform(lengths, lambda n: _grams(F.col(text), n)))
-    exploded = texts.select(text, F.explode(grams).alias("gram"))
-    wanted = candidates.select("gram").distinct()
-    # how often each candidate gram occurs; the partial count runs before the shuffle
-    frequency = exploded.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").count()
+
+    def kept_grams(may_hold) -> DataFrame:
+        return texts.select(*_id(F.col(text)), F.explode(grams).alias("gram")).where(may_hold(F.col("gram")))
+
+    # how often each candidate gram occurs; counted before it is shuffled
+    frequency = kept_grams(filter_of(candidates, "gram")).groupBy("gram").count()
     anchors = (
         candidates.join(frequency, "gram")
         .groupBy("rank", "sid", "entry")
         .agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
     )
-    return exploded.join(anchors, "gram").where(F.contains(F.col(text), F.col("entry"))).select(text, "rank", "sid")
+    anchors = written(anchors, "anchors")
+    near = kept_grams(filter_of(anchors, "gram")).distinct().join(anchors, "gram").select("_a", "_b", "rank", "sid", "entry")
+    near = written(near, "near")
+    fetched = texts.select(*_id(F.col(text)), text).where(filter_of(near, "_a")(F.col("_a"))).distinct()
+    return fetched.join(near, ["_a", "_b"]).where(F.contains(F.col(text), F.col("entry"))).select(text, "rank", "sid")
 
 
 def literal_anchor(pattern: Column, minimum: int = 4) -> Column:

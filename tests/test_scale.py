@@ -34,6 +34,22 @@ def test_repeated_keys_nulls_and_empty_entries(spark):
         assert sorted((r.url, r.sid) for r in pairs) == [("aaaa", "s1"), ("bbbb", "s2"), ("xaaaa", "s1")]
 
 
+def test_long_list_of_entries(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 12)))
+    listed = list({word() for _ in range(100_000)})
+    urls = [f"http://{word()}.example/{word()}?{word()}" for _ in range(400)] + ["http://hot.example/" + listed[0]] * 200 + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(urls)), "req_id int, url string")
+    table = entries(spark, listed)
+    got = {r.req_id: r.sid for r in V.first_substring(rows, "url", table, "sid").collect()}
+    by_size = {}
+    for i, e in enumerate(listed):
+        by_size.setdefault(len(e), {})[e] = i
+    for i, url in enumerate(urls):
+        held = [by_size[n][url[a : a + n]] for n in by_size for a in range(len(url or "") - n + 1) if url[a : a + n] in by_size[n]]
+        assert got[i] == (f"s{min(held)}" if held else None)
+
+
 def test_anchored_patterns_equal_plain(tables, spark):
     texts = ["utm_source=f.*d", "https?://blog", "example.net$", "/(en|de)/", "^http://m", "spam-far[m]", "xample.o+rg", "nothing.*here"]
     listed = entries(spark, texts).withColumnRenamed("entry", "pattern")
