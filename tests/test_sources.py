@@ -3,7 +3,7 @@ import gzip
 from pyspark.sql import functions as F
 
 from millrace.operators import content as C
-from millrace.signatures import COMMON, parse_signatures
+from millrace.signatures import COMMON, parse_signatures, read_signatures
 from millrace.sources import rules_xml as X
 from millrace.sources import text_files as S
 
@@ -83,9 +83,40 @@ def test_sniffing(spark):
     assert got == ["image/gif", "text/html", "image/png", "application/x-shockwave-flash", "audio/mpeg", None, None, "text/html"]
 
 
+SIGNS = r"""
+0	string	AB
+>2	byte	>1	x/one
+>>3	leshort&0xff	0x10	\b-two
+>>3	string	<4	three
+>2	byte	x	\b+
+0	string	>\0	x/text
+"""
+
+
+def test_signature_tables(spark):
+    table = parse_signatures(COMMON + SIGNS)
+    contents = [
+        b"AB\x05\x10\x00", b"AB\x05455", b"AB\x01\x10\x00", b"AB\x00zz", b"\x00nothing", b"GIF89a", b"<HtMl x", b"abc", None, b"", b"\x00\x00\x01\xba\x00", b"FWS\x05abc",
+    ]
+    df = spark.createDataFrame([(i, None if c is None else bytearray(c), "x") for i, c in enumerate(contents)], "i int, c binary, grp string")
+    want = ["x/one-two+", "x/one", "+", "+", None, "image/gif", "text/html", None, None, None, "video/mpeg", "application/x-shockwave-flash"]
+    assert {r.i: r.sniffed for r in C.sniff_all(df, "i", "c", table).collect()} == dict(enumerate(want))
+    # the expression gives what the tables give
+    assert [r.m for r in df.select("i", C.sniff(F.col("c"), table).alias("m")).orderBy("i").collect()] == want
+    assert C.sniff_all(df.limit(0), "i", "c", table).count() == 0
+
+
+def test_signature_file(spark, tmp_path):
+    (tmp_path / "signs").write_text(SIGNS + "# note\n0\tregex\tx\ty\n>(4.l)\tbyte\t1\tz\n0\tshort\t0x0201\tx/native\n", encoding="latin-1")
+    rows = read_signatures(spark, str(tmp_path / "signs"))
+    assert [r.mime for r in rows][-2:] == ["x/text", "x/native"]
+    df = spark.createDataFrame([(0, bytearray(b"\x01\x02\x00\x00\x00"))], "i int, c binary")
+    assert df.select(C.sniff(F.col("c"), rows[-1:])).first()[0] == "x/native"
+
+
 def test_signature_levels():
     rows = parse_signatures("0\tstring\tAB\n>2\tbyte\t>1\tx/one\n>>3\tleshort&0xff\t0x10\tx/two\n0\tregex\tfoo\tbad\n0\tstring\t!no\tbad\n")
-    assert [(r.level, r.test, r.mime) for r in rows] == [(0, "=", ""), (1, ">", "x/one"), (2, "=", "x/two")]
+    assert [(r.level, r.test, r.mime) for r in rows] == [(0, "=", "\b"), (1, ">", "x/one"), (2, "=", "x/two")]
 
 
 def test_large_folders_are_split(spark, tables, tmp_path):
