@@ -3,23 +3,18 @@
 A line is dropped if an equal line, or a chain of lines each within some edits (insertion, deletion or
 substitution of a character) of the next, leads to an earlier line; "earlier" is by document id, then place.
 Blank lines always stay. Lines under ``fuzzy_from`` characters are compared for equality only: a few edits turn
-such a line into any other. How many edits: the ``radius`` of the shorter line, one edit for each ``share`` of its
-characters (at most one for each five of its words beyond four, which step 4 needs), and ``edits`` at least; of
-lines of one length the larger radius holds.
+such a line into any other. How many edits: one for each ``share`` characters of the shorter line, ``edits`` at
+least and ``most`` at most (the probes of a line grow with the cube of its edits).
 
 1. Equal lines: thin rows (two hashes of the line, its place) are grouped, all places but the first go.
    What remains are texts in which every line occurs once in the whole table.
-2. Candidates: a line is cut into ``edits`` + 1 segments, indexed by number, line length and text. Of two lines
-   within ``edits`` edits, one segment of the shorter stands in the longer one at a shift that its number and
-   the difference of lengths bound; just these substrings are looked up.
+2. Candidates: a line with K edits is cut into K + 1 segments, indexed by number, line length and text. Of two lines
+   within K edits, one segment of the shorter stands in the longer one at a shift that its number and the difference
+   of lengths bound; just these substrings are looked up, each length with the segments of its own K. Only a key and
+   the line's hash move.
 3. Candidates' texts are fetched (others are sifted out by slots of their hash, of which there are at most
-   ``SLOTS``), equal ends are trimmed and the rest is compared by bit-parallel edit distance in the diagonal band
-   that ``edits`` allows.
-4. Pairs beyond ``edits``: of W words, K edits spoil at most 2K and leave at most K + 1 runs, so with W of 5K + 4 or
-   more a run of four words stays whole. Its two hashed triples of words have the same least one in both lines:
-   lines meet under the least of each two triples next to one another. Lengths may differ by the radius; the texts
-   are compared by Levenshtein distance up to it.
-5. Linked lines form components; all but the first line of each go.
+   ``SLOTS``), equal ends are trimmed and the rest is compared by bit-parallel edit distance in a diagonal band.
+4. Linked lines form components; all but the first line of each go.
 
 Defined results: null text is empty, and an empty text stays one blank line. Rows that repeat id and text are
 one document and are cut alike. Ids may be null and come first. All columns of the input are kept.
@@ -33,9 +28,10 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.shared import cut
 
-EDITS, FUZZY_FROM, SLOTS = 1, 24, 1 << 18
-#: Characters of a line for each edit.
-SHARE = 40
+#: Least and most edits, characters for each edit, length from which lines are compared by edits.
+EDITS, MOST, SHARE, FUZZY_FROM, SLOTS = 1, 3, 40, 24, 1 << 18
+#: Letters that are counted before two lines are compared.
+COMMON = " eaionrstlu"
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -44,44 +40,57 @@ def places(docs: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
-def part(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment."""
-    start = F.floor(length * number / (edits + 1)).cast("int")
-    return start, F.floor(length * (number + 1) / (edits + 1)).cast("int") - start
+def edits_of(length: Column, edits: int, most: int, share: int) -> Column:
+    """Edits within which a line of this length is near a longer one."""
+    return F.greatest(F.lit(edits), F.least(F.floor(length / share).cast("int"), F.lit(most)))
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Index keys of a line."""
-    out = []
-    for i in range(edits + 1):
-        start, size = part(length, i, edits)
-        out.append(F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size)))
-    return out
+def segment_specs(classes: range) -> list[tuple[int, int, int, int]]:
+    """(edits, number, less, shift) of the segments that index a line."""
+    return [(k, i, 0, 0) for k in classes for i in range(k + 1)]
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Key and ``less`` of lines that are ``less`` (up to ``edits``) characters shorter; null where a substring would leave the line."""
-    out = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = part(length - less, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                at = start + shift
-                fits = (at >= 0) & (at + size <= length)
-                key = F.xxhash64(F.lit(i), (length - less).cast("int"), F.substring(line, at + 1, size))
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(less > 0).alias("shorter")))
-    return out
+def probe_specs(classes: range) -> list[tuple[int, int, int, int]]:
+    """(edits, number, less, shift) of the substrings to look up for lines that are ``less`` characters shorter."""
+    return [
+        (k, i, less, shift) for k in classes for less in range(k + 1) for i in range(k + 1)
+        for shift in range(max(-i, less - (k - i)), min(i, less + k - i) + 1)
+    ]
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
+def keyed(lines: DataFrame, name: str, specs: list[tuple[int, int, int, int]], edits: int, most: int, share: int) -> DataFrame:
+    """name, key: the hash of each line and its keys; a substring that would leave the line has none.
+
+    The specs are exploded beside the line, so that one small expression makes all keys.
+    """
+    fields = ("k", "i", "less", "shift")
+    table = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, spec, strict=True)]) for spec in specs])
+    rows = lines.select("h1", "line", F.length("line").alias("n"), F.explode(table).alias("s"))
+    rows = rows.select("h1", "line", "n", *[f"s.{f}" for f in fields]).withColumn("of", F.col("n") - F.col("less"))
+    rows = rows.where(edits_of(F.col("of"), edits, most, share) == F.col("k"))
+    cut_at = lambda number: F.floor(F.col("of") * number / (F.col("k") + 1)).cast("int")
+    rows = rows.withColumn("start", cut_at(F.col("i"))).withColumn("size", cut_at(F.col("i") + 1) - F.col("start"))
+    rows = rows.withColumn("at", F.col("start") + F.col("shift")).where("at >= 0 AND at + size <= n")
+    return rows.select(F.col("h1").alias(name), F.xxhash64("i", "of", F.substr("line", F.col("at") + 1, F.col("size"))).alias("key"))
+
+
+def candidates(lines: DataFrame, edits: int, most: int, share: int) -> DataFrame:
     """a, b: hashes of lines that share a segment."""
-    rows = lines.select("h1", "line", F.length("line").alias("n"))
-    index = rows.select("h1", F.explode(F.array(*segment_keys(F.col("line"), F.col("n"), edits))).alias("key"))
-    probes = rows.select(F.col("h1").alias("other"), F.inline(F.array(*probe_keys(F.col("line"), F.col("n"), edits))))
-    pairs = index.join(probes.where("key IS NOT NULL"), "key").where("h1 <> other AND (shorter OR h1 < other)")
+    classes = range(edits, max(edits, most) + 1)
+    index = keyed(lines, "h1", segment_specs(classes), edits, most, share)
+    probes = keyed(lines, "other", probe_specs(classes), edits, most, share)
+    # equally long lines find one another twice
+    pairs = probes.join(index.hint("shuffle_hash"), "key").where("h1 <> other")
     return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
 
 
+def may_be_near(x: Column, y: Column, allowed: Column) -> Column:
+    """False where the counts of common letters alone show more edits: each edit changes them by two at most."""
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    apart = sum((F.abs(count(x, c) - count(y, c)) for c in COMMON[1:]), F.abs(count(x, COMMON[0]) - count(y, COMMON[0])))
+    return apart <= allowed * 2
+
+
 def bit(value: Column, at: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, at).bitwiseAND(F.lit(1))
 
@@ -136,36 +145,6 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
     return F.get(F.transform(F.array(inner), banded), F.lit(0))
 
 
-def radius(line: Column, edits: int, share: int) -> Column:
-    """Edits within which a line is near."""
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.greatest(F.lit(edits), F.least(F.floor(F.length(line) / share), F.floor((words - 4) / 5)).cast("int"))
-
-
-def run_keys(line: Column) -> Column:
-    """The least of each two neighbouring hashes of three words; null under four words."""
-    def least(triples: Column) -> Column:
-        return F.array_distinct(F.zip_with(F.slice(triples, 1, F.size(triples) - 1), F.slice(triples, 2, F.size(triples) - 1), lambda p, q: F.least(p, q)))
-
-    def keys(words: Column) -> Column:
-        triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))
-        return F.when(F.size(words) > 3, F.get(F.transform(F.array(triples), least), F.lit(0)))
-
-    return F.get(F.transform(F.array(F.split(line, " ")), keys), F.lit(0))
-
-
-def run_candidates(lines: DataFrame, edits: int, share: int) -> DataFrame:
-    """a, b, reach: hashes of lines that share a run of words, and the edits allowed (more than ``edits``)."""
-    long = lines.where(F.length("line") >= share * (edits + 1))
-    rows = long.select("h1", F.length("line").alias("n"), radius(F.col("line"), edits, share).alias("r"), F.explode(run_keys(F.col("line"))).alias("key"))
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "n", "r"))) for side in "xy")
-    reach = F.when(F.col("n_x") == F.col("n_y"), F.greatest("r_x", "r_y")).otherwise(F.col("r_x"))
-    apart = F.col("n_y") - F.col("n_x")
-    first = (apart > 0) | ((apart == 0) & (F.col("h1_x") < F.col("h1_y")))
-    pairs = left.join(right, "key").where(first & (apart <= reach) & (reach > edits))
-    return pairs.select(F.col("h1_x").alias("a"), F.col("h1_y").alias("b"), reach.alias("reach")).distinct()
-
-
 def slots(ids: DataFrame, name: str) -> DataFrame:
     """The hash slots in use: at most SLOTS rows, whatever the input."""
     return ids.select(F.pmod(F.col(name), F.lit(SLOTS)).cast("int").alias("slot")).distinct()
@@ -180,13 +159,13 @@ def with_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def near_lines(lines: DataFrame, edits: int, share: int) -> DataFrame:
-    """a, b: hashes of lines within ``edits`` edits or their radius."""
-    pairs = cut(candidates(lines, edits), "line-pairs")
-    close = with_texts(lines, pairs).where(edit_distance(F.split("a_line", ""), F.split("b_line", ""), edits) <= edits)
-    pairs = cut(run_candidates(lines, edits, share), "run-pairs")
-    far = with_texts(lines, pairs).where(F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), F.col("reach")) >= 0)
-    return close.select("a", "b").union(far.select("a", "b"))
+def near_lines(lines: DataFrame, edits: int, most: int, share: int) -> DataFrame:
+    """a, b: hashes of lines within the edits of the shorter one."""
+    pairs = with_texts(lines, cut(candidates(lines, edits, most, share), "line-pairs"))
+    allowed = edits_of(F.least(F.length("a_line"), F.length("b_line")), edits, most, share)
+    left, right = F.col("a_line"), F.col("b_line")
+    possible = pairs.where(may_be_near(left, right, allowed))
+    return possible.where(edit_distance(F.split(left, ""), F.split(right, ""), max(edits, most)) <= allowed).select("a", "b")
 
 
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -206,7 +185,7 @@ def later(places: DataFrame, keys: list[str]) -> DataFrame:
     return gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"))  # at most the lines of one document
 
 
-def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, share: int = SHARE) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_from: int = FUZZY_FROM, share: int = SHARE, most: int = MOST) -> DataFrame:
     """The rows of ``df`` with ``text`` freed of later duplicates; lines_in and lines_out tell what happened."""
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), F.col(key).alias("id"), body.alias("body"))
@@ -216,7 +195,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_fr
     counted = docs.withColumn("lines_in", F.size(F.split("body", "\n")))
     once = cut(without(counted, later(thin, ["h1", "h2"])), "texts")
     lines = places(once).where(F.length("line") >= fuzzy_from).select("rid", "id", "pos", "line", F.xxhash64("line").alias("h1"))
-    linked = components(near_lines(lines, edits, share)).select(F.col("node").alias("h1"), "root")
+    linked = components(near_lines(lines, edits, most, share)).select(F.col("node").alias("h1"), "root")
     sifted = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(linked, "h1")), "slot", "left_semi")
     drops = cut(later(sifted.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
     # most texts have none: only those in a slot of a text that has some are joined
