@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +32,17 @@ from millrace.llm.batches import map_batches
 from millrace.llm.components import components
 from millrace.llm.shared import cut
 
+#: Slots of hashes by which texts are sifted.
+SLOTS = 1 << 18
 SEED, RADIUS = 42, 4
 #: First bit and width of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Fingerprints in a tile, queries at a time, 64-bit words in a block of lanes, shingles hashed at a time.
 BUCKET, QUERIES, LANES, STEP = 1_500, 256, 16, 1 << 16
 
-#: Words of a wide fingerprint, its radius (a share of equal shingles of 0.8 differs in 39 of 256 bits in the mean) and the width of its keys.
-WORDS, WIDE_RADIUS, BAND = 4, 50, 12
+#: Words of a wide fingerprint, its radius (texts that share 0.8 of their shingles differ in 39 of 256 bits in the mean), width
+#: of its keys, ways to cut the bits into keys, fingerprints of a bucket whose pairs are all looked at, least similarity.
+WORDS, WIDE_RADIUS, BAND, WAYS, ALL_PAIRS, SIMILAR = 4, 62, 14, 3, 64, 0.8
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -210,35 +214,58 @@ def near_duplicates(df: DataFrame, key: Column, text: Column, size: int) -> Data
     single = rows.groupBy("fp").agg(F.min("key").alias("first"))
     roots = components(near_links(single.select("fp")))
     joined = single.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
-    named = joined.join(lowest, "root").select("fp", "component")
-    return rows.join(named, "fp").select("key", "fp", "component")
+    return rows.join(named_by(joined), "fp").select("key", "fp", "component")
 
 
-def small_links(values: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(value, first value of its component) over many small buckets side by side."""
-    near = within(values, planes(values), len(values), radius) & (bucket[:, None] == bucket[None])
-    label, old = np.arange(len(values)), None
-    while old is None or (label != old).any():
-        old, label = label, np.where(near, label[None], len(values)).min(1)
-    use = label != np.arange(len(values))
-    return values[use], values[label[use]]
+def named_by(joined: DataFrame) -> DataFrame:
+    """fp, component: the smallest ``first`` of all rows of the same root.
 
+    A root with a thousandth or more of all rows (a thousand at most) is looked up by a broadcast join, so that a giant
+    group is no hot key.
+    """
+    lowest = cut(joined.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "groups")
+    often = F.col("n") >= max(1, -(-(lowest.agg(F.sum("n")).first()[0] or 0) // 1000))
+    giants = F.broadcast(lowest.where(often).select("root", F.col("component").alias("giant")))
+    looked = joined.join(giants, "root", "left")
+    others = looked.where("giant IS NULL").join(lowest.where(~often).drop("n"), "root")
+    return looked.where("giant IS NOT NULL").select("fp", F.col("giant").alias("component")).union(others.select("fp", "component"))
+
+
+def small_pairs(values: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius of many small buckets side by side."""
+    near = within(values, planes(values), len(values), WIDE_RADIUS) & (bucket[:, None] == bucket[None])
+    i, j = np.nonzero(np.triu(near, 1))
+    return values[i], values[j]
+
+
+def tree_pairs(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(fingerprint, one of those within its radius) along a breadth-first tree of each component."""
+    left, found = values, []
+    while len(left) > 1:
+        frontier, left = left[:1], left[1:]
+        while len(frontier) and len(left):
+            near = within(frontier[:QUERIES], planes(left), len(left), WIDE_RADIUS)
+            hit = near.any(0)
+            new = left[hit]
+            found.append((new, frontier[near[:, hit].argmax(0)]))
+            frontier, left = np.concatenate([frontier[QUERIES:], new]), left[~hit]
+    return found
 
-def wide_bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def wide_bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         pairs, waiting, bucket = [], [], []
 
         def flush(waiting: list, bucket: list, pairs: list) -> None:
             if waiting:
-                pairs.append(small_links(np.concatenate(waiting), np.concatenate(bucket), WIDE_RADIUS))
+                pairs.append(small_pairs(np.concatenate(waiting), np.concatenate(bucket)))
                 waiting.clear()
                 bucket.clear()
 
         for k, own in enumerate(batch["fps"]):
             values = np.frombuffer(b"".join(own), ">u8").astype(np.uint64).reshape(-1, WORDS)
-            if len(values) > QUERIES:
-                pairs += links(values, WIDE_RADIUS)
+            if len(values) > ALL_PAIRS:
+                pairs += tree_pairs(values)
                 continue
             waiting.append(values)
             bucket.append(np.full(len(values), k))
@@ -249,10 +276,29 @@ def wide_bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({n: [r.tobytes() for r in v.astype(">u8")] for n, v in (("a", a), ("b", b))})
 
 
+def wide_keys(fps: DataFrame) -> DataFrame:
+    """fp, table, key: the bits of a fingerprint cut into keys in ``WAYS`` ways: runs of bits, then bits ever further apart."""
+    bits, per_way = 64 * WORDS, 64 * WORDS // BAND
+    strides = [next(s for s in range(way * BAND + 1, bits) if np.gcd(s, bits) == 1) for way in range(WAYS)]
+
+    def run(batches):
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            spread = np.unpackbits(values, axis=1)
+            weights = 1 << np.arange(BAND, dtype=np.int32)
+            for way, stride in enumerate(strides):
+                order = np.arange(per_way * BAND) * stride % bits
+                keys = spread[:, order].reshape(len(values), per_way, BAND) @ weights
+                for k in range(per_way):
+                    table = pa.array(np.full(len(values), way * per_way + k, np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), table, pa.array(keys[:, k].astype(np.int32))], ["fp", "table", "key"])
+
+    return fps.select("fp").mapInArrow(run, "fp binary, table int, key int")
+
+
 def wide_links(fps: DataFrame) -> DataFrame:
-    """a, b: hashes of distinct wide fingerprints that share a key and are within the radius."""
-    band = lambda k: F.conv(F.substring(F.hex("fp"), 16 * (k // 5) + 3 * (k % 5) + 1, 3), 16, 10).cast("int")  # noqa: E731  three hex digits: BAND bits
-    keyed = fps.select("fp", F.posexplode(F.array(*[band(k) for k in range(5 * WORDS)])).alias("table", "key"))
+    """a, b: distinct wide fingerprints that share a key and are within the radius; in large buckets a tree of them."""
+    keyed = cut(wide_keys(fps), "wide-keys")
     hot = keyed.groupBy("table", "key").count().where(F.col("count") > BUCKET)
     dealt = keyed.join(hot, ["table", "key"], "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / BUCKET).cast("int"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int")
@@ -260,16 +306,48 @@ def wide_links(fps: DataFrame) -> DataFrame:
     tiled = dealt.withColumn("own", own).select("table", "key", "own", "fp", F.explode(others).alias("other"))
     sides = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
     buckets = tiled.select("table", "key", *sides, "fp").groupBy("table", "key", "low", "high").agg(F.collect_list("fp").alias("fps"))
-    found = buckets.where(F.size("fps") > 1).select("fps").mapInPandas(wide_bucket_links, "a binary, b binary")
-    return found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    found = buckets.where(F.size("fps") > 1).select("fps").mapInPandas(wide_bucket_pairs, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    width, digest = min(size, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + width]), SEED) for k in range(len(words) - width + 1)], np.uint64))
+
+
+def alike(links: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The links (a, b) whose texts (fp, text) share ``SIMILAR`` or more of their shingles; each text is shingled once."""
+    make_sets = lambda: lambda fps, texts: (fps, [shingle_hashes(t, size).tobytes() for t in texts])
+    sets = cut(map_batches(texts, [F.col("fp"), F.col("text")], make_sets, "fp binary, hashes binary"), "shingles")
+
+    def make():
+        def step(a: list, b: list, left: list, right: list) -> tuple:
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= SIMILAR * (len(p) + len(q) - both))
+            use = np.flatnonzero(keep)
+            return [a[k] for k in use], [b[k] for k in use]
+
+        return step
+
+    sides = [sets.select(F.col("fp").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in "ab"]
+    rows = links.join(sides[0], "a").join(sides[1], "b")
+    return map_batches(rows, [F.col(c) for c in ("a", "b", "a_hashes", "b_hashes")], make, "a binary, b binary")
 
 
 def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> DataFrame:
-    """key, rank (hash of the text), component (key and rank of its first row): groups of texts that share about 0.8 of their shingles.
+    """key, rank (hash of the text), component (key and rank of its first row): groups of texts linked by pairs that share 0.8 of their shingles.
 
-    Fingerprints of ``WORDS`` * 64 bits; texts meet where one of twenty keys of ``BAND`` bits is equal (for a
-    similarity of 0.8 at least one is with a chance of 0.95, above 0.85 of 0.99) and are linked within
-    ``WIDE_RADIUS`` bits. Unrelated texts differ in about half of the bits.
+    Fingerprints of ``WORDS`` * 64 bits; texts meet where one of 54 keys of ``BAND`` bits is equal (for a similarity of
+    0.8 at least one is with a chance of 0.996) and are looked at within ``WIDE_RADIUS`` bits. The pairs are verified on
+    the shingles themselves. Equal fingerprints are one text. In a bucket of more than ``ALL_PAIRS`` fingerprints each is
+    verified against one neighbour only, in every bucket that it is in.
     """
     kind = df.select(key.alias("key")).schema["key"].dataType.simpleString()
 
@@ -279,9 +357,15 @@ def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> Da
     body = F.coalesce(text, F.lit(""))
     columns = [key.alias("key"), F.xxhash64(key, body).alias("rank"), body.cast("binary").alias("text")]
     rows = cut(map_batches(df, columns, make, f"key {kind}, rank long, fp binary"), "fingerprints")
-    single = rows.groupBy("fp").agg(F.min(F.struct("key", "rank")).alias("first"))
-    roots = components(wide_links(single.select("fp")))
+    single = cut(rows.groupBy("fp").agg(F.min(F.struct("key", "rank")).alias("first")), "distinct")
+    links = cut(wide_links(single.select("fp")), "wide-links")
+    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    wanted = cut(single.join(ends, "fp").select("fp", F.col("first.rank").alias("rank")), "wanted")
+    # texts outside the slots of wanted ones stay where they are; there are at most SLOTS slots
+    slot = F.pmod("rank", F.lit(SLOTS)).cast("int").alias("slot")
+    sifted = df.select(*columns[1:]).withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+    texts = sifted.dropDuplicates(["rank"]).join(wanted, "rank").select("fp", "text")
+    linked = alike(links, texts, size).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    roots = components(linked)
     joined = single.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
-    named = joined.join(lowest, "root").select("fp", "component")
-    return rows.join(named, "fp").select("key", "rank", "component")
+    return rows.join(named_by(joined), "fp").select("key", "rank", "component")
