@@ -153,7 +153,10 @@ def windows_of(df: DataFrame, key: Column, text: Column, widths: list[int] | Non
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
-    """key, item, covered (share of the item's windows) and same_values, a row for each leaking document and item."""
+    """key, item, covered (share of the item's windows), same_values and distinct_values, a row for each leaking document and item.
+
+    distinct_values tells whether different values of the item stay different in the document.
+    """
     items = windows_of(benchmark, F.col(item), F.col(item_text), None, None)
     items = items.select(F.col("key").alias("item"), "hash", F.col("pos").alias("item_pos"), F.col("width"), F.col("slots").alias("item_slots"), "total").dropDuplicates(["item", "item_pos", "hash"])
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most WINDOW
@@ -168,10 +171,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
         F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.max("total").alias("total")
     )
     sides = [F.size(F.array_distinct(F.transform("pairs", lambda p: p[s]))) for s in "ab"]
-    steady = aligned.where((sides[0] == F.size("pairs")) & (sides[1] == F.size("pairs")))
-    counted = steady.withColumn("same", ~F.exists("pairs", lambda p: p["a"] != p["b"])).select("doc", "item", "total", "same", F.explode("places").alias("place"))
-    each = counted.groupBy("doc", "item", "place").agg(F.max("same").alias("same"), F.max("total").alias("total"))
-    joined = each.groupBy("doc", "item").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.min("same").alias("same_values"))
+    # a value of the item has one value in the document; two of the item may have the same one there
+    steady = aligned.where(sides[0] == F.size("pairs"))
+    told = [(~F.exists("pairs", lambda p: p["a"] != p["b"])).alias("same"), (sides[1] == F.size("pairs")).alias("apart")]
+    counted = steady.select("doc", "item", "total", *told, F.explode("places").alias("place"))
+    each = counted.groupBy("doc", "item", "place").agg(F.max("same").alias("same"), F.max("apart").alias("apart"), F.max("total").alias("total"))
+    joined = each.groupBy("doc", "item").agg(
+        F.count("*").alias("n"), F.max("total").alias("total"), F.min("same").alias("same_values"), F.min("apart").alias("distinct_values"))
     return joined.where(F.col("n") >= SHARE * F.col("total")).select(
-        F.col("doc").alias(key), F.col("item").alias(item), (F.col("n") / F.col("total")).alias("covered"), "same_values"
+        F.col("doc").alias(key), F.col("item").alias(item), (F.col("n") / F.col("total")).alias("covered"), "same_values", "distinct_values"
     )

@@ -9,9 +9,12 @@ occurrence carries its label to unclear ones. Labels are the largest marginals o
 tokens of one kind becomes a span if no base span meets it and its mean marginal is at least ``SURE``.
 
 Learning: pseudo-likelihood on at most ``SAMPLE`` documents that hold a digit or ``@``, chosen by a hash of their
-id, ``SAMPLE_TOKENS`` tokens of each; labels are the base spans, and tokens of dropped matches are left out.
+id and text, ``SAMPLE_TOKENS`` tokens of each in runs of ``RUN`` spread over the whole text; labels are the base spans,
+and tokens of dropped matches are left out. The potential of equal labels of joined tokens is learned, with a prior of
+at least 1: consistency counts also where the sample repeats nothing.
 
-Defined results: null and empty texts have no spans. Where nothing can be learned only base spans are given.
+Defined results: null and empty texts have no spans. Rows that repeat an id and a text are one document of the sample and
+each get a row. Where nothing can be learned only base spans are given.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from millrace.llm.batches import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
-SAMPLE, SAMPLE_TOKENS, STEPS, RATE = 1_500, 200, 300, 0.2
+SAMPLE, SAMPLE_TOKENS, RUN, STEPS, RATE = 1_500, 200, 20, 300, 0.2
+#: Characters of the longest token whose shape is remembered.
+REMEMBERED = 200
 ROUNDS, DAMPING, SURE = 40, 0.3, 0.9
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -191,7 +196,7 @@ def learn(x: np.ndarray, y: np.ndarray, chained: np.ndarray, skips: np.ndarray,
         np.add.at(grad.T, after, error)
         field.chain += RATE * 10 * (grad - 1e-5 * field.chain)
         field.skip = max(0.0, field.skip + RATE * 10 * float((friends * error).sum()))
-    field.skip = max(field.skip, 1.0)  # consistency counts also where the sample repeats nothing
+    field.skip = max(field.skip, 1.0)
     return field
 
 
@@ -202,10 +207,12 @@ class Reader:
         self.shapes: dict[str, np.ndarray] = {}
 
     def shape(self, token: str) -> np.ndarray:
+        if len(token) > REMEMBERED:
+            return features(token)
         if (found := self.shapes.get(token)) is None:
             if len(self.shapes) > 100_000:
                 self.shapes.clear()
-            found = self.shapes[token] = features(token[:200])
+            found = self.shapes[token] = features(token)
         return found
 
     def graph(self, texts: list[str], places: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,24 +257,33 @@ def added(text: str, places: list[tuple[int, int]], chances: np.ndarray, base: l
     return out
 
 
+def spread_over(places: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the tokens to learn from: all of them, or runs at equal distances from the first to the last."""
+    if len(places) <= SAMPLE_TOKENS:
+        return list(range(len(places)))
+    starts = np.linspace(0, len(places) - RUN, SAMPLE_TOKENS // RUN).astype(int)
+    return sorted({i for a in starts.tolist() for i in range(a, a + RUN)})
+
+
 def fit(docs: DataFrame, key: str, text: str) -> Field | None:
     marked = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(key, text).alias("rid"))
     chosen = marked.distinct().orderBy("rid").limit(SAMPLE)
-    rows = docs.select(F.xxhash64(key, text).alias("rid"), F.col(text).alias("text")).join(F.broadcast(chosen), "rid")  # at most SAMPLE hashes
+    rows = docs.select(F.xxhash64(key, text).alias("rid"), F.col(text).alias("text")).join(F.broadcast(chosen), "rid").dropDuplicates(["rid"])  # at most SAMPLE hashes
 
     def make():
         def step(rids: list, texts: list) -> tuple:
             words, labels, beside = [], [], []
             for t in texts:
                 base, dropped = base_spans(t)
-                own = tokens(t)[:SAMPLE_TOKENS]
-                marks = []
+                places = tokens(t)
+                used = spread_over(places)
+                own, marks = [places[i] for i in used], []
                 for a, b in own:
                     kind = next((k + 1 for k, c, d in base if c < b and a < d), 0)
                     marks.append(-1 if not kind and any(c < b and a < d for c, d in dropped) else kind)
                 words.append([t[a:b] for a, b in own])
                 labels.append(marks)
-                beside.append([k > 0 and t[own[k - 1][1] : a].isspace() for k, (a, _) in enumerate(own)])
+                beside.append([k > 0 and used[k - 1] == used[k] - 1 and t[own[k - 1][1] : a].isspace() for k, (a, _) in enumerate(own)])
             return rids, words, labels, beside
 
         return step

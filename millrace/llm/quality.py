@@ -9,7 +9,8 @@ chunks spread over each text; these bounds make the sample fit the driver. Score
 weights of both labels are equal in training; the share of label 1 among all usable labels is put back
 into the bias, so a score is a probability for the table as it is.
 
-Defined results: null and empty texts are one empty chunk. A document with several labels has the highest.
+Defined results: null and empty texts are one empty chunk. A document with several labels has the highest. Of rows that
+repeat an id one text is learned from, the first in order; each row is scored.
 With no usable label every score is 0.5; with one label only, the score is that of the smoothed share.
 """
 
@@ -141,6 +142,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column) -> Network | fl
         return step
 
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most twice SAMPLE ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     columns = [F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("quality").cast("int").alias("quality")]
     got = map_batches(rows, columns, make, "doc_id long, parts array<binary>, quality int").orderBy("doc_id").limit(2 * SAMPLE).collect()
     if len({r.quality for r in got}) < 2:

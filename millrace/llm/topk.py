@@ -1,6 +1,6 @@
 """Exact top-k search by tiled matrix products (operator 3).
 
-Vectors become whole numbers, floor(64 * x). Rows are packed into tiles of bounded size by a hash of their id:
+Vectors become whole numbers, floor(64 * x). Rows are packed into tiles of bounded size by a hash of the row:
 queries into query tiles, all vectors into shards. Each pair of a query tile and a shard is one matrix product
 in one Python call, and only the k best of each query leave it. These lists are merged as a tree, ``FAN`` shards
 at a time, until one list is left for each query. Query tiles travel to the shards (they are the smaller side);
@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query tile, rows of a shard, shards merged at a time.
-TILE, SHARD, FAN = 1024, 2048, 16
+#: Rows of a query tile, rows of a shard, shards merged at a time, groups of shards that a query tile goes to.
+TILE, SHARD, FAN, GROUPS = 1024, 2048, 16, 1024
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -46,7 +46,7 @@ def packed(rows: DataFrame, tiles: int, name: str) -> DataFrame:
             "dim": [part["dim"].iloc[0]], name: [part[name].iloc[0]], f"{name}_ids": [part["id"].to_numpy(np.int64).tobytes()], f"{name}_matrix": [matrix.tobytes()],
         })
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", "v", "copy"), F.lit(tiles)).cast("int"))
     return dealt.groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_matrix binary")
 
 
@@ -73,13 +73,18 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score."""
-    base, asked = usable(vectors, key, vector), usable(queries, key, vector).dropDuplicates()
+    # of equal rows no more than k can be in a list
+    counted = usable(vectors, key, vector).groupBy("id", "v", "dim").agg(F.count("*").alias("n"))
+    base = counted.select("id", "v", "dim", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy"))
+    asked = usable(queries, key, vector).dropDuplicates().withColumn("copy", F.lit(1))
     shards = max(1, -(-vectors.count() // SHARD))
     tiles = max(1, -(-queries.count() // TILE))
     right = packed(base, shards, "shard")
-    places = right.select("dim", "shard")
-    left = packed(asked, tiles, "tile")
-    pairs = left.join(places, "dim").join(right, ["dim", "shard"])
+    # a query tile travels once to each group of shards; which there are is known beforehand
+    group = max(1, shards // GROUPS)
+    groups = F.sequence(F.lit(0), F.lit((shards - 1) // group))
+    left = packed(asked, tiles, "tile").select("*", F.explode(groups).alias("group"))
+    pairs = left.join(right.withColumn("group", F.floor(F.col("shard") / group).cast("int")), ["dim", "group"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -34,6 +34,20 @@ def test_slots(spark):
     assert run(spark, docs, []) == {} and run(spark, [], [(1, ITEM)]) == {}
 
 
+def test_values_may_become_equal(spark):
+    tell = lambda a, x, y, z, b: f"So {a} buys {x} apples for {y} dollars and gives {z} to {b} before she goes home to sleep."
+    docs = [(1, tell("Carla", 4, 8, 7, "Dora")), (2, tell("Carla", 4, 8, 4, "Dora")), (3, tell("Carla", 4, 8, 7, "Carla")), (4, tell("Anna", 3, 6, 5, "Ben"))]
+    got = run(spark, docs, [(1, docs[-1][1])])
+    assert {k[0] for k in got} == {1, 2, 3, 4}
+    assert [got[(d, 1)].distinct_values for d in (1, 2, 3, 4)] == [True, False, False, True] and got[(4, 1)].same_values
+
+
+def test_very_long_text(spark):
+    filler = "nothing to see in this part of the text "
+    got = run(spark, [(1, filler * 20_000 + ITEM + filler * 20_000), (2, filler * 20_000)], [(10, ITEM)])
+    assert set(got) == {(1, 10)}
+
+
 def test_query_on_documents(spark):
     """Whole items found by a plain search of their words are found, and nothing else."""
     words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "

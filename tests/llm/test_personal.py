@@ -89,3 +89,18 @@ def test_added_spans_and_odd_rows(spark):
     assert got[1001] == got[1002] == [([], [])] and len(got[1003]) == 2 and len(got[None]) == 1
     assert personal.fit(df.where("doc_id = 1003"), "doc_id", "text") is None
     assert personal.find(df.limit(0), F.col("doc_id"), F.col("text"), None).count() == 0
+
+
+def test_shapes_of_whole_tokens():
+    reader, short = personal.Reader(), personal.features("xx@y.example")
+    long = "x" * 210 + "@y.example"
+    assert (reader.shape(long) == personal.features(long)).all() and (personal.features(long) == short).all()
+    assert long not in reader.shapes
+
+
+def test_learned_tokens_are_spread_over_the_text():
+    places = [(i, i + 1) for i in range(5000)]
+    used = personal.spread_over(places)
+    assert len(used) == personal.SAMPLE_TOKENS and used[0] == 0 and used[-1] == 4999
+    assert sum(b - a == 1 for a, b in zip(used, used[1:])) == len(used) - personal.SAMPLE_TOKENS // personal.RUN
+    assert personal.spread_over(places[:7]) == list(range(7))

@@ -58,3 +58,31 @@ def test_odd_rows(spark):
     rows = quality.scores(docs, both, F.col("doc_id"), F.col("text")).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert quality.scores(docs.limit(0), both, F.col("doc_id"), F.col("text")).count() == 0
+
+
+def test_a_document_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 5)
+    docs = [(i, ("good words in a line " if i % 2 else "zx# qq! ") * 5) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    usable = F.lit(True)
+    once = quality.fit(table(docs), labels, usable)
+    often = quality.fit(table(docs + [d for d in docs[:20] for _ in range(12)]), labels, usable)
+    assert isinstance(often, quality.Network)
+    assert np.allclose(once.score(docs[0][1].encode()), often.score(docs[0][1].encode()))
+
+
+def test_score_against_a_loop():
+    """Filters, mean and maximum over the chunks, hidden layer and probability, one by one."""
+    rng = np.random.default_rng(2)
+    shapes = (quality.WIDTH, 256, quality.FILTERS), (2 * quality.FILTERS + 1, quality.HIDDEN), (quality.HIDDEN + 1,)
+    net = quality.Network(*(rng.normal(size=s).astype(np.float32) for s in shapes))
+    text = bytes(rng.integers(1, 255, 1200, dtype=np.uint8))
+    tops = []
+    for part in quality.chunks(text):
+        answers = [[sum(float(net.filters[w, part[at + w], f]) for w in range(quality.WIDTH)) for at in range(quality.CHUNK)] for f in range(quality.FILTERS)]
+        tops.append([max(0.0, *a) for a in answers])
+    tops = np.array(tops)
+    hidden = np.tanh(np.concatenate([tops.mean(0), tops.max(0), [1.0]]) @ net.first)
+    z = float(np.append(hidden, 1.0) @ net.last)
+    assert len(tops) == 3 and abs(net.score(text) - 1 / (1 + np.exp(-z))) < 1e-3
