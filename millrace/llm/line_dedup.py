@@ -29,7 +29,7 @@ from millrace.llm.components import components
 from millrace.llm.shared import cut
 
 #: Least and most edits, characters for each edit, length from which lines are compared by edits.
-EDITS, MOST, SHARE, FUZZY_FROM, SLOTS = 1, 3, 40, 24, 1 << 18
+EDITS, MOST, SHARE, FUZZY_FROM, SLOTS = 1, 2, 40, 24, 1 << 18
 #: Letters that are counted before two lines are compared.
 COMMON = " eaionrstlu"
 
@@ -177,6 +177,13 @@ def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     return joined.withColumn("body", F.when(F.col("gone").isNull(), F.col("body")).otherwise(text)).drop("gone")
 
 
+def without_most(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """``without``, where only texts in a slot of a text that loses lines are joined; the others do not move."""
+    marked = docs.withColumn("slot", F.pmod("rid", F.lit(SLOTS)).cast("int"))
+    hit = F.broadcast(slots(drops, "rid"))
+    return marked.join(hit, "slot", "left_anti").drop("slot").unionByName(without(marked.join(hit, "slot", "left_semi").drop("slot"), drops))
+
+
 def later(places: DataFrame, keys: list[str]) -> DataFrame:
     """rid, gone: of the places that share the keys, all but the first."""
     one = F.struct("id", "rid", "pos")
@@ -193,15 +200,12 @@ def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_fr
     hashed = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     thin = cut(places(docs).select("rid", "id", "pos", *hashed), "lines")
     counted = docs.withColumn("lines_in", F.size(F.split("body", "\n")))
-    once = cut(without(counted, later(thin, ["h1", "h2"])), "texts")
+    once = cut(without_most(counted, cut(later(thin, ["h1", "h2"]), "equal")), "texts")
     lines = places(once).where(F.length("line") >= fuzzy_from).select("rid", "id", "pos", "line", F.xxhash64("line").alias("h1"))
     linked = components(near_lines(lines, edits, most, share)).select(F.col("node").alias("h1"), "root")
     sifted = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(linked, "h1")), "slot", "left_semi")
     drops = cut(later(sifted.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
-    # most texts have none: only those in a slot of a text that has some are joined
-    marked = once.withColumn("slot", F.pmod("rid", F.lit(SLOTS)).cast("int"))
-    hit = F.broadcast(slots(drops, "rid"))
-    done = marked.join(hit, "slot", "left_anti").drop("slot").unionByName(without(marked.join(hit, "slot", "left_semi").drop("slot"), drops))
+    done = without_most(once, drops)
     names = [F.col("body").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
     # a text whose lines are all gone is empty and has no line
     out = F.when((F.col("body") == "") & (F.col("lines_in") > 1), F.lit(0)).otherwise(F.size(F.split("body", "\n")))

@@ -14,7 +14,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     grows with every round; a written table starts with a clean plan.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -96,7 +96,7 @@ def test_dedup(spark, edits):
 
 
 def radius(x, edits=1):
-    return max(edits, min(len(x) // 40, 3))
+    return max(edits, min(len(x) // 40, line_dedup.MOST))
 
 
 def far_apart(x, y):
@@ -119,7 +119,7 @@ def test_query_on_documents(spark):
         assert gone and all(any(near(x, y) for y in seen) for x in gone)
     # every near pair but the first line of each chain
     lines = sorted(x for x in seen if len(x) >= 24)
-    pairs = [(x, y) for i, x in enumerate(lines) for y in lines[:i] if abs(len(x) - len(y)) <= 3 and far_apart(x, y) <= 2 * radius(min(x, y, key=len)) and near(x, y)]
+    pairs = [(x, y) for i, x in enumerate(lines) for y in lines[:i] if abs(len(x) - len(y)) <= line_dedup.MOST and far_apart(x, y) <= 2 * radius(min(x, y, key=len)) and near(x, y)]
     kept = {x for r in rows for x in r.text.split("\n")}
     assert not [p for p in pairs if p[0] in kept and p[1] in kept]
     assert all(r.lines_in == len(dict(docs)[r.doc_id].split("\n")) for r in rows)
