@@ -36,11 +36,37 @@ def handler_takes_mime(mime: Column, mimes: Sequence[str]) -> Column:
     return F.coalesce(any_match(mime, [f"(?i)^{m}(;.+)?$" for m in mimes]), F.lit(False))
 
 
+#: An escaped sign, a class, or the start of a group: what matters when groups are counted.
+GROUP_START = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)|\((?!\?)", re.S)
+
+
+def numbered_groups(pattern: str) -> tuple[str, dict[str, int]]:
+    """The pattern with named groups (``(?P<name>``, ``(?P=name)``) as numbered ones, and the number of each name."""
+    names: dict[str, int] = {}
+    count = 0
+
+    def one(m: re.Match) -> str:
+        nonlocal count
+        if m[2]:
+            # a blank group keeps a following digit apart
+            return f"\\{names[m[2]]}(?:)"
+        if m[1] or m[0] == "(":
+            count += 1
+            if m[1]:
+                names[m[1]] = count
+            return "("
+        return m[0]
+
+    return GROUP_START.sub(one, pattern), names
+
+
 def expand(match_of: Column, pattern: str, template: str) -> Column:
-    """Template with ``\\n`` replaced by the n-th group of the first match."""
-    parts = re.split(r"\\(\d)", template)
+    """Template with ``\\n``, ``\\g<n>`` and ``\\g<name>`` replaced by the groups of the first match."""
+    plain, names = numbered_groups(pattern)
+    parts = re.split(r"\\(\d|g<\w+>)", template)
+    number = lambda p: names.get(p[2:-1]) or int(p[2:-1]) if p[0] == "g" else int(p)
     columns = [
-        F.regexp_extract(match_of, pattern, int(p)) if i % 2 else F.lit(p) for i, p in enumerate(parts) if p or i % 2
+        F.regexp_extract(match_of, plain, number(p)) if i % 2 else F.lit(p) for i, p in enumerate(parts) if p or i % 2
     ]
     return F.concat(*columns) if columns else F.lit("")
 

@@ -7,6 +7,7 @@ list, so cleaning pages needs no exchange. Tokens are exploded only where a tabl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from millrace import tags as T
 from millrace.functions import text as X
 from millrace.functions import urls as U
 from millrace.functions.let import let
-from millrace.functions.rules import applies_to_url, expand
+from millrace.functions.rules import applies_to_url, expand, numbered_groups
 from millrace.policy import TagRule
 
 # What a tag holds up to its ``>``: a quoted value after ``=`` may hold any sign; a quote that is never closed is one sign
@@ -170,7 +171,7 @@ def _attrs_named(attrs: Column, name: str) -> Column:
 
 
 def _value_fits(pattern: str):
-    return lambda a: F.coalesce(a["value"], F.lit("")).rlike(pattern)
+    return lambda a: F.coalesce(a["value"], F.lit("")).rlike(numbered_groups(pattern)[0])
 
 
 def rule_matches(tag: Column, attrs: Column, url: Column, rule: TagRule) -> Column:
@@ -183,7 +184,10 @@ BLOCK_PARTS = ("complete", "enclosed", "matched")
 
 
 def rewrite_start_tags(token_array: Column, url: Column, rules: Sequence[TagRule]) -> Column:
-    """Apply the start tag rules in order; a rule that changes the kind or the name of a tag is the last one."""
+    """Apply the start tag rules in order; a rule that changes the kind or the name of a tag is the last one.
+
+    The end tag of a changed element follows its start tag; where a rule asks for no attributes, also one without start.
+    """
     rules = [r for r in rules if r.part in START_PARTS or (r.part == "complete" and r.tag in T.NO_CLOSE_TAGS)]
 
     def changed(state: Column, rule: TagRule) -> Column:
@@ -229,7 +233,29 @@ def rewrite_start_tags(token_array: Column, url: Column, rules: Sequence[TagRule
             .otherwise(token)
         )
 
-    return F.transform(token_array, one)
+    bound = [r for r in rules if r.part in ("tag", "tagname") and r.attrs]
+    if not bound:
+        return F.transform(token_array, one)
+
+    def followed(toks: Column, out: Column) -> Column:
+        touched = lambda tag: reduce(lambda a, b: a | b, [rule_tag_matches(tag, r) for r in bound])
+        indexed = F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag")))
+        pairs = element_ranges(F.filter(indexed, lambda t: t["kind"].isin("start", "end") & touched(t["tag"])))
+        ends = F.transform(pairs, lambda p: F.struct(p["e"].alias("s"), p["e"].alias("e"), (p["s"] + 1).alias("start")))
+        starts = covered(ends, F.size(toks), lambda r: r["start"])
+
+        def closed(t: Column, start: Column) -> Column:
+            def after(new: Column) -> Column:
+                text = F.when(new["kind"] == "data", new["text"]).otherwise(F.concat(F.lit("</"), new["tag"], F.lit(">")))
+                kind = F.when(new["kind"] == "data", "data").otherwise("end")
+                made = F.struct(kind.alias("kind"), new["tag"].alias("tag"), text.alias("text"))
+                return F.when(new["tag"] != F.get(toks, start - 1)["tag"], made).otherwise(t)
+
+            return F.when(start > 0, let(F.get(out, start - 1), after)).otherwise(t)
+
+        return F.zip_with(out, starts, closed)
+
+    return let(token_array, lambda toks: let(F.transform(toks, one), lambda out: followed(toks, out)))
 
 
 def _state(kind: Column, tag: Column, attrs: Column, text: Column, done: Column) -> Column:
@@ -253,7 +279,10 @@ def _rewrite_attrs(attrs: Column, rule: TagRule) -> Column:
         for name, pattern in patterns.items():
             value = F.coalesce(a["value"], F.lit(""))
             filled = expand(value, pattern, rule.replacement)
+            plain, names = numbered_groups(pattern)
             if rule.part == "attrval":
+                # a group of this name holds a quoted address
+                filled = U.unmark(U.unquote(filled)) if "url" in names else filled
                 new = F.array(F.struct(a["name"].alias("name"), filled.alias("value")))
             elif rule.part == "attrname":
                 new = F.array(F.struct(filled.alias("name"), a["value"].alias("value")))
@@ -266,7 +295,7 @@ def _rewrite_attrs(attrs: Column, rule: TagRule) -> Column:
                     )
                     for k, v in items
                 ])
-            out = F.when((a["name"] == name) & value.rlike(pattern), new).otherwise(out)
+            out = F.when((a["name"] == name) & value.rlike(plain), new).otherwise(out)
         return out
 
     return F.flatten(F.transform(attrs, one))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace import policy as P
+from millrace.functions.rules import expand, numbered_groups
 from millrace.operators import feeds as E
 from millrace.operators import html as M
 from millrace.operators import security as S
@@ -96,6 +97,24 @@ def test_start_tag_rules(evaluate):
     assert run('<p align="l">', P.TagRule("r", "p", "attrname", (("align", "l"),), "style")) == '<p style="l">'
     assert run('<p align="l">', P.TagRule("r", "p", "attr", (("align", "l"),), 'a="1" b="2"')) == '<p a="1" b="2">'
     assert run('<img src="x">t', P.TagRule("r", "img", "complete", (("src", "x"),))) == "t"
+    # the end tag follows the start tag that fired, and no other
+    size = P.TagRule("r", "font", "tagname", (("size", "1"),), "span")
+    assert run('<font size="1">x</font>', size) == '<span size="1">x</span>'
+    assert run('<font><font size="1">x</font>y</font></font>', size) == '<font><span size="1">x</span>y</font></font>'
+    assert run('<font size="1">open', size) == '<span size="1">open'
+    mark = P.TagRule("r", "b", "tag", (("class", "k"),), "*")
+    assert run('<b>a<b class="k">c</b></b>', mark, size) == "<b>a*c*</b>"
+
+
+def test_named_groups(evaluate):
+    def run(html, *rules):
+        return evaluate([html], lambda c: texts(M.rewrite_start_tags(M.tokens(c), F.lit("http://h/"), rules)))[0]
+
+    link = P.TagRule("r", "a", "attrval", (("href", r"[?&](to|go)=(?P<url>http%3[aA][^&]+)"),), r"\g<url>")
+    assert run('<a href="/r?x=1&amp;go=http%3A%2F%2Fh.example%2Fa&amp;y">', link) == '<a href="http://h.example/a">'
+    assert run('<a href="/r?x=1">', link) == '<a href="/r?x=1">'
+    assert numbered_groups(r"(a)(?P<b>[(]x\()(?:c)(?P<d>e)(?P=b)1") == (r"(a)([(]x\()(?:c)(e)\2(?:)1", {"b": 2, "d": 3})
+    assert evaluate(["k=v;w"], lambda c: expand(c, r"(?P<key>\w)=(?P<val>\w)", r"\g<val>-\1-\g<2>"))[0] == "v-k-v"
 
 
 def test_repair(evaluate):
