@@ -20,16 +20,20 @@ def clean(
     text_rules: Sequence[P.TextRule] = tuple(P.TEXT_RULES),
     comment_urls: Sequence[str] = ("/en/", "/de/"),
     exempt: str | None = None,
+    script_urls: Sequence[str] | None = (),
 ) -> DataFrame:
-    """page_id, html: characters, tokens, security, tag rules, element rules, text rules.
+    """page_id, html: characters, tokens, names of tags, comments, security, tag rules, element rules, text rules.
 
-    ``exempt`` names a boolean column; pages with true there come back as they are.
+    ``exempt`` names a boolean column; pages with true there come back as they are. Comments in scripts go where the URL
+    matches one of ``script_urls`` (everywhere without any; None keeps them).
     """
     url = F.col("url")
     fixed = X.fix_chars(F.col("html"), F.lit(None).cast("string"))
     # one projection per stage keeps the expressions apart; none of them moves a row
-    rows = pages.withColumn("tokens", M.tokens(fixed))
+    rows = pages.withColumn("tokens", M.corrected(M.tokens(fixed)))
     rows = rows.withColumn("tokens", M.drop_comments(F.col("tokens"), url, comment_urls))
+    if script_urls is not None:
+        rows = rows.withColumn("tokens", M.without_script_comments(F.col("tokens"), url, script_urls))
     rows = rows.withColumn("tokens", M.add_img_titles(S.repaired(F.col("tokens"))))
     rows = rows.withColumn("tokens", M.rewrite_start_tags(F.col("tokens"), url, tag_rules))
     rows = rows.withColumn("clean", M.rewrite_blocks(F.col("tokens"), url, tag_rules))

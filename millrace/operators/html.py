@@ -352,6 +352,8 @@ def rewrite_blocks(token_array: Column, url: Column, rules: Sequence[TagRule], r
     inside the page row, so a page is never exploded and nothing is shuffled.
     """
     rules = [r for r in rules if r.part in BLOCK_PARTS]
+    if not rules:
+        return _texts(token_array)
 
     def touched(tag: Column) -> Column:
         hit = F.lit(False)
@@ -541,7 +543,7 @@ def feed_subset(html: Column, url: Column | None = None, drop: Sequence[TagRule]
         )
         return let(folded, lambda spans: assemble(toks, spans))
 
-    return let(tokens(html), clean)
+    return let(corrected(tokens(html)), clean)
 
 
 def corrected_tag(tag: Column) -> Column:
@@ -553,6 +555,32 @@ def corrected_tag(tag: Column) -> Column:
     return F.when(known, tag).otherwise(F.coalesce(F.get(near, F.lit(0)), F.when(sound != "", sound), tag))
 
 
+def corrected(token_array: Column) -> Column:
+    """Tokens with the names of tags corrected; most names are known and cost a look into the list only."""
+    name = r"^(</?)[A-Za-z][^\s/>]*"
+
+    def one(t: Column) -> Column:
+        def renamed(tag: Column) -> Column:
+            new = F.struct(t["kind"].alias("kind"), tag.alias("tag"), F.concat(F.regexp_extract(t["text"], name, 1), tag, F.regexp_replace(t["text"], name, "")).alias("text"))
+            return F.when(tag != t["tag"], new).otherwise(t)
+
+        return F.when(t["tag"] != "", let(corrected_tag(t["tag"]), renamed)).otherwise(t)
+
+    return F.transform(token_array, one)
+
+
+def without_script_comments(token_array: Column, url: Column, matchurls: Sequence[str] = ()) -> Column:
+    """Bodies of script elements without comments, where the URL fits. ``token_array`` is a column that is there."""
+    fits = applies_to_url(url, matchurls, ())
+
+    def one(t: Column, i: Column) -> Column:
+        before = F.get(token_array, i - 1)
+        inside = (t["kind"] == "data") & (before["tag"] == "script") & (before["kind"] == "start")
+        return F.when(inside & fits, t.withField("text", X.strip_script_comments(t["text"]))).otherwise(t)
+
+    return F.transform(token_array, one)
+
+
 def meta_tags(pages: DataFrame) -> DataFrame:
     """page_id, pos, name, http_equiv, content, charset of every meta tag, with the XHTML flag of its page."""
     rows = pages.select("page_id", tokens(F.col("html")).alias("tokens"))

@@ -170,7 +170,7 @@ def repaired(token_array: Column) -> Column:
 
                 return let(tag_findings(t["tag"], a, F.array_contains(states["helped"], i)), with_findings)
 
-            fixed = F.when(F.contains(t["text"], F.lit("=")), let(P.attributes(t["text"]), rebuild)).otherwise(t)
+            fixed = F.when(t["text"].rlike(r"^<[A-Za-z][^\s/>]*[\s/]+[^\s/>]"), let(P.attributes(t["text"]), rebuild)).otherwise(t)
             return F.when(t["kind"].isin("start", "startend"), F.when(~F.array_contains(states["dropped"], i), fixed)).otherwise(t)
 
         return F.array_compact(F.transform(toks, one))

@@ -303,11 +303,23 @@ def html_meta(t):
     return M.meta_tags(both)
 
 
+def corrected_ctes(source: str) -> str:
+    """CTE ``tokens`` as ``token_ctes`` has it, with the names of tags corrected."""
+    known = ", ".join(f"'{x}'" for x in T.KNOWN_INVALID_TAGS)
+    return rf"""{token_ctes(source, 'u_')},
+names AS (SELECT DISTINCT tag FROM u_tokens WHERE tag <> ''), dictionary AS (SELECT DISTINCT tag FROM {CLASS_VALUES} v(tag, class)),
+closest AS (SELECT n.tag, min(d.tag) AS better FROM names n JOIN dictionary d ON levenshtein(n.tag, d.tag) = 1 GROUP BY n.tag),
+spelled AS (SELECT n.tag AS was, CASE WHEN n.tag IN (SELECT tag FROM dictionary) OR n.tag IN ({known}) OR regexp_matches(n.tag, '^[-a-z_.]+:') THEN n.tag
+  ELSE coalesce(better, nullif(regexp_extract(n.tag, '^([a-z][-a-z0-9.:_]*)', 1), ''), n.tag) END AS now FROM names n LEFT JOIN closest USING (tag)),
+tokens AS (SELECT page_id, url, pos, kind, coalesce(now, tag) AS tag, CASE WHEN now <> tag THEN regexp_replace(text, '^(</?)[A-Za-z][^\s/>]*', '\1' || now) ELSE text END AS text
+  FROM u_tokens LEFT JOIN spelled ON was = tag)"""
+
+
 FEED_TAGS = "(" + ", ".join(f"'{t}'" for t in T.FEED_ALLOWED) + ")"
 FEED_ATTRS = "(" + ", ".join(f"('{t}', '{n}')" for t, names in T.FEED_ALLOWED.items() for n in names) + ")"
 def subset_ctes(source: str) -> str:
     """CTE ``subset(page_id, html)``: the feed subset of the HTML of a table."""
-    return rf"""{token_ctes(source)}, {attr_ctes()},
+    return rf"""{corrected_ctes(source)}, {attr_ctes()},
 tok AS MATERIALIZED (SELECT page_id, pos, kind, tag, text FROM tokens),
 q AS MATERIALIZED (SELECT page_id, pos, string_agg(' ' || name || '="' || {CHAR_REFS.format("replace(replace(coalesce(value, ''), '&', '&amp;'), chr(34), '&quot;')")} || '"', '' ORDER BY apos) AS a
   FROM attrs WHERE (tag, name) IN {FEED_ATTRS} GROUP BY ALL),

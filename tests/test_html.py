@@ -127,6 +127,9 @@ def test_repair(evaluate):
     deep = "<object>" * 5 + "</object>" * 5
     assert run(deep) == "<object>" * 3 + "</object>" * 5
     assert run("<p class=fine>") == "<p class=fine>"
+    # tags without any value are looked at as well
+    assert run("<p " + " ".join(f"a{i}" for i in range(205)) + ">") == "<p " + " ".join(f"a{i}" for i in range(200)) + ">"
+    assert run("<input type>") == "<input>" and run("<br/>") == "<br/>"
 
 
 def test_clean_pages_drops_what_the_rules_name(tables):
@@ -137,6 +140,14 @@ def test_clean_pages_drops_what_the_rules_name(tables):
     assert "hashpartitioning" not in plan and "Join" not in plan
 
 
+def test_names_and_scripts_are_cleaned(spark):
+    html = "<htmm><bllnk>x</bllnk><script><!--\n// note\nrun();\n//--></script><q:a/>"
+    pages = spark.createDataFrame([(1, "http://h/", html), (2, "http://k/", html)], "page_id int, url string, html string")
+    got = {r.page_id: r.html for r in clean(pages, (), (), (), script_urls=("h/",)).collect()}
+    assert got[1].startswith("<html><blink>x</blink><script>") and "run();" in got[1] and "note" not in got[1] and "note" in got[2]
+    assert got[1].endswith("</script><q:a/>")
+
+
 def test_exempt_pages_stay(tables):
     pages = tables.pages.select("page_id", "url", "html", (F.col("page_id") % 2 == 0).alias("free"))
     out = clean(pages, exempt="free").join(tables.pages.select("page_id", F.col("html").alias("was")), "page_id")
