@@ -6,10 +6,10 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from millrace import policy as P
 from millrace.operators import content as C
 from millrace.operators import feeds as E
 from millrace.plans.html_plans import subset_ctes
+from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 from millrace.session import fresh_path
 from millrace.signatures import COMMON, MORE, read_signatures
@@ -143,7 +143,7 @@ def mime_confusion(t):
   CASE WHEN page_id % 3 = 0 THEN 'wc.801' WHEN page_id % 3 = 1 AND page_id % 8 = 0 THEN 'wc.802' END AS sid FROM pages WHERE page_id % 8 < 3""")
 def image_size_block(t):
     rows = _blobs(t).select("blob_id", C.image_size(F.col("content")).alias("s")).where(F.col("s").isNotNull())
-    return rows.select("blob_id", "s.format", "s.width", "s.height", C.blocked_size(F.col("s"), P.IMAGE_RULES).alias("sid"))
+    return rows.select("blob_id", "s.format", "s.width", "s.height", C.blocked_size(F.col("s"), rule_set(t).image_rules).alias("sid"))
 
 
 def feeds(t):
@@ -169,5 +169,5 @@ SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<?xml version="1.0" encoding="UT
 
 @query("xml_feed_rewrite", sql=FEED_SQL)
 def xml_feed_rewrite(t):
-    rules = [*E.FEED_RULES, E.FeedRule("wc.99", "/rdf:RDF/textinput", "remove")]
-    return feeds(t).select("page_id", E.rewrite_feed(F.col("xml"), F.col("url"), rules, P.TAG_RULES[1:2]).alias("xml"))
+    rules = rule_set(t)
+    return feeds(t).select("page_id", E.rewrite_feed(F.col("xml"), F.col("url"), rules.feed_rules, rules.tag_rules[1:2]).alias("xml"))

@@ -33,17 +33,18 @@ def header_multiplicity(t):
     return rows(t.messages, stage("request"), stage("response"))
 
 
-@query("headers_hop_by_hop", sql="""WITH listed AS (SELECT DISTINCT req_id, lower(trim(unnest(string_split(value, ',')))) AS n FROM headers
-    WHERE stage = 'request' AND lower(name) IN ('connection', 'proxy-connection'))
-  SELECT h.* FROM headers h LEFT JOIN listed l ON l.req_id = h.req_id AND l.n = lower(h.name) AND h.stage = 'request'
-  WHERE l.n IS NULL AND NOT (stage = 'request' AND lower(name) IN ('proxy-connection', 'connection', 'keep-alive', 'upgrade', 'trailer', 'te'))
+@query("headers_hop_by_hop", sql="""WITH h AS (SELECT *, string_agg(lower(value), ',') FILTER (stage = 'request' AND lower(name) IN ('connection', 'proxy-connection'))
+    OVER (PARTITION BY req_id) AS listed FROM headers)
+  SELECT * EXCLUDE (listed) FROM h
+  WHERE NOT (stage = 'request' AND (lower(name) IN ('proxy-connection', 'connection', 'keep-alive', 'upgrade', 'trailer', 'te')
+      OR coalesce(list_contains(list_transform(string_split(listed, ','), lambda x: trim(x)), lower(name)), false)))
     AND NOT (stage = 'response' AND lower(name) IN ('connection', 'proxy-authenticate', 'keep-alive', 'upgrade', 'trailer'))""")
 def headers_hop_by_hop(t):
     return rows(t.messages, A.drop_hop_by_hop(F.col("request"), "request"), A.drop_hop_by_hop(F.col("response"), "response"))
 
 
-@query("headers_warning_dates", sql="""WITH d AS (SELECT req_id, value AS date FROM headers WHERE name = 'Date')
-  SELECT h.* FROM headers h LEFT JOIN d USING (req_id) WHERE stage = 'response' AND (name <> 'Warning' OR
+@query("headers_warning_dates", sql="""WITH h AS (SELECT *, max(value) FILTER (name = 'Date') OVER (PARTITION BY req_id) AS date FROM headers)
+  SELECT * EXCLUDE (date) FROM h WHERE stage = 'response' AND (name <> 'Warning' OR
     (regexp_matches(value, '^[0-9]+ ') AND (NOT contains(value, '"') OR coalesce(string_split(value, '"')[4] = date, false))))""")
 def headers_warning_dates(t):
     return rows(t.messages, A.drop_dated_warnings(F.col("response")))
@@ -67,15 +68,16 @@ REWRITING_SQL = " OR ".join(_handler_sql(h.mimes) for h in P.HANDLERS if h.rewri
 
 
 @query("headers_encoding", sql=f"""
-WITH f AS (SELECT req_id, bool_or(name = 'Transfer-Encoding') AS te, bool_or(name = 'Content-Encoding') AS ce, bool_or(name = 'Content-Length') AS cl,
-    bool_or(name = 'Cache-Control' AND value = 'No-Transform') AS nt, max(CASE WHEN name = 'Content-Type' THEN value END) AS m
-    FROM headers WHERE stage = 'response' GROUP BY req_id),
-g AS (SELECT *, cl AND NOT te AND NOT ({REWRITING_SQL}) AS keeps_length FROM f)
-SELECT h.* FROM headers h JOIN g USING (req_id) WHERE stage = 'response' AND name NOT IN ('Transfer-Encoding', 'Content-Encoding')
-  AND (name <> 'Content-Length' OR (keeps_length AND NOT ce)) AND NOT (ce AND nt AND name = 'Cache-Control')
-  AND NOT (name = 'Connection' AND NOT keeps_length) AND NOT (ce AND name = 'Warning')
-UNION ALL SELECT req_id, 100, 'response', 'Connection', 'close' FROM g WHERE NOT keeps_length
-UNION ALL SELECT req_id, 101, 'response', 'Warning', '214 Transformation applied' FROM g WHERE ce""")
+WITH f AS (SELECT *, bool_or(name = 'Transfer-Encoding') OVER w AS te, bool_or(name = 'Content-Encoding') OVER w AS ce, bool_or(name = 'Content-Length') OVER w AS cl,
+    bool_or(name = 'Cache-Control' AND value = 'No-Transform') OVER w AS nt, max(CASE WHEN name = 'Content-Type' THEN value END) OVER w AS m, min(pos) OVER w AS least
+    FROM headers WHERE stage = 'response' WINDOW w AS (PARTITION BY req_id)),
+g AS (SELECT *, cl AND NOT te AND NOT ({REWRITING_SQL}) AS keeps_length FROM f),
+made AS (SELECT req_id, unnest(list_filter([
+    CASE WHEN name NOT IN ('Transfer-Encoding', 'Content-Encoding') AND (name <> 'Content-Length' OR (keeps_length AND NOT ce)) AND NOT (ce AND nt AND name = 'Cache-Control')
+      AND NOT (name = 'Connection' AND NOT keeps_length) AND NOT (ce AND name = 'Warning') THEN {{'pos': pos, 'name': name, 'value': value}} END,
+    CASE WHEN pos = least AND NOT keeps_length THEN {{'pos': 100, 'name': 'Connection', 'value': 'close'}} END,
+    CASE WHEN pos = least AND ce THEN {{'pos': 101, 'name': 'Warning', 'value': '214 Transformation applied'}} END], lambda x: x IS NOT NULL)) AS h FROM g)
+SELECT req_id, h.pos AS pos, 'response' AS stage, h.name AS name, h.value AS value FROM made""")
 def headers_encoding(t):
     rewrite = rewriting(A.last_value(F.col("response"), "content-type"))
     return rows(t.messages, A.decoded(F.col("response"), rewrite))

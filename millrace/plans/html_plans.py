@@ -376,4 +376,4 @@ cleaned AS (SELECT page_id, CASE WHEN contains(url, '/de/') THEN html ELSE regex
 def clean_pages(t):
     from millrace.operators.cleaning import clean
 
-    return clean(t.pages.select("page_id", "url", "html"))
+    return clean(t.pages.select("page_id", "url", "html"), rule_set(t).tag_rules, rule_set(t).text_rules)

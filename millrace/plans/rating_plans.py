@@ -9,6 +9,7 @@ from millrace.functions import ratings as R
 from millrace.operators import ratings as S
 from millrace.operators.ranking import with_row_number
 from millrace.plans.html_plans import attr_ctes, token_ctes
+from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 from millrace.plans.url_plans import RATING_SAFE_SQL
 
@@ -56,7 +57,7 @@ CHECK_SQL = " UNION ALL ".join(f"SELECT url, '{sid}' AS sid, {reason_sql(limit)}
 
 @query("rating_check", sql=f"SELECT url, sid, reason IS NULL AS allowed, reason FROM ({CHECK_SQL})")
 def rating_check(t):
-    return t.ratings.select("url", F.inline(S.check(S.columns(), P.RATING_LIMITS)))
+    return t.ratings.select("url", F.inline(S.check(S.columns(), rule_set(t).limits())))
 
 
 @query("rating_denials", sql=f"""WITH {LOOKUP_CTES}, c AS ({CHECK_SQL})
@@ -65,7 +66,7 @@ def rating_check(t):
 def rating_denials(t):
     """Denied requests per rule and category, and requests without a rating."""
     rows = S.lookup(t.requests.select("url"), t.ratings)
-    checks = S.check(S.columns("rating."), P.RATING_LIMITS)
+    checks = S.check(S.columns("rating."), rule_set(t).limits())
     denied = F.filter(checks, lambda c: c["reason"].isNotNull())
     missing = F.array(F.struct(F.lit("").alias("sid"), F.lit("missing rating").alias("reason")))
     hits = F.when(F.col("rating").isNull(), missing).otherwise(
@@ -122,7 +123,7 @@ v AS (SELECT req_id, source, CASE source WHEN 'store' THEN s_age WHEN 'header' T
 d AS (SELECT req_id, source, CASE WHEN source = 'none' THEN 'no rating data' ELSE {reason_sql(DECISION_LIMITS)} END AS reason FROM v)
 SELECT req_id, source, reason IS NULL AS allowed, reason FROM d""")
 def rating_decision(t):
-    return S.decide(t.messages, t.ratings, t.tag_samples.select("page_id", "html"), DECISION_LIMITS)
+    return S.decide(t.messages, t.ratings, t.tag_samples.select("page_id", "html"), rule_set(t).limits()["wc.901"])
 
 
 @query("merge_ratings", sql="""WITH i AS (SELECT url, NOT generic AS generic, modified + CASE WHEN length(url) % 2 = 0 THEN 10 ELSE -10 END AS modified FROM ratings WHERE length(url) % 3 <> 0

@@ -8,6 +8,7 @@ from millrace import policy as P
 from millrace.functions import rules as R
 from millrace.operators import rules as G
 from millrace.plans.http_plans import _handler_sql
+from millrace.plans.loaded import scoped_rules
 from millrace.plans.registry import query
 
 ENABLED = ["allow", "block", "header", "htmlrewrite", "javascript", "nocomments", "rating", "replace", "xmlrewrite"]
@@ -30,13 +31,13 @@ def _mime_test(rule) -> str:
 
 @query("rule_applies_url", sql=" UNION ALL ".join(f"SELECT req_id, '{r.sid}' AS sid FROM requests WHERE {_url_test(r)}" for r in P.SCOPED_RULES))
 def rule_applies_url(t):
-    hits = [F.when(R.applies_to_url(F.col("url"), r.matchurls, r.nomatchurls), F.lit(r.sid)) for r in P.SCOPED_RULES]
+    hits = [F.when(R.applies_to_url(F.col("url"), r.matchurls, r.nomatchurls), F.lit(r.sid)) for r in scoped_rules(t)]
     return t.requests.select("req_id", F.explode(F.array_compact(F.array(*hits))).alias("sid"))
 
 
 @query("rule_applies_mime", sql=" UNION ALL ".join(f"SELECT req_id, '{r.sid}' AS sid FROM requests WHERE {_mime_test(r)}" for r in P.SCOPED_RULES))
 def rule_applies_mime(t):
-    hits = [F.when(R.applies_to_mime(F.col("mime"), r.mimes), F.lit(r.sid)) for r in P.SCOPED_RULES]
+    hits = [F.when(R.applies_to_mime(F.col("mime"), r.mimes), F.lit(r.sid)) for r in scoped_rules(t)]
     return t.requests.select("req_id", F.explode(F.array_compact(F.array(*hits))).alias("sid"))
 
 
@@ -55,7 +56,7 @@ def _matrix_sql() -> str:
 
 @query("rule_matrix", sql=_matrix_sql())
 def rule_matrix(t):
-    return G.matrix(t.requests.select("url", "mime").distinct(), P.HANDLERS, P.STAGES, P.SCOPED_RULES)
+    return G.matrix(t.requests.select("url", "mime").distinct(), P.HANDLERS, P.STAGES, scoped_rules(t))
 
 
 ACTIVE_SQL = f"SELECT * FROM rules WHERE NOT disable AND NOT folder_disable AND kind IN {_in(ENABLED)}"

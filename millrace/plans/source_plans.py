@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import urls as U
 from millrace.operators.cleaning import clean
 from millrace.plans.html_plans import CLEAN_SQL
+from millrace.plans.loaded import rule_set
 from millrace.plans.registry import query
 from millrace.session import fresh_path, stage_text
 from millrace.sources import rules_xml as X
@@ -139,15 +140,15 @@ def scan_rules_xml(t):
     )
 
 
-@query("write_rules", sql=RULES_BACK.format("url"))
+@query("write_rules", sql=RULES_BACK.format("url, mime"))
 def write_rules(t):
-    return _read_back(t, "rules").select("folder_sid", "folder_oid", "folder_disable", "oid", "kind", "sid", "disable", "url")
+    return _read_back(t, "rules").select("folder_sid", "folder_oid", "folder_disable", "oid", "kind", "sid", "disable", "url", F.get("mimes", F.lit(0)).alias("mime"))
 
 
 @query("write_clean_pages", sql=CLEAN_SQL + " SELECT page_id, CAST(len(html) AS INTEGER) AS n_chars, md5(html) AS md5sum FROM cleaned")
 def write_clean_pages(t):
     path = fresh_path(t.spark, "clean")
-    clean(t.pages.select("page_id", "url", "html")).write.option("compression", "zstd").parquet(path)
+    clean(t.pages.select("page_id", "url", "html"), rule_set(t).tag_rules, rule_set(t).text_rules).write.option("compression", "zstd").parquet(path)
     return t.spark.read.parquet(path).select("page_id", F.length("html").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("md5sum"))
 
 

@@ -247,9 +247,9 @@ def request_admission(t):
 
 @query(
     "redirect_to_local",
-    sql="""SELECT r.req_id FROM requests r JOIN headers h ON h.req_id = r.req_id AND h.name = 'Location'
-    WHERE r.status IN (301, 302) AND regexp_matches(h.value, '^https?://(localhost|127[.]0[.]0[.]1)(:|/|$)')
-      AND NOT regexp_matches(r.url, '^https?://(localhost|127[.]0[.]0[.]1)(:|/|$)')""",
+    sql="""WITH sent AS (SELECT req_id, value FROM headers WHERE name = 'Location' AND regexp_matches(value, '^https?://(localhost|127[.]0[.]0[.]1)(:|/|$)'))
+    SELECT req_id FROM requests WHERE status IN (301, 302) AND req_id IN (SELECT req_id FROM sent)
+      AND NOT regexp_matches(url, '^https?://(localhost|127[.]0[.]0[.]1)(:|/|$)')""",
 )
 def redirect_to_local(t):
     """A message holds its URL, status and headers: one filter."""
@@ -268,8 +268,8 @@ def redirect_to_local(t):
 )
 def image_reduce_candidates(t):
     rule = None
-    for q in P.QUALITY_RULES:
-        cond = R.applies_to_url(F.col("url"), q.matchurls, ())
+    for q in rule_set(t).quality_rules:
+        cond = R.applies_to_url(F.col("url"), q.matchurls, q.nomatchurls)
         value = F.struct(F.lit(q.sid).alias("sid"), F.lit(q.quality).alias("quality"), F.lit(q.minimal_size).alias("minimal"))
         rule = F.when(cond, value) if rule is None else rule.when(cond, value)
     default = F.struct(

@@ -89,6 +89,17 @@ class QualityRule:
     quality: int
     minimal_size: int
     matchurls: tuple[str, ...] = field(default=())
+    nomatchurls: tuple[str, ...] = field(default=())
+
+
+@dataclass(frozen=True)
+class RatingRule:
+    """Limits by category; a missing category is not checked."""
+
+    sid: str
+    limits: tuple[tuple[str, str], ...]
+    matchurls: tuple[str, ...] = ()
+    nomatchurls: tuple[str, ...] = ()
 
 
 # Substring lists: (sid, entry), in the order they are tried.

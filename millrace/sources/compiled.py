@@ -9,7 +9,14 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.policy import HeaderRule, ImageRule, PatternRule, TagRule, TextRule
+from millrace.operators.feeds import FeedRule
+from millrace.policy import DEFAULT_MINIMAL_SIZE, DEFAULT_QUALITY, HeaderRule, ImageRule, PatternRule, QualityRule, RatingRule, ScopedRule, TagRule, TextRule
+
+# The handler that takes rules of a kind.
+HANDLER_OF = {
+    "allow": "Blocker", "allowdomains": "Blocker", "allowurls": "Blocker", "block": "Blocker", "blockdomains": "Blocker", "blockurls": "Blocker",
+    "header": "Header", "htmlrewrite": "HtmlRewriter", "imagereduce": "ImageReducer", "rating": "Rating", "replace": "Replacer", "xmlrewrite": "XmlRewriter",
+}
 
 
 @dataclass(frozen=True)
@@ -22,6 +29,29 @@ class RuleSet:
     text_rules: tuple[TextRule, ...] = ()
     tag_rules: tuple[TagRule, ...] = ()
     image_rules: tuple[ImageRule, ...] = ()
+    quality_rules: tuple[QualityRule, ...] = ()
+    rating_rules: tuple[RatingRule, ...] = ()
+    feed_rules: tuple[FeedRule, ...] = ()
+
+    def limits(self) -> dict[str, dict[str, str]]:
+        """Rating limits by rule."""
+        return {r.sid: dict(r.limits) for r in self.rating_rules}
+
+
+def enabled_rows(rules: DataFrame, limit: int) -> list:
+    """The enabled rules in order of folder and place, on the driver; more than ``limit`` are an error."""
+    rows = rules.where(~F.col("disable") & ~F.col("folder_disable")).orderBy("folder_oid", "folder_sid", "oid").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rules")
+    return rows
+
+
+def compile_scopes(rules: DataFrame, limit: int = 10_000) -> tuple[ScopedRule, ...]:
+    """The enabled rules of ``parse_folders`` with their handler, place and scopes, whatever else they do."""
+    return tuple(
+        ScopedRule(r.sid, r.folder_oid, r.oid, HANDLER_OF[r.kind], tuple(r.mimes), tuple(r.matchurls), tuple(r.nomatchurls))
+        for r in enabled_rows(rules, limit) if r.kind in HANDLER_OF
+    )
 
 
 def compile_rules(rules: DataFrame, limit: int = 10_000) -> RuleSet:
@@ -30,9 +60,7 @@ def compile_rules(rules: DataFrame, limit: int = 10_000) -> RuleSet:
     They are read on the driver, so a set of more than ``limit`` rules is an error: lists of domains and URLs are
     tables and are joined instead.
     """
-    rows = rules.where(~F.col("disable") & ~F.col("folder_disable")).orderBy("folder_oid", "folder_sid", "oid").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules")
+    rows = enabled_rows(rules, limit)
     text = lambda v: v or ""
     of = lambda *kinds: [r for r in rows if r.kind in kinds]
     scope = lambda r: {"matchurls": tuple(r.matchurls), "nomatchurls": tuple(r.nomatchurls)}
@@ -46,6 +74,12 @@ def compile_rules(rules: DataFrame, limit: int = 10_000) -> RuleSet:
             for r in of("htmlrewrite")
         ),
         tuple(ImageRule(r.sid, r.width, r.height, tuple(x for x in text(r.formats).split(",") if x)) for r in of("image")),
+        tuple(
+            QualityRule(r.sid, DEFAULT_QUALITY if r.quality is None else r.quality, DEFAULT_MINIMAL_SIZE if r.minimal_size_bytes is None else r.minimal_size_bytes, **scope(r))
+            for r in of("imagereduce")
+        ),
+        tuple(RatingRule(r.sid, tuple((x.name, x.value) for x in r.limits), **scope(r)) for r in of("rating")),
+        tuple(FeedRule(r.sid, text(r.selector), r.replacetype or "rsshtml", **scope(r)) for r in of("xmlrewrite")),
     )
 
 
@@ -74,18 +108,41 @@ def rule_xml(rule, kind: str) -> str:
         children += [("attr", {"name": n}, p) for n, p in rule.attrs]
         children += [("matchcontent", {}, rule.content)] if rule.content else []
         children.append(("replacement", {"part": rule.part}, rule.replacement))
-    else:
+    elif isinstance(rule, QualityRule):
+        attrs |= {"quality": rule.quality, "minimal_size_bytes": rule.minimal_size}
+    elif isinstance(rule, RatingRule):
+        children += [("limit", {"name": n}, v) for n, v in rule.limits]
+    elif isinstance(rule, FeedRule):
+        attrs |= {"selector": rule.selector, "replacetype": rule.action}
+    elif isinstance(rule, ImageRule):
         attrs |= {"width": rule.width, "height": rule.height, "formats": ",".join(rule.formats)}
     return element(kind, attrs, children)
 
 
-def folder_xml(rules: RuleSet, sid: str, oid: int) -> str:
-    kinds = (("allow", rules.allow_patterns), ("block", rules.block_patterns), ("header", rules.header_rules), ("replace", rules.text_rules), ("htmlrewrite", rules.tag_rules), ("image", rules.image_rules))
-    body = "".join(rule_xml(r, kind) for kind, many in kinds for r in many)
+def folder_of(body: str, sid: str, oid: int) -> str:
     return f'<?xml version="1.0" encoding="iso-8859-1"?><folder sid={quoteattr(sid)} oid="{oid}"><title lang="en">{escape(sid)}</title>{body}</folder>'
 
 
+def folder_xml(rules: RuleSet, sid: str, oid: int) -> str:
+    kinds = (
+        ("allow", rules.allow_patterns), ("block", rules.block_patterns), ("header", rules.header_rules), ("replace", rules.text_rules), ("htmlrewrite", rules.tag_rules),
+        ("image", rules.image_rules), ("imagereduce", rules.quality_rules), ("rating", rules.rating_rules), ("xmlrewrite", rules.feed_rules),
+    )
+    return folder_of("".join(rule_xml(r, kind) for kind, many in kinds for r in many), sid, oid)
+
+
+def write_scopes(spark: SparkSession, rules: Sequence[ScopedRule], path: str) -> None:
+    """Folder files with rules that have scopes only, one for each folder number, in order of their places."""
+    kinds = {handler: kind for kind, handler in HANDLER_OF.items()}
+    for oid in sorted({r.folder_oid for r in rules}):
+        own = sorted((r for r in rules if r.folder_oid == oid), key=lambda r: r.oid)
+        write_file(spark, folder_of("".join(rule_xml(r, kinds[r.handler]) for r in own), f"own.{oid}", oid), path)
+
+
+def write_file(spark: SparkSession, xml: str, path: str) -> None:
+    spark.range(1).select(F.lit(xml.replace("\n", "&#10;")).alias("value")).write.mode("append").option("encoding", "iso-8859-1").text(path)
+
+
 def write_rule_set(spark: SparkSession, rules: RuleSet, path: str, sid: str = "own.1", oid: int = 0) -> None:
     """One folder file with all rules of a set."""
-    text = folder_xml(rules, sid, oid).replace("\n", "&#10;")
-    spark.range(1).select(F.lit(text).alias("value")).write.option("encoding", "iso-8859-1").text(path)
+    write_file(spark, folder_xml(rules, sid, oid), path)

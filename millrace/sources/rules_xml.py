@@ -49,6 +49,11 @@ def parse_folders(files: DataFrame) -> DataFrame:
         name = F.nullif(F.regexp_extract(e, r'^<attr\b[^>]*?\bname="([^"]*)"', 1), F.lit(""))
         return F.struct(F.coalesce(name, F.lit("href")).alias("name"), unescape(F.regexp_extract(e, r"(?s)>(.*)</attr\s*>$", 1)).alias("pattern"))
 
+    def named(tag: str):
+        return lambda e: F.struct(
+            unescape(F.regexp_extract(e, rf'^<{tag}\b[^>]*?\bname="([^"]*)"', 1)).alias("name"), unescape(F.regexp_extract(e, rf"(?s)>(.*)</{tag}\s*>$", 1)).alias("value"))
+
+    limits = F.regexp_extract_all("rule", F.lit(r"(?s)<limit\b[^>]*?/>|<limit\b[^>]*>.*?</limit\s*>"), F.lit(0))
     titles = F.map_from_arrays(F.array_distinct(texts("/*/title/@lang")), F.slice(texts("/*/title/text()"), F.lit(1), F.size(F.array_distinct(texts("/*/title/@lang")))))
     has_titles = F.size(texts("/*/title/@lang")) == F.size(texts("/*/title/text()"))
     return rows.select(
@@ -62,7 +67,10 @@ def parse_folders(files: DataFrame) -> DataFrame:
         F.transform(elements, named_attr).alias("attrs"), F.nullif(F.xpath_string("rule", F.lit("/*/matchcontent")), F.lit("")).alias("content"),
         attr("action").alias("action"), attr("filterstage").alias("filterstage"), attr("width").try_cast("int").alias("width"),
         attr("height").try_cast("int").alias("height"), attr("formats").alias("formats"), F.nullif(F.xpath_string("rule", F.lit("/*/replacement/@part")), F.lit("")).alias("part"),
-        F.xpath_string("rule", F.lit("/*/replacement")).alias("replacement"),
+        F.xpath_string("rule", F.lit("/*/replacement")).alias("replacement"), attr("quality").try_cast("int").alias("quality"),
+        attr("minimal_size_bytes").try_cast("int").alias("minimal_size_bytes"), attr("replacetype").alias("replacetype"), attr("value").alias("value"),
+        F.coalesce(attr("use_extern") == "1", F.lit(False)).alias("use_extern"), F.transform(limits, named("limit")).alias("limits"),
+        F.nullif(F.xpath_string("rule", F.lit("/*/url")), F.lit("")).alias("service"),
     )
 
 
@@ -94,10 +102,16 @@ def escape(text: Column) -> Column:
     return out
 
 
-def rule_element(kind: Column, attrs: dict[str, Column], titles: dict[str, Column]) -> Column:
-    """XML of one rule; null attributes and titles are left out."""
+def _nested(name: str):
+    return lambda x: F.concat(F.lit(f"<{name}>"), escape(x), F.lit(f"</{name}>"))
+
+
+def rule_element(kind: Column, attrs: dict[str, Column], titles: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
+    """XML of one rule; null attributes, titles and lists of nested texts are left out."""
     shown = [F.when(v.isNotNull(), F.concat(F.lit(f' {k}="'), escape(v.cast("string")), F.lit('"'))) for k, v in attrs.items()]
     inner = [F.when(v.isNotNull(), F.concat(F.lit(f'<title lang="{k}">'), escape(v), F.lit("</title>"))) for k, v in titles.items()]
+    for name, texts in (lists or {}).items():
+        inner.append(F.array_join(F.transform(texts, _nested(name)), ""))
     return F.concat(
         F.lit("<"), kind, F.array_join(F.array_compact(F.array(*shown)), ""), F.lit(">"),
         F.array_join(F.array_compact(F.array(*inner)), ""), F.lit("</"), kind, F.lit(">"),
@@ -107,16 +121,22 @@ def rule_element(kind: Column, attrs: dict[str, Column], titles: dict[str, Colum
 def write_folders(rules: DataFrame, path: str, rows: int = FOLDER_ROWS) -> None:
     """Write folder files: head, rules in order, end; rules stream through a sort, none is gathered.
 
+    Beside the columns of a rule table those of ``matchurls``, ``nomatchurls`` and ``mimes`` (arrays) or ``mime`` are written
+    where they are there.
+
     A folder of more than ``rows`` rules becomes several files, each with its offset in the head; with a
     sufficient ``rows`` every folder is one file.
     """
     ranked = with_row_number(rules, ["oid"], ["folder_sid"]).withColumn("part", F.floor((F.col("rn") - 1) / rows))
     folder = ["folder_sid", "part", "folder_oid", "folder_disable"]
+    lists = {n: F.col(c) for n, c in (("matchurl", "matchurls"), ("nomatchurl", "nomatchurls"), ("mime", "mimes")) if c in rules.columns}
+    if "mime" in rules.columns and "mime" not in lists:
+        lists["mime"] = F.when(F.col("mime").isNotNull(), F.array("mime"))
     body = ranked.select(
         "folder_sid", "part", F.lit(1).alias("place"), F.col("rn").cast("bigint").alias("rn"),
         rule_element(
             F.col("kind"), {"sid": F.col("sid"), "disable": F.when(F.col("disable"), "1"), "url": F.col("url")},
-            {"en": F.col("title_en"), "de": F.col("title_de")},
+            {"en": F.col("title_en"), "de": F.col("title_de")}, lists,
         ).alias("line"),
     )
     head = F.concat(

@@ -142,12 +142,15 @@ def test_rules_of_every_kind_come_back(spark, tables, tmp_path):
     import pytest
 
     from millrace import policy as P
-    from millrace.plans.loaded import rule_set
-    from millrace.sources.compiled import RuleSet, compile_rules, write_rule_set
+    from millrace.operators import feeds as E
+    from millrace.plans.loaded import rule_set, scoped_rules
+    from millrace.sources.compiled import RuleSet, compile_rules, compile_scopes, write_rule_set, write_scopes
 
     odd = P.TagRule("o.1", "p", "attr", (("title", ""), ("class", "a<b>&'\"")), "x\ny", "m & n", ("u<v",), ("w",))
     own = RuleSet(
-        tuple(P.ALLOW_PATTERNS), tuple(P.BLOCK_PATTERNS), tuple(P.HEADER_RULES), tuple(P.TEXT_RULES), (*P.TAG_RULES, odd), tuple(P.IMAGE_RULES)
+        tuple(P.ALLOW_PATTERNS), tuple(P.BLOCK_PATTERNS), tuple(P.HEADER_RULES), tuple(P.TEXT_RULES), (*P.TAG_RULES, odd), tuple(P.IMAGE_RULES),
+        (*P.QUALITY_RULES, P.QualityRule("o.2", 0, 7, (), ("a&b",))), (P.RatingRule("o.3", (("age", "8-14"), ("x<y", "a & b")), ("m",), ("n",)),),
+        (*E.FEED_RULES, E.FeedRule("o.4", "/a/b[k=1]", "remove", ("u",))),
     )
     write_rule_set(spark, own, str(tmp_path / "set"))
     rows = X.read_folders(spark, str(tmp_path / "set"))
@@ -155,4 +158,7 @@ def test_rules_of_every_kind_come_back(spark, tables, tmp_path):
     with pytest.raises(ValueError):
         compile_rules(rows, limit=3)
     assert compile_rules(rows.withColumn("disable", F.lit(True))) == RuleSet()
-    assert rule_set(tables).tag_rules == tuple(P.TAG_RULES)
+    assert rule_set(tables).tag_rules == tuple(P.TAG_RULES) and rule_set(tables).limits() == P.RATING_LIMITS
+    assert scoped_rules(tables) == tuple(P.SCOPED_RULES)
+    write_scopes(spark, [P.ScopedRule(f"s.{i}", 0, i, "Replacer", ("text/x",), (f"/{i}/",)) for i in range(1000)], str(tmp_path / "many"))
+    assert len(compile_scopes(X.read_folders(spark, str(tmp_path / "many")))) == 1000
