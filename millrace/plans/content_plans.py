@@ -83,7 +83,7 @@ def _rows_sql() -> str:
         if value[0] in "=<>" and len(value) > 1:
             test, value = value[0], value[1:]
         test = "x" if value == "x" else test
-        raw = value.encode().decode("unicode_escape").replace("\\ ", " ").replace("\\<", "<").encode("latin-1") if text else b""
+        raw = value.replace("\\ ", " ").replace("\\<", "<").encode().decode("unicode_escape").encode("latin-1") if text else b""
         width = len(raw) if text else {"b": 1, "s": 2, "l": 4}[kind.removeprefix("u").removeprefix("be").removeprefix("le")[0]]
         number = 0 if text or test == "x" else int(value, 0)
         order = "text" if text else "big" if kind.startswith("be") else "little"
