@@ -144,10 +144,17 @@ def rrsets(records: DataFrame) -> DataFrame:
 
 
 def rrset_operation(left: DataFrame, right: DataFrame, operation: str) -> DataFrame:
-    """Union or intersection of the sets of two record tables, with the smaller TTL of both."""
-    a = left.select(*SET, "rdata").distinct()
-    b = right.select(*SET, "rdata").distinct()
-    rows = a.unionByName(b).distinct() if operation == "union" else a.intersect(b)
+    """Union or intersection of the sets of two record tables, with the smaller TTL of both.
+
+    Types with one value have the last one of their side; in a union that of ``right`` replaces that of ``left``.
+    """
+    a, b = (rrsets(side).select(*SET, "rdata") for side in (left, right))
+    if operation == "union":
+        single = F.col("rdtype").isin(SINGLETONS)
+        stay = a.where(~single).unionByName(a.where(single).join(b.select(*SET).distinct(), SET, "left_anti"))
+        rows = stay.unionByName(b).distinct()
+    else:
+        rows = a.intersect(b)
     ttl = left.select(*SET, "ttl").unionByName(right.select(*SET, "ttl")).groupBy(*SET).agg(F.min("ttl").alias("ttl"))
     return rows.join(ttl, SET)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ def bounded_rows(entries: DataFrame, limit: int = FOLD_LIMIT) -> list[tuple[str,
     return [(r.sid, r.entry) for r in sorted(rows, key=lambda r: r.rank)]
 
 
+def bounded_lists(lists: Sequence[DataFrame], limit: int = FOLD_LIMIT) -> list[list[tuple[str, str]] | None]:
+    """``bounded_rows`` of several lists, read in one job."""
+    parts = [e.where(F.length("entry") > 0).select(F.lit(i).alias("i"), "rank", "sid", "entry").limit(limit + 1) for i, e in enumerate(lists)]
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    own = [[r for r in rows if r.i == i] for i in range(len(lists))]
+    return [None if len(o) > limit else [(r.sid, r.entry) for r in sorted(o, key=lambda r: r.rank)] for o in own]
+
+
 def first_substring(df: DataFrame, text: str, entries: DataFrame, out: str, limit: int = FOLD_LIMIT) -> DataFrame:
     """Add ``out``: sid of the first entry (lowest rank) contained in ``text``; null when none.
 
@@ -49,7 +58,11 @@ def first_substring(df: DataFrame, text: str, entries: DataFrame, out: str, limi
     entry is looked up by the rarest of its grams in an equi-join of hashes, and the candidates are
     verified. Both ways give the same rows.
     """
-    rows = bounded_rows(entries, limit)
+    return first_of(df, text, entries, bounded_rows(entries, limit), out)
+
+
+def first_of(df: DataFrame, text: str, entries: DataFrame, rows: list[tuple[str, str]] | None, out: str) -> DataFrame:
+    """``first_substring`` with the rows of the list where it is short."""
     if rows is not None:
         return df.withColumn(out, substring_hits(F.col(text), rows)["sid"] if rows else F.lit(None).cast("string"))
     best = anchored_substrings(df, text, entries).groupBy(text).agg(F.min_by("sid", "rank").alias(out))
@@ -212,7 +225,8 @@ def url_verdict(
     short ones and patterns are tested in place, cheapest first.
     """
     url = F.col("url")
-    rows = first_substring(first_substring(df, "url", allow_urls, "_allow_url"), "url", block_urls, "_block_url")
+    allowed, blocked = bounded_lists([allow_urls, block_urls])
+    rows = first_of(first_of(df, "url", allow_urls, allowed, "_allow_url"), "url", block_urls, blocked, "_block_url")
     rows = rows.withColumn("host", U.host(url))
     rows = domain_hits(domain_hits(rows, allow_domains, "_allow"), block_domains, "_block")
 

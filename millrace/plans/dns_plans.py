@@ -92,15 +92,22 @@ def dns_rrsets(t):
     return D.rrsets(t.dns_records)
 
 
-@query("rrset_set_ops", sql=f"""WITH a AS (SELECT name, rdclass, rdtype, rdata, ttl FROM dns_records WHERE rdtype IN ('A', 'NS')),
-  b AS (SELECT name, rdclass, rdtype, {NEW_ZONE} AS rdata, ttl - 7 AS ttl FROM dns_records WHERE rdtype IN ('A', 'NS')),
-  t AS (SELECT name, rdclass, rdtype, min(ttl) AS ttl FROM (FROM a UNION ALL FROM b) GROUP BY ALL),
-  o AS (SELECT 'union' AS operation, * FROM (SELECT name, rdclass, rdtype, rdata FROM a UNION SELECT name, rdclass, rdtype, rdata FROM b)
-    UNION ALL SELECT 'intersection', * FROM (SELECT name, rdclass, rdtype, rdata FROM a INTERSECT SELECT name, rdclass, rdtype, rdata FROM b))
+NEW_VALUE = "CASE WHEN rdtype IN ('A', 'SOA') AND length(name) % 4 = 0 THEN rdata || '9' ELSE rdata END"
+ONE_VALUE = "('SOA', 'NXT', 'DNAME', 'NSEC')"
+
+
+@query("rrset_set_ops", sql=f"""WITH a AS (SELECT name, rdclass, rdtype, rdata, ttl, seq FROM dns_records),
+  b AS (SELECT name, rdclass, rdtype, {NEW_VALUE} AS rdata, ttl - 7 AS ttl, seq FROM dns_records WHERE length(name) % 3 <> 0),
+  la AS (SELECT name, rdclass, rdtype, arg_max(rdata, (seq, rdata)) AS last FROM a GROUP BY ALL), lb AS (SELECT name, rdclass, rdtype, arg_max(rdata, (seq, rdata)) AS last FROM b GROUP BY ALL),
+  sa AS (SELECT DISTINCT name, rdclass, rdtype, rdata FROM a JOIN la USING (name, rdclass, rdtype) WHERE rdtype NOT IN {ONE_VALUE} OR rdata = last),
+  sb AS (SELECT DISTINCT name, rdclass, rdtype, rdata FROM b JOIN lb USING (name, rdclass, rdtype) WHERE rdtype NOT IN {ONE_VALUE} OR rdata = last),
+  t AS (SELECT name, rdclass, rdtype, min(ttl) AS ttl FROM (SELECT name, rdclass, rdtype, ttl FROM a UNION ALL SELECT name, rdclass, rdtype, ttl FROM b) GROUP BY ALL),
+  o AS (SELECT 'union' AS operation, * FROM (FROM sb UNION SELECT * FROM sa WHERE rdtype NOT IN {ONE_VALUE} OR (name, rdclass, rdtype) NOT IN (SELECT (name, rdclass, rdtype) FROM sb))
+    UNION ALL SELECT 'intersection', * FROM (FROM sa INTERSECT FROM sb))
   SELECT operation, name, rdclass, rdtype, rdata, ttl FROM o JOIN t USING (name, rdclass, rdtype)""")
 def rrset_set_ops(t):
-    a = t.dns_records.where(F.col("rdtype").isin("A", "NS"))
-    b = a.withColumn("rdata", F.expr(NEW_ZONE)).withColumn("ttl", F.col("ttl") - 7)
+    a = t.dns_records
+    b = a.where(F.length("name") % 3 != 0).withColumn("rdata", F.expr(NEW_VALUE)).withColumn("ttl", F.col("ttl") - 7)
     both = [D.rrset_operation(a, b, op).withColumn("operation", F.lit(op)) for op in ("union", "intersection")]
     return both[0].unionByName(both[1]).select("operation", *D.SET, "rdata", "ttl")
 

@@ -234,13 +234,16 @@ def object_depth(t):
     return t.tag_samples.select("page_id", F.explode(states["dropped"]).alias("pos"))
 
 
-@query("attr_overflow", sql=f"""WITH {token_ctes('tag_samples')}, {attr_ctes()} SELECT page_id, pos, tag, count(*) AS n,
-   string_agg(name, ' ' ORDER BY apos) FILTER (apos < 200) AS kept FROM attrs GROUP BY ALL HAVING count(*) > 200""")
+@query("attr_overflow", sql=f"""WITH {token_ctes('tag_samples')}, {attr_ctes()}, named AS (SELECT page_id, pos, tag, name, min(apos) AS apos FROM attrs GROUP BY ALL),
+   placed AS (SELECT *, row_number() OVER (PARTITION BY page_id, pos ORDER BY apos) AS n FROM named)
+   SELECT page_id, pos, tag, count(*) AS n, string_agg(name, ' ' ORDER BY apos) FILTER (n <= 200) AS kept FROM placed GROUP BY page_id, pos, tag HAVING count(*) > 200""")
 def attr_overflow(t):
+    """Tags with too many attributes; a name that is repeated counts once, as in the check."""
     rows = M.explode_tokens(t.tag_samples.select("page_id", "html")).where(F.col("kind").isin("start", "startend"))
-    rows = rows.select("page_id", "pos", "tag", M.attributes(F.col("text")).alias("attrs")).where(F.size("attrs") > S.MAX_ATTRS)
-    names = F.transform(F.slice("attrs", 1, S.MAX_ATTRS), lambda a: a["name"])
-    return rows.select("page_id", "pos", "tag", F.size("attrs").cast("bigint").alias("n"), F.array_join(names, " ").alias("kept"))
+    names = F.array_distinct(F.transform(M.attributes(F.col("text")), lambda a: a["name"]))
+    rows = rows.select("page_id", "pos", "tag", names.alias("names")).where(F.size("names") > S.MAX_ATTRS)
+    kept = F.array_join(F.slice("names", 1, S.MAX_ATTRS), " ")
+    return rows.select("page_id", "pos", "tag", F.size("names").cast("bigint").alias("n"), kept.alias("kept"))
 
 
 def _tag_values(*groups) -> str:

@@ -202,10 +202,17 @@ def lists_union(t):
 
 @query(
     "list_difference",
-    sql="SELECT entry FROM lists WHERE kind = 'blockdomains' EXCEPT SELECT entry FROM lists WHERE kind = 'allowdomains'",
+    sql="""SELECT 'domains' AS part, entry FROM (SELECT entry FROM lists WHERE kind = 'blockdomains' EXCEPT SELECT entry FROM lists WHERE kind = 'allowdomains')
+    UNION ALL SELECT 'urls', entry FROM (SELECT entry FROM lists WHERE kind = 'blockurls' EXCEPT SELECT entry FROM lists WHERE kind = 'allowurls')""",
 )
 def list_difference(t):
-    return listed(t, "blockdomains").select("entry").distinct().join(listed(t, "allowdomains"), "entry", "left_anti")
+    """Blocked entries that are not allowed as well, domains and URLs."""
+
+    def part(name):
+        blocked = listed(t, f"block{name}").select("entry").distinct()
+        return blocked.join(listed(t, f"allow{name}"), "entry", "left_anti").select(F.lit(name).alias("part"), "entry")
+
+    return part("domains").unionByName(part("urls"))
 
 
 @query("first_rule_match", sql=f"SELECT req_id, {FIRST_PATTERN_SQL} AS sid FROM requests WHERE {FIRST_PATTERN_SQL} IS NOT NULL")

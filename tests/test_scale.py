@@ -211,3 +211,13 @@ def test_entities_and_long_header_names(spark, evaluate):
     assert evaluate(["&#128512;&#x1F600;&#65;", "&#1114112;&#xD800;"], resolve_entities) == ["😀😀A", ""]
     headers = F.array(F.struct(F.lit("X-Rating-" + "n" * 130).alias("name"), F.lit("v").alias("value")))
     assert spark.range(1).select(from_headers(headers)[0]["name"]).first()[0] == "n" * 130
+
+
+def test_sets_with_one_value(spark):
+    schema = "name string, rdclass string, rdtype string, rdata string, ttl long, seq int"
+    left = spark.createDataFrame([("a", "IN", "SOA", "old", 9, 1), ("a", "IN", "SOA", "older", 8, 0), ("a", "IN", "A", "1", 5, 2), ("b", "IN", "SOA", "x", 4, 3)], schema)
+    right = spark.createDataFrame([("a", "IN", "SOA", "new", 7, 1), ("a", "IN", "A", "2", 6, 2), ("b", "IN", "SOA", "x", 3, 3)], schema)
+    union = sorted((r.name, r.rdtype, r.rdata, r.ttl) for r in D.rrset_operation(left, right, "union").collect())
+    assert union == [("a", "A", "1", 5), ("a", "A", "2", 5), ("a", "SOA", "new", 7), ("b", "SOA", "x", 3)]
+    both = sorted((r.name, r.rdtype, r.rdata) for r in D.rrset_operation(left, right, "intersection").collect())
+    assert both == [("b", "SOA", "x")]
