@@ -33,10 +33,11 @@ def in_parts(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> tuple[D
 def beside(df: DataFrame, key: str, order: Sequence[str], marks: dict[str, Column], after: bool = False) -> DataFrame:
     """For each name add the last mark that is not null on an earlier row of its key, or with ``after`` the first on a later row."""
     rows, cut = in_parts(df.withColumns({f"_mark_{n}": m for n, m in marks.items()}), [key], order)
-    edge = (Window.unboundedPreceding, -1) if not after else (1, Window.unboundedFollowing)
-    pick = F.last if not after else F.first
-    inside = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(*edge)
-    found = {n: pick(f"_mark_{n}", ignorenulls=True).over(inside) for n in marks}
+    # later rows are earlier ones of the line turned round: a frame that grows is carried on, one that shrinks is read anew for each row
+    turn = F.desc if after else F.asc
+    edge = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_part").orderBy(*map(turn, order)).rowsBetween(*edge)
+    found = {n: F.last(f"_mark_{n}", ignorenulls=True).over(inside) for n in marks}
     spent = ["_part", *(f"_mark_{n}" for n in marks)]
     if not cut:
         return rows.withColumns(found).drop(*spent)
@@ -46,8 +47,8 @@ def beside(df: DataFrame, key: str, order: Sequence[str], marks: dict[str, Colum
     ends = rows.groupBy(key, "_part").agg(*[
         far(F.col(f"_mark_{n}"), F.when(F.col(f"_mark_{n}").isNotNull(), F.struct(*order))).alias(f"_end_{n}") for n in marks
     ])
-    along = Window.partitionBy(key).orderBy("_part").rowsBetween(*edge)
-    carried = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), *[pick(f"_end_{n}", ignorenulls=True).over(along).alias(f"_carry_{n}") for n in marks])
+    along = Window.partitionBy(key).orderBy(turn("_part")).rowsBetween(*edge)
+    carried = ends.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), *[F.last(f"_end_{n}", ignorenulls=True).over(along).alias(f"_carry_{n}") for n in marks])
     joined = rows.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
     given = {n: F.coalesce(f"_in_{n}", f"_carry_{n}") for n in marks}
     return joined.withColumns(given).drop(*spent, "_key", "_p", *(f"_{w}_{n}" for n in marks for w in ("in", "carry")))

@@ -221,3 +221,17 @@ def test_sets_with_one_value(spark):
     assert union == [("a", "A", "1", 5), ("a", "A", "2", 5), ("a", "SOA", "new", 7), ("b", "SOA", "x", 3)]
     both = sorted((r.name, r.rdtype, r.rdata) for r in D.rrset_operation(left, right, "intersection").collect())
     assert both == [("b", "SOA", "x")]
+
+
+@pytest.mark.parametrize("longest", [7, 500_000])
+def test_looking_ahead_reads_no_frame_anew(spark, monkeypatch, longest):
+    """A frame to the end of a line is read again for each row: quadratic in the rows of a host."""
+    monkeypatch.setattr(L, "ROWS", longest)
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "a", "b", None]), rng.randrange(40), rng.choice([None, None, k])) for k in range(120)]
+    df = spark.createDataFrame(rows, "id int, host string, at int, mark int")
+    ahead = L.beside(df, "host", ["at", "id"], {"next": F.col("mark")}, after=True)
+    assert "unboundedfollowing" not in ahead._jdf.queryExecution().toString().lower()
+    line = sorted(rows, key=lambda r: (r[2], r[0]))
+    want = {r[0]: next((x[3] for x in line[n + 1 :] if x[1] == r[1] and x[3] is not None), None) for n, r in enumerate(line)}
+    assert {r.id: r.next for r in ahead.collect()} == want
