@@ -296,20 +296,50 @@ def wide_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "fp binary, table int, key int")
 
 
-def wide_links(fps: DataFrame) -> DataFrame:
-    """a, b: distinct wide fingerprints that share a key and are within the radius; in large buckets a tree of them."""
-    keyed = cut(wide_keys(fps), "wide-keys")
+def wide_buckets(keyed: DataFrame, member: str):
+    """The rows of a key, grouped; those of a key with more than ``BUCKET`` rows by pairs of tiles."""
     hot = keyed.groupBy("table", "key").count().where(F.col("count") > BUCKET)
     dealt = keyed.join(hot, ["table", "key"], "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / BUCKET).cast("int"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int")
     others = F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: j != F.col("own")))
-    tiled = dealt.withColumn("own", own).select("table", "key", "own", "fp", F.explode(others).alias("other"))
+    tiled = dealt.withColumn("own", own).select("table", "key", "own", member, F.explode(others).alias("other"))
     sides = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    buckets = tiled.select("table", "key", *sides, "fp").groupBy("table", "key", "low", "high").agg(F.collect_list("fp").alias("fps"))
+    return tiled.select("table", "key", *sides, member).groupBy("table", "key", "low", "high")
+
+
+def wide_links(keyed: DataFrame) -> DataFrame:
+    """a, b: distinct wide fingerprints that share a key and are within the radius; in large buckets a tree of them."""
+    buckets = wide_buckets(keyed, "fp").agg(F.collect_list("fp").alias("fps"))
     found = buckets.where(F.size("fps") > 1).select("fps").mapInPandas(wide_bucket_pairs, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def apart_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of a bucket that are within the radius and not of one component."""
+    for batch in batches:
+        for own, roots in zip(batch["fps"], batch["roots"], strict=True):
+            values, root = np.frombuffer(b"".join(own), ">u8").astype(np.uint64).reshape(-1, WORDS), np.asarray(roots, np.int64)
+            lanes, names = planes(values), list(own)
+            for at in range(0, len(values), QUERIES):
+                near = within(values[at : at + QUERIES], lanes, len(values), WIDE_RADIUS) & (root[at : at + QUERIES, None] < root[None])
+                i, j = np.nonzero(near)
+                yield pd.DataFrame({"a": [names[at + k] for k in i], "b": [names[k] for k in j]}, dtype=object)
+
+
+def apart_links(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: all fingerprints of large buckets that are within the radius and whose roots (labels: fp, root) differ.
+
+    A fingerprint without a label has no other within the radius in any of its buckets, or the trees would hold it.
+    """
+    large = keyed.groupBy("table", "key").count().where(F.col("count") > ALL_PAIRS).select("table", "key")
+    rows = keyed.join(labels, "fp").join(large, ["table", "key"], "left_semi")
+    mixed = rows.groupBy("table", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("table", "key")
+    left = rows.join(mixed, ["table", "key"], "left_semi").select("table", "key", "fp", F.struct("fp", "root").alias("one"))
+    buckets = wide_buckets(left, "one").agg(F.collect_list("one").alias("ones")).select(F.col("ones.fp").alias("fps"), F.col("ones.root").alias("roots"))
+    found = buckets.where(F.array_min("roots") < F.array_max("roots")).mapInPandas(apart_pairs, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """The distinct shingles of a text as sorted hashes."""
     words = text.lower().split()
@@ -319,10 +349,14 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[k : k + width]), SEED) for k in range(len(words) - width + 1)], np.uint64))
 
 
-def alike(links: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The links (a, b) whose texts (fp, text) share ``SIMILAR`` or more of their shingles; each text is shingled once."""
-    make_sets = lambda: lambda fps, texts: (fps, [shingle_hashes(t, size).tobytes() for t in texts])
-    sets = cut(map_batches(texts, [F.col("fp"), F.col("text")], make_sets, "fp binary, hashes binary"), "shingles")
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """fp, hashes: each text (fp, text) shingled once."""
+    make = lambda: lambda fps, texts: (fps, [shingle_hashes(t, size).tobytes() for t in texts])
+    return cut(map_batches(texts, [F.col("fp"), F.col("text")], make, "fp binary, hashes binary"), "shingles")
+
+
+def alike(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) whose texts share ``SIMILAR`` or more of their shingles (sets: fp, hashes)."""
 
     def make():
         def step(a: list, b: list, left: list, right: list) -> tuple:
@@ -347,7 +381,8 @@ def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> Da
     Fingerprints of ``WORDS`` * 64 bits; texts meet where one of 54 keys of ``BAND`` bits is equal (for a similarity of
     0.8 at least one is with a chance of 0.996) and are looked at within ``WIDE_RADIUS`` bits. The pairs are verified on
     the shingles themselves. Equal fingerprints are one text. In a bucket of more than ``ALL_PAIRS`` fingerprints each is
-    verified against one neighbour only, in every bucket that it is in.
+    first verified against one neighbour; what this joins is one component, and then all pairs of different components
+    within the radius are verified. Pairs inside a component, which change nothing, are all that is left out.
     """
     kind = df.select(key.alias("key")).schema["key"].dataType.simpleString()
 
@@ -358,14 +393,21 @@ def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> Da
     columns = [key.alias("key"), F.xxhash64(key, body).alias("rank"), body.cast("binary").alias("text")]
     rows = cut(map_batches(df, columns, make, f"key {kind}, rank long, fp binary"), "fingerprints")
     single = cut(rows.groupBy("fp").agg(F.min(F.struct("key", "rank")).alias("first")), "distinct")
-    links = cut(wide_links(single.select("fp")), "wide-links")
+    keyed = cut(wide_keys(single.select("fp")), "wide-keys")
+    links = cut(wide_links(keyed), "wide-links")
     ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
     wanted = cut(single.join(ends, "fp").select("fp", F.col("first.rank").alias("rank")), "wanted")
     # texts outside the slots of wanted ones stay where they are; there are at most SLOTS slots
     slot = F.pmod("rank", F.lit(SLOTS)).cast("int").alias("slot")
     sifted = df.select(*columns[1:]).withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
     texts = sifted.dropDuplicates(["rank"]).join(wanted, "rank").select("fp", "text")
-    linked = alike(links, texts, size).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    sets = shingle_sets(texts, size)
+    named = lambda pairs: pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    linked = cut(named(alike(links, sets)), "alike")
     roots = components(linked)
+    labels = wanted.select("fp", F.xxhash64("fp").alias("node")).join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    rest = cut(apart_links(keyed, cut(labels, "wide-labels")).join(links, ["a", "b"], "left_anti"), "apart-links")
+    if not rest.isEmpty():
+        roots = components(linked.union(named(alike(rest, sets))))
     joined = single.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     return rows.join(named_by(joined), "fp").select("key", "rank", "component")

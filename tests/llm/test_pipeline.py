@@ -139,3 +139,29 @@ def test_odd_rows(spark, tmp_path):
         if name == "near_dedup":
             assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "3", "None"]
     assert docs.count() == 3
+
+
+def test_no_pair_of_a_large_bucket_is_left_out(spark, monkeypatch):
+    """All texts are in one bucket and most within the radius, but each is alike one other only, or a few."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "wide_keys", lambda fps: fps.select("fp", F.lit(0).alias("table"), F.lit(0).alias("key")))
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(204)]
+    texts = []
+    for k in range(simhash.ALL_PAIRS):
+        words = list(base)
+        for at in range(4):
+            words[10 + 50 * at + rng.randrange(30)] = f"v{k}-{at}"
+        texts.append(" ".join(words))
+        words[2] = f"w{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r.component.key for r in simhash.similar_documents(df, F.col("doc_id"), F.col("text"), 5).collect()}
+    sets, want = [shingles(t) for t in texts], list(range(len(texts)))
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted([want[j], want[k]])
+                want = [low if x == high else x for x in want]
+    assert got == dict(enumerate(want)) and len(set(want)) > 50
