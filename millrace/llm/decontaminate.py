@@ -29,7 +29,8 @@ from millrace.llm.batches import map_batches
 from millrace.llm.growing import Growing
 
 WINDOW, PLAIN, SHARE, SLOTS = 5, 2, 0.8, 1 << 21
-REMEMBERED = 200_000
+#: Words kept by a worker, texts looked at side by side.
+REMEMBERED, TOGETHER = 600_000, 32
 #: Units that a number may carry.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal s sec secs min mins h hr hrs hour hours day days week weeks month months year years "
@@ -62,31 +63,41 @@ class Templates:
         self.told = Growing(np.uint64, bool, bool, bool, bool, bool)  # hash, number, name, unit, ends a sentence, holds anything
 
     def look_up(self, word: str) -> int:
-        core, is_number = word, False
+        core, is_number, ends = word, False, False
         if not word.isalpha():
             core = word.strip(OUTER)
-            is_number = self.number.fullmatch(core) is not None
-            if not is_number and core not in UNITS:
-                core = core.strip(INNER)
-                if core and not (core[0].isalnum() and core[-1].isalnum()):
-                    core = self.edges.sub("", core)
+            ends = word == "\x01" or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
+            if not core.isalpha():  # letters alone are no number and have no signs around them
+                is_number = self.number.fullmatch(core) is not None
+                if not is_number and core not in UNITS:
+                    core = core.strip(INNER)
+                    if core and not (core[0].isalnum() and core[-1].isalnum()):
+                        core = self.edges.sub("", core)
         name = len(core) > 1 and core[0].isupper() and core[1:] != core[1:].upper()
         value = core.lower()
         self.values.append(value)
-        self.known[word] = self.told.add(xxhash.xxh64_intdigest(value.encode()), is_number, name, value in UNITS, word == "\x01" or word.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":"), value != "")
+        self.known[word] = self.told.add(xxhash.xxh64_intdigest(value.encode()), is_number, name, value in UNITS, ends, value != "")
         return len(self.values) - 1
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of the word, kind and hash of each token."""
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the word, kind and hash of each token of all texts, and the bounds of the texts."""
         if len(self.values) >= REMEMBERED:
             self.clear()
-        known, words = self.known, text.replace("\n", " \x01 ").split()
-        at = np.array([known[w] if w in known else self.look_up(w) for w in words], np.int64)
+        known, split = self.known, [text.replace("\n", " \x01 ").split() for text in texts]
+        get, add = known.get, self.look_up
+        at = np.array([i if (i := get(w)) is not None else add(w) for words in split for w in words], np.int64)
+        bounds = np.append(0, np.cumsum([len(words) for words in split])).astype(np.int64)
         hashes, number, name, unit, ends, full = (a[at] for a in self.told.read())
+        # texts lie side by side: the first word of each begins a sentence and follows no number
         begins = np.append(True, ends[:-1])[: len(at)]
-        at, hashes, number, name, unit, begins = (x[full] for x in (at, hashes, number, name, unit, self.carry(begins, full)))
-        kind = np.where(number, NUMBER, np.where(unit & np.append(False, number[:-1])[: len(at)], UNIT, np.where(name & ~begins, NAME, WORD)))
-        return at, kind, hashes
+        begins[bounds[:-1][bounds[:-1] < len(at)]] = True
+        begins = self.carry(begins, full)
+        bounds = np.append(0, np.cumsum(full))[bounds]
+        at, hashes, number, name, unit, begins = (x[full] for x in (at, hashes, number, name, unit, begins))
+        after = np.append(False, number[:-1])[: len(at)]
+        after[bounds[:-1][bounds[:-1] < len(at)]] = False
+        kind = np.where(number, NUMBER, np.where(unit & after, UNIT, np.where(name & ~begins, NAME, WORD)))
+        return at, kind, hashes, bounds
 
     @staticmethod
     def carry(begins: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -97,51 +108,63 @@ class Templates:
         before[places[1:]] = ended[places[:-1]] if len(places) else 0
         return ended > before
 
-    def windows(self, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all windows, with the words' numbers and kinds."""
-        at, kind, hashes = self.tokens(text)
-        n = len(at) - width + 1
+    @staticmethod
+    def windows(kind: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all windows of the tokens."""
+        n = len(kind) - width + 1
         if n < 1:
-            return np.zeros(0, np.uint64), at, kind
-        typed = np.where(kind == WORD, hashes, mixed(kind.astype(np.uint64) + ODD))
-        plain = np.add.reduce([(kind[k : k + n] == WORD) for k in range(width)]).astype(np.int64)
+            return np.zeros(0, np.uint64)
+        word = kind == WORD
+        typed = np.where(word, hashes, mixed(kind.astype(np.uint64) + ODD))
+        plain = np.add.reduce([word[k : k + n] for k in range(width)], dtype=np.int8)
         out = [np.full(n, width, np.uint64) for _ in range(2)]
         for k in range(width):
             out = [mixed(h * ODD + x[k : k + n]) for h, x in zip(out, (typed, hashes), strict=True)]
-        return np.where(plain >= min(PLAIN, width), out[0], out[1]), at, kind
+        return np.where(plain >= min(PLAIN, width), out[0], out[1])
 
     def slots(self, at: np.ndarray, kind: np.ndarray, first: int, width: int) -> list[str]:
         """offset:kind:value of the placeholders of a window."""
         return [f"{k}:{kind[first + k]}:{self.values[at[first + k]]}" for k in range(width) if kind[first + k] != WORD]
 
 
+#: The words that a worker keeps from task to task.
+KEPT: list[Templates] = []
+
+
 def windows_of(df: DataFrame, key: Column, text: Column, widths: list[int] | None, bitmap: bytes | None) -> DataFrame:
     """key, hash, pos, slots, total of windows: of the benchmark (``widths`` None), or of documents in the bitmap's slots."""
     kind = df.select(key.alias("key")).schema["key"].dataType.simpleString()
     shared = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
-        own = Templates()
+        if not KEPT:
+            KEPT.append(Templates())
+        own = KEPT[0]
         wanted = None if shared is None else np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
 
         def step(keys: list, texts: list) -> tuple:
             rows, hashes, places, slots, totals = [], [], [], [], []
-            for k, t in enumerate(texts):
-                sizes = widths
-                if sizes is None:
-                    sizes = [min(WINDOW, max(1, len(own.tokens(t)[0])))]
-                for width in sizes:
-                    h, at, kinds = own.windows(t, width)
+            for first in range(0, len(texts), TOGETHER):
+                at, kinds, known, bounds = own.tokens(texts[first : first + TOGETHER])
+                sizes = np.diff(bounds)
+                marked = np.append(0, np.cumsum(kinds != WORD))
+                for width in widths or range(1, WINDOW + 1):
+                    h = own.windows(kinds, known, width)
                     hit = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[(h % np.uint64(SLOTS)).astype(np.int64)])
+                    text = np.searchsorted(bounds, hit, "right") - 1
+                    # a window ends inside its text; an item has windows of one width
+                    inside = hit + width <= bounds[text + 1]
+                    if widths is None:
+                        inside &= np.minimum(WINDOW, sizes[text]) == width
+                    hit, text = hit[inside], text[inside]
                     if not len(hit):
                         continue
-                    marked = np.append(0, np.cumsum(kinds != WORD))
                     filled = marked[hit + width] > marked[hit]
-                    rows += [k] * len(hit)
+                    rows += (first + text).tolist()
                     hashes.append(h[hit])
-                    places.append(hit * 8 + width)
-                    totals += [len(h)] * len(hit)
-                    slots += [own.slots(at, kinds, int(i), width) if f else [] for i, f in zip(hit, filled, strict=True)]
+                    places.append((hit - bounds[text]) * 8 + width)
+                    totals += (sizes[text] - width + 1).tolist()
+                    slots += [own.slots(at, kinds, i, width) if f else [] for i, f in zip(hit.tolist(), filled.tolist(), strict=True)]
             flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
             place = np.concatenate(places) if places else np.zeros(0, np.int64)
             return [keys[k] for k in rows], pa.array(flat), pa.array(place // 8), pa.array((place % 8).astype(np.int32)), slots, totals

@@ -56,3 +56,16 @@ def test_query_on_documents(spark):
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, SMALL).collect()}
     assert want and got == want
+
+
+def test_texts_side_by_side_stay_apart(spark):
+    """Texts are looked at together: no window, sentence or unit crosses from one to the next."""
+    docs = [(k, t) for k, t in enumerate(["so two", "words", "", "he has 5", "km to go", "He said. Two", None, "words", "so two words"])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(1, "two words"), (2, "5 km"), (3, "go he")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b, "doc_id", "text", "item_id", "text").collect()] == [(8, 1)]
+    own = decontaminate.Templates()
+    at, kind, hashes, bounds = own.tokens(["A b. C 5", "km D", "", "D"])
+    alone = [own.tokens([t]) for t in ["A b. C 5", "km D", "", "D"]]
+    assert bounds.tolist() == [0, 4, 6, 6, 7] and kind.tolist() == [x for a in alone for x in a[1].tolist()]
+    assert hashes.tolist() == [x for a in alone for x in a[2].tolist()] and at.tolist() == [x for a in alone for x in a[0].tolist()]
