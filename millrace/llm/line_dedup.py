@@ -8,12 +8,15 @@ least and ``most`` at most (the probes of a line grow with the cube of its edits
 
 1. Equal lines: thin rows (two hashes of the line, its place) are grouped, all places but the first go.
    What remains are texts in which every line occurs once in the whole table.
-2. Candidates: a line with K edits is cut into K + 1 segments, indexed by number, line length and text. Of two lines
+2. Keys: a line with K edits is cut into K + 1 segments, indexed by number, line length and text. Of two lines
    within K edits, one segment of the shorter stands in the longer one at a shift that its number and the difference
    of lengths bound; just these substrings are looked up, each length with the segments of its own K. Only a key and
-   the line's hash move.
-3. Candidates' texts are fetched (others are sifted out by slots of their hash, of which there are at most
-   ``SLOTS``), equal ends are trimmed and the rest is compared by bit-parallel edit distance in a diagonal band.
+   the line's hash move, and only the keys that meet another line's are kept, a row for each line and key.
+3. Pairs: texts of the lines with such keys are fetched (others are sifted out by slots of their hash, of which there
+   are at most ``SLOTS``) and their letters counted. Lines under one key become a pair only if length and letters
+   allow it, which the join itself tests. A key of more than ``HOT`` lines is compared with one of them first; what
+   this links is one group, inside which no more pairs are made. Pairs are verified by edit distance, those of lines
+   over ``LONG`` characters bit-parallel in a diagonal band.
 4. Linked lines form components; all but the first line of each go.
 
 Defined results: null text is empty, and an empty text stays one blank line. Rows that repeat id and text are
@@ -31,7 +34,9 @@ from millrace.llm.shared import cut
 #: Least and most edits, characters for each edit, length from which lines are compared by edits.
 EDITS, MOST, SHARE, FUZZY_FROM, SLOTS = 1, 2, 40, 24, 1 << 18
 #: Letters that are counted before two lines are compared.
-COMMON = " eaionrstlu"
+COMMON = " eaionrstluhdcmfgwyp"
+#: Lines under one key from which they are grouped around one of them first; length up to which the built-in distance is taken.
+HOT, LONG = 64, 500
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -74,21 +79,59 @@ def keyed(lines: DataFrame, name: str, specs: list[tuple[int, int, int, int]], e
     return rows.select(F.col("h1").alias(name), F.xxhash64("i", "of", F.substr("line", F.col("at") + 1, F.col("size"))).alias("key"))
 
 
-def candidates(lines: DataFrame, edits: int, most: int, share: int) -> DataFrame:
-    """a, b: hashes of lines that share a segment."""
+def counted(lines: DataFrame) -> DataFrame:
+    """The lines with their length and how often each common letter stands in them; n, c: array."""
+    count = lambda c: F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+    return lines.withColumn("n", F.length("line")).withColumn("c", F.array(*[count(c) for c in COMMON]))
+
+
+def may_be_near(x: str, y: str, edits: int, most: int, share: int) -> Column:
+    """False where length (x_n, y_n) and letters (x_c, y_c) alone show more edits: each edit changes all counts together by two at most."""
+    rest = lambda t: F.col(f"{t}_n") - sum(F.col(f"{t}_c")[i] for i in range(len(COMMON)))
+    apart = sum((F.abs(F.col(f"{x}_c")[i] - F.col(f"{y}_c")[i]) for i in range(len(COMMON))), F.abs(rest(x) - rest(y)))
+    allowed = edits_of(F.least(f"{x}_n", f"{y}_n"), edits, most, share)
+    return (F.abs(F.col(f"{x}_n") - F.col(f"{y}_n")) <= allowed) & (apart <= allowed * 2)
+
+
+def named(lines: DataFrame, name: str, *more: str) -> DataFrame:
+    """Line columns of ``counted`` with a name in front; h1 gets the name itself."""
+    return lines.select(F.col("h1").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "c", *more)])
+
+
+def sifted(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """Lines whose h1 is among the distinct ``ids``; lines beyond their slots do not move."""
+    slot = F.pmod("h1", F.lit(SLOTS)).cast("int")
+    return lines.withColumn("slot", slot).join(F.broadcast(slots(ids, "h1")), "slot", "left_semi").drop("slot").join(ids, "h1", "left_semi")
+
+
+def sharing(lines: DataFrame, edits: int, most: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """(b, key) and (a, key): probes that meet the segment of another line, and the segments under these keys.
+
+    A line has a row for each of its keys at most, however many lines share one.
+    """
     classes = range(edits, max(edits, most) + 1)
-    index = keyed(lines, "h1", segment_specs(classes), edits, most, share)
-    probes = keyed(lines, "other", probe_specs(classes), edits, most, share)
-    # equally long lines find one another twice
-    pairs = probes.join(index.hint("shuffle_hash"), "key").where("h1 <> other")
-    return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
+    index = keyed(lines, "a", segment_specs(classes), edits, most, share)
+    probes = keyed(lines, "b", probe_specs(classes), edits, most, share)
+    there = index.withColumnRenamed("key", "there").hint("shuffle_hash")
+    found = cut(probes.join(there, (F.col("key") == F.col("there")) & (F.col("a") != F.col("b")), "left_semi"), "line-probes")
+    return found, cut(index.join(found.select("key").distinct(), "key", "left_semi"), "line-index")
+
+
+def near(pairs: DataFrame, texts: DataFrame, edits: int, most: int, share: int) -> DataFrame:
+    """The pairs (a, b, distinct) whose lines are within the edits of the shorter one."""
+    left, right = (texts.select(F.col("h1").alias(n), F.col("line").alias(f"{n}_line")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    x, y = F.col("a_line"), F.col("b_line")
+    allowed, bound = edits_of(F.least(F.length(x), F.length(y)), edits, most, share), max(edits, most)
+    # the built-in distance walks each line once for each letter of the other; beyond the bound it is -1, without its sign the largest integer
+    built_in = F.levenshtein(x, y, bound).bitwiseAND(F.lit((1 << 31) - 1))
+    apart = F.when(F.greatest(F.length(x), F.length(y)) > LONG, edit_distance(F.split(x, ""), F.split(y, ""), bound)).otherwise(built_in)
+    return both.where(apart <= allowed).select("a", "b")
 
 
-def may_be_near(x: Column, y: Column, allowed: Column) -> Column:
-    """False where the counts of common letters alone show more edits: each edit changes them by two at most."""
-    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    apart = sum((F.abs(count(x, c) - count(y, c)) for c in COMMON[1:]), F.abs(count(x, COMMON[0]) - count(y, COMMON[0])))
-    return apart <= allowed * 2
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs, the smaller hash first: equally long lines find one another twice."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def bit(value: Column, at: Column) -> Column:
@@ -150,22 +193,25 @@ def slots(ids: DataFrame, name: str) -> DataFrame:
     return ids.select(F.pmod(F.col(name), F.lit(SLOTS)).cast("int").alias("slot")).distinct()
 
 
-def with_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with a_line and b_line."""
-    ends = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    sifted = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(ends, "h1")), "slot", "left_semi")
-    texts = cut(sifted.join(ends, "h1", "left_semi").select("h1", "line").dropDuplicates(["h1"]), "line-texts")
-    left, right = (texts.select(F.col("h1").alias(n), F.col("line").alias(f"{n}_line")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b")
-
-
 def near_lines(lines: DataFrame, edits: int, most: int, share: int) -> DataFrame:
-    """a, b: hashes of lines within the edits of the shorter one."""
-    pairs = with_texts(lines, cut(candidates(lines, edits, most, share), "line-pairs"))
-    allowed = edits_of(F.least(F.length("a_line"), F.length("b_line")), edits, most, share)
-    left, right = F.col("a_line"), F.col("b_line")
-    possible = pairs.where(may_be_near(left, right, allowed))
-    return possible.where(edit_distance(F.split(left, ""), F.split(right, ""), max(edits, most)) <= allowed).select("a", "b")
+    """a, b: hashes of lines within the edits of the shorter one; where a key has more than ``HOT`` lines, enough links to join the same ones."""
+    probes, index = sharing(lines, edits, most, share)
+    ends = probes.select(F.col("b").alias("h1")).union(index.select(F.col("a").alias("h1"))).distinct()
+    texts = cut(counted(sifted(lines.select("h1", "line"), ends).dropDuplicates(["h1"])), "line-texts")
+    left, right = named(texts, "a"), named(texts, "b")
+    close = may_be_near("a", "b", edits, most, share)
+    probes, index = probes.join(right, "b"), index.join(left, "a")
+
+    # lines of a much used key that are near one of them are one group already: no pairs are made inside it
+    hot = cut(index.groupBy("key").agg(F.min("a").alias("a"), F.count("*").alias("n")).where(F.col("n") > HOT).select("key", "a"), "line-hot")
+    if hot.isEmpty():
+        return near(ordered(probes.join(index, "key").where((F.col("a") != F.col("b")) & close)), texts, edits, most, share)
+    first = ordered(probes.join(hot.join(left, "a"), "key").where((F.col("a") != F.col("b")) & close))
+    star = cut(near(first, texts, edits, most, share), "line-stars")
+    group = components(star)
+    of = lambda rows, n: rows.join(group.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")), n, "left").withColumn(f"{n}_root", F.coalesce(f"{n}_root", n))
+    rest = of(probes, "b").join(of(index, "a"), "key").where((F.col("a_root") != F.col("b_root")) & close)
+    return star.union(near(ordered(rest), texts, edits, most, share))
 
 
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -203,8 +249,8 @@ def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_fr
     once = cut(without_most(counted, cut(later(thin, ["h1", "h2"]), "equal")), "texts")
     lines = places(once).where(F.length("line") >= fuzzy_from).select("rid", "id", "pos", "line", F.xxhash64("line").alias("h1"))
     linked = components(near_lines(lines, edits, most, share)).select(F.col("node").alias("h1"), "root")
-    sifted = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(linked, "h1")), "slot", "left_semi")
-    drops = cut(later(sifted.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
+    marked = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(linked, "h1")), "slot", "left_semi")
+    drops = cut(later(marked.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
     done = without_most(once, drops)
     names = [F.col("body").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
     # a text whose lines are all gone is empty and has no line

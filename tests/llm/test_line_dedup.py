@@ -157,3 +157,47 @@ def test_edits_follow_the_length(spark):
 def test_two_typos_in_a_long_line(spark):
     line = "the quick brown fox jumps over the lazy dog and then runs far away into the deep green forest where nobody has ever seen it come back again before dawn today"
     assert len(line) < 160 and run(spark, [(1, line), (2, line.replace("quick", "quikc"))]) == [(1, line), (2, "")]
+
+
+def counted(monkeypatch):
+    """Pairs that reach the edit distance."""
+    seen, verify = [], line_dedup.near
+
+    def near(pairs, *args):
+        seen.append(pairs.count())
+        return verify(pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "near", near)
+    return seen
+
+
+@pytest.mark.parametrize("hot", [20, 1000])
+def test_lines_that_share_segments_but_are_not_near_make_few_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    seen, rng = counted(monkeypatch), random.Random(6)
+    words = ["".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(50)]
+    lines = []
+    for i in range(200):
+        own = list(words)
+        for at in rng.sample(range(0, 16), 3):
+            own[at] = "".join(rng.choices("abcdefghilmnoprstuvwxyz", k=6))
+        lines.append(" ".join(own))
+    lines += [edited(rng, lines[k], 2) for k in (3, 50, 120)]
+    assert dict(run(spark, list(enumerate(lines)))) == dict(enumerate([*lines[:200], "", "", ""]))
+    assert 3 <= sum(seen) < 200 * 199 / 2 / 20
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_groups_around_one_line_of_a_key(spark, monkeypatch, edits):
+    """Lines near one of a key make no pairs among themselves, and no link is lost."""
+    monkeypatch.setattr(line_dedup, "HOT", 8)
+    seen, rng = counted(monkeypatch), random.Random(8)
+    marks = "0123456789abcdefghijklmnopqrstuvwxyz"
+    lines = [f"the sign of this page is {a}, in the book {b if edits == 2 else 0}" for a in marks for b in rng.sample(marks, 4)]
+    lines = sorted(set(lines))
+    rng.shuffle(lines)
+    lines += [edited(rng, x, rng.randint(1, 3)) for x in rng.sample(lines, 10)]
+    rng.shuffle(lines)
+    docs = list(enumerate(lines))
+    assert run(spark, docs, edits=edits) == plain(docs, edits, 24)
+    assert len(seen) == 2 and sum(seen) < len(lines) * (len(lines) - 1) / 2 / 2
