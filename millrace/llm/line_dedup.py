@@ -10,10 +10,11 @@ least and ``most`` at most (the probes of a line grow with the cube of its edits
    What remains are texts in which every line occurs once in the whole table.
 2. Keys: a line with K edits is cut into K + 1 segments, indexed by number, line length and text. Of two lines
    within K edits, one segment of the shorter stands in the longer one at a shift that its number and the difference
-   of lengths bound; just these substrings are looked up, each length with the segments of its own K. Only a key and
-   the line's hash move, and only the keys that meet another line's are kept, a row for each line and key.
-3. Pairs: texts of the lines with such keys are fetched (others are sifted out by slots of their hash, of which there
-   are at most ``SLOTS``) and their letters counted. Lines under one key become a pair only if length and letters
+   of lengths bound; just these substrings are looked up, each length with the segments of its own K. A line's own
+   segments are among its substrings, so they are made once. Only a key and the line's hash move, and only the keys under
+   which a segment and another line meet are kept, a row for each line and key.
+3. Pairs: texts of the lines with such keys are fetched (a Bloom filter of at most ``BITS`` bits sifts out others where
+   they are read) and their letters counted. Lines under one key become a pair only if length and letters
    allow it, which the join itself tests. A key of more than ``HOT`` lines is compared with one of them first; what
    this links is one group, inside which no more pairs are made. Pairs are verified by edit distance, those of lines
    over ``LONG`` characters bit-parallel in a diagonal band.
@@ -28,11 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.let import let
 from millrace.llm.components import components
 from millrace.llm.shared import cut
+from millrace.operators.verdict import filter_of
 
-#: Least and most edits, characters for each edit, length from which lines are compared by edits.
-EDITS, MOST, SHARE, FUZZY_FROM, SLOTS = 1, 2, 40, 24, 1 << 18
+#: Least and most edits, characters for each edit, length from which lines are compared by edits, most bits of a Bloom filter.
+EDITS, MOST, SHARE, FUZZY_FROM, BITS = 1, 2, 40, 24, 1 << 26
 #: Letters that are counted before two lines are compared.
 COMMON = " eaionrstluhdcmfgwyp"
 #: Lines under one key from which they are grouped around one of them first; length up to which the built-in distance is taken.
@@ -50,21 +53,16 @@ def edits_of(length: Column, edits: int, most: int, share: int) -> Column:
     return F.greatest(F.lit(edits), F.least(F.floor(length / share).cast("int"), F.lit(most)))
 
 
-def segment_specs(classes: range) -> list[tuple[int, int, int, int]]:
-    """(edits, number, less, shift) of the segments that index a line."""
-    return [(k, i, 0, 0) for k in classes for i in range(k + 1)]
-
-
 def probe_specs(classes: range) -> list[tuple[int, int, int, int]]:
-    """(edits, number, less, shift) of the substrings to look up for lines that are ``less`` characters shorter."""
+    """(edits, number, less, shift) of the substrings to look up for lines that are ``less`` characters shorter; no less and no shift: the line's segments."""
     return [
         (k, i, less, shift) for k in classes for less in range(k + 1) for i in range(k + 1)
         for shift in range(max(-i, less - (k - i)), min(i, less + k - i) + 1)
     ]
 
 
-def keyed(lines: DataFrame, name: str, specs: list[tuple[int, int, int, int]], edits: int, most: int, share: int) -> DataFrame:
-    """name, key: the hash of each line and its keys; a substring that would leave the line has none.
+def keyed(lines: DataFrame, specs: list[tuple[int, int, int, int]], edits: int, most: int, share: int) -> DataFrame:
+    """h1, key, segment: the hash of each line, its keys and if they are its segments; a substring that would leave the line has none.
 
     The specs are exploded beside the line, so that one small expression makes all keys.
     """
@@ -76,7 +74,8 @@ def keyed(lines: DataFrame, name: str, specs: list[tuple[int, int, int, int]], e
     cut_at = lambda number: F.floor(F.col("of") * number / (F.col("k") + 1)).cast("int")
     rows = rows.withColumn("start", cut_at(F.col("i"))).withColumn("size", cut_at(F.col("i") + 1) - F.col("start"))
     rows = rows.withColumn("at", F.col("start") + F.col("shift")).where("at >= 0 AND at + size <= n")
-    return rows.select(F.col("h1").alias(name), F.xxhash64("i", "of", F.substr("line", F.col("at") + 1, F.col("size"))).alias("key"))
+    key = F.xxhash64("i", "of", F.substr("line", F.col("at") + 1, F.col("size")))
+    return rows.select("h1", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("segment"))
 
 
 def counted(lines: DataFrame) -> DataFrame:
@@ -99,22 +98,22 @@ def named(lines: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def sifted(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Lines whose h1 is among the distinct ``ids``; lines beyond their slots do not move."""
-    slot = F.pmod("h1", F.lit(SLOTS)).cast("int")
-    return lines.withColumn("slot", slot).join(F.broadcast(slots(ids, "h1")), "slot", "left_semi").drop("slot").join(ids, "h1", "left_semi")
+    """Lines whose h1 is among the distinct ``ids``; nearly no others move."""
+    return lines.where(filter_of(ids, "h1", most=BITS)(F.col("h1"))).join(ids, "h1", "left_semi")
 
 
 def sharing(lines: DataFrame, edits: int, most: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """(b, key) and (a, key): probes that meet the segment of another line, and the segments under these keys.
+    """(b, key) and (a, key): substrings under keys where the segment of one line meets another line, and the segments among them.
 
-    A line has a row for each of its keys at most, however many lines share one.
+    A line has a row for each of its keys at most, however many lines share one. All keys are dealt out once: the
+    count of a key's lines and the rows that stay are taken from the same exchange.
     """
-    classes = range(edits, max(edits, most) + 1)
-    index = keyed(lines, "a", segment_specs(classes), edits, most, share)
-    probes = keyed(lines, "b", probe_specs(classes), edits, most, share)
-    there = index.withColumnRenamed("key", "there").hint("shuffle_hash")
-    found = cut(probes.join(there, (F.col("key") == F.col("there")) & (F.col("a") != F.col("b")), "left_semi"), "line-probes")
-    return found, cut(index.join(found.select("key").distinct(), "key", "left_semi"), "line-index")
+    rows = keyed(lines, probe_specs(range(edits, max(edits, most) + 1)), edits, most, share).repartition("key")
+    ends = rows.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.max("segment").alias("segment"))
+    met = ends.where(F.col("segment") & (F.col("least") < F.col("most"))).select("key")
+    # each key once: the same as a semi-join, which Spark would move below the exchange and so make all keys anew
+    found = cut(rows.join(met.hint("shuffle_hash"), "key"), "line-keys")
+    return found.select(F.col("h1").alias("b"), "key"), found.where("segment").select(F.col("h1").alias("a"), "key")
 
 
 def near(pairs: DataFrame, texts: DataFrame, edits: int, most: int, share: int) -> DataFrame:
@@ -188,16 +187,9 @@ def edit_distance(x: Column, y: Column, edits: int) -> Column:
     return F.get(F.transform(F.array(inner), banded), F.lit(0))
 
 
-def slots(ids: DataFrame, name: str) -> DataFrame:
-    """The hash slots in use: at most SLOTS rows, whatever the input."""
-    return ids.select(F.pmod(F.col(name), F.lit(SLOTS)).cast("int").alias("slot")).distinct()
-
-
-def near_lines(lines: DataFrame, edits: int, most: int, share: int) -> DataFrame:
+def near_lines(shared: DataFrame, probes: DataFrame, index: DataFrame, edits: int, most: int, share: int) -> DataFrame:
     """a, b: hashes of lines within the edits of the shorter one; where a key has more than ``HOT`` lines, enough links to join the same ones."""
-    probes, index = sharing(lines, edits, most, share)
-    ends = probes.select(F.col("b").alias("h1")).union(index.select(F.col("a").alias("h1"))).distinct()
-    texts = cut(counted(sifted(lines.select("h1", "line"), ends).dropDuplicates(["h1"])), "line-texts")
+    texts = cut(counted(shared.select("h1", "line").dropDuplicates(["h1"])), "line-texts")
     left, right = named(texts, "a"), named(texts, "b")
     close = may_be_near("a", "b", edits, most, share)
     probes, index = probes.join(right, "b"), index.join(left, "a")
@@ -217,17 +209,15 @@ def near_lines(lines: DataFrame, edits: int, most: int, share: int) -> DataFrame
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """Take the lines at the given places (rid, gone: array) out of ``body``."""
     joined = docs.join(drops.hint("shuffle_hash"), "rid", "left")
-    lines = F.split("body", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    text = let(F.split("body", "\n"), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
     return joined.withColumn("body", F.when(F.col("gone").isNull(), F.col("body")).otherwise(text)).drop("gone")
 
 
 def without_most(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """``without``, where only texts in a slot of a text that loses lines are joined; the others do not move."""
-    marked = docs.withColumn("slot", F.pmod("rid", F.lit(SLOTS)).cast("int"))
-    hit = F.broadcast(slots(drops, "rid"))
-    return marked.join(hit, "slot", "left_anti").drop("slot").unionByName(without(marked.join(hit, "slot", "left_semi").drop("slot"), drops))
+    """``without``, where only texts that a Bloom filter of those that lose lines lets through are joined; the others do not move."""
+    may_lose = filter_of(drops, "rid", most=BITS)(F.col("rid"))
+    return docs.where(~may_lose).unionByName(without(docs.where(may_lose), drops))
 
 
 def later(places: DataFrame, keys: list[str]) -> DataFrame:
@@ -248,9 +238,11 @@ def dedup_lines(df: DataFrame, key: str, text: str, edits: int = EDITS, fuzzy_fr
     counted = docs.withColumn("lines_in", F.size(F.split("body", "\n")))
     once = cut(without_most(counted, cut(later(thin, ["h1", "h2"]), "equal")), "texts")
     lines = places(once).where(F.length("line") >= fuzzy_from).select("rid", "id", "pos", "line", F.xxhash64("line").alias("h1"))
-    linked = components(near_lines(lines, edits, most, share)).select(F.col("node").alias("h1"), "root")
-    marked = lines.withColumn("slot", F.pmod("h1", F.lit(SLOTS)).cast("int")).join(F.broadcast(slots(linked, "h1")), "slot", "left_semi")
-    drops = cut(later(marked.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
+    probes, index = sharing(lines, edits, most, share)
+    ends = cut(probes.select(F.col("b").alias("h1")).distinct(), "line-ends")
+    shared = cut(sifted(lines, ends), "line-places")
+    linked = components(near_lines(shared, probes, index, edits, most, share)).select(F.col("node").alias("h1"), "root")
+    drops = cut(later(shared.select("rid", "id", "pos", "h1").join(linked, "h1"), ["root"]), "drops")
     done = without_most(once, drops)
     names = [F.col("body").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
     # a text whose lines are all gone is empty and has no line

@@ -201,3 +201,38 @@ def test_groups_around_one_line_of_a_key(spark, monkeypatch, edits):
     docs = list(enumerate(lines))
     assert run(spark, docs, edits=edits) == plain(docs, edits, 24)
     assert len(seen) == 2 and sum(seen) < len(lines) * (len(lines) - 1) / 2 / 2
+
+
+def test_all_keys_are_made_and_dealt_out_once(spark, monkeypatch):
+    plans, write = [], line_dedup.cut
+
+    def cut(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    near, far = "a line of text that others come near to, one way", "nothing here is close to what stands elsewhere"
+    lines = [near, near.replace("way", "wax"), near + "s", far]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.xxhash64("line").alias("h1"))
+    names = {r.h1: r.line for r in df.collect()}
+    probes, index = line_dedup.sharing(df, 1, 2, 40)
+    met = probes.join(index, "key").where("a <> b").select("a", "b").distinct().collect()
+    pairs = {frozenset([names[r.a], names[r.b]]) for r in met}
+    assert pairs >= {frozenset([near, lines[1]]), frozenset([near, lines[2]])} and not any(far in p for p in pairs)
+    assert sum(p.count("Generate explode(") for p in plans) == 1 and sum(p.count("ReusedExchange") for p in plans) == 1
+
+
+def test_only_texts_that_lose_lines_move(spark, monkeypatch):
+    moved, join = [], line_dedup.without
+
+    def without(docs, drops):
+        moved.append(docs.count())
+        return join(docs, drops)
+
+    monkeypatch.setattr(line_dedup, "without", without)
+    docs = spark.range(80_000).select(F.xxhash64("id").alias("rid"), F.concat(F.lit("first\nlast "), F.col("id")).alias("body"), "id")
+    drops = docs.where("id % 2 = 0").select("rid", F.array(F.lit(0)).alias("gone"))
+    got = line_dedup.without_most(docs, drops).select("id", "body", F.concat(F.when(F.col("id") % 2 == 0, "").otherwise("first\n"), F.lit("last "), F.col("id")).alias("want"))
+    assert got.count() == 80_000 and got.where("body <> want").count() == 0
+    assert 40_000 <= moved[0] < 42_000
