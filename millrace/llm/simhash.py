@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import ROWS, map_batches
 from millrace.llm.components import components
 from millrace.llm.shared import cut
+from millrace.operators.verdict import filter_of
 
-#: Slots of hashes by which texts are sifted.
-SLOTS = 1 << 18
+#: Most bits of the Bloom filter by which texts are sifted.
+BITS = 1 << 26
 SEED, RADIUS = 42, 4
 #: First bit and width of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
@@ -41,8 +42,11 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 BUCKET, QUERIES, LANES, STEP = 1_500, 256, 16, 1 << 16
 
 #: Words of a wide fingerprint, its radius (texts that share 0.8 of their shingles differ in 39 of 256 bits in the mean), width
-#: of its keys, ways to cut the bits into keys, fingerprints of a bucket whose pairs are all looked at, least similarity.
-WORDS, WIDE_RADIUS, BAND, WAYS, ALL_PAIRS, SIMILAR = 4, 62, 14, 3, 64, 0.8
+#: of its keys, ways to cut the bits into keys, fingerprints of a bucket whose pairs are all links, least similarity. In a
+#: larger bucket the pairs are links if those near any others are near so many in the mean.
+WORDS, WIDE_RADIUS, BAND, WAYS, ALL_PAIRS, SIMILAR, FEW = 4, 62, 14, 3, 64, 0.8, 4
+#: Words of lanes whose differences are added at a time.
+ADDED = 512
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -231,49 +235,120 @@ def named_by(joined: DataFrame) -> DataFrame:
     return looked.where("giant IS NOT NULL").select("fp", F.col("giant").alias("component")).union(others.select("fp", "component"))
 
 
-def small_pairs(values: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius of many small buckets side by side."""
-    near = within(values, planes(values), len(values), WIDE_RADIUS) & (bucket[:, None] == bucket[None])
-    i, j = np.nonzero(np.triu(near, 1))
-    return values[i], values[j]
-
-
-def tree_pairs(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(fingerprint, one of those within its radius) along a breadth-first tree of each component."""
-    left, found = values, []
-    while len(left) > 1:
-        frontier, left = left[:1], left[1:]
-        while len(frontier) and len(left):
-            near = within(frontier[:QUERIES], planes(left), len(left), WIDE_RADIUS)
-            hit = near.any(0)
-            new = left[hit]
-            found.append((new, frontier[near[:, hit].argmax(0)]))
-            frontier, left = np.concatenate([frontier[QUERIES:], new]), left[~hit]
-    return found
-
-
-def wide_bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        pairs, waiting, bucket = [], [], []
-
-        def flush(waiting: list, bucket: list, pairs: list) -> None:
-            if waiting:
-                pairs.append(small_pairs(np.concatenate(waiting), np.concatenate(bucket)))
-                waiting.clear()
-                bucket.clear()
-
-        for k, own in enumerate(batch["fps"]):
-            values = np.frombuffer(b"".join(own), ">u8").astype(np.uint64).reshape(-1, WORDS)
-            if len(values) > ALL_PAIRS:
-                pairs += tree_pairs(values)
-                continue
-            waiting.append(values)
-            bucket.append(np.full(len(values), k))
-            if sum(map(len, waiting)) >= 2 * QUERIES:
-                flush(waiting, bucket, pairs)
-        flush(waiting, bucket, pairs)
-        a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros((0, WORDS), np.uint64) for i in (0, 1))
-        yield pd.DataFrame({n: [r.tobytes() for r in v.astype(">u8")] for n, v in (("a", a), ("b", b))})
+def counted(x: np.ndarray) -> list[np.ndarray]:
+    """Binary digits, lowest first, of how many planes (first axis) have each bit: carry-save adders take three planes of one weight to two."""
+    digits = []
+    while len(x):
+        carries = []
+        while len(x) > 2:
+            k = len(x) // 3
+            a, b, c = x[:k], x[k : 2 * k], x[2 * k : 3 * k]
+            s = a ^ b
+            carry = s & c
+            carry |= a & b
+            carries.append(carry)
+            s ^= c
+            x = np.concatenate([s, x[3 * k :]])
+        if len(x) == 2:
+            carries.append(x[:1] & x[1:])
+            x = x[:1] ^ x[1:]
+        digits.append(x[0])
+        x = np.concatenate(carries) if carries else x[:0]
+    return digits
+
+
+def masks(values: np.ndarray) -> np.ndarray:
+    """Row i has a word for each value: all ones where its bit i is one."""
+    return 0 - np.ascontiguousarray(bits_of(values).T).astype(np.uint64)
+
+
+def near_words(queries: np.ndarray, lanes: np.ndarray, later: bool = False) -> np.ndarray:
+    """Which lanes are within ``WIDE_RADIUS`` of each query (``masks``), 64 in a word; lanes beyond the last value are to be ignored.
+
+    later: queries are the lanes themselves, and words of lanes before a query's may be left out.
+    """
+    out, at = np.zeros((queries.shape[1], lanes.shape[1]), np.uint64), 0
+    while at < len(out):
+        first = at // 64 if later else 0
+        step = max(1, ADDED // (lanes.shape[1] - first))
+        out[at : at + step, first:] = ~above(counted(queries[:, at : at + step, None] ^ lanes[:, None, first:]), WIDE_RADIUS)
+        at += step
+    return out
+
+
+def unpacked(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+
+
+def small_pairs(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius of buckets of at most 64 values, side by side: a bucket stands in one word of lanes or in two."""
+    place = np.arange(len(values))
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    split = np.flatnonzero(start // 64 < place // 64)
+    row, word = np.concatenate([place, split]), np.concatenate([place, split - 64]) // 64
+    near = ~above(counted(masks(values)[:, row] ^ planes(values)[:, word]), WIDE_RADIUS)
+    near[: len(place)] &= (np.uint64(1) << (place % 64).astype(np.uint64)) - np.uint64(1)  # those before it
+    some = np.flatnonzero(near)
+    i, j = np.nonzero(unpacked(near[some, None], 64))
+    i, j = row[some[i]], 64 * word[some[i]] + j
+    own = j >= start[i]
+    return values[j[own]], values[i[own]]
+
+
+def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, one of those near it) along a breadth-first tree of each component."""
+    left, found = np.ones(len(near), bool), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while left.any():
+        frontier = np.flatnonzero(left)[:1]
+        left[frontier] = False
+        while len(frontier):
+            hit = near[frontier] & left
+            new = np.flatnonzero(hit.any(0))
+            found.append((new, frontier[hit[:, new].argmax(0)]))
+            left[new] = False
+            frontier = new
+    a, b = zip(*found, strict=True)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def large_pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """All pairs within the radius, and False; where a value that has any others near has more than ``FEW`` in the mean, only trees of them, and True."""
+    place = np.arange(len(values))
+    own, lane = place // 64, (place % 64).astype(np.uint64)
+    words = near_words(masks(values), planes(values), later=True)
+    words[np.arange(words.shape[1])[None] < own[:, None]] = 0
+    words[place, own] &= ~np.uint64(1) << lane  # those after it
+    if len(values) % 64:
+        words[:, -1] &= np.uint64((1 << len(values) % 64) - 1)
+    some = np.flatnonzero(words.any(1) | unpacked(np.bitwise_or.reduce(words, axis=0)[None], len(values))[0])
+    near = unpacked(words[some], len(values))[:, some]
+    many = bool(2 * near.sum() > FEW * len(some))
+    i, j = tree(near | near.T) if many else np.nonzero(near)
+    return values[some[i]], values[some[j]], many
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    """A row of 64-bit words for each wide fingerprint of a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, WORDS)
+
+
+def wide_bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for first in range(0, whole.num_rows, ROWS):
+            lists = whole.column(0).slice(first, ROWS)
+            values, sizes = words_of(lists.flatten()), lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends, pairs = np.cumsum(sizes), []
+            small, at = sizes <= min(ALL_PAIRS, 64), 0
+            pairs = [large_pairs(values[ends[k] - sizes[k] : ends[k]]) for k in np.flatnonzero(~small)]
+            values, sizes = values[np.repeat(small, sizes)], sizes[small]
+            for some in np.split(sizes, np.flatnonzero(np.diff(np.cumsum(sizes) // ADDED)) + 1):
+                if len(some):
+                    pairs.append((*small_pairs(values[at : at + some.sum()], some), False))
+                    at += some.sum()
+            for a, b, many in pairs:
+                if len(a):
+                    sides = [pa.array([r.tobytes() for r in v.astype(">u8")], pa.binary()) for v in (a, b)]
+                    yield pa.RecordBatch.from_arrays([*sides, pa.array(np.full(len(a), many))], ["a", "b", "many"])
 
 
 def wide_keys(fps: DataFrame) -> DataFrame:
@@ -308,10 +383,10 @@ def wide_buckets(keyed: DataFrame, member: str):
 
 
 def wide_links(keyed: DataFrame) -> DataFrame:
-    """a, b: distinct wide fingerprints that share a key and are within the radius; in large buckets a tree of them."""
+    """a, b: distinct wide fingerprints that share a key and are within the radius; many: true if a bucket with too many pairs gives only trees of them."""
     buckets = wide_buckets(keyed, "fp").agg(F.collect_list("fp").alias("fps"))
-    found = buckets.where(F.size("fps") > 1).select("fps").mapInPandas(wide_bucket_pairs, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = buckets.where(F.size("fps") > 1).select("fps").mapInArrow(wide_bucket_pairs, "a binary, b binary, many boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("many").alias("many"))
 
 
 def apart_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,9 +394,9 @@ def apart_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for own, roots in zip(batch["fps"], batch["roots"], strict=True):
             values, root = np.frombuffer(b"".join(own), ">u8").astype(np.uint64).reshape(-1, WORDS), np.asarray(roots, np.int64)
-            lanes, names = planes(values), list(own)
+            queries, lanes, names = masks(values), planes(values), list(own)
             for at in range(0, len(values), QUERIES):
-                near = within(values[at : at + QUERIES], lanes, len(values), WIDE_RADIUS) & (root[at : at + QUERIES, None] < root[None])
+                near = unpacked(near_words(queries[:, at : at + QUERIES], lanes), len(values)) & (root[at : at + QUERIES, None] < root[None])
                 i, j = np.nonzero(near)
                 yield pd.DataFrame({"a": [names[at + k] for k in i], "b": [names[k] for k in j]}, dtype=object)
 
@@ -329,7 +404,7 @@ def apart_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def apart_links(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b: all fingerprints of large buckets that are within the radius and whose roots (labels: fp, root) differ.
 
-    A fingerprint without a label has no other within the radius in any of its buckets, or the trees would hold it.
+    Labels are needed only for the members of trees: all other pairs within the radius are links.
     """
     large = keyed.groupBy("table", "key").count().where(F.col("count") > ALL_PAIRS).select("table", "key")
     rows = keyed.join(labels, "fp").join(large, ["table", "key"], "left_semi")
@@ -380,9 +455,10 @@ def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> Da
 
     Fingerprints of ``WORDS`` * 64 bits; texts meet where one of 54 keys of ``BAND`` bits is equal (for a similarity of
     0.8 at least one is with a chance of 0.996) and are looked at within ``WIDE_RADIUS`` bits. The pairs are verified on
-    the shingles themselves. Equal fingerprints are one text. In a bucket of more than ``ALL_PAIRS`` fingerprints each is
-    first verified against one neighbour; what this joins is one component, and then all pairs of different components
-    within the radius are verified. Pairs inside a component, which change nothing, are all that is left out.
+    the shingles themselves. Equal fingerprints are one text. In a bucket of more than ``ALL_PAIRS`` where those that
+    have any others within the radius have more than ``FEW`` in the mean, each is first verified against one neighbour;
+    what this joins is one component, and then all pairs of different components within the radius are verified. Pairs
+    inside a component, which change nothing, are all that is left out.
     """
     kind = df.select(key.alias("key")).schema["key"].dataType.simpleString()
 
@@ -394,20 +470,22 @@ def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> Da
     rows = cut(map_batches(df, columns, make, f"key {kind}, rank long, fp binary"), "fingerprints")
     single = cut(rows.groupBy("fp").agg(F.min(F.struct("key", "rank")).alias("first")), "distinct")
     keyed = cut(wide_keys(single.select("fp")), "wide-keys")
-    links = cut(wide_links(keyed), "wide-links")
-    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = cut(single.join(ends, "fp").select("fp", F.col("first.rank").alias("rank")), "wanted")
-    # texts outside the slots of wanted ones stay where they are; there are at most SLOTS slots
-    slot = F.pmod("rank", F.lit(SLOTS)).cast("int").alias("slot")
-    sifted = df.select(*columns[1:]).withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+    found = cut(wide_links(keyed), "wide-links")
+    links = found.select("a", "b")
+    ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = cut(single.join(ends_of(links), "fp").select("fp", F.col("first.rank").alias("rank")), "wanted")
+    # texts that a Bloom filter of the wanted ones rules out stay where they are
+    sifted = df.select(*columns[1:]).where(filter_of(wanted, "rank", most=BITS)(F.col("rank")))
     texts = sifted.dropDuplicates(["rank"]).join(wanted, "rank").select("fp", "text")
     sets = shingle_sets(texts, size)
     named = lambda pairs: pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     linked = cut(named(alike(links, sets)), "alike")
     roots = components(linked)
-    labels = wanted.select("fp", F.xxhash64("fp").alias("node")).join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    rest = cut(apart_links(keyed, cut(labels, "wide-labels")).join(links, ["a", "b"], "left_anti"), "apart-links")
-    if not rest.isEmpty():
-        roots = components(linked.union(named(alike(rest, sets))))
+    trees = cut(ends_of(found.where("many")), "wide-trees")
+    if not trees.isEmpty():
+        labels = trees.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+        rest = cut(apart_links(keyed, cut(labels, "wide-labels")).join(links, ["a", "b"], "left_anti"), "apart-links")
+        if not rest.isEmpty():
+            roots = components(linked.union(named(alike(rest, sets))))
     joined = single.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     return rows.join(named_by(joined), "fp").select("key", "rank", "component")

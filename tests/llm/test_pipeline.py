@@ -165,3 +165,51 @@ def test_no_pair_of_a_large_bucket_is_left_out(spark, monkeypatch):
                 low, high = sorted([want[j], want[k]])
                 want = [low if x == high else x for x in want]
     assert got == dict(enumerate(want)) and len(set(want)) > 50
+
+
+def bucket_of(values):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([[r.astype(">u8").tobytes() for r in v] for v in values], pa.list_(pa.binary()))], ["fps"])
+
+
+def copies(rng, n, flips):
+    """One wide fingerprint n times, up to so many bits of each turned."""
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), n, 0)
+    for row in bits:
+        row[rng.choice(256, rng.integers(0, flips), replace=False)] ^= 1
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+
+
+def joined(pairs, n):
+    root = list(range(n))
+    for a, b in pairs:
+        root = [root[a] if r == root[b] else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("n, near", [(2, 2), (12, 5), (64, 40), (65, 3), (146, 30), (192, 150), (300, 4)])
+def test_pairs_of_a_bucket(n, near):
+    """Buckets of all sizes, some of them side by side: all pairs within the radius, or trees of the same components."""
+    rng = np.random.default_rng(n)
+    values = [np.unique(np.concatenate([copies(rng, near, 40), rng.integers(0, 2**64, (n - near, 4), dtype=np.uint64)]), axis=0) for _ in range(5)]
+    rows = [tuple(r) for b in simhash.wide_bucket_pairs([bucket_of(values)]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    for v in values:
+        place = {r.astype(">u8").tobytes(): k for k, r in enumerate(v)}
+        got = [tuple(sorted((place[a], place[b]))) for a, b, _ in rows if a in place]
+        want = [(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(v[:, None] ^ v[None]).sum(-1, dtype=int) <= simhash.WIDE_RADIUS), strict=True) if i < j]
+        trees = n > simhash.ALL_PAIRS and near > simhash.FEW + 1
+        assert {m for a, _, m in rows if a in place} == {trees} and got and len(got) == len(set(got))
+        if trees:
+            assert set(got) <= set(want) and len(got) < len(v) and joined(got, len(v)) == joined(sorted(want), len(v))
+        else:
+            assert sorted(got) == want
+
+
+def test_work_of_a_large_bucket(monkeypatch):
+    """Fingerprints far from one another are compared many at a time, not each by a walk of its own."""
+    calls = []
+    above = simhash.above
+    monkeypatch.setattr(simhash, "above", lambda *a: calls.append(1) or above(*a))
+    unrelated = np.random.default_rng(4).integers(0, 2**64, (640, 4), dtype=np.uint64)
+    assert list(simhash.wide_bucket_pairs([bucket_of([unrelated])])) == [] and 0 < len(calls) < 20
