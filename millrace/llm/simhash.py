@@ -401,13 +401,13 @@ def apart_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"a": [names[at + k] for k in i], "b": [names[k] for k in j]}, dtype=object)
 
 
-def apart_links(keyed: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: all fingerprints of large buckets that are within the radius and whose roots (labels: fp, root) differ.
+def apart_links(labels: DataFrame) -> DataFrame:
+    """a, b: all fingerprints that share a key and are within the radius and whose roots (labels: fp, root) differ.
 
-    Labels are needed only for the members of trees: all other pairs within the radius are links.
+    Labels are needed only for the members of trees: all other pairs within the radius are links. Their keys are made
+    anew, so that the keys of all others need not be dealt out again.
     """
-    large = keyed.groupBy("table", "key").count().where(F.col("count") > ALL_PAIRS).select("table", "key")
-    rows = keyed.join(labels, "fp").join(large, ["table", "key"], "left_semi")
+    rows = wide_keys(labels.select("fp")).join(labels, "fp")
     mixed = rows.groupBy("table", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("table", "key")
     left = rows.join(mixed, ["table", "key"], "left_semi").select("table", "key", "fp", F.struct("fp", "root").alias("one"))
     buckets = wide_buckets(left, "one").agg(F.collect_list("one").alias("ones")).select(F.col("ones.fp").alias("fps"), F.col("ones.root").alias("roots"))
@@ -484,7 +484,7 @@ def similar_documents(df: DataFrame, key: Column, text: Column, size: int) -> Da
     trees = cut(ends_of(found.where("many")), "wide-trees")
     if not trees.isEmpty():
         labels = trees.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-        rest = cut(apart_links(keyed, cut(labels, "wide-labels")).join(links, ["a", "b"], "left_anti"), "apart-links")
+        rest = cut(apart_links(cut(labels, "wide-labels")).join(links, ["a", "b"], "left_anti"), "apart-links")
         if not rest.isEmpty():
             roots = components(linked.union(named(alike(rest, sets))))
     joined = single.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
